@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import mixing, secrets, tokens
+from lodeworks.llm import chat, decontamination, mixing, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.crc32_of(tokens.read_documents(spark, made)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    lexicon = toxicity.learn(docs, labels.filter(~held_out))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -39,5 +51,52 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_tokens": op3_tokens, "op6_secrets": op6_secrets}
-ORACLES: dict[str, str] = {}
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    even = F.pmod("conv_id", F.lit(2)) == 0
+    made = chat.preferences(turns, F.shiftright("conv_id", 1), even)
+
+    def spans(side: str):
+        return F.concat_ws(",", F.transform(f"{side}_trained", lambda s: F.concat_ws(":", s["start"], s["end"]))).alias(f"{side}_trained")
+
+    return made.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen"), spans("rejected"))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_tokens": op3_tokens,
+    "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_secrets": op6_secrets,
+    "op9_chat": op9_chat,
+}
+
+ORACLES: dict[str, str] = {
+    "op9_chat": r"""
+WITH t AS (
+    SELECT conv_id, conv_id >> 1 AS pair_id, conv_id % 2 AS side,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+        coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), m AS (
+    SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k, coalesce(a.role = b.role AND a.text = b.text, false) AS same
+    FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.k = b.k
+), p AS (
+    SELECT pair_id, CAST(coalesce(min(k) FILTER (WHERE NOT same), max(k) + 1) - 1 AS INTEGER) AS n_prompt_turns FROM m GROUP BY pair_id
+), r AS (
+    SELECT t.*, n_prompt_turns, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body,
+        coalesce(sum(length('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)))
+            OVER (PARTITION BY conv_id, k > n_prompt_turns ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM t JOIN p USING (pair_id)
+)
+SELECT pair_id, min(conv_id) FILTER (WHERE side = 0) AS chosen_id, min(conv_id) FILTER (WHERE side = 1) AS rejected_id, min(n_prompt_turns) AS n_prompt_turns,
+    coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 0 AND k <= n_prompt_turns), '') AS prompt,
+    coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 0 AND k > n_prompt_turns), '') AS chosen,
+    coalesce(string_agg(head || body, '' ORDER BY k) FILTER (WHERE side = 1 AND k > n_prompt_turns), '') AS rejected,
+    coalesce(string_agg((before + length(head)) || ':' || (before + length(head) + length(body)), ',' ORDER BY k)
+        FILTER (WHERE side = 0 AND k > n_prompt_turns AND role = 'assistant'), '') AS chosen_trained,
+    coalesce(string_agg((before + length(head)) || ':' || (before + length(head) + length(body)), ',' ORDER BY k)
+        FILTER (WHERE side = 1 AND k > n_prompt_turns AND role = 'assistant'), '') AS rejected_trained
+FROM r GROUP BY pair_id
+""",
+}
