@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat, decontamination, mixing, secrets, tokens, toxicity
+from lodeworks.llm import chat, decontamination, mixing, neighbours, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    made = tokens.write_shards(tokens.tokenize(table(spark, sf_dir, "documents"), path, end_id=2), path)
+    made = tokens.write_shards(table(spark, sf_dir, "documents"), path, end_id=2)
     return tokens.crc32_of(tokens.read_documents(spark, made)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -51,6 +51,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     even = F.pmod("conv_id", F.lit(2)) == 0
@@ -68,6 +72,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
+    "op7_neighbours": op7_neighbours,
     "op9_chat": op9_chat,
 }
 
