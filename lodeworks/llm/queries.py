@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat, decontamination, mixing, neighbours, secrets, tokens, toxicity
+from lodeworks.llm import chat, decontamination, mixing, neardup, neighbours, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2, threshold=0.8)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     even = F.pmod("conv_id", F.lit(2)) == 0
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_neighbours": op7_neighbours,
+    "op8_neardup": op8_neardup,
     "op9_chat": op9_chat,
 }
 
