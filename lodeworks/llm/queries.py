@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat, decontamination, mixing, neardup, neighbours, secrets, tokens, toxicity
+from lodeworks.llm import chat, decontamination, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"), window=50)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     made = tokens.write_shards(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -73,6 +78,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_repeats": op2_repeats,
     "op3_tokens": op3_tokens,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
