@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat, decontamination, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
+from lodeworks.llm import chat, decontamination, hmm, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen"), spans("rejected"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    trained = hmm.train(docs.filter(~held_out))
+    scored = hmm.score(docs, trained)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_repeats": op2_repeats,
@@ -86,6 +94,7 @@ QUERIES = {
     "op7_neighbours": op7_neighbours,
     "op8_neardup": op8_neardup,
     "op9_chat": op9_chat,
+    "op10_hmm": op10_hmm,
 }
 
 ORACLES: dict[str, str] = {
