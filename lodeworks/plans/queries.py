@@ -27,17 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def query(oracle: str | None = None, rounded: tuple[str, ...] = ()):
     """Registers a function (spark, sf_dir) under its name, with its statement.
 
-    rounded: doubles that both sides round to six places, as sums of doubles depend on their order.
+    rounded: doubles that both sides round to nine places, as sums of doubles depend on their order.
     """
 
     def keep(f):
         def made(spark, d):
             df = f(spark, d)
-            return df.withColumns({c: F.round(c, 6) for c in rounded}) if rounded else df
+            return df.withColumns({c: F.round(c, 9) for c in rounded}) if rounded else df
 
         QUERIES[f.__name__] = made
         if oracle:
-            columns = ", ".join(f"round({c}, 6) AS {c}" for c in rounded)
+            columns = ", ".join(f"round({c}, 9) AS {c}" for c in rounded)
             ORACLES[f.__name__] = f"SELECT * REPLACE ({columns}) FROM ({oracle})" if rounded else oracle
         return f
 
