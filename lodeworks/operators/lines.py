@@ -25,16 +25,25 @@ UNLIKELY = r"^#|^//|^import |^from |^\"\"\"|^'''|^def\s+\w+\(|^class\s+\w+"
 NESTING_WORDS = ["if", "while", "for", "try", "def", "class"]
 COUNTED_WORDS = ["if", "elif", "else", "while", "for", "try", "except", "finally"]
 LOGICAL = ["&&", "||", "and", "or"]
-_FILE = Window.partitionBy("file_id")
-_ORDER = _FILE.orderBy("line_no")
-_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _file():
+    return Window.partitionBy("file_id")
+
+
+def _order():
+    return _file().orderBy("line_no")
+
+
+def _so_far():
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def code_blocks(lines: DataFrame, least: int = 5) -> DataFrame:
     """(file_id, start_line, end_line, n_lines, code): runs between blanks and comments, cut where the indent falls
     below the block's first; blocks are the strict running minima of indent inside a run."""
     apart = (F.col("stripped") == "") | F.col("stripped").startswith("#") | F.col("stripped").startswith("//")
-    rows = lines.withColumn("apart", apart).withColumn("run", F.sum(apart.cast("int")).over(_SO_FAR)).filter("NOT apart")
+    rows = lines.withColumn("apart", apart).withColumn("run", F.sum(apart.cast("int")).over(_so_far())).filter("NOT apart")
     inside = Window.partitionBy("file_id", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("base", F.min("indent").over(inside))
     code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
@@ -54,7 +63,7 @@ def normalized_code(code: Column) -> Column:
 def commented_code(lines: DataFrame, least: int = 3) -> DataFrame:
     """(file_id, start_line, end_line, n_lines): runs of commented-out code; a run that reaches the file's end is left out."""
     rows = lines.withColumn("is_code", F.col("stripped").rlike("^(#|//)") & F.col("stripped").rlike(CODE_COMMENT))
-    rows = rows.withColumn("run", F.sum((~F.col("is_code")).cast("int")).over(_SO_FAR)).withColumn("last", F.max("line_no").over(_FILE))
+    rows = rows.withColumn("run", F.sum((~F.col("is_code")).cast("int")).over(_so_far())).withColumn("last", F.max("line_no").over(_file()))
     runs = rows.filter("is_code").groupBy("file_id", "run").agg(
         F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"), F.max("last").alias("last")
     )
@@ -120,10 +129,10 @@ def signatures(lines: DataFrame, size: int = 8, within: int = 20, shortest: int
     with strings, numbers and names blanked."""
     blank = F.regexp_replace(F.regexp_replace(F.regexp_replace("stripped", "[\"'][^\"']*[\"']", '""'), r"\b\d+\b", "0"), r"\b[a-zA-Z_]\w*\b", "VAR")
     telling = (F.length("stripped") > 20) & ~F.col("stripped").rlike(UNLIKELY)
-    rows = lines.withColumn("n", F.count("*").over(_FILE)).withColumn("telling", telling).withColumn("shape", blank)
-    ahead = _ORDER.rowsBetween(0, Window.unboundedFollowing)
+    rows = lines.withColumn("n", F.count("*").over(_file())).withColumn("telling", telling).withColumn("shape", blank)
+    ahead = _order().rowsBetween(0, Window.unboundedFollowing)
     starts = rows.withColumn("first", F.min(F.when(F.col("telling"), F.col("line_no"))).over(ahead)).filter(F.col("line_no") <= F.col("n") - shortest)
-    next_ones = _ORDER.rowsBetween(0, size - 1)
+    next_ones = _order().rowsBetween(0, size - 1)
     kept = rows.filter("telling").select(
         "file_id", F.col("line_no").alias("first"), F.max("line_no").over(next_ones).alias("end_line"),
         F.count("*").over(next_ones).alias("have"), F.array_join(F.collect_list("shape").over(next_ones), "|").alias("signature"),
@@ -139,7 +148,7 @@ def cognitive_complexity(lines: DataFrame) -> DataFrame:
         opens = opens | F.col("stripped").contains(w)
     words = sum((F.col("stripped").rlike(rf"\b{w}\b").cast("int") for w in COUNTED_WORDS), F.lit(0))
     logical = sum(((F.length("stripped") - F.length(F.replace("stripped", F.lit(o), F.lit("")))) / len(o) for o in LOGICAL), F.lit(0))
-    rows = lines.withColumn("depth", F.sum((opens & F.col("stripped").endswith(":")).cast("int")).over(_SO_FAR))
+    rows = lines.withColumn("depth", F.sum((opens & F.col("stripped").endswith(":")).cast("int")).over(_so_far()))
     cost = words * (F.col("depth") + 1) + logical
     return rows.groupBy("file_id").agg(F.greatest(F.lit(1), F.sum(cost)).cast("long").alias("cognitive"))
 

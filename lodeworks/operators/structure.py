@@ -69,7 +69,7 @@ def elements_of(path: str, source: str) -> list[dict]:
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             a = node.args
-            names = [x.arg for x in a.args] + [f"*{a.vararg.arg}"] * bool(a.vararg) + [f"**{a.kwarg.arg}"] * bool(a.kwarg)
+            names = [x.arg for x in a.args] + [f"*{x.arg}" for x in [a.vararg] if x] + [f"**{x.arg}" for x in [a.kwarg] if x]
             rows.append(_row(
                 path, "function", name=node.name, owner=owners.get(id(node)), line_start=node.lineno, line_end=node.end_lineno, parameters=names,
                 docstring=ast.get_docstring(node), complexity=complexity(node), is_async=isinstance(node, ast.AsyncFunctionDef),

@@ -64,7 +64,7 @@ def save_snapshot(issues: DataFrame, path: str, codebase: str, version: str) ->
 def load_snapshot(spark: SparkSession, path: str, codebase: str, version: str | None = None) -> DataFrame:
     """The latest snapshot of a codebase, of a version where there is one."""
     rows = spark.read.parquet(path).filter(F.col("codebase") == codebase)
-    best = rows.groupBy("version").agg(F.max("taken_at").alias("taken_at")).orderBy(F.desc(F.col("version") == F.lit(version or "")), F.desc("taken_at")).limit(1)
+    best = rows.groupBy("version").agg(F.max("taken_at").alias("taken_at")).orderBy(F.desc(F.col("version").cast("string") == F.lit(version or "")), F.desc("taken_at")).limit(1)
     return rows.join(F.broadcast(best), ["version", "taken_at"], "left_semi")  # one row
 
 
