@@ -182,13 +182,13 @@ def mixed_texts(docs: DataFrame, m: Mix) -> DataFrame:
     parts = m.pieces.groupBy("doc_id", "source", "text_hash", "sid", "start", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("n")
     )
-    key = ["doc_id", "source", "text_hash"]
-    own = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(key)
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = F.concat_ws(" ", F.transform("parts", lambda x: F.concat_ws(" ", F.slice("words", (x["word_from"] + 1).cast("int"), (x["word_to"] - x["word_from"]).cast("int")))))
-    parts = parts.withColumnsRenamed({"doc_id": "p_doc", "source": "p_source", "text_hash": "p_hash"})
-    same = own["doc_id"].eqNullSafe(parts["p_doc"]) & own["source"].eqNullSafe(parts["p_source"]) & (own["text_hash"] == parts["p_hash"])
-    joined = own.join(parts, same)
-    joined = joined.withColumn("words", words)
-    joined = joined.withColumn("text", F.when(F.col("n") == F.size("words"), F.col("text")).otherwise(some))
-    return joined.select(*docs.columns)
+    # The row travels as one struct, so that its columns can have any names.
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k1"), F.col("source").alias("k2"), F.xxhash64("text").alias("k3"))
+    own = own.dropDuplicates(["k1", "k2", "k3"])
+    same = F.col("k1").eqNullSafe(F.col("doc_id")) & F.col("k2").eqNullSafe(F.col("source")) & (F.col("k3") == F.col("text_hash"))
+    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    joined = own.join(parts, same).withColumn("words", words)
+    span = lambda x: F.slice("words", (x["word_from"] + 1).cast("int"), (x["word_to"] - x["word_from"]).cast("int"))
+    some = F.concat_ws(" ", F.transform("parts", lambda x: F.concat_ws(" ", span(x))))
+    text = F.when(F.col("n") == F.size("words"), F.col("row.text")).otherwise(some)
+    return joined.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
