@@ -274,7 +274,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
                 log = forward(model, classes, bounds) / np.log(10)
                 frequent = classes < n
                 text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                base = np.bincount(text[frequent], base_known[classes[frequent]], len(texts))
+                base = np.bincount(text[frequent], base_known[classes[frequent]], len(texts)).astype(float)
                 n_known = np.bincount(text[frequent], minlength=len(texts))
                 rare = [Counter(w for w, f in zip(t, frequent[a:b].tolist(), strict=True) if not f) for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 lists = pa.array([[{"word": w, "times": c} for w, c in r.items()] for r in rare], RARE)
