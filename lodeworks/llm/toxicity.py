@@ -2,7 +2,7 @@
 
 Folding lower-cases, maps homoglyphs and full-width forms to Latin letters and, inside words, digits and signs to the
 letters that they stand for. Lexicon entries are whole words or beginnings of words; their weights are smoothed log ratios
-of document frequencies in toxic and clean training rows. A word counts once, by its heaviest entry. Two-word phrases that
+of document frequencies in toxic and clean training rows; an entry must follow many different words, which copies can't feign. A word counts once, by its heaviest entry. Two-word phrases that
 hold an entry but occur in clean rows only are exceptions: inside them no entry counts.
 
 Null and empty texts score as texts without a hit. Training takes a bounded sample (`max_labels`) of labelled rows in the
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -30,6 +31,7 @@ MAX_CANDIDATES = 200_000
 MAX_ENTRIES = 20_000
 STEMS = (4, 5, 6)
 FLUSH = 200_000
+PURITY = 0.9  # of the training rows that hold an entry, the toxic share
 
 # Letters that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсхуіѕјкмтнвоαειορυνκτ", "aeopcxyisjkmthboaeiopuvkt", strict=True))
@@ -131,6 +133,42 @@ def _document_counts(train: DataFrame, of: Callable[[str], set[str]]) -> DataFra
     return made.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _contexts(toxic: DataFrame) -> DataFrame:
+    """(item, toxic, contexts): in how many toxic rows an item occurs, and after how many different words (hashed to 64).
+
+    Copies and shared passages repeat a word in one place; a word that itself is toxic stands after many.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            items = list(rows)
+            columns = [pa.array(items, pa.string()), *(pa.array([rows[x][k] for x in items], pa.int64()) for k in (0, 1))]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, ["item", "toxic", "seen"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                own: dict[str, int] = {}
+                before = ""
+                for word in fold(text.as_py()).split():
+                    bit = 1 << (zlib.crc32(before.encode()) & 63)
+                    for item in (f" {word} ", *(f" {word[:n]}" for n in STEMS if len(word) > n)):
+                        own[item] = own.get(item, 0) | bit
+                    before = word
+                for item, bits in own.items():
+                    now = rows.setdefault(item, [0, 0])
+                    now[0] += 1
+                    now[1] |= bits - (1 << 64) if bits >> 63 else bits
+                if len(rows) > FLUSH:
+                    yield out()
+        yield out()
+
+    made = toxic.select("text").mapInArrow(work, "item string, toxic long, seen long").groupBy("item")
+    return made.agg(F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("seen")).alias("contexts"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Lexicon:
     """Learns weights and exceptions from docs(doc_id, text) joined with labels(doc_id, toxic)."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).dropna()
@@ -142,13 +180,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> L
     if not toxic or not clean:
         return Lexicon({}, frozenset(), 50.0 if toxic else -50.0)
     support = max(3.0, 0.003 * toxic)
-    common = _document_counts(train.filter("label = 1"), features).filter(F.col("toxic") >= support)
+    places = max(3.0, min(16.0, 0.01 * toxic))
+    common = _contexts(train.filter("label = 1")).filter((F.col("toxic") >= support) & (F.col("contexts") >= places))
     candidates = {r["item"] for r in common.orderBy(F.desc("toxic"), "item").limit(MAX_CANDIDATES).collect()}
 
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     sure = ratio - F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     counted = _document_counts(train, lambda t: features(t) & candidates).withColumn("weight", sure)
-    chosen = counted.filter(F.col("weight") >= math.log(10)).orderBy(F.desc(F.col("weight") * F.col("toxic")), "item").limit(MAX_ENTRIES)
+    telling = (F.col("weight") >= math.log(10)) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean")))
+    chosen = counted.filter(telling).orderBy(F.desc(F.col("weight") * F.col("toxic")), "item").limit(MAX_ENTRIES)
     bare = Lexicon({r["item"]: r["weight"] for r in chosen.collect()}, frozenset(), math.log(toxic / clean))
 
     made: list = []
