@@ -144,15 +144,17 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     texts = docs.join(wanted, ["doc_id", "tk"])  # a repeated row has its places as often as it is repeated
     columns = texts.select("doc_id", "tk", "text", "own")
 
-    def cut(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list, list[bytes]]]:
-        """Per row: doc_id, tk, its places and their strings."""
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """Per slice of rows, an entry for each of their super-k-mers: doc_id, tk, hash, first word, string."""
         for part in slices(batch):
-            words = words_of(part.column(2))
-            for row, own in enumerate(part.column(3).to_pylist()):
-                own = list({(x["at"], x["windows"], x["h"]) for x in own})
-                first = np.array([x[0] for x in own], np.int64) + words.first[row]
-                strings = _strings(words, first, np.array([x[1] for x in own], np.int64), window)
-                yield part.column(0)[row].as_py(), part.column(1)[row].as_py(), own, strings
+            words, own = words_of(part.column(2)), part.column(3)
+            at, flat = own.value_lengths().to_numpy(), own.flatten()
+            h, first, count = (flat.field(k).to_numpy() for k in range(3))
+            row = np.repeat(np.arange(part.num_rows), at)
+            _, once = np.unique(row * (1 << 32) + first, return_index=True)  # rows that are repeated have theirs repeated
+            row, h, first, count = row[once], h[once], first[once], count[once]
+            strings = _strings(words, first + words.first[row], count.astype(np.int64), window)
+            yield part.column(0).to_numpy()[row], part.column(1).to_numpy()[row], h, first, strings
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list[int]]] = {}
@@ -164,12 +166,15 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
             held.clear()
 
         for batch in batches:
-            for doc, _, own, strings in cut(batch):
-                for (_, _, h), string in zip(own, strings, strict=True):
-                    bounds = held.setdefault(h % buckets, {}).setdefault(string, [doc, doc])
-                    if bounds[0] == doc == bounds[1]:
+            for docs_of, _, h, _, strings in cut(batch):
+                for doc, bucket, string in zip(docs_of.tolist(), (h % buckets).tolist(), strings, strict=True):
+                    mine = held.setdefault(bucket, {})
+                    bounds = mine.get(string)
+                    if bounds is None:
+                        mine[string] = [doc, doc]
                         size += len(string) + 200
-                    bounds[0], bounds[1] = min(bounds[0], doc), max(bounds[1], doc)
+                    else:
+                        bounds[0], bounds[1] = min(bounds[0], doc), max(bounds[1], doc)
                 if size > 96 << 20:
                     yield from out()
                     size = 0
@@ -190,10 +195,9 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(_key(s), doc, tk, at) for doc, tk, own, strings in cut(batch) for (at, _, _), s in zip(own, strings, strict=True)]
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "tk", "at"])
+            for docs_of, tks, _, first, strings in cut(batch):
+                keys = pa.array([_key(s) for s in strings], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(docs_of), pa.array(tks), pa.array(first, pa.int32())], ["key", "doc_id", "tk", "at"])
 
     answers = columns.mapInArrow(send, "bucket long, blob binary").groupBy("bucket").applyInArrow(answer, "key binary, least array<long>")
     found = columns.mapInArrow(keyed, "key binary, doc_id long, tk long, at int").join(answers, "key")
