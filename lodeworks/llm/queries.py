@@ -98,6 +98,30 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_repeats": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM k GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM k JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, list(j) AS js FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(CASE WHEN js IS NULL THEN array_to_string(ws, ' ')
+        ELSE array_to_string(list_filter(ws, lambda x, i: NOT list_contains(js, i)), ' ') END, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+""",
+    "op8_neardup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)
+    UNION ALL SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+""",
     "op9_chat": r"""
 WITH t AS (
     SELECT conv_id, conv_id >> 1 AS pair_id, conv_id % 2 AS side,
