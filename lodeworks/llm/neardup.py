@@ -6,8 +6,8 @@ enters only those of its rarest values that it can't be without in a pair of the
 such a pair share SHARED values or more but for a chance below 1e-8; sets smaller than a sketch are judged without chance).
 Pairs that share enough lists and whose union sketch doesn't exclude them are verified on the full sets.
 
-Large groups never give all their pairs: first each list links its members to one of them (per band of sizes), then
-only pairs of different components are looked at, each list's largest component on one side alone. What is equal
+Large groups never give all their pairs: first each list links its members to a few heads, then
+only pairs of different components are looked at, those with large components in blocks. What is equal
 or linked already needs no further link, so no link between components is lost.
 
 Null and empty texts have an empty set and are linked with nothing. Texts shorter than a shingle are one shingle. Rows that
@@ -32,6 +32,10 @@ from lodeworks.llm.textkit import Words, hash_grams, hash_words, mix, slices, wo
 SKETCH = 64
 SHARED = 30  # P(Binomial(64, 0.8) < 30) < 1e-8
 TOGETHER = 6  # lists that a pair must meet in
+HEADS = 5  # members of a longer list that all others are compared with first
+LARGE = 16  # components of more classes are compared in blocks of sets
+BLOCK = 64
+_KEPT = ("cid", "n", "need", "home")
 
 
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -67,7 +71,11 @@ def _sketches(docs: DataFrame, n: int, lower: bool, k: int) -> DataFrame:
 
 
 def _lists(classes: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(value, cid, n, need): each class in the lists of the rarest retained values that it needs."""
+    """(value, band, home, cid, n, need): each class in the lists of the rarest retained values that it needs.
+
+    Lists are kept apart by bands of sizes, two rows of bands a half apart, so that sizes close enough share a band;
+    home is the band in the first row. Lists of one class go, and with them classes that are left in too few lists.
+    """
     exact = math.floor(threshold * k)  # sets up to this size are seen whole, as are their partners
     values = classes.select("cid", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
@@ -77,7 +85,15 @@ def _lists(classes: DataFrame, threshold: float, k: int) -> DataFrame:
     shared = values.join(common, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
     room = F.greatest(held - need + together - (held - F.size("own")), F.lit(0)).cast("int")  # after those that no one shares
     rows = shared.select("cid", "n", together.cast("int").alias("need"), F.explode(F.slice("own", F.lit(1), room)).alias("x"))
-    return settled(rows.select(F.col("x.value").alias("value"), "cid", "n", "need"), "lists")
+    at = F.log(F.col("n").cast("double")) / math.log(1 / threshold)
+    even, odd = (F.floor(at / 2) * 2).cast("int"), (F.floor((at + 1) / 2) * 2 + 1).cast("int")
+    rows = rows.select(F.col("x.value").alias("value"), "cid", "n", "need", even.alias("home"), F.explode(F.array(even, odd)).alias("band"))
+    rows = settled(rows, "bands")
+    cells = rows.groupBy("value", "band").agg(F.count("*").alias("size")).filter("size > 1")
+    met = settled(rows.join(cells, ["value", "band"]), "cells")
+    enough = met.groupBy("cid").agg(F.countDistinct("value").alias("lists"), F.max("need").alias("least"))
+    enough = enough.filter(F.col("lists") >= F.col("least")).select("cid")
+    return settled(met.join(enough, "cid", "left_semi"), "lists")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -92,14 +108,11 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -
     return joined.filter(F.when(full, common >= threshold * F.size(union) - 1e-9).otherwise(common >= SHARED)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose full sets are as similar as asked for."""
-    pairs = settled(pairs, "pairs")
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFrame:
+    """(id, set): full sets of the wanted documents (and of a few more, which joins leave behind)."""
     wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(ids))
-    percent = round(threshold * 100)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.filter(batch.column(0).is_valid())
             known = known.filter(pa.array(wanted.value.holds(known.column(0).to_numpy())))
@@ -107,6 +120,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, threshold:
                 own = [x.tobytes() for x in shingle_sets(words_of(part.column(1), lower), n)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["id", "set"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "id long, set binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose full sets are as similar as asked for."""
+    pairs = settled(pairs, "pairs")
+    percent = round(threshold * 100)
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -116,39 +137,115 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, threshold:
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, set binary")
+    rows = _sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), n, lower)
     of_a, of_b = rows.select(F.col("id").alias("a"), F.col("set").alias("sa")), rows.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     found = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
     return settled(found.distinct(), "links")
 
 
-def _to_one(lists: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of each list's members with its smallest id, per list and band of sizes (two rows of bands, half a band apart)."""
-    band = F.log(F.col("n").cast("double")) / math.log(1 / threshold)
-    keyed = lists.withColumn("band", F.explode(F.array(F.floor(band) * 2, F.floor(band + 0.5) * 2 + 1)))
-    heads = keyed.groupBy("value", "band").agg(F.min(F.struct("cid", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    pairs = keyed.join(heads, ["value", "band"]).filter(F.col("cid") != F.col("head.cid"))
-    pairs = pairs.select(F.col("cid").alias("a"), F.col("head.cid").alias("b"), "value", "need").distinct()
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("need").alias("need"))
-    return met.filter(F.col("times") >= F.least("need", F.lit(3))).select("a", "b")
-
-
-def _across(lists: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that meet in enough lists; a list's largest component is never paired with itself."""
-    named = lists.join(labels, F.col("cid") == F.col("id"), "left").select("value", "cid", "n", "need", F.coalesce("component", "cid").alias("comp"))
-    named = settled(named, "named")
-    sizes = named.groupBy("value", "comp").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    mixed = named.join(main, "value")
-    left = mixed.filter("comp <> main").select("value", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "need", "comp")))
-    right = mixed.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "need", "comp")))
+def first_links(a_ids: np.ndarray, a_sets: list[np.ndarray], b_ids: np.ndarray, b_sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """For each a that is similar to some b, one such pair: all intersections at once, by the values that both sides hold."""
+    size_a, size_b = np.array([len(x) for x in a_sets]), np.array([len(x) for x in b_sets])
+    va, vb = np.concatenate(a_sets), np.concatenate(b_sets)
+    oa, ob = np.repeat(np.arange(len(a_sets)), size_a), np.repeat(np.arange(len(b_sets)), size_b)
+    order = np.argsort(vb, kind="stable")
+    vb, ob = vb[order], ob[order]
+    low, high = np.searchsorted(vb, va, "left"), np.searchsorted(vb, va, "right")
+    met = high - low
+    at = np.repeat(low - (np.cumsum(met) - met), met) + np.arange(met.sum())
+    both = np.bincount(np.repeat(oa, met) * len(b_sets) + ob[at], minlength=len(a_sets) * len(b_sets)).reshape(len(a_sets), -1)
+    linked = (both > 0) & (100 * both >= percent * (size_a[:, None] + size_b[None, :] - both)) & (a_ids[:, None] != b_ids[None, :])
+    return [(int(a_ids[k]), int(b_ids[linked[k].argmax()])) for k in np.flatnonzero(linked.any(axis=1))]
+
+
+def _to_large(named: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float) -> DataFrame:
+    """Links (a, b) of classes with members of large components that they meet in enough lists, one for each at least.
+
+    A class and a component meet by counts of lists, not by pairs; then all members are compared with it in blocks of
+    full sets, BLOCK by BLOCK a row, so no row stands for a pair and none is left out.
+    """
+    big = named.filter(F.col("comp_size") > LARGE).groupBy("value", "band", F.col("comp").alias("big"))
+    big = big.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("big_need"))
+    meets = named.join(big, ["value", "band"]).filter("comp <> big")
+    meets = meets.filter((F.col("n") >= threshold * F.col("low") - 1e-9) & (F.col("high") >= threshold * F.col("n") - 1e-9))
+    meets = meets.groupBy("cid", "big").agg(F.countDistinct("value").alias("times"), F.min(F.least("need", "big_need")).alias("least"))
+    meets = settled(meets.filter("times >= least").select("cid", "big"), "meets")
+    members = named.filter(F.col("comp_size") > LARGE).select("cid", F.col("comp").alias("big")).distinct()
+    members = settled(members.join(meets.select("big").distinct(), "big", "left_semi"), "members")
+    sets = settled(_sets(docs, meets.select("cid").union(members.select("cid")).distinct(), n, lower), "sets")
+
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
+        parts = rows.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        own = rows.join(parts, "big").withColumn("part", F.pmod(F.xxhash64("cid"), "parts"))
+        own = own.join(sets, F.col("cid") == F.col("id"))
+        return own.groupBy("big", F.col("part").alias(f"{side}_part")).agg(F.collect_list("cid").alias(f"{side}_ids"), F.collect_list("set").alias(f"{side}_sets"))
+
+    percent = round(threshold * 100)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a_ids, a_sets, b_ids, b_sets in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                unpack = lambda own: [np.frombuffer(x, np.uint64) for x in own]
+                found += first_links(np.array(a_ids), unpack(a_sets), np.array(b_ids), unpack(b_sets), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    pairs = blocks(meets, "a").join(blocks(members, "b"), "big").select("a_ids", "a_sets", "b_ids", "b_sets")
+    return settled(pairs.mapInArrow(work, "a long, b long").distinct(), "links")
+
+
+def _close(threshold: float):
+    """Sizes that allow the similarity; and a pair that shares its first band isn't met again in the second."""
     near = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
-    once = (F.col("comp_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b"))
-    left = left.withColumnRenamed("value", "value_a")
-    pairs = left.join(right, (F.col("value_a") == F.col("value")) & (F.col("comp_a") != F.col("comp_b")) & near & once)
+    return near & ((F.col("band") == F.col("home_a")) | (F.col("home_a") != F.col("home_b")))
+
+
+def _enough(pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b) of pairs (cid_a, cid_b, need_a, need_b), a row per common list, that meet often enough."""
     a, b = F.least("cid_a", "cid_b"), F.greatest("cid_a", "cid_b")
     met = pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("times"), F.min(F.least("need_a", "need_b")).alias("need"))
-    return met.filter(F.col("times") >= F.col("need")).select("a", "b")
+    return met.filter(F.col("times") >= F.least("need", F.lit(most))).select("a", "b")
+
+
+def _to_heads(lists: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of each list's members with its heads: its smallest id and, in longer lists, those first by other orders.
+
+    The orders are the same in all lists, so a group's lists agree on few heads, and one that isn't of a group doesn't
+    keep the group apart.
+    """
+    order = lambda seed: F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), "cid", "n", "need", "home")
+    plain = F.struct(F.lit(0).cast("long").alias("h"), "cid", "n", "need", "home")
+    heads = lists.groupBy("value", "band").agg(F.max("size").alias("size"), F.min(plain).alias("h0"), *(F.min(order(k)).alias(f"h{k}") for k in range(1, HEADS)))
+    every = F.array(*(f"h{k}" for k in range(HEADS)))
+    heads = heads.select("value", "band", F.explode(F.array_distinct(F.when(F.col("size") > HEADS, every).otherwise(F.slice(every, 1, 1)))).alias("x"))
+    heads = heads.select("value", "band", *(F.col(f"x.{c}").alias(f"{c}_b") for c in _KEPT)).distinct()
+    mine = lists.select("value", "band", *(F.col(c).alias(f"{c}_a") for c in _KEPT))
+    pairs = mine.join(heads, ["value", "band"]).filter((F.col("cid_a") != F.col("cid_b")) & _close(threshold))
+    pairs = pairs.withColumn("low", F.least("cid_a", "cid_b")).withColumn("high", F.greatest("cid_a", "cid_b"))
+    once = pairs.groupBy("value", "low", "high").agg(F.first("need_a").alias("need_a"), F.first("need_b").alias("need_b"))  # both may be heads
+    return _enough(once.withColumnsRenamed({"low": "cid_a", "high": "cid_b"}), 3)
+
+
+def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists with each class's component and how many classes it has."""
+    sizes = labels.groupBy("component").agg(F.count("*").alias("comp_size"))
+    known = labels.join(sizes, "component")
+    named = lists.join(known, F.col("cid") == F.col("id"), "left")
+    return settled(named.select("value", "band", *_KEPT, F.coalesce("component", "cid").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size")), "named")
+
+
+def _across(named: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different small components that meet in enough lists; a list's largest one is never paired with itself."""
+    named = named.filter(F.col("comp_size") <= LARGE)
+    sizes = named.groupBy("value", "band", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("value", "band").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    mixed = settled(named.join(main, ["value", "band"]), "mixed")
+    columns = (*_KEPT, "comp")
+    left = mixed.filter("comp <> main").select("value", "band", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = mixed.select("value", "band", "main", *(F.col(c).alias(f"{c}_b") for c in columns))
+    once = (F.col("comp_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b"))
+    pairs = left.join(right, ["value", "band"]).filter((F.col("comp_a") != F.col("comp_b")) & _close(threshold) & once)
+    return _enough(pairs, TOGETHER)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, lower: bool = True, k: int = SKETCH) -> DataFrame:
@@ -161,8 +258,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, lower:
     classes = known.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch"))
     classes = settled(classes, "sets")
     lists = _lists(classes, threshold, k)
-    first = _verified(_plausible(_to_one(lists, threshold), classes, threshold, k), docs, n, lower, threshold)
-    second = _verified(_plausible(_across(lists, components(first), threshold), classes, threshold, k), docs, n, lower, threshold)
+    first = _verified(_plausible(_to_heads(lists, threshold), classes, threshold, k), docs, n, lower, threshold)
+    named = _named(lists, components(first))
+    second = _verified(_plausible(_across(named, threshold), classes, threshold, k), docs, n, lower, threshold)
+    second = second.unionByName(_to_large(named, docs, n, lower, threshold))
 
     sets = marked.join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"], "left")
     sets = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id")).alias("class_id"))
