@@ -368,7 +368,10 @@ def test_near_duplicates(spark, texts, n):
         assert r.kept == (None if r.doc_id is None else r.doc_id == want[r.doc_id])
 
 
-def test_near_duplicates_many(spark):
+@pytest.mark.parametrize("large", [16, 1])
+def test_near_duplicates_many(spark, monkeypatch, large):
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "BLOCK", 3 if large == 1 else 64)
     rng = random.Random(9)
     words = [f"w{k}" for k in range(2000)]
     bases = [[rng.choice(words) for _ in range(rng.choice([4, 6, 12, 40, 70, 130, 400]))] for _ in range(40)]
