@@ -10,6 +10,7 @@ ordered by their ids' bytes. An empty input gives no shard. Other columns of the
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -19,12 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.scratch import new_path, settled
+from lodeworks.llm.scratch import new_path
 from lodeworks.llm.textkit import slices
 
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 1 << 20
 SAMPLE = 64  # every so many ones of the upper bits have their place stored
-CACHED_WORDS = 500_000
+CACHED_WORDS, CACHED_PIECES = 150_000, 250_000
+SLICE_BYTES = 1 << 20
+MAX_BASES = 1_000_000  # rows of 24 bytes that may be broadcast; with more shards their starts are joined by a shuffle
+
+# Fixed value: the part of a pre-tokenizer's pattern that makes runs of letters and of punctuation tokens of their own.
+LETTERS_APART = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _HEADER = struct.Struct("<4sBxxxQQQQQ")
 
 
@@ -124,10 +130,24 @@ class Shard:
         return self.ids[self.start(i) : self.ends.select(i)]
 
 
+class _Codes(dict):
+    """Numbers keys as they are first asked for."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = code = len(self)
+        self.new.append(key)
+        return code
+
+
 class WordEncoder:
     """Token ids of whole texts through the tokenizers library, each distinct word encoded once while it is remembered.
 
-    Sound for tokenizers that never join or look across white space; `check` compares with the plain call.
+    Sound for tokenizers that never join or look across white space; `check` compares with the plain call. Where the
+    tokenizer's own settings show that runs of letters stand alone and that it lower-cases, a word of letters and its
+    closing punctuation are remembered apart, and in lower case.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -138,6 +158,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        settings = json.loads(self.tokenizer.to_str())
+        self.lowers = '"Lowercase"' in json.dumps(settings["normalizer"])
+        self.splits = LETTERS_APART in json.dumps(settings["pre_tokenizer"])
+        marks = [t for t in settings["added_tokens"] if t["special"] and not any(t[k] for k in ("normalized", "single_word", "lstrip", "rstrip"))]
+        self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
+        self.pieces: _Codes | None = None
         self._clear()
 
     @classmethod
@@ -147,28 +173,64 @@ class WordEncoder:
         return cls._made[path]
 
     def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat, self.ptr = [np.zeros(0, np.int64)], [0]
+        self.codes = _Codes()
+        self.core, self.tail = np.zeros(0, np.int32), np.zeros(0, np.int32)  # pieces of each word
+        if self.pieces is not None and len(self.pieces) <= CACHED_PIECES:
+            return
+        self.pieces = _Codes()
+        self.pieces[b""] = 0
+        self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(2, np.int64)
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        if not self.splits:
+            return word, b""
+        core = word.rstrip(b".,;:!?")
+        if core.isalpha():  # ASCII letters
+            return core.lower() if self.lowers else core, word[len(core) :]
+        if core and (text := core.decode()).isalpha() and text.lower().isalpha():
+            return core, word[len(core) :]
+        return word, b""
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids."""
+        texts = [p.decode() for p in pieces]
+        if self.mark and not any(self.mark[0] in t for t in texts):  # one call; a special token parts the pieces
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(texts)], add_special_tokens=False)[0].ids, np.int32)
+            at = np.flatnonzero(ids == self.mark[1])
+            if len(at) == len(texts) - 1:
+                return np.diff(at, prepend=-1, append=len(ids)) - 1, np.delete(ids, at)
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([len(x) for x in made], np.int64), np.array([i for x in made for i in x], np.int32)
+
+    def _learn(self) -> None:
+        parts = [self._parts(w) for w in self.codes.new]
+        self.codes.new.clear()
+        self.core = np.concatenate([self.core, np.array([self.pieces[c] for c, _ in parts], np.int32)])
+        self.tail = np.concatenate([self.tail, np.array([self.pieces[t] for _, t in parts], np.int32)])
+        for at in range(0, len(self.pieces.new), 5_000):
+            sizes, ids = self._encode(self.pieces.new[at : at + 5_000])
+            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, ids])
+        self.pieces.new.clear()
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
         """Packed ids of each text, with the end id."""
         if len(self.codes) > CACHED_WORDS:
             self._clear()
-        split = [(t or b"").split() for t in texts]
-        words = [w for part in split for w in part]
-        if new := list(dict.fromkeys(w for w in words if w not in self.codes)):
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            pieces = [x.ids for x in made]
-            for word, piece in zip(new, pieces, strict=True):
-                self.codes[word] = len(self.ptr) - 1
-                self.ptr.append(self.ptr[-1] + len(piece))
-            self.flat = [np.concatenate([*self.flat, np.fromiter((i for p in pieces for i in p), np.int64)])]
-        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        ptr = np.array(self.ptr, np.int64)
-        size = ptr[code + 1] - ptr[code]
+        words: list[bytes] = []
+        counts = [0]
+        for text in texts:
+            if text:
+                words += text.split()
+            counts.append(len(words))
+        code = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
+        if self.codes.new:
+            self._learn()
+        piece = np.stack([self.core[code], self.tail[code]], axis=1).ravel()
+        size = self.ptr[piece + 1] - self.ptr[piece]
         ends = np.cumsum(size)
-        ids = self.flat[0][np.arange(ends[-1] if len(ends) else 0) + np.repeat(ptr[code] - (ends - size), size)]
-        bound = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ptr[piece] - (ends - size), size)]
+        bound = np.concatenate([[0], ends])[np.array(counts) * 2]
         kind, end = ("<u2", "<u4")[self.width == 4], struct.pack("<I", end_id)[: self.width]
         packed = ids.astype(kind).tobytes()
         return [packed[a * self.width : b * self.width] + end for a, b in zip(bound[:-1], bound[1:], strict=True)]
@@ -180,7 +242,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 packed = encoder.encode(part.column(1).cast(pa.binary()).to_pylist(), end_id)
                 sizes = pa.array([len(p) // encoder.width for p in packed], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -189,12 +251,25 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id
     return rows.mapInArrow(work, "doc_id long, n_tokens long, ids binary")
 
 
-def write_shards(tokens: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> str:
-    """Writes tokens (as `tokenize` returns them) as shards in ascending doc_id order; returns the table's path."""
-    spark = tokens.sparkSession
-    tokens = settled(tokens, "tokens")
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    ranged = tokens.repartitionByRange(max(1, -(-total // shard_tokens)), F.col("doc_id").asc_nulls_first())
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> str:
+    """Tokenizes docs(doc_id, text) and writes them as shards in ascending doc_id order; returns the table's path.
+
+    As many id ranges as docs has input partitions, of about equal rows, so that packed ids are moved once.
+    """
+    spark = docs.sparkSession
+    ranges = max(1, docs.rdd.getNumPartitions())
+    shares = [k / ranges for k in range(1, ranges)]
+    bounds = (docs.select(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * ranges)).first()[0] or []) if shares else []
+    ascending = np.array(sorted(bounds), np.int64)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).fill_null(-(2**63)).to_numpy()
+            part = pa.array(np.searchsorted(ascending, keys, "right"), pa.int32())
+            yield pa.RecordBatch.from_arrays([part, *batch.columns], ["part", "doc_id", "n_tokens", "ids"])
+
+    made = tokenize(docs, tokenizer, end_id).mapInArrow(numbered, "part int, doc_id long, n_tokens long, ids binary")
+    ranged = made.repartitionById(ranges, F.col("part")).drop("part")
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +309,8 @@ def read_shards(spark, path: str) -> DataFrame:
     # One row per shard of some millions of ids: the only rows that the ordering sees.
     base = F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base")
     bases = shards.select(F.col("first_doc").alias("of_doc"), F.col("number").alias("of_number"), base)
+    if bases.count() <= MAX_BASES:
+        bases = F.broadcast(bases)
     return shards.join(bases, F.col("first_doc").eqNullSafe(F.col("of_doc")) & (F.col("number") == F.col("of_number"))).drop("of_doc", "of_number")
 
 
