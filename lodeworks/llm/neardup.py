@@ -143,8 +143,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, threshold:
     return settled(found.distinct(), "links")
 
 
-def first_links(a_ids: np.ndarray, a_sets: list[np.ndarray], b_ids: np.ndarray, b_sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """For each a that is similar to some b, one such pair: all intersections at once, by the values that both sides hold."""
+def block_links(a_ids: np.ndarray, a_sets: list[np.ndarray], b_ids: np.ndarray, b_sets: list[np.ndarray], percent: int, every: bool) -> list[tuple[int, int]]:
+    """Similar pairs (a, b), or one for each a: all intersections at once, by the values that both sides hold."""
     size_a, size_b = np.array([len(x) for x in a_sets]), np.array([len(x) for x in b_sets])
     va, vb = np.concatenate(a_sets), np.concatenate(b_sets)
     oa, ob = np.repeat(np.arange(len(a_sets)), size_a), np.repeat(np.arange(len(b_sets)), size_b)
@@ -155,21 +155,27 @@ def first_links(a_ids: np.ndarray, a_sets: list[np.ndarray], b_ids: np.ndarray,
     at = np.repeat(low - (np.cumsum(met) - met), met) + np.arange(met.sum())
     both = np.bincount(np.repeat(oa, met) * len(b_sets) + ob[at], minlength=len(a_sets) * len(b_sets)).reshape(len(a_sets), -1)
     linked = (both > 0) & (100 * both >= percent * (size_a[:, None] + size_b[None, :] - both)) & (a_ids[:, None] != b_ids[None, :])
+    if every:
+        return [(int(a_ids[k]), int(b_ids[j])) for k, j in np.argwhere(linked) if a_ids[k] > b_ids[j]]
     return [(int(a_ids[k]), int(b_ids[linked[k].argmax()])) for k in np.flatnonzero(linked.any(axis=1))]
 
 
-def _to_large(named: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float) -> DataFrame:
-    """Links (a, b) of classes with members of large components that they meet in enough lists, one for each at least.
-
-    A class and a component meet by counts of lists, not by pairs; then all members are compared with it in blocks of
-    full sets, BLOCK by BLOCK a row, so no row stands for a pair and none is left out.
-    """
+def _meets(named: DataFrame, threshold: float) -> DataFrame:
+    """(cid, big): classes and large components that they meet in enough lists, by counts of lists, not by pairs."""
     big = named.filter(F.col("comp_size") > LARGE).groupBy("value", "band", F.col("comp").alias("big"))
     big = big.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("big_need"))
     meets = named.join(big, ["value", "band"]).filter("comp <> big")
     meets = meets.filter((F.col("n") >= threshold * F.col("low") - 1e-9) & (F.col("high") >= threshold * F.col("n") - 1e-9))
     meets = meets.groupBy("cid", "big").agg(F.countDistinct("value").alias("times"), F.min(F.least("need", "big_need")).alias("least"))
-    meets = settled(meets.filter("times >= least").select("cid", "big"), "meets")
+    return settled(meets.filter("times >= least").select("cid", "big"), "meets")
+
+
+def _to_large(named: DataFrame, meets: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float) -> DataFrame:
+    """Links (a, b) of classes with members of the large components that they meet, one for each block at least, and all
+    links between classes that meet the same one.
+
+    They are compared in blocks of full sets, BLOCK by BLOCK a row, so no row stands for a pair and none is left out.
+    """
     members = named.filter(F.col("comp_size") > LARGE).select("cid", F.col("comp").alias("big")).distinct()
     members = settled(members.join(meets.select("big").distinct(), "big", "left_semi"), "members")
     sets = settled(_sets(docs, meets.select("cid").union(members.select("cid")).distinct(), n, lower), "sets")
@@ -185,12 +191,14 @@ def _to_large(named: DataFrame, docs: DataFrame, n: int, lower: bool, threshold:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for a_ids, a_sets, b_ids, b_sets in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for a_ids, a_sets, b_ids, b_sets, every in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 unpack = lambda own: [np.frombuffer(x, np.uint64) for x in own]
-                found += first_links(np.array(a_ids), unpack(a_sets), np.array(b_ids), unpack(b_sets), percent)
+                found += block_links(np.array(a_ids), unpack(a_sets), np.array(b_ids), unpack(b_sets), percent, every)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    pairs = blocks(meets, "a").join(blocks(members, "b"), "big").select("a_ids", "a_sets", "b_ids", "b_sets")
+    left = blocks(meets, "a")
+    right = blocks(members, "b").withColumn("every", F.lit(False)).unionByName(blocks(meets, "b").withColumn("every", F.lit(True)))
+    pairs = left.join(right, "big").select("a_ids", "a_sets", "b_ids", "b_sets", "every")
     return settled(pairs.mapInArrow(work, "a long, b long").distinct(), "links")
 
 
@@ -234,18 +242,22 @@ def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return settled(named.select("value", "band", *_KEPT, F.coalesce("component", "cid").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size")), "named")
 
 
-def _across(named: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different small components that meet in enough lists; a list's largest one is never paired with itself."""
-    named = named.filter(F.col("comp_size") <= LARGE)
+def _across(named: DataFrame, meets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different small components that meet in enough lists; a list's largest one is never paired with itself.
+
+    Classes that meet the same large component are no pairs here: their blocks are compared.
+    """
+    met = meets.groupBy("cid").agg(F.collect_set("big").alias("bigs"))
+    named = named.filter(F.col("comp_size") <= LARGE).join(met, "cid", "left").withColumn("bigs", F.coalesce("bigs", F.array().cast("array<long>")))
     sizes = named.groupBy("value", "band", "comp").agg(F.count("*").alias("size"))
     main = sizes.groupBy("value", "band").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
     mixed = settled(named.join(main, ["value", "band"]), "mixed")
-    columns = (*_KEPT, "comp")
+    columns = (*_KEPT, "comp", "bigs")
     left = mixed.filter("comp <> main").select("value", "band", *(F.col(c).alias(f"{c}_a") for c in columns))
     right = mixed.select("value", "band", "main", *(F.col(c).alias(f"{c}_b") for c in columns))
     once = (F.col("comp_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b"))
-    pairs = left.join(right, ["value", "band"]).filter((F.col("comp_a") != F.col("comp_b")) & _close(threshold) & once)
-    return _enough(pairs, TOGETHER)
+    apart = (F.col("comp_a") != F.col("comp_b")) & ~F.arrays_overlap("bigs_a", "bigs_b")
+    return _enough(left.join(right, ["value", "band"]).filter(apart & _close(threshold) & once), TOGETHER)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, lower: bool = True, k: int = SKETCH) -> DataFrame:
@@ -260,8 +272,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, lower:
     lists = _lists(classes, threshold, k)
     first = _verified(_plausible(_to_heads(lists, threshold), classes, threshold, k), docs, n, lower, threshold)
     named = _named(lists, components(first))
-    second = _verified(_plausible(_across(named, threshold), classes, threshold, k), docs, n, lower, threshold)
-    second = second.unionByName(_to_large(named, docs, n, lower, threshold))
+    meets = _meets(named, threshold)
+    second = _verified(_plausible(_across(named, meets, threshold), classes, threshold, k), docs, n, lower, threshold)
+    second = second.unionByName(_to_large(named, meets, docs, n, lower, threshold))
 
     sets = marked.join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"], "left")
     sets = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id")).alias("class_id"))
