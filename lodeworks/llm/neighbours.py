@@ -2,13 +2,14 @@
 
 Vectors are scaled to length 1 and hashed by floor((a.x + b) / width) for `projections` Gaussian a in each of `tables`
 tables. A query visits `probes` buckets of each table in the order of their estimated success: perturbations of the
-projections nearest to a bucket's edge come first. Equal vectors are one class that keeps its k + 1 smallest ids (no more
-can be in any answer), so a very common vector is hashed once. Buckets of more than `bucket_rows` rows are split, and
+projections nearest to a bucket's edge come first. Parallel vectors (of one direction, equal ones among them) are one class
+that keeps its k + 1 smallest ids (no more can be in any answer), so a very common vector is hashed once. Buckets of more than `bucket_rows` rows are split, and
 their probes go to all parts. What is left of a part is streamed in blocks: neither side of a bucket is held whole.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id; a row that is
 repeated counts once. Queries that find fewer classes than asked for are answered by a scan of all classes in blocks.
-Ties go to the smaller id. Other columns are ignored.
+All scores are in double precision. Cosines that agree to 14 places are ties, as double sums can't tell them apart, and
+ties go to the smaller id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from lodeworks.llm.scratch import settled
 PROJECTIONS, WIDTH, TABLES, PROBES = 12, 2.8, 12, 150
 BUCKET_ROWS = 20_000
 BLOCK = 4096
-SPARE = 3  # more than asked for is kept until exact scores decide
+SPARE = 3  # more than asked for is kept until the scores of whole rows decide
+PLACES = 14  # of cosines that are told apart
 
 
 def perturbations(m: int, count: int) -> list[tuple[int, ...]]:
@@ -88,12 +90,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part, v in double precision."""
+    """(id, v) of the rows that take part: v in double precision, over its largest component, so parallel vectors are equal."""
     v = F.col(vector_col).cast("array<double>")
     huge = F.lit(float("inf"))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (x != huge) & (x != -huge), F.lit(False)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    return rows.filter(finite & F.exists("v", lambda x: x != 0)).distinct()
+    rows = rows.filter(finite & F.exists("v", lambda x: x != 0)).withColumn("top", F.array_max(F.transform("v", F.abs)))
+    return rows.select("id", F.transform("v", lambda x: x / F.col("top") + 0.0).alias("v")).distinct()  # + 0.0: no -0.0
 
 
 class _Best:
@@ -104,11 +107,15 @@ class _Best:
 
     def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: queries x ids."""
+        order = np.argsort(ids, kind="stable")
+        ids, scores = ids[order], np.round(scores[:, order], PLACES)
         keep = min(self.keep, len(ids))
-        part = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-        for q, chosen, values in zip(queries.tolist(), ids[part].tolist(), np.take_along_axis(scores, part, 1).tolist(), strict=True):
+        least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        for q, own, bound in zip(queries.tolist(), scores, least.tolist(), strict=True):
+            above, ties = np.flatnonzero(own > bound), np.flatnonzero(own == bound)
+            chosen = np.concatenate([above, ties[: keep - len(above)]])
             best = self.rows.setdefault(q, {})
-            best.update(zip(chosen, values, strict=True))
+            best.update(zip(ids[chosen].tolist(), own[chosen].tolist(), strict=True))
             if len(best) > 4 * self.keep:
                 self.rows[q] = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[: self.keep])
 
@@ -143,7 +150,7 @@ def nearest(
                     unit = _unit(_matrix(part.column(1)))
                     keys = hashes.probed(unit) if probe else hashes.buckets(unit)[:, :, None]
                     n, t, p = keys.shape
-                    packed = pa.array([x.tobytes() for x in unit.astype(np.float32)], pa.binary())
+                    packed = pa.array([x.tobytes() for x in unit], pa.binary())
                     own = np.repeat(np.arange(n), t * p)
                     table = pa.array(np.tile(np.repeat(np.arange(t), p), n), pa.int32())
                     yield pa.RecordBatch.from_arrays([table, pa.array(keys.ravel()), part.column(0).take(pa.array(own)), packed.take(pa.array(own))], ["t", "bucket", "cid", "x"])
@@ -165,7 +172,7 @@ def nearest(
         for batch in batches:
             key = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(4)], axis=1)
             ids = batch.column(4).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.float32).reshape(batch.num_rows, -1) if batch.num_rows else None
+            x = np.frombuffer(b"".join(batch.column(5).to_pylist())).reshape(batch.num_rows, -1) if batch.num_rows else None
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -213,25 +220,25 @@ def _query_blocks(short: DataFrame) -> Iterator[list]:
 
 def _scan(classes: DataFrame, block: list, keep: int) -> DataFrame:
     """All classes against one block of queries."""
-    mine, own = np.array([q for q, _ in block]), _unit(np.array([v for _, v in block], float)).astype(np.float32)
+    mine, own = np.array([q for q, _ in block]), _unit(np.array([v for _, v in block], float))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(keep)
         for batch in batches:
             if batch.num_rows:
-                best.add(mine, batch.column(0).to_numpy(), own @ _unit(_matrix(batch.column(1))).astype(np.float32).T)
+                best.add(mine, batch.column(0).to_numpy(), own @ _unit(_matrix(batch.column(1))).T)
         yield from best.batches()
 
     return classes.select("cid", "v").mapInArrow(work, "query long, cid long, near double")
 
 
 def _ranked(found: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Exact cosines on the original vectors decide; classes open into ids, the query's own id goes."""
+    """Cosines of whole rows decide; classes open into ids, the query's own id goes."""
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda s, x: s + x))
     of_query = classes.select(F.col("cid").alias("query"), F.col("v").alias("qv"))
     exact = found.dropDuplicates(["query", "cid"]).join(of_query, "query").join(classes, "cid")
-    exact = exact.select("query", "cid", "ids", (dot / (norm("qv") * norm("v"))).alias("score"))
+    exact = exact.select("query", "cid", "ids", F.round(dot / (norm("qv") * norm("v")), PLACES).alias("score"))
     per_query = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ids")))
     answers = exact.groupBy("query").agg(per_query.alias("near"))  # at most k + 1 + SPARE classes of k + 1 ids
     opened = F.flatten(F.transform("near", lambda c: F.transform(c["ids"], lambda i: F.struct(c["s"].alias("s"), i.alias("vec_id")))))

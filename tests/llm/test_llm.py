@@ -333,6 +333,25 @@ def test_neighbours(spark):
     assert split_buckets.count() == 100
 
 
+@pytest.mark.parametrize("noise", [1e-3, 3e-4, 1e-4, 0])
+def test_close_neighbours(spark, noise):
+    """Clusters closer than single precision tells apart; scaled copies if noise is 0."""
+    rng = np.random.default_rng(8)
+    x = np.tile(rng.standard_normal(64), (400, 1))
+    x = np.float32(x + noise * rng.standard_normal(x.shape) if noise else x * np.arange(400, 0, -1)[:, None])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    data = x.astype(float)
+    unit = data / np.sqrt((data * data).sum(1))[:, None]
+    assert set(got) == set(range(0, 400, 20))
+    for q, found in got.items():
+        s = np.round(unit @ unit[q], 14)
+        s[q] = -9
+        assert found == np.lexsort((np.arange(400), -s))[:5].tolist()
+
+
 # 8
 
 
