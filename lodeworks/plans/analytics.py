@@ -325,7 +325,7 @@ def similar_sets(spark, d):
 
 @query()
 def similar_texts(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars BETWEEN 200 AND 320")
+    docs = table(spark, d, "documents")
     return du.similar_pairs(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), F.col("text").alias("code")), 0.8)
 
 

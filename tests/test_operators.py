@@ -1,10 +1,13 @@
 import datetime as dt
+import difflib
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as tx
 from lodeworks.operators import churn as ch
+from lodeworks.operators import duplicates as du
 from lodeworks.operators import graph as gr
 from lodeworks.operators import lines as ln
 from lodeworks.operators import reporting as rp
@@ -151,3 +154,33 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.request, r.accepted) for r in spark.sql("SELECT * FROM limited").collect()) == [(0, True), (1, True), (2, False), (3, False)]
+
+
+def test_similar_pairs_whole(spark, monkeypatch):
+    """Against brute force: short, long and empty texts, lengths at the bound, repeated letters, small blocks."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(200)]
+    texts = ["", "", "abcdefgh", "abcdefgh1234", "ab" * 150, "ab" * 150, "a" * 199, "a" * 200]
+    for n in (1, 3, 8, 20, 45, 60, 150):
+        for _ in range(3):
+            base = [rng.choice(words) for _ in range(n)]
+            texts.append(" ".join(base))
+            for share in (0.05, 0.12, 0.2):
+                texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in base))
+    rng.shuffle(texts)
+    want = {(a, b): r for b, y in enumerate(texts) for a, x in enumerate(texts[:b]) if (r := difflib.SequenceMatcher(None, x, y).ratio()) >= 0.8}
+    blocks = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "id long, file_id long, code string").repartition(3)
+    for size in (4096, 5):
+        monkeypatch.setattr(du, "BLOCK", size)
+        rows = du.similar_pairs(blocks, 0.8).collect()
+        assert len(rows) == len(want) and {(r.a, r.b): r.ratio for r in rows} == want
+
+
+def test_similar_texts_of_all_lengths(spark, tmp_path):
+    from lodeworks.plans import analytics  # noqa: F401  registers the query
+    from lodeworks.plans import queries as own
+
+    texts = ["short text", "short text!", "word " * 20 + "x", "word " * 20 + "y", "The quick brown fox jumps. " * 40, "The quick brown fox jumps! " * 40]
+    spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(a, b) for b in range(6) for a in range(b) if difflib.SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.8}
+    assert {(0, 1), (2, 3)} <= want and {(r.a, r.b) for r in own.QUERIES["similar_texts"](spark, str(tmp_path)).collect()} == want
