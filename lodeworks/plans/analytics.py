@@ -21,7 +21,8 @@ EDGES = (
     "deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i + o) AS BIGINT) AS n_total FROM "
     "(SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node)"
 )
-#: A small graph with cycles that grows with the users: event types of users of one bucket, one after another.
+#: A small graph with cycles: event types of users of one bucket, one after another. The statements read only events whose
+#: id is a multiple of 29 (about 3 %), and so do their queries; those named *_all_derived, without statements, read all.
 STEPS = (
     "steps AS (SELECT DISTINCT src, dst FROM (SELECT event_type || (user_id % 7) AS src, lead(event_type || ((user_id + event_id) % 7)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst "
     "FROM events WHERE event_id % 29 = 0) WHERE dst IS NOT NULL AND src <> dst)"
@@ -32,11 +33,12 @@ def _edges(spark, d):
     return gr.page_edges(table(spark, d, "pages"))
 
 
-def _steps(spark, d):
+def _steps(spark, d, whole=False):
     node = F.concat("event_type", F.col("user_id") % 7)
     nxt = F.concat("event_type", (F.col("user_id") + F.col("event_id")) % 7)
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").filter("event_id % 29 = 0").select(node.alias("src"), F.lead(nxt).over(order).alias("dst"))
+    events = table(spark, d, "events")
+    rows = (events if whole else events.filter("event_id % 29 = 0")).select(node.alias("src"), F.lead(nxt).over(order).alias("dst"))
     return rows.filter("dst IS NOT NULL AND src <> dst").distinct()
 
 
@@ -96,6 +98,31 @@ def longest_path_derived(spark, d):
     return gr.longest_path(_steps(spark, d).filter("src < dst"))
 
 
+@query()
+def reach_depths_all_derived(spark, d):
+    return gr.bfs_depths(_steps(spark, d, True), "view1")
+
+
+@query()
+def cycles_all_derived(spark, d):
+    return gr.simple_cycles(_steps(spark, d, True), 3).select(F.array_join("cycle", ">").alias("cycle"), "length", "severity")
+
+
+@query()
+def strong_components_all_derived(spark, d):
+    return gr.strong_components(_steps(spark, d, True))
+
+
+@query()
+def has_cycle_all_derived(spark, d):
+    return gr.has_cycle(_steps(spark, d, True))
+
+
+@query()
+def longest_path_all_derived(spark, d):
+    return gr.longest_path(_steps(spark, d, True).filter("src < dst"))
+
+
 # Retrieval. The query vector is chunk 0's own.
 SIMILAR = (
     "q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), sim AS (SELECT vec_id, label, greatest(0.0, list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(e[i] AS DOUBLE))) "

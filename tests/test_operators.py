@@ -184,3 +184,39 @@ def test_similar_texts_of_all_lengths(spark, tmp_path):
     spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     want = {(a, b) for b in range(6) for a in range(b) if difflib.SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.8}
     assert {(0, 1), (2, 3)} <= want and {(r.a, r.b) for r in own.QUERIES["similar_texts"](spark, str(tmp_path)).collect()} == want
+
+
+def test_steps_of_all_events(spark, tmp_path):
+    """Against brute force over all events; none of their ids is a multiple of 29."""
+    from lodeworks.plans import analytics  # noqa: F401  registers the queries
+    from lodeworks.plans import queries as own
+
+    rng = random.Random(6)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), rng.randrange(12), rng.choice(["view", "click", "error"])) for i in range(1, 60) if i % 29]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    edges = set()
+    for u in range(12):
+        mine = [r for r in rows if r[2] == u]
+        edges |= {(f"{x[3]}{u % 7}", f"{y[3]}{(u + y[0]) % 7}") for x, y in zip(mine, mine[1:], strict=False)}
+    edges = {(a, b) for a, b in edges if a != b}
+    after = lambda n: {b for a, b in edges if a == n}
+
+    def depths(start):
+        seen, front = {start: 0}, {start}
+        while front:
+            front = {b for n in front for b in after(n)} - seen.keys()
+            seen |= dict.fromkeys(front, max(seen.values()) + 1)
+        return seen
+
+    nodes = {n for e in edges for n in e}
+    reach = {n: set(depths(n)) for n in nodes}
+    run = lambda name: own.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("reach_depths_all_derived")} == set(depths("view1").items())
+    two = {f"{a}>{b}" for a, b in edges if a < b and (b, a) in edges}
+    three = {f"{a}>{b}>{c}" for a, b in edges for c in after(b) if a < b and a < c and c != b and (c, a) in edges}
+    assert {r.cycle for r in run("cycles_all_derived")} == two | three
+    groups = {n: {m for m in reach[n] if n in reach[m]} for n in nodes}
+    assert {tuple(r) for r in run("strong_components_all_derived")} == {(n, min(g)) for n, g in groups.items() if len(g) > 1}
+    assert run("has_cycle_all_derived")[0][0] == any(len(g) > 1 for g in groups.values())
+    longest = lambda n: max((1 + longest(b) for b in after(n) if n < b), default=0)
+    assert run("longest_path_all_derived")[0][0] == max(map(longest, nodes))
