@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +47,34 @@ def greedy_matches(pairs: DataFrame, least: float = 0.7) -> DataFrame:
     return pairs.filter(F.col("score") >= least).groupBy("scope").applyInPandas(match, pairs.schema)
 
 
+def greedy_matches_between(expected: DataFrame, actual: DataFrame, score: Callable[[pd.Series, pd.DataFrame], np.ndarray], least: float = 0.7) -> DataFrame:
+    """greedy_matches of expected(scope, expected_id, ...) and actual(scope, actual_id, ...), with further columns alike, without a row for each pair.
+
+    score: of one expected row with a frame of actual ones, NaN if there is none. A scope's rows are scored one expected
+    row at a time, so what is held grows with the rows of a scope, not with its pairs.
+    """
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((expected, "scope"), (expected, "expected_id"), (actual, "actual_id")))
+
+    def match(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        e, a = e.sort_values("expected_id"), a.sort_values("actual_id").reset_index(drop=True)
+        free, rows = np.ones(len(a), bool), []
+        for _, own in e.iterrows() if len(a) else ():
+            values = np.where(free, score(own, a), np.nan)
+            values = np.where(values >= least, values, -np.inf)
+            best = int(values.argmax())  # the first of equal ones: the smallest id
+            if np.isfinite(values[best]):
+                rows.append((own["scope"], own["expected_id"], a["actual_id"].iloc[best], float(values[best])))
+                free[best] = False
+        return pd.DataFrame(rows, columns=["scope", "expected_id", "actual_id", "score"])
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
+        e, a = (rows[rows["side"] == k].rename(columns={"id": name}) for k, name in enumerate(("expected_id", "actual_id")))
+        return match(e, a)
+
+    sides = [df.filter("scope IS NOT NULL").withColumnRenamed(name, "id").withColumn("side", F.lit(k)) for k, (df, name) in enumerate(((expected, "expected_id"), (actual, "actual_id")))]
+    return sides[0].unionByName(sides[1]).groupBy("scope").applyInPandas(both, f"{kinds}, score double")
+
+
 def match_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """How well an actual issue fits an expected one: category, severity, type, line and words of the description."""
     same = lambda k, w: F.when(a[k] == b[k], w).otherwise(0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -293,10 +294,15 @@ def rule_accuracy_by_language(spark, d):
 
 @query()
 def greedy_matches(spark, d):
-    e = table(spark, d, "events").filter("event_id % 20 = 0").select(F.col("user_id").alias("scope"), F.col("event_id").alias("expected_id"), F.col("event_type").alias("et"), F.col("value").alias("v"))
-    a = table(spark, d, "events").filter("event_id % 20 = 1").select(F.col("user_id").alias("scope"), F.col("event_id").alias("actual_id"), F.col("event_type").alias("at"), F.col("value").alias("w"))
-    score = F.when(F.col("et") == F.col("at"), 0.6).otherwise(0.2) + 0.4 * F.least(F.col("v"), F.col("w")) / F.greatest("v", "w")
-    return va.greedy_matches(e.join(a, "scope").select("scope", "expected_id", "actual_id", score.alias("score")), 0.5)
+    events = table(spark, d, "events")
+    half = lambda k, name: events.filter(f"event_id % 2 = {k}").select(F.col("user_id").alias("scope"), F.col("event_id").alias(name), "event_type", "value")
+
+    def score(own, others):
+        same = (others["event_type"] == own["event_type"]) & others["event_type"].notna()
+        least, most = np.fmin(others["value"], own["value"]), np.fmax(others["value"], own["value"])
+        return (np.where(same, 0.6, 0.2) + 0.4 * least / most).to_numpy()
+
+    return va.greedy_matches_between(half(0, "expected_id"), half(1, "actual_id"), score, 0.5)
 
 
 _SNAP = "SELECT category || '|' || file_path AS signature, severity, CAST(n_files AS VARCHAR) AS description, id FROM issues WHERE id % 5 {0}"

@@ -220,3 +220,21 @@ def test_steps_of_all_events(spark, tmp_path):
     assert run("has_cycle_all_derived")[0][0] == any(len(g) > 1 for g in groups.values())
     longest = lambda n: max((1 + longest(b) for b in after(n) if n < b), default=0)
     assert run("longest_path_all_derived")[0][0] == max(map(longest, nodes))
+
+
+def test_greedy_matches_of_all_events(spark, tmp_path):
+    """Against brute force in which every even event meets every odd one of its user."""
+    from lodeworks.plans import analytics  # noqa: F401  registers the query
+    from lodeworks.plans import queries as own
+
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(4), rng.choice(["view", "click"]), float(rng.randint(1, 9))) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want, used = set(), set()
+    for i, u, t, v in rows[::2]:
+        pairs = [((0.6 if t == t2 else 0.2) + 0.4 * min(v, w) / max(v, w), -j) for j, u2, t2, w in rows[1::2] if u2 == u and j not in used]
+        if pairs and max(pairs)[0] >= 0.5:
+            score, j = max(pairs)
+            used.add(-j), want.add((u, i, -j, score))
+    got = own.QUERIES["greedy_matches"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
