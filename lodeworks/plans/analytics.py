@@ -202,10 +202,13 @@ def turn_keywords(spark, d):
     return rt.keywords(table(spark, d, "conversations"), ["that", "with", "this", "from"])
 
 
-# Scores: descriptions come from documents' first characters, paths from sources.
-def _described(spark, d):
-    issues = dv.issues(table(spark, d, "events")).withColumn("doc_id", F.col("id") % 200)
-    texts = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("description"))
+# Scores: descriptions come from documents, paths from sources. The statements read the first 120 characters of documents 0
+# to 199, and so do their queries; those named *_whole, without statements, read whole texts of all documents.
+def _described(spark, d, whole=False):
+    documents = table(spark, d, "documents")
+    n = max(1, documents.count()) if whole else 200
+    issues = dv.issues(table(spark, d, "events")).withColumn("doc_id", F.col("id") % n)
+    texts = documents.select("doc_id", (F.col("text") if whole else F.substring("text", 1, 120)).alias("description"))
     rows = issues.join(texts, "doc_id").withColumn("file_path", F.when(F.col("id") % 9 == 0, "src/main.py").when(F.col("id") % 9 == 1, "tests/test_a.py").otherwise(F.col("file_path")))
     return rows.withColumn("function_complexity", F.col("id") % 25).withColumn("bug_history", F.col("id") % 4)
 
@@ -227,27 +230,54 @@ BASED = (
 
 @query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED} SELECT id, {', '.join(_HAS)}, is_test_file, is_main_module FROM featured")
 def severity_features(spark, d):
-    return sc.features(_described(spark, d)).select("id", *_HAS, "is_test_file", "is_main_module")
+    return _features(spark, d)
 
 
-def _based(spark, d):
-    rows = sc.features(_described(spark, d))
+@query()
+def severity_features_whole(spark, d):
+    return _features(spark, d, True)
+
+
+def _features(spark, d, whole=False):
+    return sc.features(_described(spark, d, whole)).select("id", *_HAS, "is_test_file", "is_main_module")
+
+
+def _based(spark, d, whole=False):
+    rows = sc.features(_described(spark, d, whole))
     return rows.withColumn("score", sc.base_score(rows))
 
 
 @query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED}, {BASED} SELECT id, score, CASE WHEN round(score, 6) >= 0.9 THEN 'critical' WHEN round(score, 6) >= 0.7 THEN 'high' WHEN round(score, 6) >= 0.5 THEN 'medium' WHEN round(score, 6) >= 0.3 THEN 'low' ELSE 'info' END AS level FROM based",
        rounded=("score",))
 def severity_scores(spark, d):
-    return _based(spark, d).select("id", "score", sc.level(F.round("score", 6)).alias("level"))
+    return _levels(spark, d)
+
+
+@query(rounded=("score",))
+def severity_scores_whole(spark, d):
+    return _levels(spark, d, True)
+
+
+def _levels(spark, d, whole=False):
+    return _based(spark, d, whole).select("id", "score", sc.level(F.round("score", 6)).alias("level"))
 
 
 @query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED}, {BASED} SELECT id, least(greatest(score * CASE id % 3 WHEN 0 THEN CAST(1.3 AS DOUBLE) WHEN 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END "
        "* CASE WHEN line_start > 10 THEN CAST(1.1 AS DOUBLE) ELSE 1.0 END * CASE WHEN n_files > 10 THEN 1.1 ELSE 1.0 END * CASE WHEN confidence < 0.5 THEN 1.2 WHEN confidence > 0.9 THEN CAST(0.9 AS DOUBLE) ELSE 1.0 END, 0.0), 1.0) AS score FROM based",
        rounded=("score",))
 def contextual_scores(spark, d):
+    return _contextual(spark, d)
+
+
+@query(rounded=("score",))
+def contextual_scores_whole(spark, d):
+    return _contextual(spark, d, True)
+
+
+def _contextual(spark, d, whole=False):
     role = F.element_at(F.array(F.lit("core"), F.lit("util"), F.lit("test")), (F.col("id") % 3 + 1).cast("int"))
     factors = sc.file_factors(role, F.col("line_start"), F.col("n_files"), F.col("confidence"))
-    return _based(spark, d).select("id", sc.in_context(F.col("score"), factors).alias("score"))
+    return _based(spark, d, whole).select("id", sc.in_context(F.col("score"), factors).alias("score"))
 
 
 _IMPACT_SQL = "CASE category WHEN 'security' THEN [1.0, 0.95, 0.85] WHEN 'performance' THEN [0.9, 0.6] ELSE [] END || CASE WHEN severity IN ('high', 'critical') THEN [1.0, 0.9] ELSE [] END"
@@ -257,15 +287,33 @@ _IMPACT_SQL = "CASE category WHEN 'security' THEN [1.0, 0.95, 0.85] WHEN 'perfor
 b AS (SELECT *, least(greatest(score * CAST(list_sum(ws) AS DOUBLE) / len(ws) * 1.1, 0.0), 1.0) AS impact FROM w)
 SELECT id, impact, (CAST(0.6 AS DOUBLE) * score + CAST(0.4 AS DOUBLE) * impact) * confidence AS priority FROM b""", rounded=("impact", "priority"))
 def business_impacts(spark, d):
+    return _impacts(spark, d)
+
+
+@query(rounded=("impact", "priority"))
+def business_impacts_whole(spark, d):
+    return _impacts(spark, d, True)
+
+
+def _impacts(spark, d, whole=False):
     impacts = sc.impact_categories(F.col("category"), F.col("severity").isin("high", "critical"))
-    rows = _based(spark, d).withColumn("impact", sc.business_impact(F.col("score"), impacts, [F.lit(1.1)]))
+    rows = _based(spark, d, whole).withColumn("impact", sc.business_impact(F.col("score"), impacts, [F.lit(1.1)]))
     return rows.select("id", "impact", sc.priority(F.col("score"), F.col("impact"), F.col("confidence")).alias("priority"))
 
 
 @query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED}, {BASED} SELECT count(*) AS n, avg(score) AS score_mean, min(score) AS score_min, max(score) AS score_max, "
        "count(*) FILTER (WHERE round(score, 6) > 0.7) AS score_high, count(*) FILTER (WHERE round(score, 6) < 0.5) AS score_low FROM based", rounded=("score_mean", "score_min", "score_max"))
 def score_statistics(spark, d):
-    return sc.statistics(_based(spark, d).withColumn("score", F.round("score", 6)), ["score"])
+    return _statistics(spark, d)
+
+
+@query(rounded=("score_mean", "score_min", "score_max"))
+def score_statistics_whole(spark, d):
+    return _statistics(spark, d, True)
+
+
+def _statistics(spark, d, whole=False):
+    return sc.statistics(_based(spark, d, whole).withColumn("score", F.round("score", 6)), ["score"])
 
 
 # Validation: a text rule on documents against the labels.

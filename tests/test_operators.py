@@ -238,3 +238,22 @@ def test_greedy_matches_of_all_events(spark, tmp_path):
             used.add(-j), want.add((u, i, -j, score))
     got = own.QUERIES["greedy_matches"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_scores_of_whole_texts(spark, tmp_path):
+    """A keyword past the first 120 characters, in a document past the first 200."""
+    from lodeworks.functions.weights import KEYWORDS
+    from lodeworks.plans import analytics  # noqa: F401  registers the queries
+    from lodeworks.plans import queries as own
+
+    word = KEYWORDS["involves_database"][0]
+    docs = [(k, "x" * 130 + (f" {word}" if k in (5, 205) else "")) for k in range(210)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, dt.datetime(2024, 1, 1), 1, "error", 5.0) for i in range(420)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: own.QUERIES[name](spark, str(tmp_path)).collect()
+    got = {r.id: r.involves_database for r in run("severity_features_whole")}
+    assert got == {i: i % 210 in (5, 205) for i in range(420)}
+    for name in ("severity_scores_whole", "contextual_scores_whole", "business_impacts_whole"):
+        assert {r.id for r in run(name)} == set(range(420))
+    assert run("score_statistics_whole")[0].n == 420
