@@ -6,9 +6,11 @@ enters only those of its rarest values that it can't be without in a pair of the
 such a pair share SHARED values or more but for a chance below 1e-8; sets smaller than a sketch are judged without chance).
 Pairs that share enough lists and whose union sketch doesn't exclude them are verified on the full sets.
 
-Large groups never give all their pairs: first each list links its members to a few heads, then
-only pairs of different components are looked at, those with large components in blocks. What is equal
-or linked already needs no further link, so no link between components is lost.
+Large groups never give all their pairs: first each list links its members to a few heads, then only classes that share
+lists with other components are looked at. Their full sets are ordered by how many of those classes hold a shingle; a
+class enters the prefix lists of the rarest shingles that a similar pair can't do without, shingles of no other component
+count as places taken, and a pair meets only if what follows in both sets can still make it similar (no pair of different
+components is lost by that). What is equal or linked already needs no further link.
 
 Null and empty texts have an empty set and are linked with nothing. Texts shorter than a shingle are one shingle. Rows that
 share an id are one document. Rows with a null id are linked with nothing and have no component. Extra columns are ignored.
@@ -21,20 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.bloom import bloom_of
 from lodeworks.llm.components import components
-from lodeworks.llm.scratch import settled
-from lodeworks.llm.textkit import Words, hash_grams, hash_words, mix, slices, words_of
+from lodeworks.llm.scratch import drop, settled
+from lodeworks.llm.textkit import Words, hash_grams, hash_words, mix, slices, tidy, words_of
 
 SKETCH = 64
 SHARED = 30  # P(Binomial(64, 0.8) < 30) < 1e-8
 TOGETHER = 6  # lists that a pair must meet in
 HEADS = 5  # members of a longer list that all others are compared with first
-LARGE = 16  # components of more classes are compared in blocks of sets
-BLOCK = 64
+SEVERAL = 16  # components of a list that are told apart
 _KEPT = ("cid", "n", "need", "home")
 
 
@@ -52,6 +53,7 @@ def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
 
 
 def _sketches(docs: DataFrame, n: int, lower: bool, k: int) -> DataFrame:
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -71,29 +73,36 @@ def _sketches(docs: DataFrame, n: int, lower: bool, k: int) -> DataFrame:
 
 
 def _lists(classes: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(value, band, home, cid, n, need): each class in the lists of the rarest retained values that it needs.
+    """(value, band, home, cid, n, need, odd): each class in the lists of the rarest retained values that it needs.
 
     Lists are kept apart by bands of sizes, two rows of bands a half apart, so that sizes close enough share a band;
-    home is the band in the first row. Lists of one class go, and with them classes that are left in too few lists.
+    home is the band in the first row; odd counts the retained values that no other class holds. Lists of one class go,
+    and with them classes that are left in too few lists.
     """
     exact = math.floor(threshold * k)  # sets up to this size are seen whole, as are their partners
     values = classes.select("cid", "n", F.explode("sketch").alias("value"))
-    common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    # Written, so that a value that many classes hold is split like any skewed key of a join.
+    common = settled(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "common")
     held = F.least("n", F.lit(k))
     need = F.when(F.col("n") <= exact, F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).otherwise(F.least(F.lit(SHARED), held))
     together = F.least(need, F.lit(TOGETHER))
     shared = values.join(common, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
-    room = F.greatest(held - need + together - (held - F.size("own")), F.lit(0)).cast("int")  # after those that no one shares
-    rows = shared.select("cid", "n", together.cast("int").alias("need"), F.explode(F.slice("own", F.lit(1), room)).alias("x"))
+    odd = held - F.size("own")
+    room = F.greatest(held - need + together - odd, F.lit(0)).cast("int")  # after those that no one shares
+    rows = shared.select("cid", "n", together.cast("int").alias("need"), odd.cast("int").alias("odd"), F.explode(F.slice("own", F.lit(1), room)).alias("x"))
     at = F.log(F.col("n").cast("double")) / math.log(1 / threshold)
-    even, odd = (F.floor(at / 2) * 2).cast("int"), (F.floor((at + 1) / 2) * 2 + 1).cast("int")
-    rows = rows.select(F.col("x.value").alias("value"), "cid", "n", "need", even.alias("home"), F.explode(F.array(even, odd)).alias("band"))
+    even, across = (F.floor(at / 2) * 2).cast("int"), (F.floor((at + 1) / 2) * 2 + 1).cast("int")
+    rows = rows.select(F.col("x.value").alias("value"), "cid", "n", "need", "odd", even.alias("home"), F.explode(F.array(even, across)).alias("band"))
     rows = settled(rows, "bands")
-    cells = rows.groupBy("value", "band").agg(F.count("*").alias("size")).filter("size > 1")
+    drop(common)
+    cells = settled(rows.groupBy("value", "band").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     met = settled(rows.join(cells, ["value", "band"]), "cells")
+    drop(rows, cells)
     enough = met.groupBy("cid").agg(F.countDistinct("value").alias("lists"), F.max("need").alias("least"))
     enough = enough.filter(F.col("lists") >= F.col("least")).select("cid")
-    return settled(met.join(enough, "cid", "left_semi"), "lists")
+    out = settled(met.join(enough, "cid", "left_semi"), "lists")
+    drop(met)
+    return out
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -108,98 +117,35 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -
     return joined.filter(F.when(full, common >= threshold * F.size(union) - 1e-9).otherwise(common >= SHARED)).select("a", "b")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFrame:
-    """(id, set): full sets of the wanted documents (and of a few more, which joins leave behind)."""
+def _sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool, repeated: bool) -> DataFrame:
+    """(id, set): full sets of the wanted documents (and of a few more, which joins leave behind); repeated: ids may
+    occur more than once, of which equal sets are kept once."""
     wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(ids))
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.filter(batch.column(0).is_valid())
             known = known.filter(pa.array(wanted.value.holds(known.column(0).to_numpy())))
             for part in slices(known):
-                own = [x.tobytes() for x in shingle_sets(words_of(part.column(1), lower), n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["id", "set"])
+                own = [x.view(np.int64) for x in shingle_sets(words_of(part.column(1), lower), n)]
+                sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["id", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "id long, set binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "id long, set array<long>")
+    return made.groupBy("id", F.size("set").alias("n"), F.xxhash64("set").alias("h")).agg(F.first("set").alias("set")).select("id", "set") if repeated else made
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose full sets are as similar as asked for."""
-    pairs = settled(pairs, "pairs")
+def _similar(both: Column, n_a: Column, n_b: Column, threshold: float) -> Column:
     percent = round(threshold * 100)
+    return (both > 0) & (100 * both >= percent * (n_a + n_b - both))
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    rows = _sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), n, lower)
-    of_a, of_b = rows.select(F.col("id").alias("a"), F.col("set").alias("sa")), rows.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    found = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
-    return settled(found.distinct(), "links")
-
-
-def block_links(a_ids: np.ndarray, a_sets: list[np.ndarray], b_ids: np.ndarray, b_sets: list[np.ndarray], percent: int, every: bool) -> list[tuple[int, int]]:
-    """Similar pairs (a, b), or one for each a: all intersections at once, by the values that both sides hold."""
-    size_a, size_b = np.array([len(x) for x in a_sets]), np.array([len(x) for x in b_sets])
-    va, vb = np.concatenate(a_sets), np.concatenate(b_sets)
-    oa, ob = np.repeat(np.arange(len(a_sets)), size_a), np.repeat(np.arange(len(b_sets)), size_b)
-    order = np.argsort(vb, kind="stable")
-    vb, ob = vb[order], ob[order]
-    low, high = np.searchsorted(vb, va, "left"), np.searchsorted(vb, va, "right")
-    met = high - low
-    at = np.repeat(low - (np.cumsum(met) - met), met) + np.arange(met.sum())
-    both = np.bincount(np.repeat(oa, met) * len(b_sets) + ob[at], minlength=len(a_sets) * len(b_sets)).reshape(len(a_sets), -1)
-    linked = (both > 0) & (100 * both >= percent * (size_a[:, None] + size_b[None, :] - both)) & (a_ids[:, None] != b_ids[None, :])
-    if every:
-        return [(int(a_ids[k]), int(b_ids[j])) for k, j in np.argwhere(linked) if a_ids[k] > b_ids[j]]
-    return [(int(a_ids[k]), int(b_ids[linked[k].argmax()])) for k in np.flatnonzero(linked.any(axis=1))]
-
-
-def _meets(named: DataFrame, threshold: float) -> DataFrame:
-    """(cid, big): classes and large components that they meet in enough lists, by counts of lists, not by pairs."""
-    big = named.filter(F.col("comp_size") > LARGE).groupBy("value", "band", F.col("comp").alias("big"))
-    big = big.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("need").alias("big_need"))
-    meets = named.join(big, ["value", "band"]).filter("comp <> big")
-    meets = meets.filter((F.col("n") >= threshold * F.col("low") - 1e-9) & (F.col("high") >= threshold * F.col("n") - 1e-9))
-    meets = meets.groupBy("cid", "big").agg(F.countDistinct("value").alias("times"), F.min(F.least("need", "big_need")).alias("least"))
-    return settled(meets.filter("times >= least").select("cid", "big"), "meets")
-
-
-def _to_large(named: DataFrame, meets: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float) -> DataFrame:
-    """Links (a, b) of classes with members of the large components that they meet, one for each block at least, and all
-    links between classes that meet the same one.
-
-    They are compared in blocks of full sets, BLOCK by BLOCK a row, so no row stands for a pair and none is left out.
-    """
-    members = named.filter(F.col("comp_size") > LARGE).select("cid", F.col("comp").alias("big")).distinct()
-    members = settled(members.join(meets.select("big").distinct(), "big", "left_semi"), "members")
-    sets = settled(_sets(docs, meets.select("cid").union(members.select("cid")).distinct(), n, lower), "sets")
-
-    def blocks(rows: DataFrame, side: str) -> DataFrame:
-        parts = rows.groupBy("big").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        own = rows.join(parts, "big").withColumn("part", F.pmod(F.xxhash64("cid"), "parts"))
-        own = own.join(sets, F.col("cid") == F.col("id"))
-        return own.groupBy("big", F.col("part").alias(f"{side}_part")).agg(F.collect_list("cid").alias(f"{side}_ids"), F.collect_list("set").alias(f"{side}_sets"))
-
-    percent = round(threshold * 100)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for a_ids, a_sets, b_ids, b_sets, every in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                unpack = lambda own: [np.frombuffer(x, np.uint64) for x in own]
-                found += block_links(np.array(a_ids), unpack(a_sets), np.array(b_ids), unpack(b_sets), percent, every)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    left = blocks(meets, "a")
-    right = blocks(members, "b").withColumn("every", F.lit(False)).unionByName(blocks(meets, "b").withColumn("every", F.lit(True)))
-    pairs = left.join(right, "big").select("a_ids", "a_sets", "b_ids", "b_sets", "every")
-    return settled(pairs.mapInArrow(work, "a long, b long").distinct(), "links")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose full sets, of sets(id, set), are as similar as asked for."""
+    of_a, of_b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
+    met = pairs.join(of_a, "a").join(of_b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return settled(met.filter(_similar(F.col("both"), F.size("sa"), F.size("sb"), threshold)).select("a", "b").distinct(), "links")
 
 
 def _close(threshold: float):
@@ -216,14 +162,16 @@ def _enough(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def _to_heads(lists: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of each list's members with its heads: its smallest id and, in longer lists, those first by other orders.
+    """Pairs of each list's members with its heads: its smallest id and, in longer lists, the one with the fewest values
+    of its own (a group's middle) and those first by other orders.
 
     The orders are the same in all lists, so a group's lists agree on few heads, and one that isn't of a group doesn't
     keep the group apart.
     """
-    order = lambda seed: F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), "cid", "n", "need", "home")
-    plain = F.struct(F.lit(0).cast("long").alias("h"), "cid", "n", "need", "home")
-    heads = lists.groupBy("value", "band").agg(F.max("size").alias("size"), F.min(plain).alias("h0"), *(F.min(order(k)).alias(f"h{k}") for k in range(1, HEADS)))
+    order = lambda seed, first: F.struct(first.cast("long").alias("f"), F.xxhash64("cid", F.lit(seed)).alias("h"), "cid", "n", "need", "home")
+    plain = F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("h"), "cid", "n", "need", "home")
+    others = [F.min(order(k, F.col("odd") if k == 1 else F.lit(0))).alias(f"h{k}") for k in range(1, HEADS)]
+    heads = lists.groupBy("value", "band").agg(F.max("size").alias("size"), F.min(plain).alias("h0"), *others)
     every = F.array(*(f"h{k}" for k in range(HEADS)))
     heads = heads.select("value", "band", F.explode(F.array_distinct(F.when(F.col("size") > HEADS, every).otherwise(F.slice(every, 1, 1)))).alias("x"))
     heads = heads.select("value", "band", *(F.col(f"x.{c}").alias(f"{c}_b") for c in _KEPT)).distinct()
@@ -234,30 +182,95 @@ def _to_heads(lists: DataFrame, threshold: float) -> DataFrame:
     return _enough(once.withColumnsRenamed({"low": "cid_a", "high": "cid_b"}), 3)
 
 
-def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists with each class's component and how many classes it has."""
-    sizes = labels.groupBy("component").agg(F.count("*").alias("comp_size"))
-    known = labels.join(sizes, "component")
-    named = lists.join(known, F.col("cid") == F.col("id"), "left")
-    return settled(named.select("value", "band", *_KEPT, F.coalesce("component", "cid").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size")), "named")
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, comp): classes that may share enough lists with one other component.
 
+    Common lists are counted by component, not by class. A list of more than SEVERAL components counts for any of them.
+    """
+    named = lists.join(labels, F.col("cid") == F.col("id"), "left")
+    named = settled(named.select("value", "band", "cid", "need", F.coalesce("component", "cid").alias("comp")), "named")
+    spread = settled(named.select("value", "band", "comp").distinct(), "spread")
+    sizes = settled(spread.groupBy("value", "band").agg(F.count("*").alias("comps")).filter("comps > 1"), "sizes")
+    few = spread.join(sizes.filter(F.col("comps") <= SEVERAL).select("value", "band"), ["value", "band"]).groupBy("value", "band").agg(F.collect_list("comp").alias("others"))
+    several = settled(sizes.select("value", "band").join(few, ["value", "band"], "left"), "several")
+    met = named.join(several, ["value", "band"]).groupBy("cid", "comp").agg(F.max("need").alias("need"), F.collect_list(F.struct("value", "others")).alias("lists"))
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            enough = [most_shared(own, lists) >= need for own, need, lists in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(enough, pa.bool_())).rename_columns(["id", "comp"])
+
+    out = settled(met.filter(F.size("lists") >= F.col("need")).mapInArrow(work, "id long, comp long"), "mixed")
+    drop(named, spread, sizes, several)
+    return out
+
+
+def most_shared(own: int, lists: list[dict]) -> int:
+    """The most lists that a class of component `own` may share with one other component."""
+    at: dict[int, set[int]] = {}
+    anyone = set()
+    for x in lists:
+        if x["others"] is None:
+            anyone.add(x["value"])
+        else:
+            for comp in x["others"]:
+                at.setdefault(comp, set()).add(x["value"])
+    at.pop(own, None)
+    return max((len(v | anyone) for v in at.values()), default=len(anyone))
 
-def _across(named: DataFrame, meets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different small components that meet in enough lists; a list's largest one is never paired with itself.
 
-    Classes that meet the same large component are no pairs here: their blocks are compared.
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(value, id, comp, n, left) of sets(id, comp, set): lists of the rarest values that a pair of different components
+    with the similarity can't do without; left: how many values of the set, this one included, a partner may still share.
+
+    Values of one component alone can't be shared by such a pair: they come first and are never listed. The others are
+    ordered by how many sets hold them. A set of n values shares at least threshold x n with a similar one, so of its s
+    values that may be shared it needs the first s - threshold x n + 1 in lists.
+    """
+    percent = round(threshold * 100)
+    values = sets.select("id", "comp", F.size("set").alias("n"), F.explode("set").alias("value"))
+    spread = values.groupBy("value").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    spread = settled(spread.filter("low < high").select("value", "df"), "spread")
+    own = values.join(spread, "value").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+    least = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    own = own.withColumn("s", F.size("own")).filter(F.col("s") >= least)
+    rows = own.select("id", "comp", "n", "s", F.posexplode(F.slice("own", F.lit(1), F.col("s") - least + 1)).alias("at", "x"))
+    out = settled(rows.select(F.col("x.value").alias("value"), "id", "comp", "n", (F.col("s") - F.col("at")).alias("left")), "prefixes")
+    drop(spread)
+    return out
+
+
+def meeting(lists: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that meet in prefix lists and, by what follows there, may be similar.
+
+    A list's largest component is compared with the others only, never with itself.
     """
-    met = meets.groupBy("cid").agg(F.collect_set("big").alias("bigs"))
-    named = named.filter(F.col("comp_size") <= LARGE).join(met, "cid", "left").withColumn("bigs", F.coalesce("bigs", F.array().cast("array<long>")))
-    sizes = named.groupBy("value", "band", "comp").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("value", "band").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    mixed = settled(named.join(main, ["value", "band"]), "mixed")
-    columns = (*_KEPT, "comp", "bigs")
-    left = mixed.filter("comp <> main").select("value", "band", *(F.col(c).alias(f"{c}_a") for c in columns))
-    right = mixed.select("value", "band", "main", *(F.col(c).alias(f"{c}_b") for c in columns))
-    once = (F.col("comp_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b"))
-    apart = (F.col("comp_a") != F.col("comp_b")) & ~F.arrays_overlap("bigs_a", "bigs_b")
-    return _enough(left.join(right, ["value", "band"]).filter(apart & _close(threshold) & once), TOGETHER)
+    percent = round(threshold * 100)
+    sizes = lists.groupBy("value", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    main = settled(main.select("value", "main"), "main")
+    several = settled(lists.join(main, "value"), "prefixes")
+    columns = ("id", "comp", "n", "left")
+    some = several.filter("comp <> main").select("value", *(F.col(c).alias(f"{c}_a") for c in columns))
+    every = several.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in columns))
+    once = (F.col("comp_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
+    room = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    met = some.join(every, ["value"]).filter((F.col("comp_a") != F.col("comp_b")) & room & once)
+    out = settled(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "meeting")
+    drop(main, several)
+    return out
+
+
+def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, n: int, lower: bool, threshold: float, k: int, repeated: bool) -> DataFrame:
+    """Links (a, b) between components that are still apart."""
+    mixed = _mixed(lists, labels)
+    sets = settled(_sets(docs, mixed.select("id"), n, lower, repeated).join(mixed, "id"), "sets")
+    listed = prefixes(sets, threshold)
+    pairs = meeting(listed, threshold)
+    links = _verified(_plausible(pairs, classes, threshold, k), sets, threshold)
+    drop(mixed, sets, listed, pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, lower: bool = True, k: int = SKETCH) -> DataFrame:
@@ -267,19 +280,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, lower:
     """
     marked = settled(_sketches(docs, n, lower, k), "sketches")
     known = marked.filter("doc_id IS NOT NULL")
+    repeated = not known.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").isEmpty()
     classes = known.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("sketch").alias("sketch"))
-    classes = settled(classes, "sets")
+    classes = settled(classes, "classes")
     lists = _lists(classes, threshold, k)
-    first = _verified(_plausible(_to_heads(lists, threshold), classes, threshold, k), docs, n, lower, threshold)
-    named = _named(lists, components(first))
-    meets = _meets(named, threshold)
-    second = _verified(_plausible(_across(named, meets, threshold), classes, threshold, k), docs, n, lower, threshold)
-    second = second.unionByName(_to_large(named, meets, docs, n, lower, threshold))
+    pairs = settled(_plausible(_to_heads(lists, threshold), classes, threshold, k), "pairs")
+    sets = settled(_sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), n, lower, repeated), "sets")
+    first = _verified(pairs, sets, threshold)
+    drop(pairs, sets)
+    labels = components(first)
+    second = _across(lists, labels, classes, docs, n, lower, threshold, k, repeated)
+    drop(lists)
 
     sets = marked.join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"], "left")
     sets = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id")).alias("class_id"))
-    same_id = _shared_ids(sets)
-    final = components(first.unionByName(second).unionByName(same_id))
+    sets = settled(sets, "of_class")
+    drop(marked, classes)
+    final = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(_shared_ids(sets)))
+    drop(first, second, labels)
     rows = sets.join(final, F.col("class_id") == F.col("id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

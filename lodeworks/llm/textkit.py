@@ -6,19 +6,21 @@ slices of bounded bytes so that a worker's memory doesn't depend on how long the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
@@ -29,6 +31,26 @@ class Words(NamedTuple):
     first: np.ndarray  # per text: index of its first word; one more entry at the end
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, giving freed memory back to the system when its task ends: Python workers outlive tasks."""
+
+    @functools.wraps(work)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch holding about `limit` bytes of text each; a longer text is a slice of its own."""
     if not batch.num_rows:
@@ -67,7 +89,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     edge[offsets] = True
     end = np.flatnonzero(edge[1:] & ~space) + 1
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     return Words(data, start, end, np.searchsorted(start, offsets))
 
 
