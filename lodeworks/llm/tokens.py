@@ -5,7 +5,7 @@ with select samples, then all ids in 16 or 32 bits. Shards are rows of a Parquet
 that Spark reads can hold them, a task that is run again replaces its own shard, and the write is committed as a whole.
 
 Null texts count as empty (the end id alone). Rows with a null id come first. Rows that share an id keep one entry each,
-ordered by their ids' bytes. An empty input gives no shard. Other columns of the input are ignored.
+ordered by their ids' CRC-32 and bytes. An empty input gives no shard. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,22 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.llm.codes import Codes
 from lodeworks.llm.scratch import new_path
-from lodeworks.llm.textkit import slices
+from lodeworks.llm.textkit import LOWER, Words, hash_words, slices, tidy, words_of
 
 SHARD_TOKENS = 1 << 20
-SAMPLE = 64  # every so many ones of the upper bits have their place stored
-CACHED_WORDS, CACHED_PIECES = 150_000, 250_000
+SAMPLE = 256  # every so many ones of the upper bits have their place stored
+CACHED_PIECES = 1 << 19
 SLICE_BYTES = 1 << 20
 MAX_BASES = 1_000_000  # rows of 24 bytes that may be broadcast; with more shards their starts are joined by a shuffle
 
-# Fixed value: the part of a pre-tokenizer's pattern that makes runs of letters and of punctuation tokens of their own.
-LETTERS_APART = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The part of a pre-tokenizer's pattern that makes runs of letters and of punctuation tokens of their own.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _HEADER = struct.Struct("<4sBxxxQQQQQ")
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?")] = True
+_LETTER = np.zeros(256, bool)  # ASCII letters, and bytes of any other character
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers in about 2 + log2(universe / n) bits each, with select."""
+    """A non-decreasing sequence of integers in about 2 + log2(universe / n) bits each, with select.
+
+    Besides the bits only the place of every SAMPLE-th one is kept, in 32 bits: the upper bits are fewer than 3n + 1.
+    """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
@@ -44,17 +53,22 @@ class EliasFano:
     def encode(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
+        if n >= 1 << 30:
+            raise ValueError("too many values for 32-bit places")
         top = int(values[-1]) if n else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        low = []
+        for at in range(0, n if bits else 0, 1 << 16):  # multiples of 8 values end on whole bytes
+            part = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            low.append(np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little"))
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, bits, low, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint64))
+        return cls(n, bits, np.concatenate(low) if low else np.zeros(0, np.uint8), np.packbits(high, bitorder="little"), ones[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
-        return head + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u8").tobytes()
+        return head + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 
     @classmethod
     def from_bytes(cls, raw: memoryview) -> tuple[EliasFano, int]:
@@ -62,34 +76,36 @@ class EliasFano:
         n, bits, a, b, c = struct.unpack_from("<QBQQQ", raw)
         at = struct.calcsize("<QBQQQ")
         low, high = np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a)
-        return cls(n, bits, low, high, np.frombuffer(raw, "<u8", c, at + a + b)), at + a + b + 8 * c
+        return cls(n, bits, low, high, np.frombuffer(raw, "<u4", c, at + a + b)), at + a + b + 4 * c
+
+    def run(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: only the upper bits between the samples around them and their own lower bits are read."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError(a, b)
+        if a == b:
+            return np.zeros(0, np.uint64)
+        first, after = a // SAMPLE, -(-b // SAMPLE)
+        place = int(self.samples[first])
+        stop = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[place >> 3 : (stop + 7) >> 3], bitorder="little")[place & 7 :]
+        ones = np.flatnonzero(bits)[a - first * SAMPLE : b - first * SAMPLE] + place
+        out = (ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            at = a * self.low_bits
+            own = np.unpackbits(self.low[at >> 3 : (b * self.low_bits + 7) >> 3], bitorder="little")[at & 7 :]
+            own = own[: (b - a) * self.low_bits].reshape(b - a, self.low_bits)
+            for k in range(self.low_bits):
+                out |= own[:, k].astype(np.uint64) << np.uint64(k)
+        return out
 
     def select(self, i: int) -> int:
-        """The value at i, from the nearest stored place and a scan of the upper bits after it."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, skip = place >> 3, place & 7
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 64], bitorder="little")[skip:])
-            if left < len(ones):
-                place = (byte << 3) + skip + int(ones[left])
-                break
-            left, byte, skip = left - len(ones), byte + 64, 0
-        low = 0
-        for k in range(self.low_bits):
-            bit = i * self.low_bits + k
-            low |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << k
-        return (place - i << self.low_bits) | low
+        return int(self.run(i, i + 1)[0])
 
     def values(self) -> np.ndarray:
         """The whole sequence."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
+        return self.run(0, self.n)
 
 
 class Shard:
@@ -123,31 +139,23 @@ class Shard:
         known = (self.keys.values() + np.uint64(self.first)).astype(np.int64)
         return [None] * self.n_null + known.tolist()
 
-    def start(self, i: int) -> int:
-        return self.ends.select(i - 1) if i else 0
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Where documents a to b - 1 start, and where the last one ends, by the boundaries' select."""
+        ends = self.ends.run(max(a - 1, 0), b).astype(np.int64)
+        return ends if a else np.concatenate([[0], ends])
 
     def tokens(self, i: int) -> np.ndarray:
-        return self.ids[self.start(i) : self.ends.select(i)]
-
-
-class _Codes(dict):
-    """Numbers keys as they are first asked for."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = code = len(self)
-        self.new.append(key)
-        return code
+        start, end = self.bounds(i, i + 1).tolist()
+        return self.ids[start:end]
 
 
 class WordEncoder:
-    """Token ids of whole texts through the tokenizers library, each distinct word encoded once while it is remembered.
+    """Token ids of whole texts through the tokenizers library, each distinct piece encoded once while it is remembered.
 
-    Sound for tokenizers that never join or look across white space; `check` compares with the plain call. Where the
-    tokenizer's own settings show that runs of letters stand alone and that it lower-cases, a word of letters and its
-    closing punctuation are remembered apart, and in lower case.
+    Where the tokenizer's own settings show that it drops white space and makes runs of letters tokens of their own, a
+    piece is a word, or its letters and its closing punctuation apart, in lower case if the tokenizer lower-cases; pieces
+    are told apart by 64-bit hashes (among CACHED_PIECES of them two agree with a chance of 1e-8). With other settings each
+    whole text is one call.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -159,12 +167,17 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         settings = json.loads(self.tokenizer.to_str())
-        self.lowers = '"Lowercase"' in json.dumps(settings["normalizer"])
-        self.splits = LETTERS_APART in json.dumps(settings["pre_tokenizer"])
-        marks = [t for t in settings["added_tokens"] if t["special"] and not any(t[k] for k in ("normalized", "single_word", "lstrip", "rstrip"))]
+        steps = (settings["normalizer"] or {}).get("normalizers", [settings["normalizer"]] if settings["normalizer"] else [])
+        self.lowers = any(x["type"] == "Lowercase" for x in steps)
+        tame = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps)
+        split, *rest = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        apart = split.get("pattern") == {"Regex": LETTERS_APART} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        within = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+        fixed = all(t["special"] and not any(t[k] for k in ("normalized", "single_word", "lstrip", "rstrip")) and not any(map(str.isspace, t["content"])) for t in settings["added_tokens"])
+        self.by_words = tame and apart and within and fixed and settings["truncation"] is None
+        marks = settings["added_tokens"]
         self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
-        self.pieces: _Codes | None = None
-        self._clear()
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -172,28 +185,15 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _clear(self) -> None:
-        self.codes = _Codes()
-        self.core, self.tail = np.zeros(0, np.int32), np.zeros(0, np.int32)  # pieces of each word
-        if self.pieces is not None and len(self.pieces) <= CACHED_PIECES:
-            return
-        self.pieces = _Codes()
-        self.pieces[b""] = 0
-        self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(2, np.int64)
-
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        if not self.splits:
-            return word, b""
-        core = word.rstrip(b".,;:!?")
-        if core.isalpha():  # ASCII letters
-            return core.lower() if self.lowers else core, word[len(core) :]
-        if core and (text := core.decode()).isalpha() and text.lower().isalpha():
-            return core, word[len(core) :]
-        return word, b""
-
-    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def forget(self) -> None:
+        """Empties the memory of pieces."""
+        self.codes = Codes()
+        self.count = 1  # piece 0 has no ids
+        self.whole = np.zeros(1 << 12, bool)  # letters by their bytes, but the word has to be encoded as a whole
+        self.flat, self.ptr = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each piece, and all ids."""
-        texts = [p.decode() for p in pieces]
         if self.mark and not any(self.mark[0] in t for t in texts):  # one call; a special token parts the pieces
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(texts)], add_special_tokens=False)[0].ids, np.int32)
             at = np.flatnonzero(ids == self.mark[1])
@@ -202,53 +202,101 @@ class WordEncoder:
         made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([len(x) for x in made], np.int64), np.array([i for x in made for i in x], np.int32)
 
-    def _learn(self) -> None:
-        parts = [self._parts(w) for w in self.codes.new]
-        self.codes.new.clear()
-        self.core = np.concatenate([self.core, np.array([self.pieces[c] for c, _ in parts], np.int32)])
-        self.tail = np.concatenate([self.tail, np.array([self.pieces[t] for _, t in parts], np.int32)])
-        for at in range(0, len(self.pieces.new), 5_000):
-            sizes, ids = self._encode(self.pieces.new[at : at + 5_000])
-            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, ids])
-        self.pieces.new.clear()
-
-    def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
-        """Packed ids of each text, with the end id."""
-        if len(self.codes) > CACHED_WORDS:
-            self._clear()
-        words: list[bytes] = []
-        counts = [0]
-        for text in texts:
-            if text:
-                words += text.split()
-            counts.append(len(words))
-        code = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
-        if self.codes.new:
-            self._learn()
-        piece = np.stack([self.core[code], self.tail[code]], axis=1).ravel()
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: bool) -> None:
+        """Encodes data[start:end] for keys that are new."""
+        keys, first = np.unique(keys, return_index=True)
+        at = [(a, b) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in at]
+        total = int(self.ptr[self.count])
+        for k in range(0, len(texts), 1_000):
+            part = texts[k : k + 1_000]
+            sizes, ids = self._encode(part)
+            self.ptr = _room(self.ptr, self.count + len(part) + 1)
+            self.ptr[self.count + 1 : self.count + len(part) + 1] = total + np.cumsum(sizes)
+            self.flat = _room(self.flat, total + len(ids))
+            self.flat[total : total + len(ids)] = ids
+            self.whole = _room(self.whole, self.count + len(part))
+            self.whole[self.count : self.count + len(part)] = [letters and not t.isascii() and not (t.isalpha() and t.lower().isalpha()) for t in part]
+            self.codes.add(keys[k : k + 1_000], np.arange(self.count, self.count + len(part), dtype=np.int32))
+            self.count, total = self.count + len(part), total + len(ids)
+
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: bool = False) -> np.ndarray:
+        """Code of each piece data[start:end]."""
+        keys = hash_words(Words(data, start, end, start))
+        keys[keys == 0] = 1
+        out = self.codes.find(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            self._learn(keys[new], data, start[new], end[new], letters)
+            out[new] = self.codes.find(keys[new])
+        return out
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of an Arrow column of texts: number of ids of each, the end id included, and all ids."""
+        kind = ("<u2", "<u4")[self.width == 4]
+        if not self.by_words:
+            made = [x.ids for x in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.array([len(x) + 1 for x in made], np.int64), np.array([i for x in made for i in (*x, end_id)], kind)
+        if self.count > CACHED_PIECES:
+            self.forget()
+        words = words_of(column)
+        data, start, end = words.data, words.start, words.end
+        core = end.copy()
+        live = np.arange(len(end))
+        while len(live):
+            live = live[(core[live] > start[live]) & _CLOSING[data[core[live] - 1]]]
+            core[live] -= 1
+        letters = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
+        plain = np.flatnonzero((core > start) & (letters[core] - letters[start] == core - start))
+        low = LOWER[data] if self.lowers else data
+        code = np.zeros((len(start), 2), np.int32)
+        code[plain, 0] = self._pieces(low, start[plain], core[plain], True)
+        apart = np.zeros(len(start), bool)
+        apart[plain] = ~self.whole[code[plain, 0]]
+        tails = np.flatnonzero(apart & (core < end))
+        code[tails, 1] = self._pieces(data, core[tails], end[tails])
+        rest = np.flatnonzero(~apart)
+        code[rest, 0] = self._pieces(data, start[rest], end[rest])
+        piece = code.ravel()
         size = self.ptr[piece + 1] - self.ptr[piece]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ptr[piece] - (ends - size), size)]
-        bound = np.concatenate([[0], ends])[np.array(counts) * 2]
-        kind, end = ("<u2", "<u4")[self.width == 4], struct.pack("<I", end_id)[: self.width]
-        packed = ids.astype(kind).tobytes()
-        return [packed[a * self.width : b * self.width] + end for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        bound = np.concatenate([[0], ends])[words.first * 2]
+        return np.diff(bound) + 1, np.insert(ids.astype(kind), bound[1:], end_id)
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """array with at least `size` places."""
+    return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): packed token ids of every whole text with the end id."""
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", bounds: np.ndarray | None = None) -> DataFrame:
+    """(part, doc_id, n_tokens, ids): packed token ids of every whole text with the end id.
 
+    part: the range of ids, between ascending bounds, that a row belongs to. An id that is a bound several times fills
+    several ranges, dealt out by the CRC-32 of its rows' ids.
+    """
+    ascending = np.zeros(0, np.int64) if bounds is None else bounds
+
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
-                packed = encoder.encode(part.column(1).cast(pa.binary()).to_pylist(), end_id)
-                sizes = pa.array([len(p) // encoder.width for p in packed], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                sizes, ids = encoder.encode(part.column(1), end_id)
+                at = np.concatenate([[0], np.cumsum(sizes)]) * encoder.width
+                packed = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.tobytes())])
+                packed = packed.cast(pa.binary())
+                keys = part.column(0).fill_null(-(2**63)).to_numpy()
+                low, high = np.searchsorted(ascending, keys, "left"), np.searchsorted(ascending, keys, "right")
+                for k in np.flatnonzero(high > low).tolist():
+                    low[k] += (zlib.crc32(packed[k].as_buffer()) * int(high[k] - low[k] + 1)) >> 32
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), part.column(0), pa.array(sizes), packed], ["part", "doc_id", "n_tokens", "ids"])
+        encoder.forget()  # the worker outlives the task
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(work, "part int, doc_id long, n_tokens long, ids binary")
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> str:
@@ -259,37 +307,34 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
     spark = docs.sparkSession
     ranges = max(1, docs.rdd.getNumPartitions())
     shares = [k / ranges for k in range(1, ranges)]
-    bounds = (docs.select(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * ranges)).first()[0] or []) if shares else []
-    ascending = np.array(sorted(bounds), np.int64)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).fill_null(-(2**63)).to_numpy()
-            part = pa.array(np.searchsorted(ascending, keys, "right"), pa.int32())
-            yield pa.RecordBatch.from_arrays([part, *batch.columns], ["part", "doc_id", "n_tokens", "ids"])
-
-    made = tokenize(docs, tokenizer, end_id).mapInArrow(numbered, "part int, doc_id long, n_tokens long, ids binary")
-    ranged = made.repartitionById(ranges, F.col("part")).drop("part")
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    bounds = (docs.select(F.percentile_approx(key, shares, 100 * ranges)).first()[0] or []) if shares else []
+    made = tokenize(docs, tokenizer, end_id, bounds=np.array(sorted(bounds), np.int64))
+    ranged = made.repartitionById(ranges, F.col("part"))
+    ranged = ranged.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.crc32("ids"), "ids")
+    width = WordEncoder.of(tokenizer).width
+
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = WordEncoder.of(tokenizer).width
         keys: list[int | None] = []
         ids: list[bytes] = []
         number = held = 0
+        now = None
 
         def shard() -> pa.RecordBatch:
             nonlocal number, held
-            row = [keys[0], number, len(keys), held, Shard.pack(keys, ids, width)]
+            row = [now, number, len(keys), held, Shard.pack(keys, ids, width)]
             number, held = number + 1, 0
             keys.clear(), ids.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["first_doc", "number", "n_docs", "n_tokens", "shard"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "number", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
-            for key, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if keys and held + n > shard_tokens:
+            for part, key, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if keys and (held + n > shard_tokens or part != now):
                     yield shard()
+                if part != now:
+                    now, number = part, 0
                 keys.append(key)
                 ids.append(raw.as_py())
                 held += n
@@ -297,41 +342,45 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
             yield shard()
 
     path = new_path(spark, "shards")
-    made = ranged.mapInArrow(pack, "first_doc long, number long, n_docs long, n_tokens long, shard binary")
+    made = ranged.mapInArrow(pack, "part int, number long, n_docs long, n_tokens long, shard binary")
     made.write.option("compression", "uncompressed").parquet(path)
     return path
 
 
 def read_shards(spark, path: str) -> DataFrame:
-    """The table of shards with `base`, the number of ids in the shards before."""
+    """The table of shards with `base`, the number of ids in the shards before.
+
+    Sums run inside each range of ids, and over one row a range: as many as the input had partitions.
+    """
     shards = spark.read.parquet(path)
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "number").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shard of some millions of ids: the only rows that the ordering sees.
-    base = F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base")
-    bases = shards.select(F.col("first_doc").alias("of_doc"), F.col("number").alias("of_number"), base)
-    if bases.count() <= MAX_BASES:
+    sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.select(F.col("part").alias("of_part"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("parts_before"))
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    bases = shards.select("part", F.col("number").alias("of_number"), F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
+    bases = bases.join(parts, F.col("part") == F.col("of_part")).select("of_part", "of_number", (F.col("parts_before") + F.col("inside")).alias("base"))
+    if shards.select("part").count() <= MAX_BASES:
         bases = F.broadcast(bases)
-    return shards.join(bases, F.col("first_doc").eqNullSafe(F.col("of_doc")) & (F.col("number") == F.col("of_number"))).drop("of_doc", "of_number")
+    return shards.join(bases, (F.col("part") == F.col("of_part")) & (F.col("number") == F.col("of_number"))).drop("of_part", "of_number")
 
 
 def read_documents(spark, path: str) -> DataFrame:
     """Per document, from the shards: doc_id, start, n_tokens and the ids as packed 32-bit integers."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(raw.as_py())
-                ends = shard.ends.values().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                packed = shard.ids.astype("<u4").tobytes()
+                packed = pa.py_buffer(shard.ids.astype("<u4"))
                 keys = shard.doc_ids()
                 for a in range(0, len(keys), 4096):
                     b = min(a + 4096, len(keys))
-                    ids = [packed[4 * s : 4 * e] for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[a:b], pa.int64()), pa.array(starts[a:b] + base), pa.array(ends[a:b] - starts[a:b]), pa.array(ids, pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
+                    at = shard.bounds(a, b)
+                    own = packed.slice(4 * int(at[0]), 4 * int(at[-1] - at[0]))
+                    ids = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(4 * (at - at[0])), own]).cast(pa.binary())
+                    columns = [pa.array(keys[a:b], pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), ids]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
     return read_shards(spark, path).select("base", "shard").mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
 
@@ -341,9 +390,8 @@ def crc32_of(df: DataFrame) -> DataFrame:
     return df.withColumn("ids_crc32", F.crc32("ids"))
 
 
-def check(encoder: WordEncoder, texts: list[str], end_id: int) -> bool:
+def check(encoder: WordEncoder, texts: list[str | None], end_id: int) -> bool:
     """Whether word-wise encoding gives what one call on each whole text gives."""
-    kind = "<u2" if encoder.width == 2 else "<u4"
-    plain = [np.array([*encoder.tokenizer.encode(t, add_special_tokens=False).ids, end_id], kind).tobytes() for t in texts]
-    return encoder.encode([t.encode() for t in texts], end_id) == plain
-
+    plain = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id] for t in texts]
+    sizes, ids = encoder.encode(pa.array(texts, pa.string()), end_id)
+    return sizes.tolist() == [len(x) for x in plain] and ids.tolist() == [i for x in plain for i in x]
