@@ -1,305 +1,514 @@
 """A hidden Markov language model: Baum-Welch counts summed over partitions, exact scaled forward recursion for scores.
 
-Tokens are a text's words (ASCII letters in lower case), then one end. A latent state emits a class: each of the `classes`
-most frequent words is a class of its own, all other words share one per length and script (ASCII or not); within a shared
-class a word has its add-half share of the class's training count, known or not. A document's probability is the forward
-recursion's over its classes times these shares, so it is one model over all words that sums over every path of states.
+Tokens are a text's words (ASCII letters in lower case), then one end; words are told apart by 64-bit hashes. Rounds of
+Baum-Welch train the moves between latent states on whole texts: the most frequent words (up to `classes`) have emissions
+of their own there, all other words share one class per length and script. A last expectation step then gathers, for every
+word of the corpus, its count in each state, summed by word in a distributed table, and every word gets its own emissions:
 
-What is sent to the executors is bounded by `classes` and `states`; counts of all words stay in a distributed table and meet
-the words outside the frequent ones in a join. Expectation steps cut texts into runs of `run` tokens (each with the start
-distribution of its place: a text's or a later one's); scores never cut a text.
+    b_k(w) = (c(w) * ((1 - FLAT) * p_k(w) / share_k + FLAT) + 0.5) / (N + 0.5 * (V + 1))
 
-Null and empty texts are the end alone. Without training rows every word is unknown and the model is uniform over its
-classes. Repeated rows count each. Extra columns are ignored.
+with p_k(w) the share of w's occurrences in state k (kept in 8 bits) and share_k that of all tokens by these shares, so that
+the words and one unknown word sum to 1 in each state, and a mix of the states by their shares is the unigram model.
+Scoring packs texts into bundles, sends each bundle the rows of its distinct words, and runs the forward recursion over
+whole texts; nothing that grows with the corpus is broadcast or collected.
+
+Long texts are computed in runs of `run` tokens whose transfer matrices carry the exact states from run to run: no
+transition is lost. Rounds end when the likelihood of a token gains less than GAIN, or after `rounds`; Trained.history has
+the likelihoods.
+
+Null and empty texts are the end alone. Without training rows every word is unknown, with probability 1. Repeated rows
+count each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.scratch import settled
-from lodeworks.llm.textkit import slices
+from lodeworks.llm.codes import Codes
+from lodeworks.llm.scratch import drop, settled
+from lodeworks.llm.textkit import hash_words, slices, tidy, words_of
 
 STATES = 6
 CLASSES = 20_000
 ROUNDS = 3
-RUN = 64
+GAIN = 0.002  # natural log units a token
+RUN = 256
+FLAT = 0.1  # of a word's count, the part that all states share alike
 LENGTHS = 24  # lengths told apart in shared classes
-END = b""  # no word is empty: the end's name
-FLUSH = 250_000
-SPREAD = 64  # parts of the sum of counts
+END = np.uint64(1)  # the end's hash
+FLUSH = 400_000  # distinct words that a task holds
+BUNDLE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
+SCALED = 6  # steps between scalings
 _ENTRY = 1e-3  # added to each expected count of a transition or emission
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?")] = True
+
+
+class Tokens(NamedTuple):
+    keys: np.ndarray  # hash of each token, ends included
+    shape: np.ndarray  # shared class by length and script
+    tail: np.ndarray  # the last two bytes before closing punctuation
+    bounds: np.ndarray  # per text: index of its first token; one more entry at the end
+
+
+def tokens_of(column: pa.Array) -> Tokens:
+    words = words_of(column, True)
+    keys = hash_words(words)
+    keys[keys <= END] = 2
+    size = words.end - words.start
+    wide = np.concatenate([[0], np.cumsum(words.data >= 128, dtype=np.int64)])
+    shape = np.clip(size, 1, LENGTHS) - 1 + LENGTHS * (wide[words.end] > wide[words.start])
+    core = words.end.copy()
+    live = np.arange(len(core))
+    while len(live):
+        live = live[(core[live] > words.start[live] + 1) & _CLOSING[words.data[core[live] - 1]]]
+        core[live] -= 1
+    data = np.concatenate([np.zeros(1, np.uint8), words.data])  # data[i] is the byte before place i
+    tail = data[core].astype(np.int64) << 8 | np.where(core - words.start > 1, data[core - 1], 0)
+    ends = words.first[1:]
+    insert = lambda x, value: np.insert(x, ends, value)
+    return Tokens(insert(keys, END), insert(shape, 0), insert(tail, 0), words.first + np.arange(len(words.first)))
 
 
-def words_in(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []  # bytes.lower changes ASCII letters alone
+class Model(NamedTuple):
+    """Moves between states, and emissions of classes: frequent words by their hash, then the shared classes."""
 
+    names: np.ndarray
+    start: np.ndarray
+    move: np.ndarray  # states x states
+    emit: np.ndarray  # classes x states
 
-def shape(word: bytes) -> int:
-    """Which shared class a word falls in: its length and whether it is ASCII."""
-    return max(min(len(word), LENGTHS), 1) - 1 + (0 if word.isascii() else LENGTHS)
+    def classes(self) -> Codes:
+        return Codes.of(self.names)
 
 
-class Model(NamedTuple):
-    names: dict[bytes, int]  # frequent words
-    start: np.ndarray  # 2 x states: of a text, of a later run
-    move: np.ndarray  # states x states
-    emit: np.ndarray  # classes x states, by class
+def class_of(tokens: Tokens, names: Codes, n: int) -> np.ndarray:
+    out = names.find(tokens.keys)
+    return np.where(out < 0, n + tokens.shape, out)
 
-    @property
-    def n_names(self) -> int:
-        return len(self.names)
 
-    def class_of(self, words: list[bytes]) -> np.ndarray:
-        get, n = self.names.get, self.n_names
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        for k in np.flatnonzero(out < 0).tolist():
-            out[k] = n + shape(words[k])
-        return out
+class _Sums:
+    """Sums of columns by hash, up to a bound of distinct hashes."""
+
+    def __init__(self, width: int):
+        self.codes, self.keys, self.sums = Codes(), [], np.zeros((0, width))
+
+    def add(self, keys: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+        """columns: a number for each key, or None to count. Returns for each key its first place if it is new, else -1."""
+        own = self.codes.find(keys)
+        fresh = np.flatnonzero(own < 0)
+        if len(fresh):
+            new, first = np.unique(keys[fresh], return_index=True)
+            self.codes.add(new, np.arange(len(self.sums), len(self.sums) + len(new), dtype=np.int32))
+            self.keys.append(new)
+            self.sums = np.concatenate([self.sums, np.zeros((len(new), self.sums.shape[1]))])
+            own[fresh] = self.codes.find(keys[fresh])
+            fresh = fresh[first]
+        for k, values in enumerate(columns):
+            self.sums[:, k] += np.bincount(own, values, len(self.sums))
+        return fresh
+
+    def full(self) -> bool:
+        return len(self.sums) > FLUSH
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, c) over rows(text), ends included: summed per task first, then by word."""
+    """(h, c, shape, tail) over rows(text), ends included: summed per task first, then by word."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        sums, shapes, tails = _Sums(1), [], []
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return made
+            keys = np.concatenate([np.zeros(0, np.uint64), *sums.keys])
+            kinds = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (shapes, tails)]
+            columns = [keys.view(np.int64), sums.sums[:, 0].astype(np.int64), *kinds]
+            shapes.clear(), tails.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "c", "shape", "tail"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                counts.update(words_in(text.as_py()))
-                counts[END] += 1
-                if len(counts) > FLUSH:
+            for part in slices(batch, limit=SLICE_BYTES):
+                own = tokens_of(part.column(0))
+                fresh = sums.add(own.keys, None)
+                shapes.append(own.shape[fresh]), tails.append(own.tail[fresh])
+                if sums.full():
                     yield out()
+                    sums = _Sums(1)
         yield out()
 
-    return rows.select("text").mapInArrow(work, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    made = rows.select("text").mapInArrow(work, "h long, c long, shape long, tail long")
+    return made.groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"), F.min("tail").alias("tail"))
+
+
+def _frequent(counts: DataFrame, classes: int) -> DataFrame:
+    """The words whose counts lie above a bound that at most `classes` words pass, found by a histogram of bounded size."""
+    step = F.when(F.col("c") < 64, F.col("c")).otherwise(F.floor(F.log2("c") * 64)).cast("long")
+    many = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, bound = 0, None
+    for at, n in many:
+        total += n
+        if total > classes:
+            break
+        bound = at
+    return counts.filter(step >= bound) if bound is not None else counts.limit(0)
 
 
-def first_model(names: list[bytes], counts: np.ndarray, states: int) -> Model:
+def first_model(names: np.ndarray, counts: np.ndarray, tails: np.ndarray, states: int) -> Model:
     """Staying states; emissions near the unigram shares, tilted alike for words that end alike.
 
     counts: of each name, then of each shared class. Endings tell languages and forms apart, so expectation steps
-    start from states that differ, and two or three rounds suffice.
+    start from states that differ.
     """
     tilt = np.ones((len(counts), states))
-    known: dict[bytes, np.ndarray] = {}
-    for k, word in enumerate(names):
-        ending = word.rstrip(b".,;:!?")[-2:]
-        if ending not in known:
-            known[ending] = np.random.default_rng(zlib.crc32(ending)).dirichlet(np.full(states, 0.3)) + 0.05
-        tilt[k] = known[ending]
+    known: dict[int, np.ndarray] = {}
+    for k, tail in enumerate(tails.tolist()):
+        if tail not in known:
+            known[tail] = np.random.default_rng(tail).dirichlet(np.full(states, 0.3)) + 0.05
+        tilt[k] = known[tail]
     emit = (counts[:, None] + 0.5) * tilt
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9)
-    move /= move.sum(axis=1, keepdims=True)
-    return Model({w: k for k, w in enumerate(names)}, np.full((2, states), 1 / states), move, emit / emit.sum(axis=0))
+    return Model(names, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _grid(classes: np.ndarray, bounds: np.ndarray, run: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of all texts, longest first: place of each run's first token, its length, whether it begins a text."""
+class Runs(NamedTuple):
+    """Runs of texts, a text's runs in a row."""
+
+    first: np.ndarray  # place of each run's first token
+    size: np.ndarray
+    text: np.ndarray
+    nth: np.ndarray  # place of the run in its text
+    parts: np.ndarray  # runs of each text
+    head: np.ndarray  # first run of each text
+
+
+def runs_of(bounds: np.ndarray, run: int) -> Runs:
     sizes = np.diff(bounds)
-    if run is None:
-        first, size, head = bounds[:-1], sizes, np.ones(len(sizes), bool)
-    else:
-        parts = -(-sizes // run)
-        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(bounds[:-1], parts) + inside * run
-        size = np.minimum(np.repeat(bounds[1:], parts) - first, run)
-        head = inside == 0
+    parts = -(-sizes // run)
+    head = np.cumsum(parts) - parts
+    text = np.repeat(np.arange(len(parts)), parts)
+    nth = np.arange(len(text)) - head[text]
+    first = bounds[:-1][text] + nth * run
+    return Runs(first, np.minimum(bounds[1:][text] - first, run), text, nth, parts, head)
+
+
+def _steps(size: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order of runs, longest first, and how many have a token at each step."""
     order = np.argsort(-size, kind="stable")
-    return first[order], size[order], head[order]
-
-
-def forward(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Natural log likelihood of each text's classes: scaled forward recursion, all texts a step at a time."""
-    first, size, _ = _grid(classes, bounds, None)
-    total = np.zeros(len(first))
-    order = np.argsort(-np.diff(bounds), kind="stable")
-    alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
-    state = np.tile(model.start[0], (len(first), 1))
-    for t, n in enumerate(alive.tolist()):
-        state = state[:n]
+    longest = int(size[order[0]]) if len(size) else 0
+    return order, np.searchsorted(-size[order], -np.arange(longest), "left").tolist()
+
+
+def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood of each text, the states that enter each run, and each later run's transfer matrix.
+
+    emit: of each token, tokens x states, the largest of each token about 1 (see `level`), so that scaling every SCALED
+    steps suffices. First runs are vectors from `start`; later ones are matrices until the states that enter them are known.
+    """
+    k = len(start)
+    ones = np.ones(k, emit.dtype)
+    total = np.zeros(len(runs.parts))
+    enter = np.tile(start.astype(emit.dtype), (len(runs.first), 1))
+    heads = np.flatnonzero(runs.nth == 0)
+    order, alive = _steps(runs.size[heads])
+    order = heads[order]
+    first, text = runs.first[order], runs.text[order]
+    state = enter[order]
+    for t, n in enumerate(alive):
+        state = (state[:n] @ move if t else state) * emit[first[:n] + t]
+        if t % SCALED == SCALED - 1:
+            scale = state @ ones
+            total[text[:n]] += np.log(scale, dtype=np.float64)
+            state /= scale[:, None]
+        stop = alive[t + 1] if t + 1 < len(alive) else 0
+        if stop < n:
+            scale = state[stop:] @ ones
+            total[text[stop:n]] += np.log(scale, dtype=np.float64)
+            more = runs.parts[text[stop:n]] > 1
+            enter[order[stop:n][more] + 1] = (state[stop:][more] / scale[more, None]) @ move
+    later = np.flatnonzero(runs.nth > 0)
+    order, alive = _steps(runs.size[later])
+    matrix = np.zeros((len(runs.first), k, k), emit.dtype)
+    if not len(later):
+        return total, enter, matrix
+    order = later[order]
+    first, ones = runs.first[order], np.ones(k * k, emit.dtype)
+    own = np.zeros((len(order), k, k), emit.dtype)
+    own[:, np.arange(k), np.arange(k)] = emit[first]
+    logs = np.zeros(len(runs.first))
+    for t, n in enumerate(alive):
+        own = own[:n]
         if t:
-            state = state @ model.move
-        state = state * model.emit[classes[first[:n] + t]]
+            own = (own.reshape(-1, k) @ move).reshape(n, k, k) * emit[first[:n] + t][:, None, :]
+        if t % SCALED == SCALED - 1:
+            scale = own.reshape(n, -1) @ ones
+            logs[order[:n]] += np.log(scale, dtype=np.float64)
+            own /= scale[:, None, None]
+        stop = alive[t + 1] if t + 1 < len(alive) else 0
+        matrix[order[stop:n]] = own[stop:]
+    for nth in range(1, int(runs.parts.max())):
+        at = runs.head[runs.parts > nth] + nth
+        state = np.einsum("ri,rij->rj", enter[at], matrix[at])
         scale = state.sum(axis=1)
-        total[:n] += np.log(scale)
-        state /= scale[:, None]
-    out = np.empty(len(first))
-    out[order] = total
-    return out
-
-
-def expect(model: Model, classes: np.ndarray, bounds: np.ndarray, run: int, sums: list[np.ndarray]) -> float:
-    """Adds expected counts (start, move, emit) of the texts to sums; returns their log likelihood in runs."""
-    first, size, head = _grid(classes, bounds, run)
-    if not len(size):
-        return 0.0
-    alive = np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()
-    k = model.move.shape[0]
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    state = model.start.astype(np.float32)[np.where(head, 0, 1)]
-    alphas, scales, gives = [], [], []
-    likelihood = 0.0
+        total[runs.text[at]] += np.log(scale, dtype=np.float64) + logs[at]
+        on = runs.parts[runs.text[at]] > nth + 1
+        enter[at[on] + 1] = (state[on] / scale[on, None]) @ move
+    return total, enter, matrix
+
+
+def level(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions over their largest in any state, and the logarithms of these."""
+    top = emit.max(axis=1)
+    return emit / top[:, None], np.log(top)
+
+
+def posteriors(start: np.ndarray, move: np.ndarray, emit: np.ndarray, bounds: np.ndarray, run: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of texts, each token's states (tokens x states), and expected moves: forward and backward."""
+    k = len(start)
+    runs = runs_of(bounds, run)
+    total, enter, matrix = forward(start, move, emit, runs)
+    leave = np.ones((len(runs.first), k), emit.dtype)  # backward values of each run's last token
+    for nth in range(int(runs.parts.max()) - 1 if len(runs.parts) else 0, 0, -1):
+        at = runs.head[runs.parts > nth] + nth
+        back = np.einsum("rij,rj->ri", matrix[at], leave[at]) @ move.T
+        leave[at - 1] = back / back.sum(axis=1)[:, None]
+    alpha, beta, ones = np.empty_like(emit), np.empty_like(emit), np.ones(k, emit.dtype)
+    order, alive = _steps(runs.size)
+    first = runs.first[order]
+    state, back_move = enter[order], np.ascontiguousarray(move.T)
     for t, n in enumerate(alive):
-        give = emit[classes[first[:n] + t]]
-        state = (state[:n] @ move if t else state) * give
-        scale = state.sum(axis=1)
-        likelihood += float(np.log(scale.astype(float)).sum())
-        state = state / scale[:, None]
-        alphas.append(state), scales.append(scale), gives.append(give)
-    beta = np.zeros((0, k), np.float32)
+        at = first[:n] + t
+        state = (state[:n] @ move if t else state) * emit[at]
+        if t % SCALED == SCALED - 1:
+            state /= (state @ ones)[:, None]
+        alpha[at] = state
+    back = np.zeros((0, k), emit.dtype)
     for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        own = np.ones((n, k), np.float32)
-        if len(beta):
-            m = len(beta)
-            after = beta * gives[t + 1][:m] / scales[t + 1][:m, None]
-            own[:m] = after @ move.T
-            sums[1] += (alphas[t][:m].T @ after) * move
-        gamma = alphas[t] * own
-        at = classes[first[:n] + t]
-        for s in range(k):
-            sums[2][:, s] += np.bincount(at, gamma[:, s], len(sums[2]))
-        if t == 0:
-            sums[0][0] += gamma[head].sum(axis=0)
-            sums[0][1] += gamma[~head].sum(axis=0)
-        beta = own
-    return likelihood
-
-
-def _batches(batch: pa.RecordBatch, model: Model, column: int = 0) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], np.ndarray, np.ndarray]]:
-    """Slices of a batch with their texts' words, the classes of all tokens and each text's bounds in them."""
-    for part in slices(batch, limit=2 << 20):
-        texts = [[*words_in(t.as_py()), END] for t in part.column(column).cast(pa.binary())]
-        words = [w for t in texts for w in t]
-        yield part, texts, model.class_of(words), np.cumsum([0, *map(len, texts)])
-
-
-def _improved(model: Model, rows: DataFrame, run: int) -> Model:
-    """One round: expected counts per task, summed by parts of the emission table, then made probabilities."""
+        n, m = alive[t], len(back)
+        at = first[:n] + t
+        own = leave[order[:n]]
+        if m:
+            mine = (back * emit[at[:m] + 1]) @ back_move
+            if t % SCALED == 0:
+                mine /= (mine @ ones)[:, None]
+            own[:m] = mine
+        beta[at] = back = own
+    gamma = alpha * beta
+    gamma /= (gamma @ ones)[:, None]
+    inner = np.ones(len(emit), bool)
+    inner[bounds[1:] - 1] = False
+    here = np.flatnonzero(inner)
+    after = emit[here + 1] * beta[here + 1]
+    alpha = alpha[here]
+    weight = ((alpha @ move) * after) @ ones
+    moves = (alpha / weight[:, None]).T @ after * move
+    return float(total.sum()), gamma, moves
+
+
+def _round(model: Model, rows: DataFrame, run: int) -> tuple[Model, float]:
+    """One round: expected counts per task, summed by class. The new model, and the old one's log likelihood."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    states, n = model.move.shape[0], len(model.emit)
-    step = -(-n // SPREAD)
+    states, n = len(model.start), len(model.emit)
+    names = ["class", *(f"s{k}" for k in range(states))]
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        sums = [np.zeros((2, states)), np.zeros((states, states)), np.zeros((n, states))]
+        table, move = own.classes(), own.move.astype(np.float32)
+        emit, tops = level(own.emit)
+        emit = emit.astype(np.float32)
+        sums, start, moves, likelihood = np.zeros((n, states)), np.zeros(states), np.zeros((states, states)), 0.0
         for batch in batches:
-            for _, _, classes, bounds in _batches(batch, own):
-                expect(own, classes, bounds, run, sums)
-        parts = [np.concatenate([sums[0], sums[1]]), *(sums[2][a : a + step] for a in range(0, n, step))]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        blobs = table.column("sums").to_pylist()
-        total = np.zeros(len(blobs[0]) // 8)
-        for blob in blobs:
-            total += np.frombuffer(blob)
-        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    counts = rows.select("text").mapInArrow(work, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary")
-    found = {r["part"]: np.frombuffer(r["sums"]).reshape(-1, states) for r in counts.collect()}  # classes x states numbers
-    if not found:
-        return model
-    emit = np.concatenate([found[k] for k in sorted(found) if k]) + _ENTRY
-    start, move = found[0][:2] + _ENTRY, found[0][2:] + _ENTRY
-    return model._replace(start=start / start.sum(axis=1, keepdims=True), move=move / move.sum(axis=1, keepdims=True), emit=emit / emit.sum(axis=0))
+            for part in slices(batch, limit=SLICE_BYTES):
+                tokens = tokens_of(part.column(0))
+                at = class_of(tokens, table, len(own.names))
+                more, gamma, pairs = posteriors(own.start.astype(np.float32), move, emit[at], tokens.bounds, run)
+                for k in range(states):
+                    sums[:, k] += np.bincount(at, gamma[:, k], n)
+                start += gamma[tokens.bounds[:-1]].sum(axis=0)
+                moves += pairs
+                likelihood += more + float(tops[at].sum())
+        # Below the classes: the start, a row for each state's moves, and the likelihood.
+        rest = np.concatenate([start[None], moves, np.full((1, states), likelihood)])
+        some = np.flatnonzero(sums.any(axis=1))
+        at = np.concatenate([some, -1 - np.arange(len(rest))])
+        rows = np.concatenate([sums[some], rest])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(rows[:, k]) for k in range(states))], names)
+
+    schema = "class long, " + ", ".join(f"{c} double" for c in names[1:])
+    counts = rows.select("text").mapInArrow(work, schema).groupBy("class").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    found = np.zeros((n + states + 2, states))
+    for r in counts.collect():  # classes x states numbers
+        found[r["class"]] = r[1:]
+    start, move, emit = found[-1] + _ENTRY, found[-1 - states : -1][::-1] + _ENTRY, found[:n] + _ENTRY
+    better = model._replace(start=start / start.sum(), move=move / move.sum(axis=1, keepdims=True), emit=emit / emit.sum(axis=0))
+    return better, float(found[-2 - states][0])
+
+
+def _word_states(model: Model, rows: DataFrame, run: int) -> DataFrame:
+    """(h, c, p): of every word its count and the 8-bit shares of its occurrences in each state, packed."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    states = len(model.start)
+    names = ["h", "c", *(f"s{k}" for k in range(states))]
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        table, emit, move = own.classes(), level(own.emit)[0].astype(np.float32), own.move.astype(np.float32)
+        sums = _Sums(1 + states)
+
+        def out() -> pa.RecordBatch:
+            keys = np.concatenate([np.zeros(0, np.uint64), *sums.keys]).view(np.int64)
+            columns = [pa.array(keys), pa.array(sums.sums[:, 0].astype(np.int64)), *(pa.array(sums.sums[:, 1 + k].astype(np.float32)) for k in range(states))]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            for part in slices(batch, limit=SLICE_BYTES):
+                tokens = tokens_of(part.column(0))
+                _, gamma, _ = posteriors(own.start.astype(np.float32), move, emit[class_of(tokens, table, len(own.names))], tokens.bounds, run)
+                sums.add(tokens.keys, None, *gamma.T)
+                if sums.full():
+                    yield out()
+                    sums = _Sums(1 + states)
+        yield out()
+
+    schema = "h long, c long, " + ", ".join(f"{c} float" for c in names[2:])
+    made = rows.select("text").mapInArrow(work, schema).groupBy("h").agg(F.sum("c").alias("c"), *(F.sum(c).alias(c) for c in names[2:]))
+    packed = F.lit(0).cast("long")
+    for k, c in enumerate(names[2:]):
+        packed = packed.bitwiseOR(F.shiftleft(F.round(F.col(c) / F.col("c") * 255).cast("long"), 8 * k))
+    return made.select("h", "c", packed.alias("p"))
+
+
+def unpacked(packed: np.ndarray, states: int) -> np.ndarray:
+    """Shares of states, each row summing to 1."""
+    out = (packed[:, None] >> (8 * np.arange(states)) & 255).astype(float)
+    return out / np.maximum(out.sum(axis=1), 1)[:, None]
 
 
 class Trained(NamedTuple):
     model: Model
-    counts: DataFrame  # (word, c) of all training tokens
+    words: DataFrame  # (h, c, p) of all training words
     tokens: int  # N
     distinct: int  # V
-    shared: np.ndarray  # per shared class: training tokens, distinct words
-    known: np.ndarray  # training count of each frequent word
+    share: np.ndarray  # of each state among all training tokens
+    history: list[float]  # log likelihood of a token by round
 
 
 def train(rows: DataFrame, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS, run: int = RUN) -> Trained:
     """rows(text): the training texts."""
+    if states > 7:
+        raise ValueError("at most 7 states: a word's shares are packed into one long")
     counts = settled(word_counts(rows), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(classes).collect()
-    names = {bytes(r["word"]): k for k, r in enumerate(top)}
-    sent = rows.sparkSession.sparkContext.broadcast(names)
+    top = sorted(_frequent(counts, classes).select("h", "c", "shape", "tail").collect(), key=lambda r: (-r["c"], r["h"]))
+    known = np.array([r["c"] for r in top], float)
+    shared = np.zeros(2 * LENGTHS)
+    for r in counts.groupBy("shape").agg(F.sum("c").alias("c")).collect():
+        shared[r["shape"]] = r["c"]
+    for r in top:
+        shared[r["shape"]] -= r["c"]
+    drop(counts)
+    names = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    model = first_model(names, np.concatenate([known, shared]), np.array([r["tail"] for r in top], np.int64), states)
+    history: list[float] = []
+    for _ in range(rounds if total else 0):
+        better, likelihood = _round(model, rows, run)
+        history.append(likelihood / total)
+        model = better
+        if len(history) > 1 and history[-1] - history[-2] < GAIN:
+            break
+    words = settled(_word_states(model, rows, run), "words")
+    sums = [F.shiftright("p", 8 * k).bitwiseAND(F.lit(255)) for k in range(states)]
+    parts = [F.sum(F.col("c") * x / F.greatest(sum(sums[1:], sums[0]), F.lit(1))) for x in sums]
+    share = np.array([x or 0.0 for x in words.agg(*parts).first()])
+    return Trained(model, words, int(total or 0), int(distinct or 0), share / max(1, int(total or 0)), history)
+
+
+def emissions(counts: np.ndarray, packed: np.ndarray, trained_share: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """b_k(w) of words by count (0: unknown) and packed shares: words x states."""
+    share = np.maximum(trained_share, 1e-12)
+    tilt = np.where(counts[:, None] > 0, (1 - FLAT) * unpacked(packed, len(share)) / share + FLAT, 1)
+    return (counts[:, None] * tilt + 0.5) / (total + 0.5 * (distinct + 1))
+
+
+def _bundles(docs: DataFrame) -> DataFrame:
+    """(bundle, keys, ids, blob): texts in bundles; keys: hashes of a bundle's distinct words; blob: its tokens by their
+    place in keys, and how many each text has."""
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, ids, at, sizes, held = _Sums(0), [], [], [], 0
+        pack = zstandard.ZstdCompressor(level=1)
+
+        def out() -> pa.RecordBatch:
+            keys = np.concatenate([np.zeros(0, np.uint64), *sums.keys]).view(np.int64)
+            size, own = np.concatenate(sizes).astype("<i8"), np.concatenate(at).astype("<i4")
+            blob = pack.compress(np.int64(len(size)).tobytes() + size.tobytes() + own.tobytes())
+            columns = [pa.array([keys], pa.list_(pa.int64())), pa.array([[x for part in ids for x in part]], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["keys", "ids", "blob"])
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2 * LENGTHS, 2), np.int64)
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if word not in sent.value:
-                    sums[shape(word)] += (c, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(2 * LENGTHS), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["s", "c", "n"])
-
-    shared = np.zeros((2 * LENGTHS, 2), np.int64)
-    for r in counts.mapInArrow(rest, "s int, c long, n long").groupBy("s").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
-        shared[r["s"]] = r["c"], r["n"]
-    known = np.array([r["c"] for r in top], np.int64)
-    model = first_model([bytes(r["word"]) for r in top], np.concatenate([known, shared[:, 0]]).astype(float), states)
-    for _ in range(rounds if top else 0):
-        model = _improved(model, rows, run)
-    return Trained(model, counts, int(total or 0), int(distinct or 0), shared, known)
-
-
-def score(docs: DataFrame, trained: Trained) -> DataFrame:
+            for part in slices(batch, limit=SLICE_BYTES):
+                tokens = tokens_of(part.column(1))
+                sums.add(tokens.keys)
+                ids.append(part.column(0).to_pylist()), at.append(sums.codes.find(tokens.keys)), sizes.append(np.diff(tokens.bounds))
+                held += part.column(1).nbytes
+                if held > BUNDLE_BYTES:
+                    yield out()
+                    sums, ids, at, sizes, held = _Sums(0), [], [], [], 0
+        if ids:
+            yield out()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(work, "keys array<long>, ids array<long>, blob binary").withColumn("bundle", F.monotonically_increasing_id())
+
+
+def score(docs: DataFrame, trained: Trained, run: int = 2 * RUN) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; base-10 logarithms."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((trained.model, trained.known))
-    total, distinct = trained.tokens, trained.distinct
-    floor = np.log10(total + 0.5 * (distinct + 1))
-    shared = trained.shared
-    # A shared class's own denominator: its tokens, half a count for each of its words and for the unknown.
-    inside = np.log10(shared[:, 0] + 0.5 * (shared[:, 1] + 1))
+    bundles = settled(_bundles(docs), "bundles")
+    words = bundles.select("bundle", F.explode("keys").alias("h")).join(trained.words, "h", "left")
+    words = words.groupBy("bundle").agg(F.collect_list("h").alias("hs"), F.collect_list(F.coalesce("c", F.lit(0))).alias("cs"), F.collect_list(F.coalesce("p", F.lit(0))).alias("ps"))
+    start, move, share, total, distinct = trained.model.start, trained.model.move, trained.share, trained.tokens, trained.distinct
+    states = len(start)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value
-        n = model.n_names
-        base_known = np.log10(known + 0.5) - floor
         for batch in batches:
-            for part, texts, classes, bounds in _batches(batch, model, 1):
-                log = forward(model, classes, bounds) / np.log(10)
-                frequent = classes < n
-                text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                base = np.bincount(text[frequent], base_known[classes[frequent]], len(texts)).astype(float)
-                n_known = np.bincount(text[frequent], minlength=len(texts))
-                rare = [Counter(w for w, f in zip(t, frequent[a:b].tolist(), strict=True) if not f) for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                lists = pa.array([[{"word": w, "times": c} for w, c in r.items()] for r in rare], RARE)
-                columns = [part.column(0), pa.array(np.diff(bounds)), pa.array(n_known), pa.array(base), pa.array(log), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "log", "rare"])
-
-    schema = "doc_id long, n_tokens long, n_known long, base double, log double, rare array<struct<word:binary,times:long>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
-    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "forward")
-    words = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.times").alias("times"))
-    met = words.join(trained.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    ascii_word = ~F.hex("word").rlike("^(..)*[89A-F].")
-    place = F.greatest(F.least(F.length("word"), F.lit(LENGTHS)), F.lit(1)) - 1 + F.when(ascii_word, 0).otherwise(LENGTHS)
-    share = F.log10(F.col("c") + 0.5)
-    own = F.element_at(F.array(*(F.lit(float(x)) for x in inside)), place + 1)
-    per_row = met.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * (share - float(floor))).alias("base_rare"),
-        F.sum(F.col("times") * (share - own)).alias("log_rare"),
-    )
-    zero = F.lit(0.0)
-    return rows.join(per_row, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_rare", zero)).alias("base_score"), (F.col("log") + F.coalesce("log_rare", zero)).alias("score"),
-    )
-
-
-RARE = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+            for k in range(batch.num_rows):
+                known, counts, packed, keys = (batch.column(j)[k].values.to_numpy() for j in range(4))
+                order = np.argsort(known)
+                place = order[np.searchsorted(known, keys, sorter=order)]
+                yield from scored(batch.column(4)[k].values, batch.column(5)[k].as_py(), counts[place], packed[place])
+
+    def scored(ids: pa.Array, blob: bytes, counts: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        sizes, tokens = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i4", -1, 8 + 8 * n)
+        emit, tops = level(emissions(counts, packed, share, total, distinct))
+        base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 250_000, "right")) - 1)
+            own, inner = tokens[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+            log, _, _ = forward(start, move, emit[own], runs_of(inner, run))
+            text = np.repeat(np.arange(b - a), np.diff(inner))
+            log += np.bincount(text, tops[own], b - a)
+            n_known = np.bincount(text, counts[own] > 0, b - a).astype(np.int64)
+            columns = [ids.slice(a, b - a), pa.array(np.diff(inner)), pa.array(n_known), pa.array(np.bincount(text, base[own], b - a)), pa.array(log / math.log(10))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            a = b
+
+    both = words.join(bundles, "bundle").select("hs", "cs", "ps", "keys", "ids", "blob")
+    made = both.mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return made.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
