@@ -46,12 +46,21 @@ def language(path: Column) -> Column:
     return F.element_at(table, suffix(path))
 
 
+# Names of test files by language, in lower case.
+TEST_PATHS = {
+    "python": [r"/test_[^/]*\.py$", r".*_test\.py$", r"/tests?\.py$", r".*/tests?/.*\.py$"],
+    "javascript": [r".*\.test\.js$", r".*\.spec\.js$", r".*/tests?/.*\.js$", r".*/__tests__/.*\.js$"],
+    "typescript": [r".*\.test\.ts$", r".*\.spec\.ts$", r".*/tests?/.*\.ts$", r".*/__tests__/.*\.ts$"],
+}
+
+
 def is_test_path(path: Column, lang: Column) -> Column:
     """Whether a path names a test file by the habits of its language."""
     low = F.lower(path)
-    python = low.rlike(r"(^|/)test_[^/]*\.py$|_test\.py$|(^|/)tests?/")
-    script = low.rlike(r"\.(test|spec)\.[jt]sx?$|(^|/)(tests?|__tests__)/")
-    return F.when(lang == "python", python).otherwise(script)
+    out = F.when(F.lit(False), False)
+    for name, patterns in TEST_PATHS.items():
+        out = out.when(lang == name, low.rlike("|".join(patterns)))
+    return out.otherwise(False)
 
 
 def glob_regex(pattern: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's folder; in tests, where there is none, in one of our own."""
+    """Reliable checkpoint in the session's folder; only with a local master, where there is none, in one of our own."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeworks-"))
     return df.checkpoint()
 
@@ -62,11 +66,11 @@ def top_subgraph(edges: DataFrame, k: int = 100) -> DataFrame:
     return edges.join(top.withColumnRenamed("node", "src"), "src", "left_semi").join(top.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def bfs_depths(edges: DataFrame, start, most: int = 1000) -> DataFrame:
-    """(node, depth) of all nodes reachable from start."""
+def bfs_depths(edges: DataFrame, start) -> DataFrame:
+    """(node, depth) of all nodes reachable from start: a round for each depth that there is."""
     seen = _cut(edges.sparkSession.createDataFrame([(start, 0)], f"node {edges.schema['src'].dataType.simpleString()}, depth int"))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         reached = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = _cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -107,23 +111,24 @@ def longest_path(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([(0 if cyclic else length,)], "longest_path int")
 
 
-def simple_cycles(edges: DataFrame, most: int = 4) -> DataFrame:
-    """(cycle, length, severity): simple cycles of up to `most` nodes, each from its smallest node on."""
+def simple_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(cycle, length, severity): simple cycles, of up to `most` nodes if that is given, each from its smallest node on."""
     edges = core(edges)
     paths = edges.filter("src < dst").select(F.array("src", "dst").alias("path"))
     found = edges.sparkSession.createDataFrame([], f"cycle array<{edges.schema['src'].dataType.simpleString()}>")
-    for length in range(2, most + 1):
+    for length in itertools.count(2):
         last = F.element_at("path", -1)
         closed = paths.join(edges, (last == F.col("src")) & (F.element_at("path", 1) == F.col("dst"))).select(F.col("path").alias("cycle"))
         found = found.unionByName(closed)
-        if length < most:
-            longer = paths.join(edges, (last == F.col("src")) & (F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
-            paths = _cut(longer.select(F.concat("path", F.array("dst")).alias("path")))
+        if length == most or paths.isEmpty():
+            break
+        longer = paths.join(edges, (last == F.col("src")) & (F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
+        paths = _cut(longer.select(F.concat("path", F.array("dst")).alias("path")))
     n = F.size("cycle")
     return found.select("cycle", n.alias("length"), F.when(n >= 5, "high").when(n >= 3, "medium").otherwise("low").alias("severity"))
 
 
-def strong_components(edges: DataFrame, most: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles: smallest node that reaches and is reached, by rounds over the cyclic core.
 
     Forward and backward smallest labels; nodes that agree with a label's own node on both are one component and leave.
@@ -131,9 +136,7 @@ def strong_components(edges: DataFrame, most: int = 100) -> DataFrame:
     left = core(edges)
     kind = edges.schema["src"].dataType.simpleString()
     done = edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
-    for _ in range(most):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         labels = _cut(nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b")))
         while True:

@@ -78,16 +78,22 @@ def recent_turns(turns: DataFrame, k: int = 3, longest: int = 150) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.substring("text", 1, longest).alias("text"))
 
 
-def keywords(turns: DataFrame, stop: list[str], last: int = 5, k: int = 10, longer_than: int = 3) -> DataFrame:
-    """(conv_id, word): the first k words, in order, of each conversation's last turns that are long enough and no stop words."""
+# Words that are no keywords.
+STOP_WORDS = ["what", "how", "where", "when", "why", "this", "that", "with", "from"]
+
+
+def keywords(turns: DataFrame, last: int = 10, k: int = 10, longer_than: int = 3) -> DataFrame:
+    """(conv_id, word): the first k words, in code-point order, of each conversation's last turns (five questions and their
+    answers) that are long enough, hold a letter or digit and are no stop words. Words are what white space parts."""
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     rows = turns.withColumn("age", F.row_number().over(order)).filter(F.col("age") <= last)
-    words = rows.select("conv_id", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).filter(F.length("word") > longer_than)
-    words = words.filter(~F.col("word").isin(*stop)).distinct()
+    words = rows.select("conv_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter(F.length("word") > longer_than)
+    words = words.filter(F.col("word").rlike(r"[\p{L}\p{N}]") & ~F.col("word").isin(STOP_WORDS)).distinct()
     first = Window.partitionBy("conv_id").orderBy("word")
     return words.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).select("conv_id", "word")
 
 
+# How sure answers of each kind are.
 TYPE_FACTOR = {"file_specific": 1.0, "function_specific": 1.1, "class_specific": 1.1, "issue_related": 1.0, "metrics": 0.9, "code_specific": 0.8, "general": 0.7}
 
 

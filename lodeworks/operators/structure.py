@@ -1,4 +1,4 @@
-"""Structure of source files: Python by its own parser, JavaScript by regular expressions over lines.
+"""Structure of source files: Python by its own parser, JavaScript by forms of lines and braces; what is found in it.
 
 Files are parsed in Arrow batches, each file by itself: one that doesn't parse gives an error row, never a failed task.
 """
@@ -6,17 +6,20 @@ Files are parsed in Arrow batches, each file by itself: one that doesn't parse g
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import split_lines
+from lodeworks.functions.weights import MAINTAINABILITY_BANDS, banded
 
 ELEMENTS = (
     "path string, kind string, name string, owner string, line_start int, line_end int, parameters array<string>, bases array<string>, "
-    "decorators array<string>, docstring string, complexity int, is_async boolean, is_method boolean, module string, names array<string>, error string"
+    "decorators array<string>, docstring string, complexity int, is_async boolean, is_method boolean, module string, alias string, names array<string>, returns string, "
+    "cognitive int, nesting int, n_code_lines int, error string"
 )
 _COLUMNS = [c.split()[0] for c in ELEMENTS.split(", ")]
 _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert)
@@ -38,9 +41,37 @@ def complexity(node: ast.AST) -> int:
     return total
 
 
-def depth(node: ast.AST) -> int:
+def depth(tree: ast.AST) -> int:
     """Deepest nesting of blocks below a node."""
-    return max((depth(c) + isinstance(c, _NESTS) for c in ast.iter_child_nodes(node)), default=0)
+    deepest, rest = 0, [(tree, 0)]
+    while rest:
+        node, level = rest.pop()
+        deepest = max(deepest, level)
+        rest += [(c, level + isinstance(c, _NESTS)) for c in ast.iter_child_nodes(node)]
+    return deepest
+
+
+# What the textual measures count.
+_OPENING = ("if", "while", "for", "try", "def", "class")
+_COSTLY = re.compile(r"\b(?:if|elif|else|while|for|try|except|finally)\b")
+_LOGICAL = ("&&", "||", "and", "or")
+_LEAVING = ("pass", "break", "continue", "return")
+
+
+def text_measures(lines: list[str]) -> dict[str, int]:
+    """Of a function's lines: cognitive cost (each distinct keyword of a line costs 1 and the blocks opened so far, each
+    logical operator 1), deepest nesting by opened and left blocks, lines that are neither blank nor comments."""
+    cost = opened = now = deepest = code = 0
+    for line in map(str.strip, lines):
+        code += bool(line) and not line.startswith("#")
+        ends = line.endswith(":")
+        opened += ends and any(w in line for w in _OPENING)
+        cost += len(set(_COSTLY.findall(line))) * (1 + opened) + sum(map(line.count, _LOGICAL))
+        now += ends and any(w in line for w in (*_OPENING, "with"))
+        deepest = max(deepest, now)
+        if line in _LEAVING or line.startswith(("except", "finally")):
+            now = max(0, now - 1)
+    return {"cognitive": max(1, cost), "nesting": deepest, "n_code_lines": code}
 
 
 def _row(path: str, kind: str, **values) -> dict:
@@ -53,7 +84,8 @@ def elements_of(path: str, source: str) -> list[dict]:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [_row(path, "error", error=type(e).__name__)]
-    rows, owners = [], {}
+    rows, owners, lines = [], {}, source.splitlines()
+    rows.append(_row(path, "file", nesting=depth(tree), n_code_lines=text_measures(lines)["n_code_lines"]))
     for node in ast.walk(tree):
         if isinstance(node, ast.ClassDef):
             owners |= {id(c): node.name for c in node.body}
@@ -63,7 +95,7 @@ def elements_of(path: str, source: str) -> list[dict]:
                 names=[c.name for c in node.body if isinstance(c, ast.FunctionDef | ast.AsyncFunctionDef)],
             ))
         elif isinstance(node, ast.Import):
-            rows += [_row(path, "import", module=a.name, names=[a.asname or a.name], line_start=node.lineno) for a in node.names]
+            rows += [_row(path, "import", module=a.name, alias=a.asname, names=[], line_start=node.lineno) for a in node.names]
         elif isinstance(node, ast.ImportFrom) and node.module:
             rows.append(_row(path, "import", module=node.module, names=[a.name for a in node.names], line_start=node.lineno))
     for node in ast.walk(tree):
@@ -74,42 +106,117 @@ def elements_of(path: str, source: str) -> list[dict]:
                 path, "function", name=node.name, owner=owners.get(id(node)), line_start=node.lineno, line_end=node.end_lineno, parameters=names,
                 docstring=ast.get_docstring(node), complexity=complexity(node), is_async=isinstance(node, ast.AsyncFunctionDef),
                 is_method=bool(names) and names[0] in ("self", "cls"), decorators=[ast.unparse(d) for d in node.decorator_list],
+                returns=ast.unparse(node.returns) if node.returns else None, **text_measures(lines[node.lineno - 1 : node.end_lineno]),
             ))
     return rows
 
 
-def python_elements(files: DataFrame) -> DataFrame:
-    """Elements of files(path, content), one row each; `error` rows for files that don't parse."""
-
+def _parsed(files: DataFrame, of: Callable[[str, str], list[dict]]) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [r for p, c in zip(frame["path"], frame["content"], strict=True) for r in elements_of(p, c or "")]
+            rows = [r for p, c in zip(frame["path"], frame["content"], strict=True) for r in of(p, c or "")]
             made = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in ("line_start", "line_end", "complexity"):
+            for c in ("line_start", "line_end", "complexity", "cognitive", "nesting", "n_code_lines"):
                 made[c] = made[c].astype("Int32")
             yield made
 
     return files.select("path", "content").mapInPandas(work, ELEMENTS)
 
 
-_JS_FUNCTION = (
-    r"function\s+(\w+)\s*\(|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)|^\s*(?:async\s+)?(\w+)\s*\([^)]*\)\s*\{"
-)
-_JS_IMPORT = r"""import\s+.*from\s+['"]([^'"]+)['"]|import\s+['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\)"""
-_JS_WORDS = ["if", "else", "while", "for", "switch", "case", "catch", "do", "try"]
-
-
-def script_functions(lines: DataFrame) -> DataFrame:
-    """(path, name, line_start, complexity of the line) from lines(path, line_no, line): the first form that fits."""
-    name = F.coalesce(*(F.nullif(F.regexp_extract("line", _JS_FUNCTION, k), F.lit("")) for k in (1, 2, 3)))
-    words = sum((F.regexp_count("line", F.lit(rf"\b{w}\b")) for w in _JS_WORDS), F.lit(1))
-    cost = words + sum((F.regexp_count("line", F.lit(p)) for p in ("&&", r"\|\|", r"\?")), F.lit(0))
-    return lines.select("path", name.alias("name"), F.col("line_no").alias("line_start"), cost.alias("complexity")).filter("name IS NOT NULL")
+def python_elements(files: DataFrame) -> DataFrame:
+    """Elements of files(path, content), one row each, and a row `file` for each; `error` rows for files that don't parse."""
+    return _parsed(files, elements_of)
+
+
+# Forms of functions, imports and classes, in the order in which they are tried on a line.
+SCRIPT_FUNCTIONS = [
+    r"^\s*function\s+(\w+)\s*\(([^)]*)\)\s*\{",
+    r"^\s*(?:const|let|var)\s+(\w+)\s*=\s*\(([^)]*)\)\s*=>\s*\{",
+    r"^\s*(?:const|let|var)\s+(\w+)\s*=\s*(\w+)\s*=>\s*\{",
+    r"^\s*(\w+)\s*\(([^)]*)\)\s*\{",
+    r"^\s*async\s+function\s+(\w+)\s*\(([^)]*)\)\s*\{",
+]
+SCRIPT_IMPORTS = [
+    r"^\s*import\s+(\w+)\s+from\s+['\"]([^'\"]+)['\"]",
+    r"^\s*import\s+\{\s*([^}]+)\s*\}\s+from\s+['\"]([^'\"]+)['\"]",
+    r"^\s*import\s+\*\s+as\s+(\w+)\s+from\s+['\"]([^'\"]+)['\"]",
+    r"^\s*import\s+['\"]([^'\"]+)['\"]",
+    r"^\s*(?:const|let|var)\s+(\w+)\s*=\s*require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)",
+]
+SCRIPT_CLASS = r"^\s*class\s+(\w+)(?:\s+extends\s+(\w+))?\s*\{"
+SCRIPT_METHOD = SCRIPT_FUNCTIONS[3]
+SCRIPT_WORDS = ["if", "else if", "while", "for", "switch", "case", "catch", "try", "do"]
+SCRIPT_SIGNS = ["&&", "||", "?"]
+_FUNCTIONS, _IMPORTS = ([re.compile(p) for p in own] for own in (SCRIPT_FUNCTIONS, SCRIPT_IMPORTS))
+_CLASS, _METHOD = re.compile(SCRIPT_CLASS), re.compile(SCRIPT_METHOD)
+_DECISIONS = [re.compile(rf"\b{w}\b") for w in SCRIPT_WORDS]
+
+
+def script_complexity(code: str) -> int:
+    return 1 + sum(len(w.findall(code)) for w in _DECISIONS) + sum(map(code.count, SCRIPT_SIGNS))
+
+
+def _parameters(text: str) -> list[str]:
+    names = (re.split("[:=]", part)[0].strip() for part in text.split(","))
+    return [n for n in names if n]
+
+
+def _closing(lines: list[str]) -> list[int]:
+    """For each line, the first one from there on after which its braces are even; the last line if there is none or it opens none."""
+    level, after = 0, []
+    for line in lines:
+        level += line.count("{") - line.count("}")
+        after.append(level)
+    seen: dict[int, int] = {}
+    out = [len(lines) - 1] * len(lines)
+    for i in range(len(lines) - 1, -1, -1):
+        seen[after[i]] = i
+        if "{" in lines[i]:
+            out[i] = seen.get(after[i - 1] if i else 0, len(lines) - 1)
+    return out
+
+
+def _comment_before(lines: list[str], at: int) -> str | None:
+    """The documentation comment that starts on the nearest line above which is neither blank nor a line comment, at most nine up."""
+    for i in range(at - 1, max(0, at - 10), -1):
+        text = lines[i].strip()
+        if text.startswith("/**"):
+            own = [x.strip() for x in lines[i:at]]
+            last = next((k for k, x in enumerate(own) if "*/" in x), len(own) - 1)
+            return "\n".join(x[1:].strip() if x.startswith("*") else x for x in own[: last + 1]).replace("/**", "").replace("*/", "").strip()
+        if text and not text.startswith("//"):
+            return None
+    return None
+
+
+def script_elements_of(path: str, source: str) -> list[dict]:
+    """Functions, classes, methods and imports of a JavaScript or TypeScript file, by line forms and braces."""
+    lines, rows = source.splitlines(), []
+    ends = _closing(lines)
+    for i, line in enumerate(lines):
+        if m := next((m for m in (p.match(line) for p in _FUNCTIONS) if m), None):
+            rows.append(_row(
+                path, "function", name=m[1], line_start=i + 1, line_end=ends[i] + 1, parameters=_parameters(m[2]), is_async="async" in line, is_method=False,
+                docstring=_comment_before(lines, i), complexity=script_complexity("\n".join(lines[i : ends[i]])),
+            ))
+        if m := next((m for m in (p.match(line) for p in _IMPORTS) if m), None):
+            module = m[m.lastindex]
+            names = [n.strip() for n in m[1].split(",")] if "{" in line and m.lastindex > 1 else [m[1]] if m.lastindex > 1 else []
+            rows.append(_row(path, "import", module=module, names=names, line_start=i + 1))
+        if m := _CLASS.match(line):
+            inside = lines[i : ends[i]]
+            stops, names = _closing(inside), []
+            for j, own in enumerate(inside):
+                if (x := _METHOD.match(own)) and x[1] != "class" and not own.strip().startswith("//"):
+                    names.append(x[1])
+                    rows.append(_row(path, "method", name=x[1], owner=m[1], line_start=i + 1 + j, line_end=i + 1 + stops[j], parameters=_parameters(x[2]), is_method=True, complexity=1))
+            rows.append(_row(path, "class", name=m[1], line_start=i + 1, line_end=ends[i] + 1, bases=[m[2]] if m[2] else [], names=names, docstring=_comment_before(lines, i)))
+    return rows
 
 
-def script_imports(lines: DataFrame) -> DataFrame:
-    module = F.coalesce(*(F.nullif(F.regexp_extract("line", _JS_IMPORT, k), F.lit("")) for k in (1, 2, 3)))
-    return lines.select("path", module.alias("module"), F.col("line_no").alias("line_start")).filter("module IS NOT NULL")
+def script_elements(files: DataFrame) -> DataFrame:
+    """Elements of JavaScript and TypeScript files(path, content), one row each."""
+    return _parsed(files, script_elements_of)
 
 
 def module_name(path):
@@ -117,44 +224,192 @@ def module_name(path):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"(/__init__)?\.py$", ""), "/", "."), r"^(src|lib|app)\.", "")
 
 
-def function_findings(functions: DataFrame) -> DataFrame:
-    """(path, name, metric, value, threshold, severity, confidence): functions beyond the limits, one projection."""
-    size = F.col("line_end") - F.col("line_start")
-    params = F.size(F.filter("parameters", lambda p: ~p.isin("self", "cls")))
-    ratio = lambda v, t: F.when(v >= 2 * t, "high").when(v >= 1.5 * t, "medium").otherwise("low")
-    limits = [
-        ("complexity", F.col("complexity"), 10, None, 0.9), ("length", size, 50, "medium", 0.8), ("parameters", params, 5, "low", 0.85),
-    ]
-    rows = F.array(*(
-        F.struct(F.lit(n).alias("metric"), v.cast("long").alias("value"), F.lit(t).alias("threshold"), (F.lit(s) if s else ratio(v, t)).alias("severity"), F.lit(c).alias("confidence"))
+def _ratio(value: Column, threshold: int) -> Column:
+    return F.when(value >= 2 * threshold, "high").when(value >= 1.5 * threshold, "medium").otherwise("low")
+
+
+def _beyond(rows: DataFrame, keys: list[str], limits: list[tuple]) -> DataFrame:
+    """keys, metric, value, threshold, severity, confidence for each limit (metric, value, threshold, severity, confidence) that is passed."""
+    found = F.array(*(
+        F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value"), F.lit(t).alias("threshold"), (F.lit(s) if isinstance(s, str) else s).alias("severity"), F.lit(c).alias("confidence"))
         for n, v, t, s, c in limits
     ))
-    return functions.select("path", "name", F.explode(F.filter(rows, lambda r: r["value"] > r["threshold"])).alias("r")).select("path", "name", "r.*")
+    return rows.select(*keys, F.explode(F.filter(found, lambda r: r["value"] > r["threshold"])).alias("r")).select(*keys, "r.*")
+
+
+def function_findings(functions: DataFrame) -> DataFrame:
+    """(path, name, line_start, metric, value, threshold, severity, confidence): functions beyond the limits, one projection."""
+    complexity, cognitive = F.col("complexity"), F.col("cognitive")
+    return _beyond(functions, ["path", "name", "line_start"], [
+        ("cyclomatic_complexity", complexity, 10, _ratio(complexity, 10), 0.9), ("cognitive_complexity", cognitive, 15, _ratio(cognitive, 15), 0.85),
+        ("nesting_depth", F.col("nesting"), 4, "medium", 0.9), ("function_length", F.col("line_end") - F.col("line_start"), 50, "medium", 0.8),
+        ("parameter_count", F.size("parameters"), 5, "low", 0.85), ("algorithmic_complexity", complexity, 10, "medium", 0.6),
+    ])
+
+
+def class_findings(classes: DataFrame) -> DataFrame:
+    """Classes with too many methods, by three bounds."""
+    n = F.size("names")
+    return _beyond(classes, ["path", "name", "line_start"], [("class_size", n, 20, "medium", 0.8), ("class_cohesion", n, 10, "low", 0.6), ("god_class", n, 30, "high", 0.9)])
+
+
+def file_metrics(files: DataFrame, elements: DataFrame) -> DataFrame:
+    """Per file of files(path, line_count): counts of functions, classes, imports, and their complexities."""
+    of = lambda kind: F.col("kind") == kind
+    own = F.when(of("function"), F.col("complexity"))
+    counts = elements.groupBy("path").agg(
+        F.count_if(of("function")).alias("n_functions"), F.count_if(of("class")).alias("n_classes"), F.count_if(of("import")).alias("n_imports"),
+        F.coalesce(F.sum(own), F.lit(0)).alias("total_complexity"), F.coalesce(F.max(own), F.lit(0)).alias("max_complexity"), F.coalesce(F.avg(own), F.lit(0.0)).alias("avg_complexity"),
+        F.max(F.when(of("file"), F.col("nesting"))).alias("nesting"), F.max(F.when(of("file"), F.col("n_code_lines"))).alias("n_code_lines"),
+    )
+    return files.join(counts, "path", "left").fillna(0, ["n_functions", "n_classes", "n_imports", "total_complexity", "max_complexity", "avg_complexity"])
+
+
+def maintainability_index(mean_complexity: Column, lines: Column) -> Column:
+    """0 to 100 from a file's mean complexity and number of lines."""
+    raw = 171 - 0.23 * mean_complexity - 16.2 * F.log(lines.cast("double"))
+    return F.when(lines <= 0, 100.0).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)))
+
+
+def maintainability_grade(index: Column) -> Column:
+    return banded(index, MAINTAINABILITY_BANDS, "F")
+
+
+def file_findings(metrics: DataFrame) -> DataFrame:
+    """Long, complex and hardly maintainable files of file_metrics."""
+    mean, index = F.col("avg_complexity"), F.when(F.col("n_functions") == 0, 100.0).otherwise(maintainability_index(F.col("avg_complexity"), F.col("line_count")))
+    return _beyond(metrics, ["path"], [
+        ("file_length", F.col("line_count"), 500, "low", 0.7), ("average_complexity", F.when(F.col("total_complexity") > 50, mean), 8, "medium", 0.75),
+        # Below a bound: both sides turned round.
+        ("low_maintainability", -index, -20, F.when(index < 10, "high").otherwise("medium"), 0.8),
+    ])
+
+
+def code_smells(elements: DataFrame) -> DataFrame:
+    """(path, name, line_start, type, value, severity): long parameter lists, large classes, long functions."""
+    n, methods, length = F.size("parameters"), F.size("names"), F.col("line_end") - F.col("line_start")
+    is_function = F.col("kind") == "function"
+    tests = [(is_function & (n > 5), "long_parameter_list", n, "medium"), ((F.col("kind") == "class") & (methods > 20), "large_class", methods, "high"), (is_function & (length > 50), "long_function", length, "high")]
+    found = F.array_compact(F.array(*(F.when(t, F.struct(F.lit(name).alias("type"), v.cast("long").alias("value"), F.lit(s).alias("severity"))) for t, name, v, s in tests)))
+    return elements.select("path", "name", "line_start", F.explode(found).alias("r")).select("path", "name", "line_start", "r.*")
+
+
+# Modules that run code when they read data, and modules of the standard library that are told apart.
+DANGEROUS_IMPORTS = ["pickle", "cPickle", "marshal", "shelve"]
+STANDARD_MODULES = [
+    "os", "sys", "json", "datetime", "collections", "itertools", "functools", "pathlib", "re", "math", "random", "urllib", "http", "logging", "unittest", "typing", "asyncio",
+]
+
+
+def dangerous_imports(imports: DataFrame) -> DataFrame:
+    return imports.filter(F.col("module").isin(DANGEROUS_IMPORTS)).select("path", "module", "line_start")
+
+
+def import_category(module: Column) -> Column:
+    local = module.contains("/") | module.startswith("./") | module.startswith("../")
+    return F.when(module.startswith("."), "relative").when(F.split(module, r"\.")[0].isin(STANDARD_MODULES), "standard_library").when(local, "local").otherwise("third_party")
+
+
+def unused_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """(path, unused): imported names, or last parts of modules, that their file's text doesn't hold in any case of letters."""
+    low = files.select("path", F.lower("content").alias("low"))
+    named = F.transform("names", lambda n: F.struct(F.concat_ws(".", "module", n).alias("unused"), F.lower(n).alias("word")))
+    whole = F.array(F.struct(F.col("module").alias("unused"), F.lower(F.element_at(F.split("module", r"\."), -1)).alias("word")))
+    words = imports.select("path", F.explode(F.when(F.size("names") > 0, named).otherwise(whole)).alias("x"))
+    return words.join(low, "path").filter(~F.contains("low", "x.word")).select("path", "x.unused")
+
+
+def _docs_rules(text: Column, label: str) -> list[Column]:
+    rule = lambda test, name, severity: F.when(test, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
+    return [
+        rule((text != "") & (F.length(text) < 10), f"short_{label}_docstring", "low"),
+        rule(text.rlike(r"(?i)^(todo|fixme|placeholder|description|\.\.\.)$"), f"placeholder_{label}_docstring", "medium"),
+    ]
 
 
 def documentation_findings(functions: DataFrame) -> DataFrame:
-    """(path, name, rule, severity): missing, short and placeholder docstrings, and parameters that one doesn't name."""
-    public = ~F.col("name").startswith("_")
-    text = F.regexp_replace(F.coalesce("docstring", F.lit("")), r"^\s+|\s+$", "")
+    """(path, name, line_start, rule, severity): missing, short and placeholder docstrings, and, of functions with more than three
+    parameters, those that the docstring doesn't name."""
+    public, n = ~F.col("name").startswith("_"), F.size("parameters")
+    text = F.trim(F.coalesce("docstring", F.lit("")))
+    named = F.coalesce(F.regexp_extract_all("docstring", F.lit(r":param\s+(\w+):\s*.+"), 1), F.array().cast("array<string>"))
     asked = F.filter("parameters", lambda p: ~p.isin("self", "cls"))
-    named = F.regexp_extract_all("docstring", F.lit(r":param\s+(\w+):"), 1)
-    missing = F.size(F.array_except(asked, F.coalesce(named, F.array().cast("array<string>")))) > 0
-    needed = public | (F.col("complexity") > 5) | (F.size(asked) > 3)
+    needed = public | (F.col("complexity") > 5) | (n > 3)
     rule = lambda test, name, severity: F.when(test, F.struct(F.lit(name).alias("rule"), severity.alias("severity")))
     rules = F.array_compact(F.array(
-        rule((text == "") & needed, "missing_docstring", F.when(public, "high").otherwise("medium")),
-        rule((text != "") & (F.length(text) < 10), "short_docstring", F.lit("low")),
-        rule(text.rlike(r"(?i)^(todo|fixme|placeholder|description|\.\.\.)$"), "placeholder_docstring", F.lit("medium")),
-        rule((text != "") & missing, "undocumented_parameters", F.lit("medium")),
+        rule((text == "") & needed, "missing_function_docstring", F.when(public, "high").otherwise("medium")), *_docs_rules(text, "function"),
+        rule((text != "") & (n > 3) & (F.size(F.array_except(asked, named)) > 0), "undocumented_parameters", F.lit("medium")),
     ))
-    return functions.select("path", "name", F.explode(rules).alias("r")).select("path", "name", "r.*")
+    return functions.select("path", "name", "line_start", F.explode(rules).alias("r")).select("path", "name", "line_start", "r.*")
+
+
+def class_documentation(classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """(path, name, line_start, rule, severity): classes without or with poor docstrings, or with public methods of which under nine
+    tenths have one. functions: with their owner and lines."""
+    text = F.trim(F.coalesce("docstring", F.lit("")))
+    rule = lambda test, name, severity: F.when(test, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
+    rules = F.array_compact(F.array(rule(text == "", "missing_class_docstring", "high"), *_docs_rules(text, "class")))
+    keys = ["path", "name", "line_start"]
+    own = classes.select(*keys, F.explode(rules).alias("r")).select(*keys, "r.*")
+    methods = functions.filter("owner IS NOT NULL AND NOT startswith(name, '_')").select("path", F.col("owner").alias("name"), F.col("line_start").alias("at"), F.coalesce("docstring", F.lit("")).alias("doc"))
+    within = (F.col("at") > F.col("line_start")) & (F.col("at") <= F.col("line_end"))
+    met = classes.select(*keys, "line_end").join(methods, ["path", "name"]).filter(within)
+    shares = met.groupBy(*keys).agg((F.count_if(F.col("doc") != "") / F.count("*")).alias("coverage")).filter("coverage < 0.9")
+    return own.unionByName(shares.select(*keys, F.lit("low_method_coverage").alias("rule"), F.lit("medium").alias("severity")))
+
+
+def has_module_docstring(content: Column) -> Column:
+    """Whether, of the first twenty lines, the first that is neither blank nor an import opens a docstring."""
+    rest = F.filter(F.transform(F.slice(split_lines(content), 1, 20), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("import ") & ~x.startswith("from "))
+    return F.coalesce(F.get(rest, F.lit(0)).rlike("^(\"\"\"|\x27\x27\x27)"), F.lit(False))
+
+
+def module_documentation(files: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(path): modules worth a docstring that have none."""
+    bare = files.filter(~has_module_docstring(F.col("content"))).select("path")
+    return metrics.filter("n_functions > 3 OR n_classes > 1 OR n_imports > 5").select("path").join(bare, "path", "left_semi")
+
+
+def api_documentation(elements: DataFrame) -> DataFrame:
+    """(path, undocumented): interface modules, by name or by many public parts, and their public functions and classes
+    without a docstring of ten characters."""
+    public = elements.filter(F.col("kind").isin("function", "class") & ~F.col("name").startswith("_"))
+    poor = F.length(F.coalesce("docstring", F.lit(""))) < 10
+    rows = public.groupBy("path").agg(
+        F.count_if(F.col("kind") == "function").alias("n_functions"), F.count_if(F.col("kind") == "class").alias("n_classes"),
+        F.sort_array(F.collect_list(F.when(poor, F.concat_ws(" ", "kind", "name")))).alias("undocumented"),
+    )
+    low = F.lower("path")
+    is_api = low.contains("api") | low.contains("interface") | (F.col("n_functions") > 5) | (F.col("n_classes") > 2)
+    return rows.filter(is_api & (F.size("undocumented") > 0)).select("path", "undocumented")
+
+
+# Signs of documentation styles.
+DOC_STYLES = {
+    "Google": r"Args:|Arguments:|Returns?:|Yields?:|Raises?:", "NumPy": r"Parameters\s*\n\s*-+|Returns?\s*\n\s*-+", "Sphinx": r":param\s+\w+:|:returns?:|:raises?:",
+    "JSDoc": r"@param|@returns?|@throws?",
+}
+
+
+def documentation_styles(elements: DataFrame) -> DataFrame:
+    """(path, styles): files whose docstrings are of more than one style."""
+    found = F.array_compact(F.array(*(F.when(F.col("docstring").rlike(p), F.lit(name)) for name, p in DOC_STYLES.items())))
+    styles = elements.filter(F.col("kind").isin("function", "class")).select("path", F.explode(found).alias("style")).distinct()
+    return styles.groupBy("path").agg(F.sort_array(F.collect_list("style")).alias("styles")).filter(F.size("styles") > 1)
+
+
+def missing_tests(metrics: DataFrame, is_test: Column, scope: str) -> DataFrame:
+    """(scope, path): in scopes without any test file, files of some substance."""
+    marked = metrics.withColumn("is_test", is_test)
+    untested = marked.groupBy(scope).agg(F.max("is_test").alias("tested")).filter("NOT tested").select(scope)
+    worth = (F.col("n_functions") >= 3) | (F.col("n_classes") >= 2) | (F.col("line_count") >= 50)
+    return marked.filter(worth & (F.col("n_functions") + F.col("n_classes") > 0)).join(untested, scope, "left_semi").select(scope, "path")
 
 
 def maintainability(files: DataFrame, functions: DataFrame) -> DataFrame:
     """(path, index) of files(path, line_count): 100 without functions, else from mean complexity and lines, 0 to 100."""
     means = functions.groupBy("path").agg(F.avg("complexity").alias("mean"))
-    raw = 171 - 0.23 * F.col("mean") - 16.2 * F.log(F.col("line_count").cast("double"))
-    index = F.when(F.col("mean").isNull(), 100.0).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)))
+    index = F.when(F.col("mean").isNull(), 100.0).otherwise(maintainability_index(F.col("mean"), F.col("line_count")))
     return files.join(means, "path", "left").select("path", index.alias("index"))
 
 

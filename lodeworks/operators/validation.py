@@ -97,40 +97,16 @@ def snapshot_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     return rows.select("signature", severity.alias("severity"), change.alias("change"))
 
 
-def regression_flags(diff: DataFrame, base_n: int | Column, base_score: Column, current_score: Column, current_n: Column) -> DataFrame:
-    """One row: whether a diff is a regression and whether it is an improvement."""
+def regression_flags(diff: DataFrame, base: DataFrame, current: DataFrame) -> DataFrame:
+    """One row: whether a diff is a regression and whether it is an improvement; base, current: one row (n, score) each."""
     of = lambda change, severity: F.count_if((F.col("change") == change) & (F.col("severity") == severity))
     rows = diff.agg(
         of("added", "critical").alias("critical_added"), of("added", "high").alias("high_added"), of("removed", "critical").alias("critical_removed"),
         of("removed", "high").alias("high_removed"), F.count_if(F.col("change") == "added").alias("n_added"), F.count_if(F.col("change") == "removed").alias("n_removed"),
     )
-    score, count = current_score - base_score, current_n - base_n
+    sides = base.select(F.col("n").alias("base_n"), F.col("score").alias("base_score")).crossJoin(current.select(F.col("n").alias("current_n"), F.col("score").alias("current_score")))
+    rows, base_n = rows.crossJoin(sides), F.col("base_n")  # one row each
+    score, count = F.col("current_score") - F.col("base_score"), F.col("current_n") - base_n
     worse = (score < -5) | (F.col("critical_added") > 0) | (F.col("high_added") > 2) | (count > F.greatest(F.lit(5.0), 0.2 * base_n))
     better = (score > 5) | (F.col("critical_removed") > 0) | (F.col("high_removed") > 1) | (-count > F.greatest(F.lit(3.0), 0.15 * base_n))
     return rows.withColumn("is_regression", worse).withColumn("is_improvement", better)
-
-
-EXPLANATION_WORDS = {
-    "clarity": ["because", "therefore", "since", "due to", "causes", "means"],
-    "technical": ["function", "method", "class", "variable", "parameter", "algorithm"],
-    "context": ["this code", "in this", "here", "current"],
-    "impact": ["impact", "affects", "leads to", "results in", "may cause"],
-    "action": ["should", "replace", "use", "consider", "remove", "refactor"],
-    "specific": ["instead", "specifically", "for example", "such as"],
-}
-
-
-def explanation_scores(text: Column) -> dict[str, Column]:
-    """Readability, completeness, actionability and the total of an explanation, from counts of words with caps."""
-    low = F.lower(text)
-    found = {k: sum((low.contains(w).cast("int") for w in ws), F.lit(0)) for k, ws in EXPLANATION_WORDS.items()}
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    length = F.when((n >= 15) & (n <= 100), 0.3).when((n >= 10) & (n <= 150), 0.2).when(n >= 5, 0.1).otherwise(0.0)
-    sentences = F.when(F.regexp_count(text, F.lit("[.!?]")) > 1, 0.2).otherwise(0.0)
-    cap = lambda k, each, most: F.least(found[k] * each, F.lit(most))
-    readable = length + sentences + cap("clarity", 0.1, 0.3) + cap("technical", 0.05, 0.2)
-    complete = cap("context", 0.1, 0.3) + cap("impact", 0.1, 0.3) + cap("technical", 0.05, 0.2)
-    action = cap("action", 0.1, 0.4) + cap("specific", 0.1, 0.3)
-    total = 0.3 * readable + 0.4 * complete + 0.3 * action
-    return {"readability": readable, "completeness": complete, "actionability": action, "total": total}
-

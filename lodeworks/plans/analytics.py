@@ -6,12 +6,10 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.weights import BASE_SCORE, FEATURE_WEIGHT, KEYWORDS, sql_case
 from lodeworks.operators import duplicates as du
+from lodeworks.operators import explanations as ex
 from lodeworks.operators import graph as gr
 from lodeworks.operators import retrieval as rt
-from lodeworks.operators import scoring as sc
-from lodeworks.operators import structure as st
 from lodeworks.operators import validation as va
 from lodeworks.plans import derived as dv
 from lodeworks.plans.queries import query, table
@@ -22,11 +20,10 @@ EDGES = (
     "deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i + o) AS BIGINT) AS n_total FROM "
     "(SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node)"
 )
-#: A small graph with cycles: event types of users of one bucket, one after another. The statements read only events whose
-#: id is a multiple of 29 (about 3 %), and so do their queries; those named *_all_derived, without statements, read all.
+#: A small graph with cycles: event types of users of one bucket, one after another, over all events.
 STEPS = (
     "steps AS (SELECT DISTINCT src, dst FROM (SELECT event_type || (user_id % 7) AS src, lead(event_type || ((user_id + event_id) % 7)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst "
-    "FROM events WHERE event_id % 29 = 0) WHERE dst IS NOT NULL AND src <> dst)"
+    "FROM events) WHERE dst IS NOT NULL AND src <> dst)"
 )
 
 
@@ -34,12 +31,12 @@ def _edges(spark, d):
     return gr.page_edges(table(spark, d, "pages"))
 
 
-def _steps(spark, d, whole=False):
+def _steps(spark, d):
     node = F.concat("event_type", F.col("user_id") % 7)
     nxt = F.concat("event_type", (F.col("user_id") + F.col("event_id")) % 7)
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, d, "events")
-    rows = (events if whole else events.filter("event_id % 29 = 0")).select(node.alias("src"), F.lead(nxt).over(order).alias("dst"))
+    rows = events.select(node.alias("src"), F.lead(nxt).over(order).alias("dst"))
     return rows.filter("dst IS NOT NULL AND src <> dst").distinct()
 
 
@@ -69,9 +66,9 @@ def top_subgraph(spark, d):
     return gr.top_subgraph(_edges(spark, d), 100)
 
 
-@query(f"WITH RECURSIVE {STEPS}, r AS (SELECT 'view1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN steps ON src = node WHERE depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+@query(f"WITH RECURSIVE {STEPS}, r AS (SELECT 'view1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN steps ON src = node WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node")
 def reach_depths_derived(spark, d):
-    return gr.bfs_depths(_steps(spark, d), "view1", 12)
+    return gr.bfs_depths(_steps(spark, d), "view1")
 
 
 @query(f"""WITH RECURSIVE {STEPS}, p AS (SELECT [src, dst] AS path FROM steps WHERE src < dst
@@ -99,31 +96,6 @@ def longest_path_derived(spark, d):
     return gr.longest_path(_steps(spark, d).filter("src < dst"))
 
 
-@query()
-def reach_depths_all_derived(spark, d):
-    return gr.bfs_depths(_steps(spark, d, True), "view1")
-
-
-@query()
-def cycles_all_derived(spark, d):
-    return gr.simple_cycles(_steps(spark, d, True), 3).select(F.array_join("cycle", ">").alias("cycle"), "length", "severity")
-
-
-@query()
-def strong_components_all_derived(spark, d):
-    return gr.strong_components(_steps(spark, d, True))
-
-
-@query()
-def has_cycle_all_derived(spark, d):
-    return gr.has_cycle(_steps(spark, d, True))
-
-
-@query()
-def longest_path_all_derived(spark, d):
-    return gr.longest_path(_steps(spark, d, True).filter("src < dst"))
-
-
 # Retrieval. The query vector is chunk 0's own.
 SIMILAR = (
     "q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), sim AS (SELECT vec_id, label, greatest(0.0, list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(e[i] AS DOUBLE))) "
@@ -145,13 +117,13 @@ def similar_chunks_filtered(spark, d):
     return rt.top_k(table(spark, d, "embeddings"), _vector(spark, d), 5, F.col("label").isin(1, 3))
 
 
-@query(f"""WITH {SIMILAR}, a AS (SELECT vec_id, similarity, 0 AS tier FROM sim WHERE label = 1 AND vec_id < 8 ORDER BY similarity DESC, vec_id LIMIT 5),
+@query(f"""WITH {SIMILAR}, a AS (SELECT vec_id, similarity, 0 AS tier FROM sim WHERE label = -1 ORDER BY similarity DESC, vec_id LIMIT 5),
 b AS (SELECT vec_id, similarity, 1 AS tier FROM sim WHERE (SELECT count(*) FROM a) < 2 ORDER BY similarity DESC, vec_id LIMIT 5),
 u AS (SELECT vec_id, min(tier) AS tier, max(similarity) AS similarity FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id ORDER BY 2, 3 DESC, 1 LIMIT 5)
 SELECT vec_id, tier, similarity FROM u WHERE similarity >= 0.1""", rounded=("similarity",))
 def broadened_search(spark, d):
     chunks, v = table(spark, d, "embeddings"), _vector(spark, d)
-    return rt.broadened(rt.top_k(chunks, v, 5, (F.col("label") == 1) & (F.col("vec_id") < 8)), rt.top_k(chunks, v, 5))
+    return rt.broadened(rt.top_k(chunks, v, 5, F.col("label") == -1), rt.top_k(chunks, v, 5))
 
 
 # Question endings, so that the turns ask something.
@@ -195,125 +167,12 @@ def recent_turns(spark, d):
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations),
-w AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM r WHERE age <= 5),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY word) AS n FROM w WHERE length(word) > 3 AND word NOT IN ('that', 'with', 'this', 'from'))
+w AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM r WHERE age <= 10),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY word) AS n FROM w WHERE length(word) > 3 AND regexp_matches(word, '[\\p{L}\\p{N}]')
+    AND word NOT IN ('what', 'how', 'where', 'when', 'why', 'this', 'that', 'with', 'from'))
 SELECT conv_id, word FROM k WHERE n <= 10""")
 def turn_keywords(spark, d):
-    return rt.keywords(table(spark, d, "conversations"), ["that", "with", "this", "from"])
-
-
-# Scores: descriptions come from documents, paths from sources. The statements read the first 120 characters of documents 0
-# to 199, and so do their queries; those named *_whole, without statements, read whole texts of all documents.
-def _described(spark, d, whole=False):
-    documents = table(spark, d, "documents")
-    n = max(1, documents.count()) if whole else 200
-    issues = dv.issues(table(spark, d, "events")).withColumn("doc_id", F.col("id") % n)
-    texts = documents.select("doc_id", (F.col("text") if whole else F.substring("text", 1, 120)).alias("description"))
-    rows = issues.join(texts, "doc_id").withColumn("file_path", F.when(F.col("id") % 9 == 0, "src/main.py").when(F.col("id") % 9 == 1, "tests/test_a.py").otherwise(F.col("file_path")))
-    return rows.withColumn("function_complexity", F.col("id") % 25).withColumn("bug_history", F.col("id") % 4)
-
-
-DESCRIBED = (
-    "described AS (SELECT i.* EXCLUDE (file_path), CASE WHEN id % 9 = 0 THEN 'src/main.py' WHEN id % 9 = 1 THEN 'tests/test_a.py' ELSE file_path END AS file_path, "
-    "substr(text, 1, 120) AS description, id % 25 AS function_complexity, id % 4 AS bug_history FROM issues i JOIN documents d ON d.doc_id = i.id % 200)"
-)
-_HAS = {name: "(" + " OR ".join(f"contains(lower(description), '{w}')" for w in words) + ")" for name, words in KEYWORDS.items()}
-_FEATURES = ", ".join(f"{test} AS {name}" for name, test in _HAS.items())
-_PATHS = "contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec') AS is_test_file, regexp_matches(regexp_extract(lower(file_path), '([^/]*)$', 1), '^(main|app|index|server|__main__)\\.') AS is_main_module"
-_SUM = " + ".join(f"CASE WHEN {n} THEN CAST({FEATURE_WEIGHT[n]} AS DOUBLE) ELSE 0 END" for n in ("involves_user_input", "involves_network", "involves_database", "involves_file_system", "memory_allocation", "is_main_module", "is_test_file"))
-FEATURED = f"featured AS (SELECT *, {_FEATURES}, {_PATHS} FROM described)"
-BASED = (
-    f"based AS (SELECT *, least(greatest({sql_case(BASE_SCORE, 'category', '0.5')} + {_SUM} + CASE WHEN function_complexity > 10 THEN CAST(0.5 AS DOUBLE) * least(function_complexity / 20.0, 1.0) ELSE 0 END "
-    "+ CASE WHEN bug_history > 0 THEN CAST(0.4 AS DOUBLE) * least(bug_history / 10.0, 1.0) ELSE 0 END, 0.0), 1.0) AS score FROM featured)"
-)
-
-
-@query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED} SELECT id, {', '.join(_HAS)}, is_test_file, is_main_module FROM featured")
-def severity_features(spark, d):
-    return _features(spark, d)
-
-
-@query()
-def severity_features_whole(spark, d):
-    return _features(spark, d, True)
-
-
-def _features(spark, d, whole=False):
-    return sc.features(_described(spark, d, whole)).select("id", *_HAS, "is_test_file", "is_main_module")
-
-
-def _based(spark, d, whole=False):
-    rows = sc.features(_described(spark, d, whole))
-    return rows.withColumn("score", sc.base_score(rows))
-
-
-@query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED}, {BASED} SELECT id, score, CASE WHEN round(score, 6) >= 0.9 THEN 'critical' WHEN round(score, 6) >= 0.7 THEN 'high' WHEN round(score, 6) >= 0.5 THEN 'medium' WHEN round(score, 6) >= 0.3 THEN 'low' ELSE 'info' END AS level FROM based",
-       rounded=("score",))
-def severity_scores(spark, d):
-    return _levels(spark, d)
-
-
-@query(rounded=("score",))
-def severity_scores_whole(spark, d):
-    return _levels(spark, d, True)
-
-
-def _levels(spark, d, whole=False):
-    return _based(spark, d, whole).select("id", "score", sc.level(F.round("score", 6)).alias("level"))
-
-
-@query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED}, {BASED} SELECT id, least(greatest(score * CASE id % 3 WHEN 0 THEN CAST(1.3 AS DOUBLE) WHEN 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END "
-       "* CASE WHEN line_start > 10 THEN CAST(1.1 AS DOUBLE) ELSE 1.0 END * CASE WHEN n_files > 10 THEN 1.1 ELSE 1.0 END * CASE WHEN confidence < 0.5 THEN 1.2 WHEN confidence > 0.9 THEN CAST(0.9 AS DOUBLE) ELSE 1.0 END, 0.0), 1.0) AS score FROM based",
-       rounded=("score",))
-def contextual_scores(spark, d):
-    return _contextual(spark, d)
-
-
-@query(rounded=("score",))
-def contextual_scores_whole(spark, d):
-    return _contextual(spark, d, True)
-
-
-def _contextual(spark, d, whole=False):
-    role = F.element_at(F.array(F.lit("core"), F.lit("util"), F.lit("test")), (F.col("id") % 3 + 1).cast("int"))
-    factors = sc.file_factors(role, F.col("line_start"), F.col("n_files"), F.col("confidence"))
-    return _based(spark, d, whole).select("id", sc.in_context(F.col("score"), factors).alias("score"))
-
-
-_IMPACT_SQL = "CASE category WHEN 'security' THEN [1.0, 0.95, 0.85] WHEN 'performance' THEN [0.9, 0.6] ELSE [] END || CASE WHEN severity IN ('high', 'critical') THEN [1.0, 0.9] ELSE [] END"
-
-
-@query(f"""WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED}, {BASED}, w AS (SELECT *, CASE WHEN len({_IMPACT_SQL}) = 0 THEN [0.5] ELSE {_IMPACT_SQL} END AS ws FROM based),
-b AS (SELECT *, least(greatest(score * CAST(list_sum(ws) AS DOUBLE) / len(ws) * 1.1, 0.0), 1.0) AS impact FROM w)
-SELECT id, impact, (CAST(0.6 AS DOUBLE) * score + CAST(0.4 AS DOUBLE) * impact) * confidence AS priority FROM b""", rounded=("impact", "priority"))
-def business_impacts(spark, d):
-    return _impacts(spark, d)
-
-
-@query(rounded=("impact", "priority"))
-def business_impacts_whole(spark, d):
-    return _impacts(spark, d, True)
-
-
-def _impacts(spark, d, whole=False):
-    impacts = sc.impact_categories(F.col("category"), F.col("severity").isin("high", "critical"))
-    rows = _based(spark, d, whole).withColumn("impact", sc.business_impact(F.col("score"), impacts, [F.lit(1.1)]))
-    return rows.select("id", "impact", sc.priority(F.col("score"), F.col("impact"), F.col("confidence")).alias("priority"))
-
-
-@query(f"WITH {dv.ISSUES_SQL}, {DESCRIBED}, {FEATURED}, {BASED} SELECT count(*) AS n, avg(score) AS score_mean, min(score) AS score_min, max(score) AS score_max, "
-       "count(*) FILTER (WHERE round(score, 6) > 0.7) AS score_high, count(*) FILTER (WHERE round(score, 6) < 0.5) AS score_low FROM based", rounded=("score_mean", "score_min", "score_max"))
-def score_statistics(spark, d):
-    return _statistics(spark, d)
-
-
-@query(rounded=("score_mean", "score_min", "score_max"))
-def score_statistics_whole(spark, d):
-    return _statistics(spark, d, True)
-
-
-def _statistics(spark, d, whole=False):
-    return sc.statistics(_based(spark, d, whole).withColumn("score", F.round("score", 6)), ["score"])
+    return rt.keywords(table(spark, d, "conversations"))
 
 
 # Validation: a text rule on documents against the labels.
@@ -353,44 +212,128 @@ def greedy_matches(spark, d):
     return va.greedy_matches_between(half(0, "expected_id"), half(1, "actual_id"), score, 0.5)
 
 
-_SNAP = "SELECT category || '|' || file_path AS signature, severity, CAST(n_files AS VARCHAR) AS description, id FROM issues WHERE id % 5 {0}"
+# Snapshots: issues of ids that leave 0 or 1 over 3, then those that leave 1 or 2.
+_SNAP = "SELECT category || '|' || file_path AS signature, severity, CAST(n_files AS VARCHAR) AS description, id FROM issues WHERE id % 3 <> {0}"
 DIFF = (
-    f"b AS ({_SNAP.format('< 2')}), c AS ({_SNAP.format('BETWEEN 1 AND 3')}), bl AS (SELECT signature, arg_max(severity, id) AS s, arg_max(description, id) AS x FROM b GROUP BY 1), "
+    f"b AS ({_SNAP.format(2)}), c AS ({_SNAP.format(0)}), bl AS (SELECT signature, arg_max(severity, id) AS s, arg_max(description, id) AS x FROM b GROUP BY 1), "
     "cl AS (SELECT signature, arg_max(severity, id) AS s, arg_max(description, id) AS x FROM c GROUP BY 1), "
     "diff AS (SELECT coalesce(bl.signature, cl.signature) AS signature, coalesce(cl.s, bl.s) AS severity, CASE WHEN bl.s IS NULL THEN 'added' WHEN cl.s IS NULL THEN 'removed' "
     "WHEN bl.s <> cl.s OR bl.x <> cl.x THEN 'changed' ELSE 'same' END AS change FROM bl FULL JOIN cl ON bl.signature = cl.signature)"
 )
 
 
-def _diff(spark, d):
+def _snapshots(spark, d):
     rows = dv.issues(table(spark, d, "events")).select(F.concat_ws("|", "category", "file_path").alias("signature"), "severity", F.col("n_files").cast("string").alias("description"), "id")
-    return va.snapshot_diff(rows.filter("id % 5 < 2"), rows.filter("id % 5 BETWEEN 1 AND 3"))
+    return rows.filter("id % 3 <> 2"), rows.filter("id % 3 <> 0")
 
 
 @query(f"WITH {dv.ISSUES_SQL}, {DIFF} SELECT * FROM diff")
 def snapshot_diff(spark, d):
-    return _diff(spark, d)
+    return va.snapshot_diff(*_snapshots(spark, d))
+
+
+_STATE = "SELECT count(*) AS n, 100e0 - 100e0 * count(*) FILTER (WHERE severity IN ('critical', 'high')) / count(*) AS score FROM {0}"
 
 
 @query(f"""WITH {dv.ISSUES_SQL}, {DIFF}, f AS (SELECT count(*) FILTER (WHERE change = 'added' AND severity = 'critical') AS critical_added, count(*) FILTER (WHERE change = 'added' AND severity = 'high') AS high_added,
     count(*) FILTER (WHERE change = 'removed' AND severity = 'critical') AS critical_removed, count(*) FILTER (WHERE change = 'removed' AND severity = 'high') AS high_removed,
-    count(*) FILTER (WHERE change = 'added') AS n_added, count(*) FILTER (WHERE change = 'removed') AS n_removed FROM diff)
-SELECT *, critical_added > 0 OR high_added > 2 OR true AS is_regression, critical_removed > 0 OR high_removed > 1 AS is_improvement FROM f""")
+    count(*) FILTER (WHERE change = 'added') AS n_added, count(*) FILTER (WHERE change = 'removed') AS n_removed FROM diff),
+x AS ({_STATE.format('b')}), y AS ({_STATE.format('c')}),
+a AS (SELECT f.*, x.n AS base_n, x.score AS base_score, y.n AS current_n, y.score AS current_score FROM f, x, y)
+SELECT *, current_score - base_score < -5 OR critical_added > 0 OR high_added > 2 OR current_n - base_n > greatest(5e0, 0.2e0 * base_n) AS is_regression,
+    current_score - base_score > 5 OR critical_removed > 0 OR high_removed > 1 OR base_n - current_n > greatest(3e0, 0.15e0 * base_n) AS is_improvement FROM a""", rounded=("base_score", "current_score"))
 def regression_flags(spark, d):
-    return va.regression_flags(_diff(spark, d), F.lit(100), F.lit(80.0), F.lit(74.0), F.lit(130))
+    base, current = _snapshots(spark, d)
+    state = lambda rows: rows.agg(F.count("*").alias("n"), (100.0 - 100.0 * F.count_if(F.col("severity").isin("critical", "high")) / F.count("*")).alias("score"))
+    return va.regression_flags(va.snapshot_diff(base, current), state(base), state(current))
+
+
+# Explanations: a turn explains, the next one of its conversation suggests; every third conversation is of a kind.
+EXPLAINED = (
+    "said AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 4 WHEN 0 THEN ' This may cause a memory leak because of this.' WHEN 1 THEN ' The function results in risk: slow code, for example in this code' "
+    "WHEN 2 THEN '' ELSE ' an attack on this method' END AS text FROM conversations), "
+    "t AS (SELECT conv_id, turn, text, lead(CASE turn % 3 WHEN 0 THEN 'Use `with open(x)` instead, such as a library method' WHEN 1 THEN text ELSE '' END) OVER (PARTITION BY conv_id ORDER BY turn) AS advice, "
+    "CASE conv_id % 3 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' ELSE 'style' END AS category FROM said)"
+)
 
 
-_WORDY = {k: "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ws) + ")" for k, ws in va.EXPLANATION_WORDS.items()}
-_CAP = lambda k, each, most: f"least({_WORDY[k]} * CAST({each} AS DOUBLE), {most})"
+def _explained(spark, d):
+    text = F.concat(F.coalesce("text", F.lit("")), F.expr("CASE turn % 4 WHEN 0 THEN ' This may cause a memory leak because of this.' WHEN 1 THEN ' The function results in risk: slow code, for example in this code' WHEN 2 THEN '' ELSE ' an attack on this method' END"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+    advice = F.when(F.col("turn") % 3 == 0, "Use `with open(x)` instead, such as a library method").when(F.col("turn") % 3 == 1, F.col("text")).otherwise("")
+    rows = rows.withColumn("advice", F.lead(advice).over(Window.partitionBy("conv_id").orderBy("turn")))
+    return rows.withColumn("category", F.expr("CASE conv_id % 3 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' ELSE 'style' END"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, len(regexp_extract_all(text, '[.!?]')) AS s FROM conversations WHERE role = 'assistant'),
-x AS (SELECT conv_id, turn, CASE WHEN n BETWEEN 15 AND 100 THEN 0.3 WHEN n BETWEEN 10 AND 150 THEN 0.2 WHEN n >= 5 THEN 0.1 ELSE 0.0 END + CASE WHEN s > 1 THEN 0.2 ELSE 0.0 END + {_CAP('clarity', 0.1, 0.3)} + {_CAP('technical', 0.05, 0.2)} AS readability,
-    {_CAP('context', 0.1, 0.3)} + {_CAP('impact', 0.1, 0.3)} + {_CAP('technical', 0.05, 0.2)} AS completeness, {_CAP('action', 0.1, 0.4)} + {_CAP('specific', 0.1, 0.3)} AS actionability FROM t)
-SELECT *, CAST(0.3 AS DOUBLE) * readability + CAST(0.4 AS DOUBLE) * completeness + CAST(0.3 AS DOUBLE) * actionability AS total FROM x""", rounded=("readability", "completeness", "actionability", "total"))
+def _said(column, words):
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def _cap(column, words, each, most):
+    return f"least(({' + '.join(f"CAST(contains({column}, '{w}') AS INTEGER)" for w in words)}) * {each}e0, {most}e0)"
+
+
+ASSESSED = (
+    f"{EXPLAINED}, l AS (SELECT *, lower(text) AS low, lower(coalesce(advice, '')) AS la, coalesce(advice, '') AS ad, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, "
+    "len(list_filter(regexp_split_to_array(coalesce(advice, ''), '\\s+'), lambda w: w <> '')) AS na FROM t), "
+    "x AS (SELECT *, CASE WHEN text = '' THEN 0e0 ELSE least(CASE WHEN n BETWEEN 15 AND 100 THEN 0.3e0 WHEN n BETWEEN 10 AND 150 THEN 0.2e0 WHEN n >= 5 THEN 0.1e0 ELSE 0e0 END "
+    f"+ CASE WHEN contains(text, '.') THEN 0.2e0 ELSE 0e0 END + {_cap('low', ex.CLARITY, 0.1, 0.3)} + {_cap('low', ex.TECHNICAL, 0.05, 0.2)}, 1e0) END AS readability, "
+    f"CASE WHEN text = '' THEN 0e0 ELSE least({_cap('low', ex.CONTEXT, 0.1, 0.3)} + {_cap('low', ex.IMPACT, 0.1, 0.3)} + {_cap('low', ex.TECHNICAL, 0.05, 0.2)} "
+    f"+ CASE WHEN category = 'security' AND {_said('low', ex.CATEGORY_TERMS['security'])} OR category = 'performance' AND {_said('low', ex.CATEGORY_TERMS['performance'])} THEN 0.2e0 ELSE 0e0 END, 1e0) END AS completeness, "
+    f"CASE WHEN ad = '' THEN 0e0 ELSE least({_cap('la', ex.ACTIONABLE, 0.1, 0.4)} + {_cap('la', ex.SPECIFIC, 0.1, 0.3)} + {_cap('la', ex.EXAMPLES, 0.1, 0.2)} "
+    "+ CASE WHEN regexp_matches(ad, '`[^`]+`|```[^`]+```|\\b\\w+\\(\\)') THEN 0.1e0 ELSE 0e0 END, 1e0) END AS actionability FROM l), "
+    "q AS (SELECT *, round(readability * 0.3e0 + completeness * 0.4e0 + actionability * 0.3e0, 9) AS total FROM x)"
+)
+_QUALITY = "CASE WHEN total >= 0.8e0 THEN 'excellent' WHEN total >= 0.6e0 THEN 'good' WHEN total >= 0.4e0 THEN 'fair' ELSE 'poor' END"
+
+
+def _assessed(spark, d):
+    rows = _explained(spark, d)
+    rows = rows.withColumns(ex.scores(F.col("text"), F.col("advice"), F.col("category")))
+    return rows.withColumn("total", F.round("total", 9))
+
+
+@query(f"WITH {ASSESSED} SELECT conv_id, turn, readability, completeness, actionability, total, {_QUALITY} AS quality FROM q", rounded=("readability", "completeness", "actionability"))
 def explanation_scores(spark, d):
-    rows = table(spark, d, "conversations").filter("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select("conv_id", "turn", *(c.alias(n) for n, c in va.explanation_scores(F.col("text")).items()))
+    return _assessed(spark, d).select("conv_id", "turn", "readability", "completeness", "actionability", "total", ex.quality(F.col("total")).alias("quality"))
+
+
+def _labels(tests):
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in tests) + "], lambda z: z IS NOT NULL), ', ')"
+
+
+_CODE = "regexp_matches(ad, '`[^`]+`|```[^`]+```|\\b\\w+\\(\\)')"
+_STRENGTHS = _labels([
+    ("n >= 20", "Detailed explanation"), (_said("low", ex.CLARITY), "Clear reasoning"), (_said("low", ex.CONTEXT), "Good context"), (_said("low", ex.IMPACT), "Impact explained"),
+    (_said("low", ex.TECHNICAL), "Technical accuracy"), (_said("la", ex.ACTIONABLE), "Actionable suggestions"), (_said("la", ex.SPECIFIC), "Specific recommendations"),
+    (_said("la", ex.EXAMPLES), "Examples provided"), (_CODE, "Code examples"),
+])
+_WEAKNESSES = _labels([
+    ("text <> '' AND (regexp_matches(text, '(?i)\\b(this|that|it)\\b\\s*($|[^\\s\\w])') OR regexp_matches(text, '(?i)\\b(something|stuff|things)\\b'))", "Vague language"),
+    ("text <> '' AND n < 10", "Too brief"), (f"text <> '' AND NOT {_said('low', ex.NO_CONTEXT)}", "Lacks context"), (f"text <> '' AND NOT {_said('low', ex.NO_IMPACT)}", "No impact explanation"),
+    ("text = ''", "No explanation provided"), ("ad = ''", "No suggestions provided"), ("ad <> '' AND na < 5", "Suggestion too brief"),
+])
+_MISSING = _labels([
+    (f"NOT {_said('low', ex.CONTEXT)}", "Code context"), (f"NOT {_said('low', ex.IMPACT)}", "Impact description"), (f"NOT {_said('low', ex.TECHNICAL)}", "Technical details"),
+    ("ad = ''", "Actionable suggestions"), (f"ad <> '' AND NOT {_said('la', ex.ACTIONABLE)}", "Specific actions"),
+    (f"category = 'security' AND NOT {_said('low', ['risk', 'vulnerability'])}", "Security risk explanation"), (f"category = 'performance' AND NOT {_said('low', ['performance', 'efficiency'])}", "Performance impact"),
+])
+
+
+@query(f"WITH {ASSESSED} SELECT conv_id, turn, {_STRENGTHS} AS strengths, {_WEAKNESSES} AS weaknesses, CASE WHEN text = '' THEN 'Explanation, Context, Impact description, Technical details' ELSE {_MISSING} END AS missing FROM q")
+def explanation_gaps(spark, d):
+    e, s, c = F.col("text"), F.col("advice"), F.col("category")
+    return _explained(spark, d).select(
+        "conv_id", "turn", F.array_join(ex.strengths(e, s), ", ").alias("strengths"), F.array_join(ex.weaknesses(e, s), ", ").alias("weaknesses"),
+        F.array_join(ex.missing_elements(e, s, c), ", ").alias("missing"),
+    )
+
+
+@query(f"WITH {ASSESSED} SELECT count(*) AS n, " + ", ".join(f"avg({c}) AS {c}_mean" for c in ("readability", "completeness", "actionability", "total")) + ", "
+       + ", ".join(f"count(*) FILTER (WHERE {_QUALITY} = '{n}') AS n_{n}" for n in ("excellent", "good", "fair", "poor")) + " FROM q",
+       rounded=("readability_mean", "completeness_mean", "actionability_mean", "total_mean"))
+def explanation_report(spark, d):
+    return ex.report(_assessed(spark, d))
 
 
 # Set similarity: users by the hours at which they were active.
@@ -445,43 +388,3 @@ def tumbling_windows(spark, d):
 @query("SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS mean_so_far FROM events", rounded=("mean_so_far",))
 def running_means(spark, d):
     return ev.running_mean(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "mean_so_far")
-
-
-# Fixed sources for the structure operators: a table of code isn't among the test tables.
-SAMPLES = {
-    "src/shop/cart.py": 'import os\nfrom shop.prices import total\n\nclass Cart(Base):\n    """Holds items until they are paid for."""\n    def add(self, item, n=1, *rest, **more):\n'
-    "        if item and n > 0 or rest:\n            for r in rest:\n                while r:\n                    r -= 1\n        return [x for x in rest if x if n]\n",
-    "src/shop/prices.py": 'async def total(a, b, c, d, e, f):\n    """todo"""\n    return a\n\ndef _hidden():\n    return 1\n',
-    "src/broken.py": "def broken(:\n",
-    "src/empty.py": "",
-}
-
-
-def samples(spark):
-    return spark.createDataFrame(list(SAMPLES.items()), "path string, content string")
-
-
-@query()
-def python_structure(spark, d):
-    return st.python_elements(samples(spark)).select("path", "kind", "name", "owner", "line_start", "complexity", "error")
-
-
-@query()
-def function_findings(spark, d):
-    return st.function_findings(st.python_elements(samples(spark)).filter("kind = 'function'"))
-
-
-@query()
-def documentation_findings(spark, d):
-    return st.documentation_findings(st.python_elements(samples(spark)).filter("kind = 'function'"))
-
-
-@query()
-def import_edges(spark, d):
-    files = samples(spark).select("path", st.module_name(F.col("path")).alias("module"))
-    return gr.import_edges(st.python_elements(samples(spark)).filter("kind = 'import'").select("path", "module"), files)
-
-
-@query()
-def code_chunks(spark, d):
-    return st.chunks(samples(spark), st.python_elements(samples(spark)), 5)

@@ -18,6 +18,14 @@ TEMPLATES = [
     "session.commit()", "# updated in 2019 by hand", "// FIXME: old way", "innerHTML = a + b", "nodes(1)", "requests.get(url)",
     "def run(self):", "# legacy code path", 'print("secret: " + s)',
 ]
+#: Files of users that leave 1, 2 or 3 over 5: runs of comments, of concatenations in a loop, of telling lines, as long as the
+#: rules' own bounds ask for.
+SPECIAL = {
+    1: ["# x = compute(1)", "# if ready:", "# total(x)", "# for y in z", "return total", "# y = 2", "# import os"],
+    2: ["while pending:", 'name += "x"', 'name += "yy"', 'name = name + "z"', "name += 'w'", 'name += "x"'],
+    3: ['cursor.execute("SELECT " + q)', 'data = open(path).read().strip()', "answer = compute(first, 2)", 'send(message, "to all of them")'],
+}
+INDENT = "CASE WHEN user_id % 5 = 2 THEN CASE WHEN event_id % 6 = 0 THEN 0 ELSE 4 END WHEN user_id % 5 IN (1, 3) THEN 0 ELSE event_id % 9 * 4 END"
 CATEGORY_OF_EVENT = {"view": "documentation", "signup": "testing", "click": "performance", "error": "security", "purchase": "complexity"}
 
 
@@ -25,14 +33,20 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _choice(values: list[str]) -> str:
+    return f"CASE event_id % {len(values)} " + " ".join(f"WHEN {k} THEN {_lit(t)}" for k, t in enumerate(values)) + " END"
+
+
+#: The line of an event; the same text is SQL to Spark and to DuckDB.
+LINE = "CASE " + " ".join(f"WHEN user_id % 5 = {k} THEN {_choice(v)}" for k, v in SPECIAL.items()) + f" ELSE {_choice(TEMPLATES)} END"
+
+
 def code_lines(spark: SparkSession, events: DataFrame) -> DataFrame:
     """(file_id, line_no, line, stripped, indent, language): a file per user, a line per event."""
-    n = len(TEMPLATES)
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    text = F.element_at(F.array(*(F.lit(t) for t in TEMPLATES)), (F.col("event_id") % n + 1).cast("int"))
-    rows = events.select(
+    rows = events.withColumn("t", F.expr(LINE)).select(
         F.col("user_id").alias("file_id"), F.row_number().over(order).alias("line_no"),
-        F.when(text == "", F.lit("")).otherwise(F.concat(F.repeat(F.lit(" "), (F.col("event_id") % 6 * 4).cast("int")), text)).alias("line"),
+        F.when(F.col("t") == "", F.lit("")).otherwise(F.concat(F.repeat(F.lit(" "), F.expr(INDENT).cast("int")), "t")).alias("line"),
     )
     lang = F.when(F.col("file_id") % 3 == 0, "javascript").otherwise("python")
     return rows.select("file_id", "line_no", "line", stripped(F.col("line")).alias("stripped"), indent(F.col("line")).alias("indent"), lang.alias("language"))
@@ -43,8 +57,7 @@ CODE_LINES_SQL = (
     "CAST(length(line) - length(regexp_replace(line, '^\\s+', '')) AS INTEGER) AS indent, "
     "CASE WHEN file_id % 3 = 0 THEN 'javascript' ELSE 'python' END AS language FROM ("
     "SELECT user_id AS file_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS line_no, "
-    "CASE WHEN t = '' THEN '' ELSE repeat(' ', CAST(event_id % 6 * 4 AS INTEGER)) || t END AS line FROM ("
-    f"SELECT *, CASE event_id % {len(TEMPLATES)} " + " ".join(f"WHEN {k} THEN {_lit(t)}" for k, t in enumerate(TEMPLATES)) + " END AS t FROM events)))"
+    f"CASE WHEN t = '' THEN '' ELSE repeat(' ', CAST({INDENT} AS INTEGER)) || t END AS line FROM (SELECT *, {LINE} AS t FROM events)))"
 )
 
 

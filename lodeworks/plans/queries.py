@@ -149,14 +149,14 @@ def complex_conditions_derived(spark, d):
 
 
 @query(f"WITH {dv.CODE_LINES_SQL}, c AS (SELECT file_id, line_no, CAST(len(regexp_extract_all(regexp_extract(line, '\\(([^)]*)\\)', 1), ',')) AS BIGINT) AS n_commas FROM code_lines) "
-       "SELECT * FROM c WHERE n_commas > 5")
+       "SELECT * FROM c WHERE n_commas > 6")
 def call_arguments_derived(spark, d):
-    return ln.many_arguments(_code(spark, d), 5)
+    return ln.many_arguments(_code(spark, d))
 
 
-@query(f"WITH {dv.CODE_LINES_SQL} SELECT file_id, line_no, CAST(floor(indent / 4) AS BIGINT) AS level FROM code_lines WHERE stripped <> '' AND floor(indent / 4) > 3")
+@query(f"WITH {dv.CODE_LINES_SQL} SELECT file_id, line_no, CAST(floor(indent / 4) AS BIGINT) AS level FROM code_lines WHERE stripped <> '' AND floor(indent / 4) > 6")
 def deep_nesting_derived(spark, d):
-    return ln.deep_nesting(_code(spark, d), 3)
+    return ln.deep_nesting(_code(spark, d))
 
 
 BLOCKS = (
@@ -184,9 +184,9 @@ def duplicate_blocks(spark, d):
     return du.exact_groups(blocks, "normal", "file_id")
 
 
-@query(f"WITH {dv.CODE_LINES_SQL}, {BLOCKS.format('code_lines', 'file_id', 2)} SELECT file_id, start_line, end_line, n_lines, {NORMAL} AS normal FROM blocks")
+@query(f"WITH {dv.CODE_LINES_SQL}, {BLOCKS.format('code_lines', 'file_id', 5)} SELECT file_id, start_line, end_line, n_lines, {NORMAL} AS normal FROM blocks")
 def code_blocks_derived(spark, d):
-    return ln.code_blocks(_code(spark, d), 2).select("file_id", "start_line", "end_line", "n_lines", ln.normalized_code(F.col("code")).alias("normal"))
+    return ln.code_blocks(_code(spark, d)).select("file_id", "start_line", "end_line", "n_lines", ln.normalized_code(F.col("code")).alias("normal"))
 
 
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -196,9 +196,9 @@ def exact_duplicates(spark, d):
 
 @query(f"WITH {dv.CODE_LINES_SQL}, c AS (SELECT file_id, line_no, regexp_matches(stripped, '^(#|//)') AND regexp_matches(stripped, {cat.sql_text(ln.CODE_COMMENT)}) AS is_code FROM code_lines), "
        "r AS (SELECT *, sum(CAST(NOT is_code AS INTEGER)) OVER (PARTITION BY file_id ORDER BY line_no) AS run, max(line_no) OVER (PARTITION BY file_id) AS last FROM c) "
-       "SELECT file_id, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS n_lines FROM r WHERE is_code GROUP BY file_id, run HAVING count(*) >= 2 AND max(line_no) < max(last)")
+       "SELECT file_id, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS n_lines FROM r WHERE is_code GROUP BY file_id, run HAVING count(*) >= 3 AND max(line_no) < max(last)")
 def commented_code_derived(spark, d):
-    return ln.commented_code(_code(spark, d), 2)
+    return ln.commented_code(_code(spark, d))
 
 
 LOOPS = (
@@ -219,12 +219,18 @@ def io_in_loops_derived(spark, d):
 
 
 @query(f"WITH {dv.CODE_LINES_SQL}, {LOOPS}, c AS (SELECT file_id, line_no, CAST(loop_line AS BIGINT) AS loop_line, CAST(row_number() OVER (PARTITION BY file_id, loop_line ORDER BY line_no) AS INTEGER) AS nth "
-       f"FROM inside WHERE regexp_matches(line, {cat.sql_text(ln.CONCAT)})) SELECT * FROM c WHERE nth > 1")
+       f"FROM inside WHERE regexp_matches(line, {cat.sql_text(ln.CONCAT)})) SELECT * FROM c WHERE nth > 2")
 def concatenations_in_loops_derived(spark, d):
-    return ln.concatenations(ln.loop_context(_code(spark, d)), 1)
+    return ln.concatenations(ln.loop_context(_code(spark, d)))
 
 
-@query()
+# A loop goes on a stack; other lines take off its end what stands no less deep, down to the first loop that does.
+@query(f"""WITH RECURSIVE {dv.CODE_LINES_SQL}, n AS (SELECT *, regexp_matches(stripped, '\\b(for|while)\\b') AND contains(stripped, ':') AS is_loop,
+    row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM code_lines WHERE stripped <> '' AND NOT starts_with(stripped, '#')),
+w AS (SELECT file_id, line_no, k, is_loop, CASE WHEN is_loop THEN [indent] ELSE CAST([] AS INTEGER[]) END AS stack FROM n WHERE k = 1
+    UNION ALL SELECT n.file_id, n.line_no, n.k, n.is_loop, CASE WHEN n.is_loop THEN list_append(stack, n.indent)
+        ELSE stack[:coalesce(list_max(list_filter(range(1, len(stack) + 1), lambda i: stack[i] < n.indent)), 0)] END FROM w JOIN n ON n.file_id = w.file_id AND n.k = w.k + 1)
+SELECT file_id, line_no, len(stack) AS depth_ref, CASE WHEN len(stack) >= 3 THEN 'high' ELSE 'medium' END AS severity FROM w WHERE is_loop AND len(stack) > 1""")
 def nested_loops_derived(spark, d):
     return ln.nested_loops(ln.loop_context(_code(spark, d)))
 
@@ -254,10 +260,10 @@ def nesting_depth_derived(spark, d):
 k AS (SELECT file_id, line_no, shape, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS r FROM t WHERE telling),
 s AS (SELECT file_id, line_no AS start_line FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM t) WHERE line_no <= n - 10),
 f AS (SELECT s.file_id, s.start_line, min(r) AS r FROM s JOIN k ON k.file_id = s.file_id AND k.line_no >= s.start_line GROUP BY ALL)
-SELECT f.file_id, start_line, max(line_no) AS end_line, string_agg(shape, '|' ORDER BY line_no) AS signature FROM f JOIN k ON k.file_id = f.file_id AND k.r BETWEEN f.r AND f.r + 2
-GROUP BY f.file_id, start_line HAVING count(*) = 3 AND max(line_no) <= start_line + 19""")
+SELECT f.file_id, start_line, max(line_no) AS end_line, string_agg(shape, '|' ORDER BY line_no) AS signature FROM f JOIN k ON k.file_id = f.file_id AND k.r BETWEEN f.r AND f.r + 7
+GROUP BY f.file_id, start_line HAVING count(*) = 8 AND max(line_no) <= start_line + 19""")
 def structural_signatures_derived(spark, d):
-    return ln.signatures(_code(spark, d), size=3)
+    return ln.signatures(_code(spark, d))
 
 
 QUALITY = (

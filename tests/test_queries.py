@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodeworks.plans import analytics  # noqa: F401
+from lodeworks.plans import analytics, scores, structures  # noqa: F401
 from lodeworks.plans import queries as own
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -22,6 +22,10 @@ def duck():
     return made
 
 
+#: Queries that may find nothing in the smallest tables.
+EMPTY = {"secret_lines", "years_in_lines", "duplicate_blocks", "dangerous_calls_derived", "class_findings", "file_findings", "missing_tests", "documentation_styles", "low_maintainability"}
+
+
 def plain(rows, names):
     order = sorted(range(len(names)), key=names.__getitem__)
     value = lambda v: round(v, 6) if isinstance(v, float) else v if isinstance(v, (int, str, type(None))) else str(v)
@@ -34,12 +38,14 @@ def test_statement(spark, duck, name):
     answer = duck.execute(own.ORACLES[name])
     names = [c[0] for c in answer.description]
     assert sorted(df.columns) == sorted(names)
-    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(answer.fetchall(), names)
+    rows = df.collect()
+    assert plain([tuple(r) for r in rows], df.columns) == plain(answer.fetchall(), names)
+    assert rows or name in EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(own.QUERIES.keys() - own.ORACLES.keys()))
 def test_rows(spark, name):
-    assert own.QUERIES[name](spark, SF).count() >= 0
+    assert own.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
