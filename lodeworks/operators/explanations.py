@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.text import contains_any
 from lodeworks.functions.weights import banded
-from lodeworks.operators.scoring import contains_any
 
 # What is looked for, in lower case, anywhere in a text.
 TECHNICAL = ["vulnerability", "security risk", "performance impact", "memory leak", "algorithm complexity", "best practice", "code smell", "anti-pattern"]

@@ -153,3 +153,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         rest = left.join(ready.select(F.col("node").alias("src")), "src", "left_anti").join(ready.select(F.col("node").alias("dst")), "dst", "left_anti")
         left = core(rest.select("src", "dst"))
     return done.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").join(done, "component").select("node", "component")
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(node, needs, needed): sorted nodes that each node points to, and those that point to it."""
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("needs"))
+    back = edges.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_set("src")).alias("needed"))
+    none = F.array().cast(f"array<{edges.schema['src'].dataType.simpleString()}>")
+    return out.join(back, "node", "full").select("node", F.coalesce("needs", none).alias("needs"), F.coalesce("needed", none).alias("needed"))

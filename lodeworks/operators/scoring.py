@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import suffix
+from lodeworks.functions.text import contains_any, suffix
 from lodeworks.functions.weights import BASE_SCORE, FEATURE_WEIGHT, KEYWORDS, SEVERITY_BANDS, banded, lookup
 
 # Factors of project, file, code and business context.
@@ -73,16 +76,28 @@ ADVICE_BY_PROJECT = {
 }
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
-
-
 def keyword_features(rows: DataFrame) -> DataFrame:
     """Adds a boolean per keyword feature of the description. For texts that many issues share: once per text, then a join."""
     low = F.lower("description")
     return rows.withColumns({name: contains_any(low, words) for name, words in KEYWORDS.items()})
 
 
+def text_flags(texts: DataFrame, words: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, a boolean for each name): whether the lower-case text holds one of a name's words. For long texts: Arrow's own
+    search is some ten times as fast as a column expression's. Null texts have null flags."""
+    every = sorted({w for own in words.values() for w in own})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = pc.utf8_lower(batch.column(1))
+            found = {w: pc.match_substring(low, w) for w in every}
+            flags = [reduce(pc.or_, (found[w] for w in own)) for own in words.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *flags], [id_col, *words])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, " + ", ".join(f"{n} boolean" for n in words))
+
+
 def path_features(issues: DataFrame) -> DataFrame:
     """Adds test, main and configuration flags and the extension, from the path."""
     low = F.lower("file_path")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.text import contains_any
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -78,6 +80,40 @@ RULES = (
 )
 
 
+#: Texts of which a lower-case line holds one if a rule of that id matches it: cheap tests before any pattern.
+NEEDLES = {
+    "sql_injection_py": ["execute", "query", "sql"],
+    "sql_injection_js": ["execute", "query", "sql"],
+    "command_injection_py": ["os.system", "subprocess.", "eval", "exec"],
+    "command_injection_js": ["exec", "eval", "function"],
+    "path_traversal": ["../"],
+    "weak_crypto_py": ["hashlib.", "random.random", "des", "rc4"],
+    "weak_crypto_js": ["math.random", "createhash"],
+    "secret_api_key": ["api"],
+    "secret_password": ["password", "passwd", "pwd"],
+    "secret_token": ["token"],
+    "secret_secret": ["secret"],
+    "secret_private_key": ["private"],
+    "xss": ["innerhtml", "document.write", ".html"],
+    "unsafe_deserialization": ["pickle.load", "marshal.load"],
+    "dangerous_function_py": ["eval", "exec", "__import__"],
+    "dangerous_function_js": ["eval", "function", "settimeout", "setinterval"],
+    "insecure_random_py": ["random."],
+    "insecure_random_js": ["math.random"],
+    "information_leak": ["print", "console.", "traceback."],
+    "list_building": [".append"],
+    "needless_list": ["list"],
+    "memory_growth": ["global", ".append", "*"],
+    "python_habit": ["range", "keys", "has_key", "except"],
+    "javascript_habit": ["document.", ".innerhtml", "for", "regexp", "json.parse"],
+    "todo_py": ["todo"],
+    "todo_js": ["todo"],
+    "fixme_py": ["fixme"],
+    "fixme_js": ["fixme"],
+    "outdated_comment": ["19", "20", "version", "deprecated", "obsolete", "old", "legacy"],
+}
+
+
 def chosen(category: str | None = None, language: str | None = None, ids: set[str] | None = None) -> list[Rule]:
     """Rules of a category and language: what isn't asked for never enters the plan."""
     return [
@@ -103,11 +139,12 @@ def _first_match(rule: Rule, line: Column) -> Column:
 def apply_rules(lines: DataFrame, rules: list[Rule], lang: Column) -> DataFrame:
     """Findings of all rules over lines(..., line) in one pass: the lines' columns and the rule's.
 
-    pattern_no is the first pattern of the rule that matches. No shuffle: one projection and one generator.
+    pattern_no is the first pattern of the rule that matches. No shuffle: a filter, one projection and one generator.
     """
-    hits = []
+    hits, low = [], F.lower("line")
+    lines = lines.filter(contains_any(low, sorted({n for r in rules for n in NEEDLES[r.id]})))
     for r in rules:
-        match = _first_match(r, F.col("line"))
+        match = F.when(contains_any(low, NEEDLES[r.id]), _first_match(r, F.col("line")))
         if set(r.languages) != set(ALL):
             match = F.when(lang.isin(*r.languages), match)
         row = F.struct(

@@ -61,20 +61,15 @@ def _described(spark, d) -> DataFrame:
     """Issues with the features of their descriptions, which are joined by document; `description` is the closing phrase."""
     documents = table(spark, d, "documents")
     n = max(1, documents.count())
-    own = sc.keyword_features(documents.select("doc_id", F.col("text").alias("description")))
-    low = F.lower("description")
-    triggers = {f"t_{part}": sc.contains_any(low, words) for part, (words, _) in sc.IMPACT_TRIGGERS.items()}
-    fallback = {f"u_{part}": sc.contains_any(low, words) for part, words, _, _ in sc.FALLBACK}
-    factors = {f"w_{w}": low.contains(w) for _, w in sc.WORD_FACTORS}
-    own = own.withColumns(triggers | fallback | factors).drop("description")
+    words = KEYWORDS | {f"t_{part}": own for part, (own, _) in sc.IMPACT_TRIGGERS.items()} | {f"u_{part}": own for part, own, _, _ in sc.FALLBACK} | {f"w_{w}": [w] for _, w in sc.WORD_FACTORS}
+    own = sc.text_flags(documents, words)
     issues = dv.issues(table(spark, d, "events")).withColumn("doc_id", F.col("id") % n)
     issues = issues.withColumn("description", F.expr(_pick("id % 12", PHRASES)))
     issues = sc.path_features(issues.withColumns({k: F.expr(v) for k, v in ISSUE.items()}))
-    flags = sc.keyword_features(issues)
-    flags = flags.withColumns(triggers | fallback | factors)
-    names = [*KEYWORDS, *triggers, *fallback, *factors]
-    joined = flags.withColumnsRenamed({c: f"own_{c}" for c in names}).join(own, "doc_id")
-    return joined.withColumns({c: F.col(c) | F.col(f"own_{c}") for c in names}).drop(*(f"own_{c}" for c in names))
+    low = F.lower("description")
+    flags = issues.withColumns({name: sc.contains_any(low, own) for name, own in words.items()})
+    joined = flags.withColumnsRenamed({c: f"own_{c}" for c in words}).join(own, "doc_id")
+    return joined.withColumns({c: F.col(c) | F.col(f"own_{c}") for c in words}).drop(*(f"own_{c}" for c in words))
 
 
 DESCRIBED = (

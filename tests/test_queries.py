@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodeworks.plans import analytics, scores, structures  # noqa: F401
+from lodeworks.plans import analytics, governance, scores, structures  # noqa: F401
 from lodeworks.plans import queries as own
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -23,7 +23,7 @@ def duck():
 
 
 #: Queries that may find nothing in the smallest tables.
-EMPTY = {"secret_lines", "years_in_lines", "duplicate_blocks", "dangerous_calls_derived", "class_findings", "file_findings", "missing_tests", "documentation_styles", "low_maintainability"}
+EMPTY = {"hotspot_issues", "secret_lines", "years_in_lines", "duplicate_blocks", "dangerous_calls_derived", "class_findings", "file_findings", "missing_tests", "documentation_styles", "low_maintainability"}
 
 
 def plain(rows, names):
