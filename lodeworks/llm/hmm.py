@@ -56,24 +56,26 @@ _CLOSING[list(b".,;:!?")] = True
 class Tokens(NamedTuple):
     keys: np.ndarray  # hash of each token, ends included
     shape: np.ndarray  # shared class by length and script
-    tail: np.ndarray  # the last two bytes before closing punctuation
+    tail: np.ndarray  # the last two bytes before closing punctuation, where asked for
     bounds: np.ndarray  # per text: index of its first token; one more entry at the end
 
 
-def tokens_of(column: pa.Array) -> Tokens:
+def tokens_of(column: pa.Array, tails: bool = False) -> Tokens:
     words = words_of(column, True)
     keys = hash_words(words)
     keys[keys <= END] = 2
     size = words.end - words.start
     wide = np.concatenate([[0], np.cumsum(words.data >= 128, dtype=np.int64)])
     shape = np.clip(size, 1, LENGTHS) - 1 + LENGTHS * (wide[words.end] > wide[words.start])
-    core = words.end.copy()
-    live = np.arange(len(core))
-    while len(live):
-        live = live[(core[live] > words.start[live] + 1) & _CLOSING[words.data[core[live] - 1]]]
-        core[live] -= 1
-    data = np.concatenate([np.zeros(1, np.uint8), words.data])  # data[i] is the byte before place i
-    tail = data[core].astype(np.int64) << 8 | np.where(core - words.start > 1, data[core - 1], 0)
+    tail = np.zeros(len(keys), np.int64)
+    if tails:
+        core = words.end.copy()
+        live = np.arange(len(core))
+        while len(live):
+            live = live[(core[live] > words.start[live] + 1) & _CLOSING[words.data[core[live] - 1]]]
+            core[live] -= 1
+        data = np.concatenate([np.zeros(1, np.uint8), words.data])  # data[i] is the byte before place i
+        tail = data[core].astype(np.int64) << 8 | np.where(core - words.start > 1, data[core - 1], 0)
     ends = words.first[1:]
     insert = lambda x, value: np.insert(x, ends, value)
     return Tokens(insert(keys, END), insert(shape, 0), insert(tail, 0), words.first + np.arange(len(words.first)))
@@ -137,7 +139,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
-                own = tokens_of(part.column(0))
+                own = tokens_of(part.column(0), True)
                 fresh = sums.add(own.keys, None)
                 shapes.append(own.shape[fresh]), tails.append(own.tail[fresh])
                 if sums.full():
@@ -201,68 +203,109 @@ def runs_of(bounds: np.ndarray, run: int) -> Runs:
     return Runs(first, np.minimum(bounds[1:][text] - first, run), text, nth, parts, head)
 
 
-def _steps(size: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Order of runs, longest first, and how many have a token at each step."""
-    order = np.argsort(-size, kind="stable")
-    longest = int(size[order[0]]) if len(size) else 0
-    return order, np.searchsorted(-size[order], -np.arange(longest), "left").tolist()
+class Grid:
+    """Some runs, longest first, and their tokens step by step: what a step touches lies together."""
+
+    def __init__(self, runs: Runs, which: np.ndarray):
+        self.order = which[np.argsort(-runs.size[which], kind="stable")]
+        size = runs.size[self.order]
+        steps = int(size[0]) if len(size) else 0
+        self.alive = np.searchsorted(-size, -np.arange(steps), "left")  # runs that have a token at each step
+        self.at = np.concatenate([[0], np.cumsum(self.alive)])  # where each step's tokens begin
+        step = np.repeat(np.arange(steps), self.alive)
+        row = np.arange(self.at[-1]) - self.at[step]
+        self.tokens = runs.first[self.order][row] + step  # the token at each place
+        self.last = self.at[np.maximum(size - 1, 0)] + np.arange(len(size))  # the place of each run's last token
+        self.follows = self.at[np.minimum(step + 1, steps)] + row  # the place of the next token in the run
+        self.inner = step + 1 < size[row]  # whether there is one
+
+    def alphas(self, enter: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward values of all tokens (if they are kept), those of each run's last token, and the logarithms taken out."""
+        out = np.empty_like(emit) if keep else emit[:0]
+        last, logs, state = np.empty_like(enter), np.zeros(len(enter)), enter
+        ones = np.ones(enter.shape[1], emit.dtype)
+        for t, n in enumerate(self.alive.tolist()):
+            a = self.at[t]
+            state = (state[:n] @ move if t else state) * emit[a : a + n]
+            if t % SCALED == SCALED - 1:
+                scale = state @ ones
+                logs[:n] += np.log(scale, dtype=np.float64)
+                state /= scale[:, None]
+            if keep:
+                out[a : a + n] = state
+            stop = self.alive[t + 1] if t + 1 < len(self.alive) else 0
+            last[stop:n] = state[stop:]
+        return out, last, logs
+
+    def matrices(self, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Transfer matrix of each run, its own first token included, and the logarithms taken out."""
+        k, count = len(move), len(self.order)
+        out, logs = np.empty((count, k, k), emit.dtype), np.zeros(count)
+        own = np.zeros((count, k, k), emit.dtype)
+        own[:, np.arange(k), np.arange(k)] = emit[:count]
+        ones = np.ones(k * k, emit.dtype)
+        for t, n in enumerate(self.alive.tolist()):
+            own = own[:n]
+            if t:
+                own = (own.reshape(-1, k) @ move).reshape(n, k, k) * emit[self.at[t] : self.at[t] + n][:, None, :]
+            if t % SCALED == SCALED - 1:
+                scale = own.reshape(n, -1) @ ones
+                logs[:n] += np.log(scale, dtype=np.float64)
+                own /= scale[:, None, None]
+            stop = self.alive[t + 1] if t + 1 < len(self.alive) else 0
+            out[stop:n] = own[stop:]
+        return out, logs
+
+    def betas(self, leave: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+        """Backward values of all tokens, from those of each run's last token."""
+        out = np.empty_like(emit)
+        out[self.last] = leave
+        back_move, ones = np.ascontiguousarray(move.T), np.ones(len(move), emit.dtype)
+        for t in range(len(self.alive) - 2, -1, -1):
+            m, after = int(self.alive[t + 1]), int(self.at[t + 1])
+            mine = (out[after : after + m] * emit[after : after + m]) @ back_move
+            if t % SCALED == 0:
+                mine /= (mine @ ones)[:, None]
+            out[self.at[t] : self.at[t] + m] = mine
+        return out
 
 
-def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood of each text, the states that enter each run, and each later run's transfer matrix.
+class Passes(NamedTuple):
+    """Forward passes over texts: first runs as vectors, later ones as matrices until the states that enter them are known."""
 
-    emit: of each token, tokens x states, the largest of each token about 1 (see `level`), so that scaling every SCALED
-    steps suffices. First runs are vectors from `start`; later ones are matrices until the states that enter them are known.
-    """
-    k = len(start)
-    ones = np.ones(k, emit.dtype)
+    total: np.ndarray  # log likelihood of each text
+    runs: Runs
+    heads: Grid
+    later: Grid
+    enter: np.ndarray  # states that enter each run, by run
+    matrix: np.ndarray  # of later runs, by run
+    alphas: np.ndarray  # of first runs' tokens, in their grid
+
+
+def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, classes: np.ndarray, bounds: np.ndarray, run: int, keep: bool = False) -> Passes:
+    """emit: by class, the largest of each class about 1 (see `level`), so that scaling every SCALED steps suffices."""
+    k, runs = len(start), runs_of(bounds, run)
     total = np.zeros(len(runs.parts))
     enter = np.tile(start.astype(emit.dtype), (len(runs.first), 1))
-    heads = np.flatnonzero(runs.nth == 0)
-    order, alive = _steps(runs.size[heads])
-    order = heads[order]
-    first, text = runs.first[order], runs.text[order]
-    state = enter[order]
-    for t, n in enumerate(alive):
-        state = (state[:n] @ move if t else state) * emit[first[:n] + t]
-        if t % SCALED == SCALED - 1:
-            scale = state @ ones
-            total[text[:n]] += np.log(scale, dtype=np.float64)
-            state /= scale[:, None]
-        stop = alive[t + 1] if t + 1 < len(alive) else 0
-        if stop < n:
-            scale = state[stop:] @ ones
-            total[text[stop:n]] += np.log(scale, dtype=np.float64)
-            more = runs.parts[text[stop:n]] > 1
-            enter[order[stop:n][more] + 1] = (state[stop:][more] / scale[more, None]) @ move
-    later = np.flatnonzero(runs.nth > 0)
-    order, alive = _steps(runs.size[later])
     matrix = np.zeros((len(runs.first), k, k), emit.dtype)
-    if not len(later):
-        return total, enter, matrix
-    order = later[order]
-    first, ones = runs.first[order], np.ones(k * k, emit.dtype)
-    own = np.zeros((len(order), k, k), emit.dtype)
-    own[:, np.arange(k), np.arange(k)] = emit[first]
-    logs = np.zeros(len(runs.first))
-    for t, n in enumerate(alive):
-        own = own[:n]
-        if t:
-            own = (own.reshape(-1, k) @ move).reshape(n, k, k) * emit[first[:n] + t][:, None, :]
-        if t % SCALED == SCALED - 1:
-            scale = own.reshape(n, -1) @ ones
-            logs[order[:n]] += np.log(scale, dtype=np.float64)
-            own /= scale[:, None, None]
-        stop = alive[t + 1] if t + 1 < len(alive) else 0
-        matrix[order[stop:n]] = own[stop:]
-    for nth in range(1, int(runs.parts.max())):
-        at = runs.head[runs.parts > nth] + nth
-        state = np.einsum("ri,rij->rj", enter[at], matrix[at])
-        scale = state.sum(axis=1)
-        total[runs.text[at]] += np.log(scale, dtype=np.float64) + logs[at]
-        on = runs.parts[runs.text[at]] > nth + 1
-        enter[at[on] + 1] = (state[on] / scale[on, None]) @ move
-    return total, enter, matrix
+    heads, later = Grid(runs, np.flatnonzero(runs.nth == 0)), Grid(runs, np.flatnonzero(runs.nth > 0))
+    alphas, last, logs = heads.alphas(enter[heads.order], move, emit[classes[heads.tokens]], keep)
+    text = runs.text[heads.order]
+    scale = last.sum(axis=1)
+    total[text] += logs + np.log(scale, dtype=np.float64)
+    more = runs.parts[text] > 1
+    enter[heads.order[more] + 1] = (last[more] / scale[more, None]) @ move
+    if len(later.order):
+        by_run = np.zeros(len(runs.first))
+        matrix[later.order], by_run[later.order] = later.matrices(move, emit[classes[later.tokens]])
+        for nth in range(1, int(runs.parts.max())):
+            at = runs.head[runs.parts > nth] + nth
+            state = np.einsum("ri,rij->rj", enter[at], matrix[at])
+            scale = state.sum(axis=1)
+            total[runs.text[at]] += np.log(scale, dtype=np.float64) + by_run[at]
+            on = runs.parts[runs.text[at]] > nth + 1
+            enter[at[on] + 1] = (state[on] / scale[on, None]) @ move
+    return Passes(total, runs, heads, later, enter, matrix, alphas)
 
 
 def level(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,47 +314,37 @@ def level(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return emit / top[:, None], np.log(top)
 
 
-def posteriors(start: np.ndarray, move: np.ndarray, emit: np.ndarray, bounds: np.ndarray, run: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood of texts, each token's states (tokens x states), and expected moves: forward and backward."""
-    k = len(start)
-    runs = runs_of(bounds, run)
-    total, enter, matrix = forward(start, move, emit, runs)
+def posteriors(start: np.ndarray, move: np.ndarray, emit: np.ndarray, classes: np.ndarray, bounds: np.ndarray, run: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood of texts, tokens in some order, each one's states in that order, and expected moves: forward and backward."""
+    made = forward(start, move, emit, classes, bounds, run, True)
+    runs, k = made.runs, len(start)
     leave = np.ones((len(runs.first), k), emit.dtype)  # backward values of each run's last token
     for nth in range(int(runs.parts.max()) - 1 if len(runs.parts) else 0, 0, -1):
         at = runs.head[runs.parts > nth] + nth
-        back = np.einsum("rij,rj->ri", matrix[at], leave[at]) @ move.T
+        back = np.einsum("rij,rj->ri", made.matrix[at], leave[at]) @ move.T
         leave[at - 1] = back / back.sum(axis=1)[:, None]
-    alpha, beta, ones = np.empty_like(emit), np.empty_like(emit), np.ones(k, emit.dtype)
-    order, alive = _steps(runs.size)
-    first = runs.first[order]
-    state, back_move = enter[order], np.ascontiguousarray(move.T)
-    for t, n in enumerate(alive):
-        at = first[:n] + t
-        state = (state[:n] @ move if t else state) * emit[at]
-        if t % SCALED == SCALED - 1:
-            state /= (state @ ones)[:, None]
-        alpha[at] = state
-    back = np.zeros((0, k), emit.dtype)
-    for t in range(len(alive) - 1, -1, -1):
-        n, m = alive[t], len(back)
-        at = first[:n] + t
-        own = leave[order[:n]]
-        if m:
-            mine = (back * emit[at[:m] + 1]) @ back_move
-            if t % SCALED == 0:
-                mine /= (mine @ ones)[:, None]
-            own[:m] = mine
-        beta[at] = back = own
-    gamma = alpha * beta
-    gamma /= (gamma @ ones)[:, None]
-    inner = np.ones(len(emit), bool)
-    inner[bounds[1:] - 1] = False
-    here = np.flatnonzero(inner)
-    after = emit[here + 1] * beta[here + 1]
-    alpha = alpha[here]
-    weight = ((alpha @ move) * after) @ ones
-    moves = (alpha / weight[:, None]).T @ after * move
-    return float(total.sum()), gamma, moves
+    ones, moves = np.ones(k, emit.dtype), np.zeros((k, k))
+
+    def moved(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        weight = ((before @ move) * after) @ ones
+        return (before / weight[:, None]).T @ after * move
+
+    tokens, gammas = [], []
+    ends, begins = np.empty((len(runs.first), k), emit.dtype), np.empty((len(runs.first), k), emit.dtype)
+    for grid, alpha in ((made.heads, made.alphas), (made.later, None)):
+        own = emit[classes[grid.tokens]]
+        if alpha is None:
+            alpha, _, _ = grid.alphas(made.enter[grid.order], move, own, True)
+        beta = grid.betas(leave[grid.order], move, own)
+        gamma = alpha * beta
+        gamma /= (gamma @ ones)[:, None]
+        own *= beta
+        moves += moved(alpha[grid.inner], own[grid.follows[grid.inner]])
+        ends[grid.order], begins[grid.order] = alpha[grid.last], own[: len(grid.order)]
+        tokens.append(grid.tokens), gammas.append(gamma)
+    inner = np.flatnonzero(runs.nth > 0)  # from each run's last token to the next run's first
+    moves += moved(ends[inner - 1], begins[inner])
+    return float(made.total.sum()), np.concatenate(tokens), np.concatenate(gammas), moves
 
 
 def _round(model: Model, rows: DataFrame, run: int) -> tuple[Model, float]:
@@ -331,10 +364,11 @@ def _round(model: Model, rows: DataFrame, run: int) -> tuple[Model, float]:
             for part in slices(batch, limit=SLICE_BYTES):
                 tokens = tokens_of(part.column(0))
                 at = class_of(tokens, table, len(own.names))
-                more, gamma, pairs = posteriors(own.start.astype(np.float32), move, emit[at], tokens.bounds, run)
+                more, places, gamma, pairs = posteriors(own.start.astype(np.float32), move, emit, at, tokens.bounds, run)
+                there = at[places]
                 for k in range(states):
-                    sums[:, k] += np.bincount(at, gamma[:, k], n)
-                start += gamma[tokens.bounds[:-1]].sum(axis=0)
+                    sums[:, k] += np.bincount(there, gamma[:, k], n)
+                start += gamma[: len(tokens.bounds) - 1].sum(axis=0)  # the first tokens of all texts come first
                 moves += pairs
                 likelihood += more + float(tops[at].sum())
         # Below the classes: the start, a row for each state's moves, and the likelihood.
@@ -374,8 +408,8 @@ def _word_states(model: Model, rows: DataFrame, run: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 tokens = tokens_of(part.column(0))
-                _, gamma, _ = posteriors(own.start.astype(np.float32), move, emit[class_of(tokens, table, len(own.names))], tokens.bounds, run)
-                sums.add(tokens.keys, None, *gamma.T)
+                _, places, gamma, _ = posteriors(own.start.astype(np.float32), move, emit, class_of(tokens, table, len(own.names)), tokens.bounds, run)
+                sums.add(tokens.keys[places], None, *gamma.T)
                 if sums.full():
                     yield out()
                     sums = _Sums(1 + states)
@@ -501,7 +535,7 @@ def score(docs: DataFrame, trained: Trained, run: int = 2 * RUN) -> DataFrame:
         while a < n:
             b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 250_000, "right")) - 1)
             own, inner = tokens[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-            log, _, _ = forward(start, move, emit[own], runs_of(inner, run))
+            log = forward(start, move, emit, own, inner, run).total
             text = np.repeat(np.arange(b - a), np.diff(inner))
             log += np.bincount(text, tops[own], b - a)
             n_known = np.bincount(text, counts[own] > 0, b - a).astype(np.int64)
