@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.scratch import settled
@@ -124,18 +124,23 @@ def slot_table(spark, p: Plan) -> DataFrame:
     return spark.range(0, p.slots, 1, tasks).mapInArrow(work, schema).filter("take > 0")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows of one id and source apart: a hash of all columns but those that can't be hashed."""
+    return F.xxhash64(*(docs[c] for c, kind in sorted(docs.dtypes) if "map<" not in kind and kind != "variant"))
+
+
 class Mix(NamedTuple):
-    rows: DataFrame  # doc_id, source, text_hash, size, sid, start (null for size 0), source_size, target
-    pieces: DataFrame  # slot, epoch, sid, start, doc_id, source, text_hash, word_from, word_to: the mix, in slot order
+    rows: DataFrame  # doc_id, source, row_hash, size, sid, start (null for size 0), source_size, target
+    pieces: DataFrame  # slot, epoch, sid, start, doc_id, source, row_hash, word_from, word_to: the mix, in slot order
 
 
 def mix(docs: DataFrame, weights: Callable[[int], float], share: float = 1.5, repeat: float = 2.0, block: int = BLOCK_WORDS) -> Mix:
     """weights: of the i-th source in code-point order, null last. share: words of the mix as a multiple of all words."""
     spark = docs.sparkSession
     rows = docs.select(
-        "doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        "doc_id", "source", row_hash(docs).alias("row_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
-    rows = settled(rows.withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(20))), "sizes")
+    rows = settled(rows.withColumn("place", F.xxhash64("doc_id", "row_hash", F.lit(20))), "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     found = by_source.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -156,15 +161,15 @@ def mix(docs: DataFrame, weights: Callable[[int], float], share: float = 1.5, re
     inside = Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(bases, ["sid", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.withColumn("start", F.when(F.col("size") > 0, F.col("start")))
-    rows = settled(rows.select("doc_id", "source", "text_hash", "size", "sid", "start", "source_size", "target"), "stream")
+    rows = settled(rows.select("doc_id", "source", "row_hash", "size", "sid", "start", "source_size", "target"), "stream")
 
     in_blocks = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-    cut = rows.filter("size > 0").select("sid", "start", "size", "doc_id", "source", "text_hash", in_blocks.alias("block"))
+    cut = rows.filter("size > 0").select("sid", "start", "size", "doc_id", "source", "row_hash", in_blocks.alias("block"))
     first = F.greatest(F.col("start"), F.col("block") * block)
     last = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
     pieces = cut.join(slot_table(spark, p), ["sid", "block"]).filter(last > first)
     pieces = pieces.select(
-        "slot", "epoch", "sid", "start", "doc_id", "source", "text_hash", (first - F.col("start")).alias("word_from"), (last - F.col("start")).alias("word_to")
+        "slot", "epoch", "sid", "start", "doc_id", "source", "row_hash", (first - F.col("start")).alias("word_from"), (last - F.col("start")).alias("word_to")
     )
     return Mix(rows, pieces)
 
@@ -178,14 +183,17 @@ def taken(m: Mix) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, m: Mix) -> DataFrame:
-    """A row of docs for each document and epoch that the mix takes: its text where all words are taken, else those words."""
-    parts = m.pieces.groupBy("doc_id", "source", "text_hash", "sid", "start", "epoch").agg(
+    """A row of docs for each document and epoch that the mix takes: its text where all words are taken, else those words.
+
+    Rows that agree in all columns are one row here, given as often as the mix takes each of them.
+    """
+    parts = m.pieces.groupBy("doc_id", "source", "row_hash", "sid", "start", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("n")
     )
     # The row travels as one struct, so that its columns can have any names.
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k1"), F.col("source").alias("k2"), F.xxhash64("text").alias("k3"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k1"), F.col("source").alias("k2"), row_hash(docs).alias("k3"))
     own = own.dropDuplicates(["k1", "k2", "k3"])
-    same = F.col("k1").eqNullSafe(F.col("doc_id")) & F.col("k2").eqNullSafe(F.col("source")) & (F.col("k3") == F.col("text_hash"))
+    same = F.col("k1").eqNullSafe(F.col("doc_id")) & F.col("k2").eqNullSafe(F.col("source")) & (F.col("k3") == F.col("row_hash"))
     words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     joined = own.join(parts, same).withColumn("words", words)
     span = lambda x: F.slice("words", (x["word_from"] + 1).cast("int"), (x["word_to"] - x["word_from"]).cast("int"))
