@@ -7,7 +7,9 @@ that keeps its k + 1 smallest ids (no more can be in any answer), so a very comm
 their probes go to all parts. What is left of a part is streamed in blocks: neither side of a bucket is held whole.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id; a row that is
-repeated counts once. Queries that find fewer classes than asked for are answered by a scan of all classes in blocks.
+repeated counts once. Vectors of different lengths aren't compared: those of each length are a search of their own. An id
+with several vectors is one candidate, at its nearest, and one query, for which the nearest of any of its vectors count.
+No vectors or no queries give no rows. Queries that find fewer classes than asked for are answered by a scan of all classes in blocks.
 All scores are in double precision. Cosines that agree to 14 places are ties, as double sums can't tell them apart, and
 ties go to the smaller id. Other columns are ignored.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.scratch import settled
+from lodeworks.llm.textkit import tidy
 
 PROJECTIONS, WIDTH, TABLES, PROBES = 12, 2.8, 12, 150
 BUCKET_ROWS = 20_000
@@ -130,7 +134,13 @@ def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
     projections: int = PROJECTIONS, width: float = WIDTH, tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row that is_query marks. Vectors must have one length."""
+    """(query_id, rank, vec_id, score) for each row that is_query marks."""
+    lengths = [r[0] for r in usable(vectors, id_col, vector_col).select(F.size("v").alias("n")).distinct().collect()]
+    if len(lengths) > 1:
+        own = (vectors.filter(F.size(vector_col) == n) for n in sorted(lengths))
+        made = (nearest(v, is_query, k, id_col, vector_col, projections, width, tables, probes, bucket_rows).withColumn("s", -F.col("score")) for v in own)
+        every = reduce(DataFrame.unionByName, made).select(F.col("query_id").alias("id"), F.array(F.struct("s", "vec_id")).alias("near"))
+        return _merged(every, k)
     rows = usable(vectors, id_col, vector_col)
     first = Window.partitionBy("v").orderBy("id")
     ranked = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
@@ -143,6 +153,7 @@ def nearest(
     hashes = Hashes(head[0] if head else 1, projections, width, tables, probes)
 
     def keyed(probe: bool):
+        @tidy
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
@@ -166,6 +177,7 @@ def nearest(
     asking = asking.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "cid", "x")
     keep = k + 1 + SPARE
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, here = _Best(keep), None
         q_ids, q_rows = [], []
@@ -242,7 +254,12 @@ def _ranked(found: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> D
     per_query = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ids")))
     answers = exact.groupBy("query").agg(per_query.alias("near"))  # at most k + 1 + SPARE classes of k + 1 ids
     opened = F.flatten(F.transform("near", lambda c: F.transform(c["ids"], lambda i: F.struct(c["s"].alias("s"), i.alias("vec_id")))))
-    rows = asked.join(answers, asked["cid"] == answers["query"]).select("id", opened.alias("near"))
-    own = F.sort_array(F.filter("near", lambda x: x["vec_id"] != F.col("id")))
-    rows = rows.select("id", F.posexplode(F.slice(own, 1, k)).alias("at", "x"))
+    return _merged(asked.join(answers, asked["cid"] == answers["query"]).select("id", opened.alias("near")), k)
+
+
+def _merged(rows: DataFrame, k: int) -> DataFrame:
+    """The k nearest of rows(id, near): all of an id's arrays together, each other id once, at its nearest."""
+    rows = rows.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))  # a few dozen structs an id
+    first = lambda x, i: (x["vec_id"] != F.col("id")) & ~F.exists(F.slice("near", F.lit(1), i), lambda y: y["vec_id"] == x["vec_id"])
+    rows = rows.select("id", F.posexplode(F.slice(F.filter("near", first), 1, k)).alias("at", "x"))
     return rows.select(F.col("id").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
