@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.weights import banded
-
 # Levels and classes by type, in lower case.
 SECURITY_IMPACT = {
     "sql_injection": "high", "xss": "high", "command_injection": "high", "path_traversal": "high", "hardcoded_secret": "medium", "weak_crypto": "medium", "insecure_random": "medium",
@@ -18,7 +16,6 @@ OWASP = {
 OPTIMIZATION = {"memory": "Memory Optimization", "cpu": "CPU Optimization", "io": "I/O Optimization", "network": "Network Optimization", "algorithm": "Algorithm Optimization"}
 TEST_PRIORITY = {"untested_public_method": "high", "untested_critical_path": "high", "low_coverage": "medium", "missing_edge_cases": "medium"}
 DOCUMENTATION_PRIORITY = {"missing_public_api_docs": "high", "outdated_critical_docs": "high", "missing_docstring": "medium", "incomplete_comments": "medium"}
-DUPLICATION_BANDS = [(0.95, "exact_duplicate"), (0.8, "near_duplicate"), (0.6, "similar_code")]
 CREATED = {"created_by": "IssueFactory", "analyzer_version": "1.0.0", "detection_method": "static_analysis"}
 VULNERABILITIES = [  # type, weakness, words of the pattern, severity
     ("sql_injection", "CWE-89", "string formatting in SQL query", "high"), ("command_injection", "CWE-78", "shell=True with user input", "high"),
@@ -153,7 +150,3 @@ def prioritized_in(ranked: DataFrame, category: str) -> DataFrame:
 
 def progress_percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, 100.0 * done / total).otherwise(0.0)
-
-
-def duplication_type(similarity: Column) -> Column:
-    return banded(similarity, DUPLICATION_BANDS, "potential_duplicate")

@@ -431,3 +431,58 @@ def chunks(files: DataFrame, elements: DataFrame, least: int = 50) -> DataFrame:
     module = runs.filter(F.length("content") > least).select("path", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("name"), "line_start", "line_end", "content")
     rows = named.unionByName(module)
     return rows.select(F.md5(F.concat_ws(":", "path", "kind", F.coalesce("name", F.lit("")), "line_start")).alias("id"), "*")
+
+
+def parse_validation(metrics: DataFrame, elements: DataFrame) -> DataFrame:
+    """(path, rule, name, line_start): files of more than ten lines without any element, very complex functions, and long
+    functions without a docstring."""
+    rule = lambda test, name: F.when(test, F.lit(name))
+    rules = F.array_compact(F.array(
+        rule(F.col("complexity") > 20, "very_complex"), rule((F.coalesce("docstring", F.lit("")) == "") & (F.col("line_end") - F.col("line_start") > 20), "large_undocumented"),
+    ))
+    found = elements.filter("kind = 'function'").select("path", F.explode(rules).alias("rule"), "name", "line_start")
+    bare = metrics.filter("line_count > 10 AND n_functions = 0 AND n_classes = 0 AND n_imports = 0")
+    return found.unionByName(bare.select("path", F.lit("no_elements").alias("rule"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line_start")))
+
+
+def generic_signature(name: Column, parameters: Column) -> Column:
+    """The name with parameters that are told apart by their place alone."""
+    return F.concat(name, F.lit("("), F.array_join(F.transform(parameters, lambda p, i: F.concat(F.lit("param"), i.cast("string"))), ","), F.lit(")"))
+
+
+def function_bodies(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """(path, name, line_start, body): each function's lines after its first; null where lines are unknown."""
+    lines = files.select("path", split_lines(F.col("content")).alias("ls"))
+    body = F.array_join(F.slice("ls", F.col("line_start") + 1, F.col("line_end") - F.col("line_start")), "\n")
+    inside = (F.col("line_start") <= F.size("ls")) & (F.col("line_end") <= F.size("ls"))
+    return functions.select("path", "name", "line_start", "line_end").join(lines, "path").select("path", "name", "line_start", F.when(inside, body).alias("body"))
+
+
+def class_summaries(files: DataFrame, classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """(path, name, line_start, summary): a class's first ten lines and its methods' first lines, as comments."""
+    lines = files.select("path", split_lines(F.col("content")).alias("ls"))
+    keys = ["path", "name", "line_start"]
+    methods = functions.filter("owner IS NOT NULL").select("path", F.col("owner").alias("name"), F.col("line_start").alias("at"))
+    met = classes.select(*keys, "line_end").join(methods, ["path", "name"], "left").filter("at IS NULL OR at > line_start AND at <= line_end")
+    met = met.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("ats")).join(lines, "path")
+    signatures = F.transform("ats", lambda a: F.concat(F.lit("# "), F.trim(F.element_at("ls", a))))
+    head = F.slice("ls", F.col("line_start"), 10)
+    return met.select(*keys, F.array_join(F.concat(head, F.array(F.lit("\n# Method signatures:")), signatures), "\n").alias("summary"))
+
+
+SCRIPT_SUFFIXES = [".js", ".ts", ".jsx", ".tsx"]  # in the order in which they are tried
+
+
+def script_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst) of imports(path, module) among files(path): relative modules by their path with the first suffix that there
+    is, and modules that are a file's name without its suffix."""
+    suffix, stem = r"\.[^./]+$", F.regexp_replace("path", r"\.[^./]+$", "")
+    rank = F.array_position(F.array(*(F.lit(x) for x in SCRIPT_SUFFIXES)), F.regexp_extract("path", suffix, 0))
+    known = files.select(stem.alias("stem"), F.col("path").alias("dst"), rank.alias("rank")).filter("rank > 0")
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    steps = F.split(F.concat(F.regexp_replace("path", r"[^/]*$", ""), "module"), "/")
+    resolved = F.regexp_replace(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/"), suffix, "")
+    relative = imports.filter(F.col("module").rlike(r"^\.\.?/")).select(F.col("path").alias("src"), "module", resolved.alias("stem"))
+    first = relative.join(known, "stem").groupBy("src", "module").agg(F.min_by("dst", "rank").alias("dst")).select("src", "dst")
+    named = known.select(F.regexp_extract("stem", r"[^/]*$", 0).alias("module"), "dst")
+    return first.union(imports.select(F.col("path").alias("src"), "module").join(named, "module").select("src", "dst")).filter("src <> dst").distinct()

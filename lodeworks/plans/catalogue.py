@@ -62,6 +62,9 @@ RULES = (
     Rule("information_leak", "security", "low", 0.6, ALL, (
         r"print\s*\(\s*.*password", r"console\.log\s*\(\s*.*password", r"console\.log\s*\(\s*.*token", r"print\s*\(\s*.*secret",
         r"console\.error\s*\(\s*.*error\)", r"traceback\.print_exc\s*\("), True),
+    Rule("inefficient_loop_py", "performance", "medium", 0.7, PY, (r"for\s+\w+\s+in\s+range\s*\(\s*len\s*\(", r"while\s+.*len\s*\("), False, None, NOT_CODE),
+    Rule("inefficient_loop_js", "performance", "medium", 0.7, JS, (
+        r"for\s*\(\s*var\s+\w+\s*=\s*0\s*;\s*\w+\s*<\s*\w+\.length", r"for\s*\(\s*let\s+\w+\s*=\s*0\s*;\s*\w+\s*<\s*\w+\.length"), False, None, NOT_CODE),
     Rule("list_building", "performance", "low", 0.7, PY, (r"\.append\s*\(.*\).*for\s+.*in",)),
     Rule("needless_list", "performance", "low", 0.6, PY, (r"list\s*\(\s*.*\s*for\s+.*in.*\)",)),
     Rule("memory_growth", "performance", "medium", 0.5, ALL, (
@@ -101,6 +104,8 @@ NEEDLES = {
     "insecure_random_py": ["random."],
     "insecure_random_js": ["math.random"],
     "information_leak": ["print", "console.", "traceback."],
+    "inefficient_loop_py": ["len"],
+    "inefficient_loop_js": ["length"],
     "list_building": [".append"],
     "needless_list": ["list"],
     "memory_growth": ["global", ".append", "*"],

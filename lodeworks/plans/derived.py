@@ -16,7 +16,7 @@ TEMPLATES = [
     "# x = compute(1)", "# if ready:", "# return value = 1", "if a and b and c or d and e or f:", "call(a, b, c, d, e, f, g, h)", 'password = "hunter2hunter2"',
     "eval(user_input)", "return total", "pickle.loads(blob)", "key = random.random() + salt", "items = list(x for x in rows)", "except:",
     "session.commit()", "# updated in 2019 by hand", "// FIXME: old way", "innerHTML = a + b", "nodes(1)", "requests.get(url)",
-    "def run(self):", "# legacy code path", 'print("secret: " + s)',
+    "def run(self):", "for i in range(len(rows)):", "for (let i = 0; i < rows.length; i++) {", "# legacy code path", 'print("secret: " + s)',
 ]
 #: Files of users that leave 1, 2 or 3 over 5: runs of comments, of concatenations in a loop, of telling lines, as long as the
 #: rules' own bounds ask for.

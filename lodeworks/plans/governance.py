@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodeworks.operators import churn as ch
+from lodeworks.operators import duplicates as du
 from lodeworks.operators import graph as gr
 from lodeworks.operators import issues as iss
 from lodeworks.operators import lines as ln
@@ -15,6 +15,7 @@ from lodeworks.plans import analytics as an
 from lodeworks.plans import derived as dv
 from lodeworks.plans import queries as own
 from lodeworks.plans.queries import query, table
+from lodeworks.streaming import events as ev
 
 TYPES = [
     "sql_injection", "XSS", "weak_crypto", "cpu", "Memory", "low_coverage", "untested_critical_path", "missing_docstring", "outdated_critical_docs", "path_traversal", "eval", "other",
@@ -182,4 +183,16 @@ def job_progress(spark, d):
        "CASE WHEN similarity >= 0.99 OR similarity >= 0.95 AND page_id % 200 > 100 THEN 'high' WHEN similarity >= 0.95 THEN 'medium' WHEN similarity >= 0.85 THEN 'low' ELSE 'info' END AS severity FROM (SELECT page_id, (page_id % 51) / 50e0 AS similarity FROM pages)")
 def duplication_classes(spark, d):
     rows = table(spark, d, "pages").select("page_id", (F.col("page_id") % 51 / 50.0).alias("similarity"))
-    return rows.select("page_id", "similarity", iss.duplication_type(F.col("similarity")).alias("type"), iss.duplication_severity(F.col("similarity"), F.col("page_id") % 200).alias("severity"))
+    return rows.select("page_id", "similarity", du.duplicate_class(F.col("similarity")).alias("type"), iss.duplication_severity(F.col("similarity"), F.col("page_id") % 200).alias("severity"))
+
+
+_KEY = b"a key of the hook"
+_PADS = ["".join(f"{b ^ pad:02x}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"WITH s AS (SELECT event_id, sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(props)))) AS mac FROM events) "
+       "SELECT event_id, mac, event_id % 3 <> 0 AS signed FROM s")
+def signed_hooks(spark, d):
+    mac = ev.hmac_sha256(F.col("props"), _KEY)
+    header = F.when(F.col("event_id") % 3 == 0, "sha256=00").otherwise(F.concat(F.lit("sha256="), mac))
+    return table(spark, d, "events").select("event_id", mac.alias("mac"), ev.is_signed(F.col("props"), header, _KEY).alias("signed"))

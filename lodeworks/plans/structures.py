@@ -268,3 +268,36 @@ def import_edges(spark, d):
     order = Window.partitionBy("stem").orderBy("path")
     imports = files.withColumn("stem", F.substring("module", 1, 6)).withColumn("imported", F.lag("module").over(order)).filter("imported IS NOT NULL")
     return gr.import_edges(imports.select("path", F.col("imported").alias("module")), files)
+
+
+@query(f"WITH {PY} SELECT path, 'large_undocumented' AS rule, name, line_start FROM f WHERE doc = 0 AND line_end - line_start > 20")
+def parse_validation(spark, d):
+    return st.parse_validation(_metrics(spark, d), _python(spark, d))
+
+
+@query(f"WITH {PY} SELECT path, line_start, name || '(' || coalesce(array_to_string(list_transform(range(n_parameters), lambda k: 'param' || k), ','), '') || ')' AS signature FROM f")
+def generic_signatures(spark, d):
+    return _python(spark, d).filter("kind = 'function'").select("path", "line_start", st.generic_signature(F.col("name"), F.col("parameters")).alias("signature"))
+
+
+@query(f"WITH {PY} SELECT path, name, line_start, line_end - line_start AS n_lines FROM f WHERE line_end > line_start")
+def function_bodies(spark, d):
+    bodies = st.function_bodies(_files(spark, d, "python"), _python(spark, d).filter("kind = 'function'"))
+    return bodies.filter("body <> ''").select("path", "name", "line_start", F.size(F.split("body", "\n", -1)).alias("n_lines"))
+
+
+@query(f"WITH {PY} SELECT c.path, name, line_start, least(10, line_count - line_start + 1) + 2 + n_methods AS n_lines FROM c JOIN files ON files.path = c.path")
+def class_summaries(spark, d):
+    e = _python(spark, d)
+    rows = st.class_summaries(_files(spark, d, "python"), e.filter("kind = 'class'"), e.filter("kind = 'function'"))
+    return rows.select("path", "name", "line_start", F.size(F.split("summary", "\n", -1)).alias("n_lines"))
+
+
+@query(f"""WITH {JS}, n AS (SELECT path, lead(path) OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY path) AS nxt FROM files)
+SELECT path AS src, nxt AS dst FROM n WHERE nxt IS NOT NULL""")
+def script_edges(spark, d):
+    """Every script imports the next one of its folder."""
+    files = _files(spark, d, "script").select("path")
+    order = Window.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy("path")
+    nxt = F.regexp_extract(F.lead("path").over(order), r"([^/]*)\.js$", 1)
+    return st.script_edges(files.select("path", F.concat(F.lit("./x/../"), nxt).alias("module")).filter("module IS NOT NULL"), files)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PULL_ACTIONS = ["opened", "synchronize", "reopened", "open", "update"]
@@ -97,3 +98,15 @@ def running_mean(rows: DataFrame, key: str, order: list[str], value: str) -> Dat
     """Adds the mean of all values of a key so far."""
     so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("mean_so_far", F.avg(value).over(so_far))
+
+
+def hmac_sha256(body: Column, key: bytes) -> Column:
+    """Lower-case hex of the keyed digest of a string column, by two nested digests of padded keys."""
+    own = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in own)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256))), 256)
+
+
+def is_signed(body: Column, signature: Column, key: bytes) -> Column:
+    """Whether a webhook's signature header fits its body."""
+    return F.coalesce(signature == F.concat(F.lit("sha256="), hmac_sha256(body, key)), F.lit(False))
