@@ -5,7 +5,9 @@ least hash inside) form a super-k-mer. First only minimiser hashes travel: a win
 its minimiser is. Super-k-mers whose minimiser more than one document has are then packed as strings and sent to the
 minimiser's bucket, each distinct string once a task with its smallest and largest document. There windows are
 sorted and compared word by word, and every string gets the smallest document of each of its windows. Places of
-super-k-mers join these answers and say which words an earlier document has.
+super-k-mers join these answers and say which words an earlier document has. A minimiser of more than HOT super-k-mers
+(those at the edges of a very common passage differ by document) has no bucket: its windows meet by their own 128-bit hashes,
+which spreads them over all tasks.
 
 Documents are ordered by doc_id. Null and empty texts have no words. Rows that share an id count as one document: neither
 takes words from the other. Rows without an id neither give nor lose words. Extra columns are ignored.
@@ -22,12 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.scratch import settled
-from lodeworks.llm.textkit import hash_grams, hash_words, mix, slices, words_of
+from lodeworks.llm.scratch import drop, settled
+from lodeworks.llm.textkit import hash_grams, hash_words, mix, slices, tidy, words_of
 
 WINDOW = 50
 SEED = 8
 BUCKET_KMERS = 40_000  # super-k-mers a bucket is planned for
+HOT = 20_000  # super-k-mers of one minimiser that may share a bucket
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,6 +73,7 @@ def _strings(words, first: np.ndarray, count: np.ndarray, window: int) -> list[b
 def _places(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """(h, doc_id, tk, at, windows): every super-k-mer of every row by its minimiser hash; tk tells texts of an id apart."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -137,25 +141,44 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     places = settled(_places(known, window, seed), "places")
     shared = places.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high")
     shared = settled(shared, "shared")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, int(total) // BUCKET_KMERS)
-    hit = places.join(shared.select("h"), "h")
-    wanted = hit.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "at", "windows")).alias("own"))
+    total, most = shared.agg(F.sum("n"), F.max("n")).first()
+    buckets = max(1, int(total or 0) // BUCKET_KMERS)
+    hit = places.join(shared.select("h", (F.col("n") > HOT).alias("hot")), "h")
+    wanted = hit.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "at", "windows", "hot")).alias("own"))
     texts = docs.join(wanted, ["doc_id", "tk"])  # a repeated row has its places as often as it is repeated
     columns = texts.select("doc_id", "tk", "text", "own")
 
+    def listed(part: pa.RecordBatch, wants_hot: bool) -> tuple:
+        """Words of a slice of rows and, per super-k-mer of the wanted kind: its row, hash, first word and windows."""
+        words, own = words_of(part.column(2)), part.column(3)
+        at, flat = own.value_lengths().to_numpy(), own.flatten()
+        h, first, count = (flat.field(k).to_numpy() for k in range(3))
+        row = np.repeat(np.arange(part.num_rows), at)
+        _, once = np.unique(row * (1 << 32) + first, return_index=True)  # rows that are repeated have theirs repeated
+        once = once[flat.field(3).to_numpy(zero_copy_only=False)[once] == wants_hot]
+        return words, row[once], h[once], first[once], count[once]
+
     def cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
         """Per slice of rows, an entry for each of their super-k-mers: doc_id, tk, hash, first word, string."""
         for part in slices(batch):
-            words, own = words_of(part.column(2)), part.column(3)
-            at, flat = own.value_lengths().to_numpy(), own.flatten()
-            h, first, count = (flat.field(k).to_numpy() for k in range(3))
-            row = np.repeat(np.arange(part.num_rows), at)
-            _, once = np.unique(row * (1 << 32) + first, return_index=True)  # rows that are repeated have theirs repeated
-            row, h, first, count = row[once], h[once], first[once], count[once]
+            words, row, h, first, count = listed(part, False)
             strings = _strings(words, first + words.first[row], count.astype(np.int64), window)
             yield part.column(0).to_numpy()[row], part.column(1).to_numpy()[row], h, first, strings
 
+    @tidy
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every window of super-k-mers of hot minimisers by itself, with two hashes of its words."""
+        for batch in batches:
+            for part in slices(batch):
+                words, row, _, first, count = listed(part, True)
+                hashes = hash_words(words)
+                keys = [hash_grams(x, window) for x in (hashes, mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))]
+                of, start = np.repeat(row, count), np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                place = start + words.first[of]
+                columns = [*(pa.array(k[place].view(np.int64)) for k in keys), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(start.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "tk", "at"])
+
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list[int]]] = {}
         size = 0
@@ -193,6 +216,7 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
         keep = [k for k, x in enumerate(least) if (x < limits[k, 1]).any()]
         return pa.table([pa.array([_key(names[k]) for k in keep], pa.binary()), pa.array([least[k] for k in keep], pa.list_(pa.int64()))], ["key", "least"])
 
+    @tidy
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs_of, tks, _, first, strings in cut(batch):
@@ -204,6 +228,12 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     # Of each place: the windows whose smallest document comes before this one.
     indexed = F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), i + F.col("at")))
     found = found.select("doc_id", "tk", F.array_compact(indexed).alias("starts")).filter(F.size("starts") > 0)
+    if (most or 0) > HOT:
+        windows = settled(columns.mapInArrow(single, "k1 long, k2 long, doc_id long, tk long, at int"), "windows")
+        first = settled(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "firsts")
+        later = windows.join(first, ["k1", "k2"]).filter("least < doc_id").groupBy("doc_id", "tk").agg(F.collect_list(F.col("at").cast("long")).alias("starts"))
+        found = found.unionByName(settled(later, "later"))
+        drop(windows, first)
     return found.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
@@ -212,23 +242,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
     hits = covered(rows, window, seed)
 
+    def left(text: pa.Scalar, starts: pa.Scalar) -> tuple[int, int, bytes]:
+        """Words, words removed and what is kept of one text."""
+        words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
+        if not starts.is_valid:
+            return len(words), 0, b" ".join(words)
+        change = np.zeros(len(words) + 1, np.int64)
+        at = np.unique(starts.values.to_numpy())
+        change[at] += 1
+        change[at + window] -= 1
+        stays = np.cumsum(change[:-1]) == 0
+        return len(words), len(words) - int(stays.sum()), b" ".join([words[k] for k in np.flatnonzero(stays).tolist()])
+
+    @tidy
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, removed, kept = [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
-                words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
-                gone = 0
-                if starts.is_valid:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(starts.values.to_numpy())
-                    change[at] += 1
-                    change[at + window] -= 1
-                    out = np.cumsum(change[:-1]) > 0
-                    gone = int(out.sum())
-                total.append(len(words)), removed.append(gone)
-                kept.append(b" ".join([words[k] for k in np.flatnonzero(~out).tolist()] if gone else words))
-            columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
+            for part in slices(batch):
+                total, removed, kept = zip(*map(left, part.column(1), part.column(2)), strict=True)
+                columns = [part.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
     joined = rows.join(hits, ["doc_id", "tk"], "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
