@@ -5,7 +5,8 @@ prompt, what follows on either side is its completion, masked so that only assis
 
 Turns are ordered by turn, then role, then text, nulls first; null roles and texts count as empty, so repeated turns stay.
 A conversation that is missing on one side has an empty completion there. Turns without a conversation id are left out.
-Other columns are ignored.
+No turns give no pairs. A pair's turns are one row's arrays, so what a task holds grows with a conversation, not with the
+table. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,8 +1,10 @@
 """Secret scan: an Aho-Corasick keyword prefilter, regular expressions anchored near its hits, embedded checksums.
 
 Kinds, in order: assign, access and hex are judged by form alone; github and npm tokens are kept only if the CRC-32
-that they carry in base 62 fits. Spans are code points, end exclusive. Null and empty texts have no spans; repeated rows
-give repeated rows; texts are scanned whole. Other columns of the input are ignored.
+that they carry in base 62 fits. Spans are code points, end exclusive; spans of one kind never overlap, those of
+different kinds may, and of two that start together the kind listed first comes first. Null and empty texts have no spans;
+an empty table has no rows; repeated rows give repeated rows; texts of any length are scanned whole. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.textkit import tidy
+
 KINDS = ("assign", "access", "hex", "github", "npm")
 
 # The keywords and forms that are looked for.
@@ -96,6 +100,7 @@ _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id and `secrets`, its spans by start, then kind."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in scan(t.as_py())] for t in batch.column(1)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat, components, decontamination, hmm, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
+from lodeworks.llm import chat, codes, components, decontamination, hmm, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
 from lodeworks.llm import textkit as tk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, n long, start long, rare string"
@@ -105,6 +105,56 @@ def test_mix(spark, texts):
     assert slots == 0
 
 
+@pytest.mark.parametrize("block", [7, 64])
+def test_mix_is_the_schedule(spark, texts, block):
+    """Slot by slot: each van der Corput point names a source, which gives its next block of words until it has given enough."""
+    weights = lambda i: (5.0, 2.0, 1.0)[i % 3]
+    m = mixing.mix(documents(spark, texts, {5: None, 60: None, 61: None, 3: "tiny"}), weights, block=block)
+    rows = m.rows.collect()
+    streams: dict = {}
+    for k, r in enumerate(rows):
+        if r.size:
+            streams.setdefault(r.sid, []).append((r.start, r.size, k))
+    ids = sorted({(r.source is None, r.source or "", r.sid) for r in rows})
+    assert [i for _, _, i in ids] == list(range(len(ids)))
+    size = {r.sid: r.source_size for r in rows}
+    goal = {r.sid: int(r.target + 1e-9) for r in rows}
+    needed = []
+    for sid in range(len(ids)):
+        whole, rest = divmod(goal[sid], size[sid]) if size[sid] else (0, 0)
+        needed.append(whole * -(-size[sid] // block) + (-(-(rest + block) // block) if rest else 0))
+    edges = [sum(needed[:i]) * 2**48 // sum(needed) for i in range(len(needed) + 1)]
+    turns, given, taken = Counter(), Counter(), Counter()
+    t = 0
+    while any(given[sid] < goal[sid] for sid in goal):
+        point = sum((t >> k & 1) << (47 - k) for k in range(48))
+        sid = next(i for i in range(len(needed)) if edges[i] <= point < edges[i + 1])
+        t += 1
+        if turns[sid] == needed[sid]:
+            continue
+        n = -(-size[sid] // block)
+        epoch, place = divmod(turns[sid], n)
+        turns[sid] += 1
+        at = (place + (n // 2 if epoch % 2 else 0)) % n * block
+        words = range(at, min(at + block, size[sid]))[: goal[sid] - given[sid]]
+        given[sid] += len(words)
+        for start, length, k in streams[sid]:
+            taken[k] += len(range(max(start, words.start), min(start + length, words.stop)))
+    want = Counter((r.doc_id, r.source, r.size, taken[k]) for k, r in enumerate(rows))
+    assert Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.taken(m).collect()) == want
+
+
+def test_mixed_rows_keep_their_columns(spark):
+    """Rows of one id, source and text that differ otherwise stay apart."""
+    rows = [(1, "a b c", "en", "s", 0, "x", 1, 2, "y"), (1, "a b c", "de", "s", 0, "x", 1, 2, "y"), (2, "d e", "en", "s", 0, "x", 1, 2, "y")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mixed_texts(docs, mixing.mix(docs, lambda i: 1.0, share=2.0, repeat=2.0, block=2)).collect()
+    words = Counter()
+    for r in got:
+        words[r.doc_id, r.lang] += len(split(r.text))
+    assert words == {(1, "en"): 6, (1, "de"): 6, (2, "en"): 4}
+
+
 def test_mix_of_nothing(spark, texts):
     empty = documents(spark, texts).limit(0)
     assert mixing.taken(mixing.mix(empty, lambda i: 1.0)).count() == 0
@@ -133,8 +183,9 @@ def removed(texts, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("window", [50, 12])
-def test_repeats(spark, texts, window):
+@pytest.mark.parametrize(("window", "hot"), [(50, 20_000), (12, 20_000), (12, 4), (50, 0)])
+def test_repeats(spark, texts, monkeypatch, window, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = repeats.without_repeats(documents(spark, texts), window=window, seed=4).collect()
     assert Counter(map(tuple, rows)) == removed(texts, window)
 
@@ -158,15 +209,46 @@ def test_elias_fano():
         f, size = tokens.EliasFano.from_bytes(memoryview(tokens.EliasFano.encode(v).to_bytes() + b"rest"))
         assert (f.values() == v).all() and [f.select(i) for i in range(n)] == v.tolist()
         assert len(tokens.EliasFano.encode(v).to_bytes()) == size
+        for a, b in ((0, n), (n // 3, n // 2), (n // 2, n), (n, n)):
+            assert (f.run(a, b) == v[a:b]).all()
     big = np.sort(np.random.default_rng(1).integers(0, 2**30, 100_000))
     assert len(tokens.EliasFano.encode(big).to_bytes()) < 100_000 * (2.5 + math.log2(2**30 / 1e5)) / 8
 
 
-def test_words_encode_as_whole_texts():
-    encoder = tokens.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_encode_as_whole_texts(monkeypatch, name):
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 20)
+    encoder = tokens.WordEncoder.of(public_tokenizers.path(name))
+    assert encoder.by_words == (name == "word_bpe_49k.json")
     parts = ["a", "B", "é", "́", " ", " ", "\n", "\x1c", "1", "'s", "<|endoftext|>", "<|", "!", ".", "İ", "ß", "中", "Don't", "THE"]
     rng = random.Random(3)
-    assert tokens.check(encoder, ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)], 2)
+    assert tokens.check(encoder, [None, "hello world again", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000))], 2)
+    assert tokens.check(encoder, ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(50)], 2)
+
+
+def test_codes():
+    made, rng = codes.Codes(), np.random.default_rng(0)
+    keys = np.unique(rng.integers(1, 2**63, 30_000).astype(np.uint64))
+    keys[:50] = np.arange(1, 51) << 20  # one place for all
+    keys = np.unique(keys)
+    numbers = rng.permutation(len(keys)).astype(np.int32)
+    for at in range(0, len(keys), 7_000):
+        made.add(keys[at : at + 7_000], numbers[at : at + 7_000])
+    assert (made.find(keys) == numbers).all() and (made.find(keys + np.uint64(1))[np.isin(keys + np.uint64(1), keys, invert=True)] == -1).all()
+
+
+def test_shards_of_one_id(spark):
+    """A hot id and rows without one fill several ranges."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7 if i % 3 else None, f"text {i % 40} of many") for i in range(300)] + [(i, "x y") for i in range(5, 9)]
+    made = tokens.write_shards(documents(spark, rows).repartition(8), path, 2)
+    read = tokens.read_documents(spark, made).orderBy("start").collect()
+    assert [r.doc_id for r in read] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert spark.read.parquet(made).select("part").distinct().count() > 5
+    at = 0
+    for r in read:
+        assert r.start == at
+        at += r.n_tokens
 
 
 @pytest.mark.parametrize("shard", [50, 1 << 20])
@@ -182,7 +264,7 @@ def test_shards_round_trip(spark, texts, shard):
     for r in rows:
         assert r.start == at and r.n_tokens == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids)
         at += r.n_tokens
-    raw = spark.read.parquet(made).orderBy(F.col("first_doc").asc_nulls_first(), "number").first()
+    raw = spark.read.parquet(made).orderBy("part", "number").first()
     one = tokens.Shard(bytes(raw.shard))
     assert [one.tokens(i).astype("<u4").tobytes() for i in range(one.n_docs)] == [bytes(r.ids) for r in rows[: one.n_docs]]
 
@@ -197,6 +279,7 @@ def test_shards_of_nothing(spark, texts):
 
 def test_folding_and_exceptions():
     assert toxicity.fold("ІDI0T! m0r0n <ѕсum> 2024") == " idi0t m0r0n scum 2024 ".replace("idi0t", "idiot").replace("m0r0n", "moron")
+    assert toxicity.fold("1diot a$$ id1ot! $cum!! !! 12 b4 x!y") == " idiot ass idiot scum 12 ba xiy "
     assert toxicity.fold(None) == toxicity.fold("") == " "
     lexicon = toxicity.Lexicon({" fool ": 5.0, " lowei": 4.0}, frozenset([" no fool "]), -2.0)
     made = lexicon.automaton()
@@ -223,6 +306,37 @@ def test_toxicity_learns(spark):
     scored = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
     assert all((scored[i] >= 0.3) == (i % 5 == 0) for i in range(600)) and scored[600] == scored[601] < 0.3
     assert toxicity.passing(docs, lexicon, 0.3).count() == 482
+    # The same by plain counting.
+    kinds = {i: y for i, y, _ in labels if i is not None and y is not None and i % 3 and i < 600}
+    folded = {i: toxicity.fold(dict(rows)[i]) for i in kinds}
+    bad, good = sum(kinds.values()), sum(1 - y for y in kinds.values())
+    held, before = {}, {}
+    for i, t in folded.items():
+        for item in toxicity.features(t):
+            held.setdefault(item, [0, 0])[kinds[i]] += 1
+        words = t.split()
+        for a, b in zip(["", *words], words) if kinds[i] else ():
+            for item in toxicity.features(f" {b} "):
+                before.setdefault(item, set()).add(zlib.crc32(a.encode()) & 63)
+    plain = {}
+    for item, (c, t) in held.items():
+        if t >= 3:
+            w = math.log((t + 0.5) / (bad + 1)) - math.log((c + 0.5) / (good + 1)) - math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+            if w >= math.log(10):
+                plain[item] = w, t / (t + c), len(before[item])
+    options = [{i: w for i, (w, share, n) in plain.items() if share >= p and n >= max(3, min(m, 0.01 * bad))} for p, m in toxicity.SETTINGS]
+    chosen = next(o for o in options if o.keys() == lexicon.weights.keys())
+    assert all(abs(chosen[i] - w) < 1e-9 for i, w in lexicon.weights.items()) and lexicon.weights
+    for i, s in scored.items():
+        t = toxicity.fold(dict(rows)[i])
+        at, total = 0, 0.0
+        for word in t.split():
+            total += max((w for e, w in chosen.items() if f" {word} " == e or e[-1] != " " and f" {word}".startswith(e)), default=0.0)
+        assert not lexicon.exceptions and abs(s - 1 / (1 + math.exp(-(lexicon.prior + total / (1 + 0.1 * math.log1p(len(t.split()) / 100)))))) < 1e-9
+    long_text = documents(spark, [(1, "w1 " * 200_000 + "vile"), (2, "w1 " * 200_000)])
+    assert [r.score >= 0.3 for r in toxicity.score(long_text, lexicon).orderBy("doc_id").collect()] == [True, False]
+    assert toxicity.score(docs.limit(0), lexicon).count() == 0 and toxicity.passing(docs.limit(0), lexicon, 0.3).count() == 0
+    assert toxicity.learn(docs.limit(0), labelled).weights == {}
     none = toxicity.learn(docs, labelled.limit(0))
     assert toxicity.score(docs, none).filter("score > 0.01").count() == 0
 
@@ -230,50 +344,108 @@ def test_toxicity_learns(spark):
 # 5
 
 
+def similarity(weights, item, window):
+    """Weighted Jaccard similarity of two lists of words, from their sets of shingles."""
+    sets = []
+    for words in (item, window):
+        per = min(5, len(item), len(words))
+        own = decontamination.Hashed([" ".join(words)]).words
+        sets.append({h for h in decontamination.shingles(own, per).tolist()} if len(own) else set())
+    weigh = lambda s: sum(weights.of(np.array(sorted(s), np.uint64)).tolist())
+    return weigh(sets[0] & sets[1]) / (weigh(sets[0] | sets[1]) or 1)
+
+
+def plain_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def all_leaks(weights, items, docs):
+    out = {}
+    for d, t in docs:
+        words = plain_words(t)
+        for k, item in items:
+            own = plain_words(item)
+            found = [(similarity(weights, own, words[a : a + len(own)]), -a) for a in range(max(1, len(words) - len(own) + 1))] if own and words else []
+            if found and max(found)[0] >= 0.8:
+                out[d, k] = round(max(found)[0], 9), -max(found)[1]
+    return out
+
+
+def test_hashed_words_are_the_words():
+    texts = ["Hello, wörld_x 3.5 <b>İstanbul</b> „Straße“ — naïve…中文 e\u0301", None, "", "a_b", "ΑΣ ΟΔΟΣ"]
+    found = decontamination.Hashed(texts)
+    words = [w for t in texts for w in plain_words(t)]
+    assert np.diff(found.first).tolist() == [len(plain_words(t)) for t in texts]
+    assert len(set(zip(words, found.words.tolist()))) == len(set(words)) == len(set(found.words.tolist()))
+
+
 def test_leaks_match_all_windows(spark):
     rng = random.Random(2)
     vocabulary = [f"v{k}" for k in range(60)]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([3, 5, 14, 20, 33, 59])] + [(6, None), (7, "")]
-    items.append((8, items[3][1]))
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([3, 5, 14, 20, 33, 59])] + [(6, None), (7, ""), (8, " ,;")]
+    items.append((9, items[3][1]))
+    opening = " ".join(rng.choice(vocabulary) for _ in range(12))
+    items += [(k, opening + " " + " ".join(rng.choice(vocabulary) for _ in range(16))) for k in range(10, 16)]
     docs = []
     for i in range(60):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
-        own = items[rng.randrange(6)][1].split()
+        own = items[rng.choice([0, 1, 2, 3, 4, 5, 10, 11, 12])][1].split()
         if i % 2:
             if i % 4 == 1 and len(own) > 30:
                 own[rng.randrange(len(own))] = "new"
             words[10:10] = own
         docs.append((i, " ".join(words).upper() if i % 3 else ", ".join(words)))
-    docs += [(None, items[4][1]), (98, None), (99, "")]
-    index = decontamination.Items([x for x in items if x[1]])
-    want = set()
-    for d, t in docs:
-        words = decontamination.words(t)
-        coded = [index.vocabulary.get(w, w) for w in words]
-        for k, n in enumerate(index.sizes):
-            per = min(5, n)
-            for a in range(max(1, len(words) - n + 1)):
-                part = coded[a : a + n]
-                if index.similarity_of(k, {tuple(part[j : j + per]) for j in range(max(1, len(part) - per + 1))}) >= 0.8 and part:
-                    want.add((d, index.ids[k]))
-    table = spark.createDataFrame(items, "item_id long, text string")
-    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(documents(spark, docs), table).collect()}
-    assert found == want and len(want) > 20
-    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(documents(spark, docs), table, block_items=2).collect()} >= {(i, k) for i, k in want if k > 3}
-    kept = Counter(r.doc_id for r in decontamination.clean(documents(spark, docs), table).collect())
-    assert kept == Counter(i for i, _ in docs if i not in {d for d, _ in want})
-    assert decontamination.find_leaks(documents(spark, docs), table.limit(0)).count() == 0
+    docs += [(97, opening + " " + items[10][1].split(" ", 13)[-1] * 2), (98, None), (99, ""), (100, " ".join(rng.choice(vocabulary) for _ in range(4000)) + " " + items[5][1])]
+    docs += [(101, items[4][1]), (101, items[4][1])]
+    table = spark.createDataFrame([(*x, 3) for x in items], "item_id long, text string, similarity int")
+    want = all_leaks(decontamination.weights_of(table), items, docs)
+    assert len({k for _, k in want}) > 8 and len(want) > 30
+    rows = decontamination.find_leaks(documents(spark, docs), table).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in rows} == want
+    for block in (1, 2):
+        in_blocks = decontamination.find_leaks(documents(spark, docs), table, block_items=block)
+        assert sorted(map(tuple, in_blocks.collect())) == sorted(map(tuple, rows))
+    kept = Counter(r.doc_id for r in decontamination.clean(documents(spark, [*docs, (None, items[4][1]), (None, "a")]), table, block_items=7).collect())
+    assert kept == Counter([i for i, _ in docs if i not in {d for d, _ in want}] + [None])
+
+
+def test_leaks_of_nothing(spark):
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    docs = documents(spark, [(1, "a b c d e f"), (2, None)])
+    assert decontamination.find_leaks(docs, items.limit(0)).count() == 0 and decontamination.clean(docs, items.limit(0)).count() == 2
+    assert decontamination.find_leaks(docs.limit(0), items).count() == 0 and decontamination.clean(docs.limit(0), items).count() == 0
+    assert decontamination.find_leaks(docs, items).count() == 1
+
+
+def test_common_openings_weigh_less():
+    """Forty items with one opening: what follows it decides, whatever block an item is in."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(10_000)}"
+    opening = [word() for _ in range(20)]
+    items = [opening + [word() for _ in range(20)] for _ in range(40)]
+    counts = np.zeros(decontamination.SLOTS, np.uint32)
+    for own in items:
+        np.add.at(counts, (decontamination.own_shingles(decontamination.Hashed([" ".join(own)]).words) % np.uint64(decontamination.SLOTS)).astype(np.int64), 1)
+    weights = decontamination.Weights(40, counts)
+    text = [word() for _ in range(50)] + opening + items[0][20:37] + [word() for _ in range(50)]
+    found = decontamination.Hashed([" ".join(text)])
+    for rows in ([(0, " ".join(items[0]))], [(k, " ".join(x)) for k, x in enumerate(items)]):
+        index = decontamination.Items(rows, weights)
+        leaks = [index.leaks(found.words, own) for own in index.hits(found).values()]
+        assert leaks in ([], [[]])
+    plain = decontamination.Items(rows[:1], decontamination.Weights(1, np.zeros(0, np.uint32)))
+    assert [x[0] for own in plain.hits(found).values() for x in plain.leaks(found.words, own)] == [0]
 
 
 def test_both_index_lookups_agree():
     rng = np.random.default_rng(4)
-    index = decontamination.Items([(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 20))) for k in range(30)])
+    none = decontamination.Weights(30, np.zeros(0, np.uint32))
+    index = decontamination.Items([(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 20))) for k in range(30)], none)
     near = index.prints.copy()
     for row in near:
         for bit in rng.choice(256, 30, replace=False):
             row[bit // 8] ^= 1 << (bit % 8)
     few = set(map(tuple, index.candidates(near)))
-    index.near = index.near.copy()
     index.ids = index.ids * 100  # as if there were many: the other lookup
     assert set(map(tuple, index.candidates(near))) == few and {(k, k) for k in range(30)} <= few
 
@@ -296,6 +468,7 @@ def test_secrets(spark):
         base += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         assert sorted(s for s in rows[i] if s[0] in ("assign", "access", "hex")) == sorted(base)
         assert rows[i] == sorted(rows[i], key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+    assert secrets.find_secrets(documents(spark, [(1, "x")]).limit(0)).count() == 0
     assert [s[0] for s in rows[2]] == ["github"] and rows[3] == [] and [s[0] for s in rows[4]] == ["npm"]
 
 
@@ -333,6 +506,16 @@ def test_neighbours(spark):
     assert split_buckets.count() == 100
 
 
+def test_neighbours_of_odd_vectors(spark):
+    """Vectors of several lengths, and ids with several vectors."""
+    rows = [(0, [1.0]), (1, [2.0]), (2, [-1.0]), (3, [1.0, 0.0]), (4, [1.0, 1.0]), (5, [0.0, 1.0]), (5, [1.0, 0.1]), (20, [1.0, 0.0, 0.0]), (0, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 6)))
+    assert got == {0: [(1, 1, 1.0), (2, 5, 1.0), (3, 4, 0.707107), (4, 3, 0.0), (5, 2, -1.0)]}
+
+
 @pytest.mark.parametrize("noise", [1e-3, 3e-4, 1e-4, 0])
 def test_close_neighbours(spark, noise):
     """Clusters closer than single precision tells apart; scaled copies if noise is 0."""
@@ -387,10 +570,10 @@ def test_near_duplicates(spark, texts, n):
         assert r.kept == (None if r.doc_id is None else r.doc_id == want[r.doc_id])
 
 
-@pytest.mark.parametrize("large", [16, 1])
-def test_near_duplicates_many(spark, monkeypatch, large):
-    monkeypatch.setattr(neardup, "LARGE", large)
-    monkeypatch.setattr(neardup, "BLOCK", 3 if large == 1 else 64)
+@pytest.mark.parametrize("heads", [5, 1])
+def test_near_duplicates_many(spark, monkeypatch, heads):
+    monkeypatch.setattr(neardup, "HEADS", heads)
+    monkeypatch.setattr(neardup, "SEVERAL", 16 if heads > 1 else 2)
     rng = random.Random(9)
     words = [f"w{k}" for k in range(2000)]
     bases = [[rng.choice(words) for _ in range(rng.choice([4, 6, 12, 40, 70, 130, 400]))] for _ in range(40)]
@@ -404,6 +587,29 @@ def test_near_duplicates_many(spark, monkeypatch, large):
     assert got == linked(rows, 2)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_prefix_lists_lose_no_pair(spark, threshold):
+    """Pairs of different components that are similar all meet; few others do."""
+    rng = random.Random(4)
+    bases = [rng.sample(range(1000), rng.choice([1, 2, 5, 10, 30])) for _ in range(12)]
+    rows = []
+    for i in range(240):
+        own = set(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 9])):
+            own.add(rng.randrange(1200)) if rng.random() < 0.6 else own.discard(rng.choice(sorted(own or {0})))
+        rows.append((i, i % 7 if i % 3 else i, sorted(own)))
+    table = spark.createDataFrame([r for r in rows if r[2]], "id long, comp long, set array<long>").repartition(3)
+    met = {(r.a, r.b) for r in neardup.meeting(neardup.prefixes(table, threshold), threshold).collect()}
+    percent, want, apart = round(100 * threshold), set(), 0
+    for i, c, s in rows:
+        for j, d, t in rows[:i]:
+            both = len(set(s) & set(t))
+            apart += c != d
+            if c != d and both and 100 * both >= percent * (len(s) + len(t) - both):
+                want.add((j, i))
+    assert want <= met and len(want) > 50 and len(met) < 0.2 * apart
+
+
 def test_near_duplicates_of_nothing(spark, texts):
     assert neardup.near_duplicates(documents(spark, texts).limit(0)).count() == 0
     kept = neardup.first_of_each(documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")]))
@@ -433,6 +639,12 @@ def test_preferences(spark):
     assert (rows[1].chosen, rows[1].rejected, rows[1].n_prompt_turns) == ("", "", 1)
     assert (rows[2].chosen_id, rows[2].rejected_id, rows[2].rejected, len(rows[2].chosen_trained)) == (4, None, "", 1)
     assert rows[3].n_prompt_turns == 1 and rows[3].chosen == "<|user|>\nq<|end|>\n" and len(rows) == 4
+    side = (F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)) == 0)
+    assert chat.preferences(table.limit(0), *side).count() == 0
+    long = [(c, t, ("user", "assistant")[t % 2], f"turn {t}" + (" other" if c and t > 700 else "")) for c in (0, 1) for t in range(1500)]
+    one = chat.preferences(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"), *side).first()
+    assert one.n_prompt_turns == 701 and len(one.chosen_trained) == len(one.rejected_trained) == 400
+    assert all(one.rejected[x.start : x.end].endswith(" other<|end|>\n") for x in one.rejected_trained)
     plan = chat.preferences(table, F.shiftright("conv_id", 1), F.col("conv_id") % 2 == 0)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -440,33 +652,49 @@ def test_preferences(spark):
 # 10
 
 
-def test_forward_and_counts_match_plain_recursions():
+def plain_posteriors(start, move, emit):
+    """Textbook forward and backward over one text: log likelihood, states of each token, expected moves."""
+    alpha, scales = [], []
+    for t, e in enumerate(emit):
+        a = (alpha[-1] @ move if t else start) * e
+        scales.append(a.sum())
+        alpha.append(a / a.sum())
+    beta = [np.ones(len(start))]
+    for t in range(len(emit) - 1, 0, -1):
+        beta.insert(0, move @ (emit[t] * beta[0]) / scales[t])
+    gamma = np.array([a * b / (a * b).sum() for a, b in zip(alpha, beta)])
+    moves = np.zeros_like(move)
+    for t in range(len(emit) - 1):
+        x = alpha[t][:, None] * move * (emit[t + 1] * beta[t + 1])[None, :]
+        moves += x / x.sum()
+    return math.log(np.prod(scales)) if len(emit) < 50 else sum(map(math.log, scales)), gamma, moves
+
+
+@pytest.mark.parametrize("run", [1000, 8, 3, 1])
+def test_forward_and_counts_match_plain_recursions(run):
+    """Texts cut into runs give what whole texts give."""
     rng = np.random.default_rng(6)
     k, n = 3, 7
-    model = hmm.Model({}, rng.dirichlet(np.ones(k), 2), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T)
-    classes = rng.integers(0, n, 60)
-    bounds = np.array([0, 1, 20, 20 + 5, 60])
-    want = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        alpha = model.start[0] * model.emit[classes[a]]
-        for c in classes[a + 1 : b]:
-            alpha = (alpha @ model.move) * model.emit[c]
-        want.append(math.log(alpha.sum()))
-    assert np.allclose(hmm.forward(model, classes, bounds), want)
-    sums = [np.zeros((2, k)), np.zeros((k, k)), np.zeros((n, k))]
-    assert abs(hmm.expect(model, classes, bounds, 1000, sums) - sum(want)) < 1e-3
-    assert abs(sums[0].sum() - 4) < 1e-3 and abs(sums[1].sum() - 56) < 1e-2 and np.allclose(sums[2].sum(axis=1), np.bincount(classes, minlength=n), atol=1e-2)
-    cut = [np.zeros((2, k)), np.zeros((k, k)), np.zeros((n, k))]
-    hmm.expect(model, classes, bounds, 8, cut)
-    assert abs(cut[2].sum() - 60) < 1e-2
-
-
-def test_language_model(spark, texts):
+    start, move, by_class = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T
+    bounds = np.array([0, 1, 20, 20 + 5, 60, 68, 76])
+    classes = rng.integers(0, n, 76)
+    emit = by_class[classes]
+    want = [plain_posteriors(start, move, emit[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert np.allclose(hmm.forward(start, move, by_class, classes, bounds, run).total, [w[0] for w in want])
+    total, places, gamma, moves = hmm.posteriors(start, move, by_class, classes, bounds, run)
+    assert sorted(places.tolist()) == list(range(76)) and set(places[:6].tolist()) == set(bounds[:-1].tolist())
+    assert np.allclose(total, sum(w[0] for w in want)) and np.allclose(gamma, np.concatenate([w[1] for w in want])[places]) and np.allclose(moves, sum(w[2] for w in want))
+
+
+def test_language_model(spark, texts, monkeypatch):
+    monkeypatch.setattr(hmm, "BUNDLE_BYTES", 3000)
+    monkeypatch.setattr(hmm, "FLUSH", 100)
     held = [i for i, _ in texts if i is not None and zlib.crc32(str(i).encode()) % 5 == 1]
     docs = documents(spark, texts)
     train = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
-    trained = hmm.train(train, states=3, classes=120, rounds=2)
-    rows = hmm.score(docs, trained).collect()
+    trained = hmm.train(train, states=3, classes=120, rounds=3, run=16)
+    assert len(trained.history) > 1 and all(b > a - 1e-6 for a, b in zip(trained.history, trained.history[1:])) and 60 < len(trained.model.names) <= 120
+    rows = hmm.score(docs, trained, run=64).collect()
     words = lambda t: [*(t or "").encode().lower().split(), b""]
     counts = Counter(w for i, t in texts if i is not None and i not in held for w in words(t))
     total, distinct = sum(counts.values()), len(counts)
@@ -477,23 +705,24 @@ def test_language_model(spark, texts):
         want[(i, len(own), sum(counts[w] > 0 for w in own), total, round(base, 6))] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
     model = trained.model
-    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
-    one = next(r for r in rows if r.doc_id == 50)
-    own = words(dict(texts)[50])
-    alpha, log = model.start[0], 0.0
-    for j, c in enumerate(model.class_of(own)):
-        alpha = (alpha @ model.move if j else alpha) * model.emit[c]
-        log += math.log10(alpha.sum())
-        alpha = alpha / alpha.sum()
-    for w in own:
-        if w not in model.names:
-            c, n = trained.shared[hmm.shape(w)]
-            log += math.log10((counts[w] + 0.5) / (c + 0.5 * (n + 1)))
-    assert abs(one.score - log) < 1e-6
+    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and abs(model.start.sum() - 1) < 1e-9
+    table = {r.h: (r.c, r.p) for r in trained.words.collect()}
+    assert len(table) == distinct and sum(c for c, _ in table.values()) == total
+    every = hmm.emissions(*(np.array(x, np.int64) for x in zip(*table.values())), trained.share, total, distinct)
+    unknown = hmm.emissions(np.zeros(1, np.int64), np.zeros(1, np.int64), trained.share, total, distinct)
+    assert np.allclose(every.sum(axis=0) + unknown[0], 1)  # words and the unknown one sum to 1 in each state
+    for r in rows:
+        text = [t for i, t in texts if i == r.doc_id][0]
+        own = hmm.tokens_of(pa.array([text], pa.string())).keys.view(np.int64).tolist()
+        c, p = (np.array(x, np.int64) for x in zip(*(table.get(h, (0, 0)) for h in own)))
+        log, _, _ = plain_posteriors(model.start, model.move, hmm.emissions(c, p, trained.share, total, distinct))
+        assert abs(r.score - log / math.log(10)) < 1e-6
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
 def test_language_model_of_nothing(spark, texts):
     trained = hmm.train(documents(spark, texts).limit(0), states=2)
+    assert hmm.score(documents(spark, texts).limit(0), trained).count() == 0
     rows = hmm.score(documents(spark, [(1, "a b"), (2, None)]), trained).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(1, 3, 0, 0), (2, 1, 0, 0)} and all(math.isfinite(r.score) for r in rows)
 
@@ -510,3 +739,52 @@ def test_pipeline(spark):
             assert 0 < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, sf).count() >= docs.select("doc_id").distinct().count()
+
+
+def test_pipeline_stages_match_brute_force(spark, texts, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing columns, toxic rows and leaks, stage by stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    item = " ".join(f"q{k}" for k in range(30))
+    rows = [*texts, (200, item + " " + texts[50][1]), (201, "tail " + item), (None, item)]
+    rows += [(300 + k, " ".join(rng.choice(["plain", "words", "here", "vile", f"n{rng.randrange(40)}"] if k % 4 == 0 else ["plain", "words", "here", f"n{rng.randrange(40)}"]) for _ in range(25))) for k in range(160)]
+    sf = str(tmp_path)
+    documents(spark, rows).write.parquet(f"{sf}/documents.parquet")
+    toxic = {i for i, t in rows if i is not None and i >= 300 and "vile" in t.split()}
+    spark.createDataFrame([(i, int(i in toxic), 0) for i, _ in rows if i is not None] + [(None, 1, 0), (999, None, 0)], "doc_id long, toxic int, quality int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    values = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    clean = stages["toxicity"](spark, now, sf)
+    want = Counter(x for x in values(now).elements() if x[0] not in toxic)
+    assert values(clean) == want and clean.columns == now.columns
+    kept = stages["near_dedup"](spark, clean, sf)
+    top = linked(sorted(want.elements(), key=repr), 5)
+    want = Counter(x for x in want.elements() if x[0] is None or top[x[0]] == x[0])
+    assert values(kept) == want
+    free = stages["decontamination"](spark, kept, sf)
+    want = Counter(x for x in want.elements() if "q0 q1 q2 q3" not in (x[1] or ""))
+    assert values(free) == want
+    mixed = stages["mixing"](spark, free, sf)
+    whole = sum(len(split(t)) for _, t in want.elements())
+    total = sum(len(split(r.text)) for r in mixed.collect())
+    assert abs(total - 1.5 * whole) <= 5 and mixed.columns == now.columns
+    assert all(set(split(t)) <= {w for i, x in want if i == d for w in split(x)} for d, t in values(mixed))
+    made = stages["tokens"](spark, mixed, sf).collect()
+    encoder = tokens.WordEncoder.of(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    ids = lambda t: np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+    assert Counter((r.doc_id, r.ids_crc32) for r in made) == Counter((i, zlib.crc32(ids(t))) for i, t in values(mixed).elements())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()) == Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in made)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    documents(spark, [(1, "a")]).limit(0).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
