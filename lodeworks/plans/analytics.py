@@ -354,7 +354,13 @@ def similar_texts(spark, d):
 
 
 # Events.
-@query()
+_KEPT = "list_filter(kept, lambda x: x > e.t - 86400e0)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS id, event_id AS request, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT id, request, k, true AS accepted, [t] AS kept FROM e WHERE k = 1
+    UNION ALL SELECT e.id, e.request, e.k, len({_KEPT}) < 2, CASE WHEN len({_KEPT}) < 2 THEN list_append({_KEPT}, e.t) ELSE {_KEPT} END FROM w JOIN e ON e.id = w.id AND e.k = w.k + 1)
+SELECT id, request, accepted FROM w""")
 def rate_limited(spark, d):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return ev.rate_limited(table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("request"), at.alias("at")), 2, 86_400.0).select("id", "request", "accepted")

@@ -261,12 +261,13 @@ def code_chunks(spark, d):
     return rows.select("path", "kind", "name", "line_start", "line_end", F.size(split_lines(F.col("content"))).alias("n_lines"))
 
 
-@query()
+@query(f"""WITH {PY}, n AS (SELECT path, lag(path) OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY path) AS before FROM files)
+SELECT path AS src, before AS dst FROM n WHERE before IS NOT NULL""")
 def import_edges(spark, d):
-    """Files import those of the user before them; modules are paths."""
+    """Every file imports something of the module before it in its folder."""
     files = _files(spark, d, "python").select("path", st.module_name(F.col("path")).alias("module"))
-    order = Window.partitionBy("stem").orderBy("path")
-    imports = files.withColumn("stem", F.substring("module", 1, 6)).withColumn("imported", F.lag("module").over(order)).filter("imported IS NOT NULL")
+    order = Window.partitionBy(F.regexp_extract("path", "^(.*)/", 1)).orderBy("path")
+    imports = files.withColumn("imported", F.concat(F.lag("module").over(order), F.lit(".part"))).filter("imported IS NOT NULL")
     return gr.import_edges(imports.select("path", F.col("imported").alias("module")), files)
 
 
