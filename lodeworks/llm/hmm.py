@@ -44,9 +44,9 @@ RUN = 256
 FLAT = 0.1  # of a word's count, the part that all states share alike
 LENGTHS = 24  # lengths told apart in shared classes
 END = np.uint64(1)  # the end's hash
-FLUSH = 400_000  # distinct words that a task holds
+FLUSH = 300_000  # distinct words that a task holds
 BUNDLE_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SCALED = 6  # steps between scalings
 _ENTRY = 1e-3  # added to each expected count of a transition or emission
 _CLOSING = np.zeros(256, bool)
