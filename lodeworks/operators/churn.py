@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
+BUCKETS = 1000
 
 
 def file_churn(commits: DataFrame, least_commits: int = 1) -> DataFrame:
@@ -40,12 +41,16 @@ def hotspot_scores(churn: DataFrame, complexity: DataFrame) -> DataFrame:
 def marked_hotspots(scores: DataFrame, share: float = 0.8) -> DataFrame:
     """Adds threshold and is_hotspot: the value at place floor(n (1 - share)) of the scores in descending order.
 
-    The place is found from counts per distinct score: those running counts see distinct scores, not files.
+    The place is found first among BUCKETS equal parts of the scores from 0 to 1, then inside the part that holds it: no window
+    sees more than these or that part's distinct scores.
     """
-    counts = scores.groupBy("hotspot_score").agg(F.count("*").alias("n"))
+    counts = scores.groupBy("hotspot_score").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("hotspot_score") * BUCKETS))
     total = scores.agg(F.floor(F.count("*") * (F.lit(1.0) - F.lit(share))).alias("place"))
-    ahead = Window.orderBy(F.desc("hotspot_score")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(ahead)).crossJoin(total).filter(F.col("upto") > F.col("place"))
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("inside"))
+    sums = sums.withColumn("upto", F.sum("inside").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)))
+    part = sums.crossJoin(total).filter(F.col("upto") > F.col("place")).orderBy(F.desc("bucket")).limit(1).select("bucket", "place", (F.col("upto") - F.col("inside")).alias("before"))
+    ahead = Window.partitionBy("bucket").orderBy(F.desc("hotspot_score")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(part, "bucket").withColumn("upto", F.col("before") + F.sum("n").over(ahead)).filter(F.col("upto") > F.col("place"))
     threshold = ranked.agg(F.max("hotspot_score").alias("threshold"))
     return scores.crossJoin(threshold).withColumn("is_hotspot", F.col("hotspot_score") >= F.col("threshold"))
 

@@ -56,7 +56,7 @@ def frequency_score(issues: DataFrame) -> DataFrame:
     """Adds frequency: how common an issue's category and severity are together, in steps."""
     counts = issues.groupBy("category", "severity").agg(F.count("*").alias("alike"))
     step = F.when(F.col("alike") <= 1, 1.0).when(F.col("alike") <= 3, 3.0).when(F.col("alike") <= 5, 5.0).when(F.col("alike") <= 10, 7.0).otherwise(10.0)
-    return issues.join(F.broadcast(counts), ["category", "severity"]).withColumn("frequency", step).drop("alike")  # categories x severities rows
+    return issues.join(counts, ["category", "severity"]).withColumn("frequency", step).drop("alike")  # Spark broadcasts counts if they are few
 
 
 def prioritized(issues: DataFrame) -> DataFrame:
