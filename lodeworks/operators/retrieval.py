@@ -100,3 +100,21 @@ TYPE_FACTOR = {"file_specific": 1.0, "function_specific": 1.1, "class_specific":
 def answer_confidence(mean_similarity: Column, kind: Column) -> Column:
     factor = F.element_at(F.create_map(*(F.lit(x) for pair in TYPE_FACTOR.items() for x in pair)), kind)
     return F.coalesce(F.least(F.greatest(mean_similarity * factor, F.lit(0.1)), F.lit(1.0)), F.lit(0.3))
+
+
+def upsert(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The store with rows put in: those of a key that is there already take its place."""
+    return store.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def collection_info(chunks: DataFrame, vector_col: str = "embedding", kind_col: str = "label") -> DataFrame:
+    """One row: how many chunks, vectors, lengths of vectors and kinds there are."""
+    return chunks.agg(
+        F.count("*").alias("n_chunks"), F.count(vector_col).alias("n_vectors"), F.min(F.size(vector_col)).alias("least_length"), F.max(F.size(vector_col)).alias("most_length"),
+        F.countDistinct(kind_col).alias("n_kinds"),
+    )
+
+
+def related(chunks: DataFrame, focus: DataFrame, k: int, id_col: str, path_col: str, vector: list[float], vector_col: str = "embedding") -> DataFrame:
+    """(id, similarity): the k chunks nearest to a vector in files other than those of focus."""
+    return top_k(chunks.join(focus.select(path_col).distinct(), path_col, "left_anti"), vector, k, None, id_col, vector_col)

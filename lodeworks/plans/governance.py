@@ -196,3 +196,20 @@ def signed_hooks(spark, d):
     mac = ev.hmac_sha256(F.col("props"), _KEY)
     header = F.when(F.col("event_id") % 3 == 0, "sha256=00").otherwise(F.concat(F.lit("sha256="), mac))
     return table(spark, d, "events").select("event_id", mac.alias("mac"), ev.is_signed(F.col("props"), header, _KEY).alias("signed"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0")
+def vector_upsert(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    return rt.upsert(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+
+
+@query("SELECT count(*) AS n_chunks, count(embedding) AS n_vectors, min(len(embedding)) AS least_length, max(len(embedding)) AS most_length, count(DISTINCT label) AS n_kinds FROM embeddings")
+def collection_info(spark, d):
+    return rt.collection_info(table(spark, d, "embeddings"))
+
+
+@query(f"WITH {an.SIMILAR} SELECT vec_id, similarity FROM sim WHERE label NOT IN (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY similarity DESC, vec_id LIMIT 7", rounded=("similarity",))
+def related_chunks(spark, d):
+    chunks = table(spark, d, "embeddings")
+    return rt.related(chunks, chunks.filter("vec_id = 0"), 7, "vec_id", "label", an._vector(spark, d))
