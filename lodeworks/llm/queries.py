@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat, decontamination, hmm, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
+from lodeworks.llm import centroids, chat, decontamination, hmm, middle, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,18 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dimension=64, scale=256, seed=2)
+    rows = found.assigned().join(F.broadcast(found.described()), "cluster")
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_repeats": op2_repeats,
@@ -95,6 +107,8 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_chat": op9_chat,
     "op10_hmm": op10_hmm,
+    "op11_middle": op11_middle,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -148,5 +162,41 @@ SELECT pair_id, min(conv_id) FILTER (WHERE side = 0) AS chosen_id, min(conv_id)
     coalesce(string_agg((before + length(head)) || ':' || (before + length(head) + length(body)), ',' ORDER BY k)
         FILTER (WHERE side = 1 AND k > n_prompt_turns AND role = 'assistant'), '') AS rejected_trained
 FROM r GROUP BY pair_id
+""",
+    "op11_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, substring(t, 1, least(x, y)) AS head, substring(t, least(x, y) + 1, abs(x - y)) AS body, substring(t, greatest(x, y) + 1) AS tail FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(x - y) END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || body WHEN 'spm' THEN '<S>' || tail || '<P>' || head || '<M>' || body ELSE t END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM c
 """,
 }
+
+
+def _centroid_rounds(rounds: int = 5) -> str:
+    """Statement of op13: a pair of steps for each round, and the last assignment."""
+    out = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, x AS c FROM v QUALIFY k < 40)"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min({{'d': d, 'k': k}}) AS b FROM (SELECT vec_id, x, k, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM v, c{r}) GROUP BY vec_id)"""
+        if r < rounds:
+            out += f""",
+m{r} AS (SELECT k, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT b.k AS k, unnest(x) AS x, unnest(range(64)) AS j FROM a{r}) GROUP BY k, j),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(list(CAST(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS BIGINT) ORDER BY j) FILTER (WHERE s IS NOT NULL), any_value(c)) AS c
+    FROM c{r} LEFT JOIN m{r} USING (k) GROUP BY c{r}.k)"""
+    return out + f"""
+SELECT vec_id, CAST(b.k AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia,
+    CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = b.k
+"""
+
+
+ORACLES["op13_centroids"] = _centroid_rounds()
