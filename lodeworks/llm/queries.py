@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import centroids, chat, decontamination, hmm, middle, mixing, neardup, neighbours, repeats, secrets, tokens, toxicity
+from lodeworks.llm import centroids, chat, decontamination, hmm, middle, mixing, neardup, neighbours, repeats, secrets, suffixes, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.without_repeats(table(spark, sf_dir, "documents"), window=100)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dimension=64, scale=256, seed=2)
     rows = found.assigned().join(F.broadcast(found.described()), "cluster")
@@ -108,6 +113,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_hmm": op10_hmm,
     "op11_middle": op11_middle,
+    "op12_suffixes": op12_suffixes,
     "op13_centroids": op13_centroids,
 }
 
@@ -176,6 +182,20 @@ FROM c
 """,
 }
 
+ORACLES["op12_suffixes"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+f AS (SELECT s, min({'d': doc_id, 'i': i}) AS first FROM w GROUP BY s HAVING count(*) > 1),
+c AS (SELECT doc_id, i, i - lag(i, 1, -101) OVER (PARTITION BY doc_id ORDER BY i) > 100 AS fresh FROM w JOIN f USING (s) WHERE {'d': doc_id, 'i': i} <> first),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM r),
+g AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+    FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 
 def _centroid_rounds(rounds: int = 5) -> str:
     """Statement of op13: a pair of steps for each round, and the last assignment."""
