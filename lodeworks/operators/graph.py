@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import itertools
-import re
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.sources.scratch import scratch_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's folder; only with a local master, where there is none, in one of our own."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeworks-"))
+    """Reliable checkpoint in the session's folder."""
+    scratch_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import language, matches_any
+from lodeworks.sources.gitlog import HEADER, STAT, carried, commit_rows, lines_of
 
 MAX_BYTES = 10 << 20
 ISSUE_COLUMNS = ["id", "category", "severity", "title", "description", "file_path", "line_start", "line_end", "confidence", "suggestion"]
@@ -33,22 +34,16 @@ def parse_git_log(lines: DataFrame) -> DataFrame:
 
     The header is carried forward inside each log; '-' counts of binary files are 0.
     """
-    header = F.col("line").rlike(r"^[0-9a-f]{6,40}\|")
     order = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("head", F.last(F.when(header, F.col("line")), ignorenulls=True).over(order))
-    rows = rows.filter(F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t"))
-    head, stat = F.split("head", r"\|", 4), F.split("line", "\t", 3)
-    count = lambda k: F.coalesce(stat[k].try_cast("long"), F.lit(0))
-    return rows.select(
-        head[0].alias("hash"), head[1].alias("author"), F.to_timestamp(head[2]).alias("date"), head[3].alias("message"), stat[2].alias("file"),
-        count(0).alias("added"), count(1).alias("deleted"),
-    )
+    rows = lines.withColumn("head", F.last(F.when(F.col("line").rlike(HEADER), F.col("line")), ignorenulls=True).over(order))
+    stat = F.split("line", "\t", 3)
+    count = lambda k: F.coalesce(stat[k].try_cast("long"), F.lit(0)).alias("deleted" if k else "added")
+    return commit_rows(rows.filter(F.col("line").rlike(STAT) & F.col("head").isNotNull()).select("head", stat[2].alias("file"), count(0), count(1)))
 
 
 def read_git_log(spark: SparkSession, path: str) -> DataFrame:
-    """Exported logs, one per file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return parse_git_log(text)
+    """Exported logs of any store that Spark reads; a log may be cut into many splits."""
+    return commit_rows(carried(lines_of(spark, path)))
 
 
 def read_vulnerabilities(spark: SparkSession, path: str, key: str = "vulnerabilities") -> DataFrame:
