@@ -153,12 +153,17 @@ def confidence(rows: DataFrame) -> Column:
     return (known + flags + complexity) / 3
 
 
-def fallback_severity(category: Column, description: Column) -> tuple[Column, Column]:
-    """Level and score by simple rules; their confidence is 0.6."""
-    category, low = F.lower(category), F.lower(description)
+def _held(description: Column | None, words: list[str], flags: dict[str, Column] | None, name: str) -> Column:
+    """Whether a description holds one of the words; a flag of that name says so where the words were looked for before."""
+    return flags[name] if flags else contains_any(F.lower(description), words)
+
+
+def fallback_severity(category: Column, description: Column | None, flags: dict[str, Column] | None = None) -> tuple[Column, Column]:
+    """Level and score by simple rules; their confidence is 0.6. flags: by the names of FALLBACK, in place of a description."""
+    category = F.lower(category)
     name, score = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
     for part, words, own, value in FALLBACK:
-        test = category.contains(part) | contains_any(low, words)
+        test = category.contains(part) | _held(description, words, flags, part)
         name, score = name.when(test, own), score.when(test, value)
     return name.otherwise("medium"), score.otherwise(0.5)
 
@@ -198,17 +203,16 @@ def context_confidence(own: Column, contexts: int) -> Column:
     return F.least(own + contexts * 0.1, F.lit(1.0))
 
 
-def impact_categories(category: Column, description: Column, severity: Column) -> Column:
-    """Business impacts of an issue; severe ones add revenue and customers where they aren't named yet."""
-    category, low = F.lower(category), F.lower(description)
-    own = F.array().cast("array<string>")
+def impact_categories(category: Column, description: Column | None, severity: Column, flags: dict[str, Column] | None = None) -> Column:
+    """Business impacts of an issue; severe ones add revenue and customers where they aren't named yet.
+
+    flags: by the names of IMPACT_TRIGGERS, in place of a description.
+    """
+    category, none = F.lower(category), F.array().cast("array<string>")
+    own = none
     for part, (words, impacts) in IMPACT_TRIGGERS.items():
         here = F.array(*(F.lit(i) for i in impacts))
-        own = F.concat(own, F.when(category.contains(part) | contains_any(low, words), here).otherwise(F.array().cast("array<string>")))
-    return _with_severe(own, severity)
-
-
-def _with_severe(own: Column, severity: Column) -> Column:
+        own = F.concat(own, F.when(category.contains(part) | _held(description, words, flags, part), here).otherwise(none))
     severe = severity.isin("critical", "high")
     for impact in ("revenue_loss", "customer_experience"):
         own = F.when(severe & ~F.array_contains(own, impact), F.array_append(own, F.lit(impact))).otherwise(own)
@@ -238,9 +242,10 @@ def business_factor(industry: Column, size: Column, model: Column, customers: Co
     return lookup(INDUSTRY, industry, 1.0) * lookup(COMPANY_SIZE, size, 1.0) * lookup(REVENUE_MODEL, model, 1.0) * base * sla * (1.0 + brand * 0.3) * (1.0 + n_compliance * 0.1)
 
 
-def issue_factor(path: Column, description: Column) -> Column:
-    path, low = F.lower(path), F.lower(description)
-    tests = [(f, contains_any(path, words)) for f, words in PATH_FACTORS] + [(f, low.contains(w)) for f, w in WORD_FACTORS]
+def issue_factor(path: Column, description: Column | None, flags: dict[str, Column] | None = None) -> Column:
+    """What an issue's path and description add; flags: by the words of WORD_FACTORS, in place of a description."""
+    path = F.lower(path)
+    tests = [(f, contains_any(path, words)) for f, words in PATH_FACTORS] + [(f, _held(description, [w], flags, w)) for f, w in WORD_FACTORS]
     return reduce(lambda a, b: a * b, (_if(test, f) for f, test in tests))
 
 

@@ -57,27 +57,27 @@ BUSINESS = {
 }
 
 
-def _described(spark, d) -> DataFrame:
-    """Issues with the features of their descriptions, which are joined by document; `description` is the closing phrase."""
+# Words that descriptions are searched for, by the family that needs them.
+FAMILIES = {
+    "features": KEYWORDS, "triggers": {f"t_{part}": own for part, (own, _) in sc.IMPACT_TRIGGERS.items()}, "fallback": {f"u_{part}": own for part, own, _, _ in sc.FALLBACK},
+    "factors": {f"w_{w}": [w] for _, w in sc.WORD_FACTORS},
+}
+
+
+def _described(spark, d, families: tuple[str, ...] = ("features",)) -> DataFrame:
+    """Issues with the flags of their descriptions, which are joined by document; `description` is the closing phrase."""
     documents = table(spark, d, "documents")
     n = max(1, documents.count())
-    words = KEYWORDS | {f"t_{part}": own for part, (own, _) in sc.IMPACT_TRIGGERS.items()} | {f"u_{part}": own for part, own, _, _ in sc.FALLBACK} | {f"w_{w}": [w] for _, w in sc.WORD_FACTORS}
-    own = sc.text_flags(documents, words)
+    words = {name: own for f in families for name, own in FAMILIES[f].items()}
     issues = dv.issues(table(spark, d, "events")).withColumn("doc_id", F.col("id") % n)
     issues = issues.withColumn("description", F.expr(_pick("id % 12", PHRASES)))
     issues = sc.path_features(issues.withColumns({k: F.expr(v) for k, v in ISSUE.items()}))
     low = F.lower("description")
     flags = issues.withColumns({name: sc.contains_any(low, own) for name, own in words.items()})
-    joined = flags.withColumnsRenamed({c: f"own_{c}" for c in words}).join(own, "doc_id")
+    joined = flags.withColumnsRenamed({c: f"own_{c}" for c in words}).join(sc.text_flags(documents, words), "doc_id")
     return joined.withColumns({c: F.col(c) | F.col(f"own_{c}") for c in words}).drop(*(f"own_{c}" for c in words))
 
 
-DESCRIBED = (
-    f"described AS (SELECT id, confidence, {', '.join(f'{v} AS {k}' for k, v in ISSUE.items())}, text || {_pick('id % 12', PHRASES)} AS description "
-    "FROM issues JOIN documents ON doc_id = id % (SELECT count(*) FROM documents))"
-)
-
-
 def _any(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
@@ -86,13 +86,19 @@ def _case(key: str, values: dict, rest: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {_sql(v)}" for k, v in values.items()) + f" ELSE {rest} END"
 
 
+_WORDS = {name: own for f in FAMILIES.values() for name, own in f.items()}
+#: Flags of each document and of each closing phrase; an issue has those of both.
+DESCRIBED = (
+    f"flagged AS MATERIALIZED (SELECT doc_id, {', '.join(f'{_any("low", words)} AS "d_{name}"' for name, words in _WORDS.items())} FROM (SELECT doc_id, lower(text) AS low FROM documents)), "
+    f"phrased AS (SELECT k, {', '.join(f'{_any("low", words)} AS "p_{name}"' for name, words in _WORDS.items())} FROM (VALUES {', '.join(f'({k}, {_sql(p.lower())})' for k, p in enumerate(PHRASES))}) v(k, low)), "
+    f"described AS (SELECT id, confidence, {', '.join(f'{v} AS {k}' for k, v in ISSUE.items())}, {', '.join(f'"d_{name}" OR "p_{name}" AS "{name}"' for name in _WORDS)} "
+    "FROM issues JOIN flagged ON doc_id = id % (SELECT count(*) FROM documents) JOIN phrased ON k = id % 12)"
+)
 FEATURED = (
-    "featured AS (SELECT *, "
-    + ", ".join(f"{_any('lower(description)', words)} AS {name}" for name, words in KEYWORDS.items())
-    + ", contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec') AS is_test_file"
-    + f", list_contains({sc.MAIN_MODULES!r}, lower(parse_filename(file_path))) AS is_main_module"
-    + f", list_contains({sc.CONFIG_SUFFIXES!r}, lower(regexp_extract(file_path, '\\.[^./]+$'))) OR {_any('lower(file_path)', sc.CONFIG_NAMES)} AS is_config_file"
-    + ", lower(regexp_extract(file_path, '\\.[^./]+$')) AS file_extension FROM described)"
+    "featured AS (SELECT *, contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec') AS is_test_file"
+    f", list_contains({sc.MAIN_MODULES!r}, lower(parse_filename(file_path))) AS is_main_module"
+    f", list_contains({sc.CONFIG_SUFFIXES!r}, lower(regexp_extract(file_path, '\\.[^./]+$'))) OR {_any('lower(file_path)', sc.CONFIG_NAMES)} AS is_config_file"
+    ", lower(regexp_extract(file_path, '\\.[^./]+$')) AS file_extension FROM described)"
 )
 _FLAT = ["involves_user_input", "involves_network", "involves_database", "involves_file_system", "in_loop", "recursive_call", "memory_allocation"]
 _ADD = lambda names: " + ".join(f"CASE WHEN {n} THEN {_sql(FEATURE_WEIGHT[n])} ELSE 0e0 END" for n in names)
@@ -115,42 +121,38 @@ _IN_CONTEXT = " * ".join([
 _SCORED = (
     f"{_BASE}, placed AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in (PROJECT | FILE | CODE | BUSINESS).items())} FROM based), "
     f"adjusted AS (SELECT *, round(least(greatest({_IN_CONTEXT}, 0e0), 1e0), 9) AS score, least(sure + 0.3e0, 1e0) AS final_confidence FROM placed), "
-    f"scored AS (SELECT *, {_LEVEL.format('score')} AS level FROM adjusted)"
+    f"scored AS MATERIALIZED (SELECT *, {_LEVEL.format('score')} AS level FROM adjusted)"
 )
 
 
-def _based(spark, d) -> DataFrame:
-    rows = _described(spark, d)
+def _based(spark, d, *families: str) -> DataFrame:
+    rows = _described(spark, d, ("features", *families))
     rows = rows.withColumn("base_score", F.round(sc.base_score(rows), 9))
     return rows.withColumn("sure", sc.confidence(rows))
 
 
-def _scored(spark, d) -> DataFrame:
-    rows = _based(spark, d).withColumns({k: F.expr(v) for k, v in (PROJECT | FILE | CODE | BUSINESS).items()})
+def _scored(spark, d, *families: str) -> DataFrame:
+    rows = _based(spark, d, *families).withColumns({k: F.expr(v) for k, v in (PROJECT | FILE | CODE | BUSINESS).items()})
     factors = sc.project_factors(*(F.col(c) for c in PROJECT)) + sc.file_factors(*(F.col(c) for c in FILE)) + sc.code_factors(*(F.col(c) for c in CODE))
     rows = rows.withColumn("score", F.round(sc.in_context(F.col("base_score"), factors), 9)).withColumn("final_confidence", sc.context_confidence(F.col("sure"), 3))
     return rows.withColumn("level", sc.level(F.col("score")))
 
 
-def _impacts(rows: DataFrame) -> DataFrame:
-    """Adds impacts, impact and priority; triggers were looked for in the documents."""
-    own = F.array().cast("array<string>")
-    for part, (_, impacts) in sc.IMPACT_TRIGGERS.items():
-        here = F.array(*(F.lit(i) for i in impacts))
-        own = F.concat(own, F.when(F.lower("category").contains(part) | F.col(f"t_{part}"), here).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("impacts", sc._with_severe(own, F.col("level")))
+def _impacts(spark, d) -> DataFrame:
+    """Scored issues with impacts, impact and priority."""
+    rows = _scored(spark, d, "triggers", "factors")
+    named = sc.impact_categories(F.col("category"), None, F.col("level"), {part: F.col(f"t_{part}") for part in sc.IMPACT_TRIGGERS})
+    rows = rows.withColumn("impacts", named)
     metrics = sc.metrics_factor(F.col("impacts"), F.col("m_loss"), F.col("m_users"), F.col("m_hours"), F.col("m_velocity"))
     business = sc.business_factor(*(F.col(c) for c in ("b_industry", "b_size", "b_model", "b_customers", "b_uptime", "b_brand", "b_compliance")))
-    path = F.lower("file_path")
-    tests = [(f, sc.contains_any(path, words)) for f, words in sc.PATH_FACTORS] + [(f, F.col(f"w_{w}")) for f, w in sc.WORD_FACTORS]
-    factors = [metrics, business, *(F.when(test, f).otherwise(1.0) for f, test in tests)]
+    factors = [metrics, business, sc.issue_factor(F.col("file_path"), None, {w: F.col(f"`w_{w}`") for _, w in sc.WORD_FACTORS})]
     rows = rows.withColumn("impact", F.round(sc.business_impact(F.col("level"), F.col("impacts"), factors), 9))
     return rows.withColumn("priority", sc.priority(F.col("level"), F.col("impact"), F.col("final_confidence")))
 
 
 def _trigger(part: str) -> str:
-    words, impacts = sc.IMPACT_TRIGGERS[part]
-    return f"CASE WHEN contains(lower(category), '{part}') OR {_any('lower(description)', words)} THEN {impacts!r} ELSE CAST([] AS VARCHAR[]) END"
+    _, impacts = sc.IMPACT_TRIGGERS[part]
+    return f"CASE WHEN contains(lower(category), '{part}') OR t_{part} THEN {impacts!r} ELSE CAST([] AS VARCHAR[]) END"
 
 
 _STEP = lambda c, *steps: "CASE " + " ".join(f"WHEN {c} > {a!r} THEN {b!r}e0" for a, b in steps) + " ELSE 1e0 END"
@@ -160,15 +162,15 @@ _FACTORS = " * ".join([
     _HAVE("operational_disruption", _STEP("m_hours", (24, 1.3), (4, 1.2), (1, 1.1))), _HAVE("development_velocity", _STEP("abs(m_velocity)", (0.5, 1.3), (0.2, 1.2), (0.1, 1.1))),
     _case("b_industry", sc.INDUSTRY, "1e0"), _case("b_size", sc.COMPANY_SIZE, "1e0"), _case("b_model", sc.REVENUE_MODEL, "1e0"), _STEP("b_customers", (1000000, 1.3), (100000, 1.2), (10000, 1.1)),
     "CASE WHEN b_uptime >= 0.999e0 THEN 1.3e0 WHEN b_uptime >= 0.99e0 THEN 1.2e0 WHEN b_uptime >= 0.95e0 THEN 1.1e0 ELSE 1e0 END", "(1e0 + b_brand * 0.3e0)", "(1e0 + b_compliance * 0.1e0)",
-    *(_BLANK(_any("lower(file_path)", words), f) for f, words in sc.PATH_FACTORS), *(_BLANK(f"contains(lower(description), '{w}')", f) for f, w in sc.WORD_FACTORS),
+    *(_BLANK(_any("lower(file_path)", words), f) for f, words in sc.PATH_FACTORS), *(_BLANK(f'"w_{w}"', f) for f, w in sc.WORD_FACTORS),
 ])
 _IMPACTED = (
     f"{_SCORED}, named AS (SELECT *, {' || '.join(_trigger(p) for p in sc.IMPACT_TRIGGERS)} AS i0 FROM scored), "
     "more AS (SELECT *, CASE WHEN level IN ('critical', 'high') AND NOT list_contains(i0, 'revenue_loss') THEN list_append(i0, 'revenue_loss') ELSE i0 END AS i1 FROM named), "
     "most AS (SELECT *, CASE WHEN level IN ('critical', 'high') AND NOT list_contains(i1, 'customer_experience') THEN list_append(i1, 'customer_experience') ELSE i1 END AS i2 FROM more), "
-    "held AS (SELECT *, CASE WHEN len(i2) = 0 THEN ['maintenance_cost'] ELSE i2 END AS impacts FROM most), "
-    f"weighed AS (SELECT *, round(least(greatest({_case('level', sc.IMPACT_OF_LEVEL, '0.5e0')} * (list_sum(list_transform(impacts, lambda i: {_case('i', sc.IMPACT_WEIGHT, '0.5e0')})) / len(impacts)) * {_FACTORS}, 0e0), 1e0), 9) AS impact FROM held), "
-    f"ranked AS (SELECT *, ({_case('level', sc.PRIORITY_OF_LEVEL, '0.6e0')} * 0.6e0 + impact * 0.4e0) * final_confidence AS priority FROM weighed)"
+    "held AS MATERIALIZED (SELECT *, CASE WHEN len(i2) = 0 THEN ['maintenance_cost'] ELSE i2 END AS impacts FROM most), "
+    f"weighed AS MATERIALIZED (SELECT *, round(least(greatest({_case('level', sc.IMPACT_OF_LEVEL, '0.5e0')} * (list_sum(list_transform(impacts, lambda i: {_case('i', sc.IMPACT_WEIGHT, '0.5e0')})) / len(impacts)) * {_FACTORS}, 0e0), 1e0), 9) AS impact FROM held), "
+    f"ranked AS MATERIALIZED (SELECT *, ({_case('level', sc.PRIORITY_OF_LEVEL, '0.6e0')} * 0.6e0 + impact * 0.4e0) * final_confidence AS priority FROM weighed)"
 )
 
 
@@ -196,7 +198,7 @@ def contextual_scores(spark, d):
 
 @query(f"{_IMPACTED} SELECT id, array_to_string(impacts, ',') AS impacts, impact, priority FROM ranked", rounded=("priority",))
 def business_impacts(spark, d):
-    return _impacts(_scored(spark, d)).select("id", F.array_join("impacts", ",").alias("impacts"), "impact", "priority")
+    return _impacts(spark, d).select("id", F.array_join("impacts", ",").alias("impacts"), "impact", "priority")
 
 
 @query(f"{_IMPACTED} SELECT id, CASE WHEN m_arpu <> 0 THEN m_arpu * b_customers * impact * 0.01e0 END AS revenue_at_risk, CASE WHEN m_loss <> 0 THEN m_loss * impact END AS direct_revenue_loss, "
@@ -204,20 +206,16 @@ def business_impacts(spark, d):
        rounded=("revenue_at_risk", "direct_revenue_loss", "downtime_cost"))
 def financial_estimates(spark, d):
     own = sc.financial_estimates(*(F.col(c) for c in ("impact", "m_arpu", "b_customers", "m_loss", "m_fix", "m_downtime", "m_hours")))
-    return _impacts(_scored(spark, d)).select("id", *(c.alias(n) for n, c in own.items()))
+    return _impacts(spark, d).select("id", *(c.alias(n) for n, c in own.items()))
 
 
-_FALLBACK = "CASE " + " ".join(f"WHEN contains(lower(category), '{p}') OR {_any('lower(description)', words)} THEN {{{k}}}" for k, (p, words, _, _) in enumerate(sc.FALLBACK)) + " ELSE {4} END"
+_FALLBACK = "CASE " + " ".join(f"WHEN contains(lower(category), '{p}') OR \"u_{p}\" THEN {{{k}}}" for k, (p, _, _, _) in enumerate(sc.FALLBACK)) + " ELSE {4} END"
 
 
 @query(f"{_BASE} SELECT id, {_FALLBACK.format(*(_sql(x[2]) for x in sc.FALLBACK), _sql('medium'))} AS level, {_FALLBACK.format(*(_sql(x[3]) for x in sc.FALLBACK), '0.5e0')} AS score FROM based")
 def fallback_severities(spark, d):
-    rows = _described(spark, d)
-    level, score = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
-    for part, _, name, value in sc.FALLBACK:
-        test = F.lower("category").contains(part) | F.col(f"u_{part}")
-        level, score = level.when(test, name), score.when(test, value)
-    return rows.select("id", level.otherwise("medium").alias("level"), score.otherwise(0.5).alias("score"))
+    level, score = sc.fallback_severity(F.col("category"), None, {part: F.col(f"u_{part}") for part, _, _, _ in sc.FALLBACK})
+    return _described(spark, d, ("fallback",)).select("id", level.alias("level"), score.alias("score"))
 
 
 @query(f"{_IMPACTED} SELECT count(*) AS n, {', '.join(f"count(*) FILTER (WHERE level = '{x}') AS n_{x}" for x in sc.PRIORITY_OF_LEVEL)}, "
@@ -225,7 +223,7 @@ def fallback_severities(spark, d):
        + ", count(*) FILTER (WHERE round(priority, 9) > 0.7e0) AS n_high_priority, count(*) FILTER (WHERE round(final_confidence, 9) < 0.5e0) AS n_low_confidence FROM ranked",
        rounded=("impact_mean", "impact_max", "impact_min", "priority_mean", "priority_max", "priority_min", "confidence_mean", "confidence_max", "confidence_min"))
 def score_statistics(spark, d):
-    rows = _impacts(_scored(spark, d))
+    rows = _impacts(spark, d)
     return sc.statistics(rows.select("level", "impact", F.round("priority", 9).alias("priority"), F.round("final_confidence", 9).alias("confidence")))
 
 
@@ -243,7 +241,7 @@ _ADVICE = " || ".join([
 @query(f"{_IMPACTED} SELECT id, array_to_string({_ADVICE}, chr(10)) AS advice FROM ranked")
 def scoring_recommendations(spark, d):
     project = {"security_sensitive": F.col("p_security"), "public_facing": F.col("p_public"), "has_compliance": F.col("p_compliance") > 0}
-    rows = _impacts(_scored(spark, d))
+    rows = _impacts(spark, d)
     return rows.select("id", F.array_join(sc.recommendations(F.col("level"), F.col("impact"), F.col("category"), project), "\n").alias("advice"))
 
 
