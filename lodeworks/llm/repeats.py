@@ -6,8 +6,8 @@ its minimiser is. Super-k-mers whose minimiser more than one document has are th
 minimiser's bucket, each distinct string once a task with its smallest and largest document. There windows are
 sorted and compared word by word, and every string gets the smallest document of each of its windows. Places of
 super-k-mers join these answers and say which words an earlier document has. A minimiser of more than HOT super-k-mers
-(those at the edges of a very common passage differ by document) has no bucket: its windows meet by their own 128-bit hashes,
-which spreads them over all tasks.
+(those at the edges of a very common passage differ by document) has no bucket: its windows meet by 128-bit BLAKE2 digests of
+their words, as strings do when answers come back, which spreads them over all tasks.
 
 Documents are ordered by doc_id. Null and empty texts have no words. Rows that share an id count as one document: neither
 takes words from the other. Rows without an id neither give nor lose words. Extra columns are ignored.
@@ -31,6 +31,7 @@ WINDOW = 50
 SEED = 8
 BUCKET_KMERS = 40_000  # super-k-mers a bucket is planned for
 HOT = 20_000  # super-k-mers of one minimiser that may share a bucket
+SINGLES = 8192  # windows whose strings are held at once
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -167,16 +168,16 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
 
     @tidy
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every window of super-k-mers of hot minimisers by itself, with two hashes of its words."""
+        """Every window of super-k-mers of hot minimisers by itself, with a digest of its words."""
         for batch in batches:
             for part in slices(batch):
                 words, row, _, first, count = listed(part, True)
-                hashes = hash_words(words)
-                keys = [hash_grams(x, window) for x in (hashes, mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))]
                 of, start = np.repeat(row, count), np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                place = start + words.first[of]
-                columns = [*(pa.array(k[place].view(np.int64)) for k in keys), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(start.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "tk", "at"])
+                for a in range(0, len(of), SINGLES):
+                    rows, place = of[a : a + SINGLES], start[a : a + SINGLES]
+                    keys = [_key(s) for s in _strings(words, place + words.first[rows], np.ones(len(rows), np.int64), window)]
+                    columns = [pa.array(keys, pa.binary()), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(place.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "tk", "at"])
 
     @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +230,9 @@ def covered(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     indexed = F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), i + F.col("at")))
     found = found.select("doc_id", "tk", F.array_compact(indexed).alias("starts")).filter(F.size("starts") > 0)
     if (most or 0) > HOT:
-        windows = settled(columns.mapInArrow(single, "k1 long, k2 long, doc_id long, tk long, at int"), "windows")
-        first = settled(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "firsts")
-        later = windows.join(first, ["k1", "k2"]).filter("least < doc_id").groupBy("doc_id", "tk").agg(F.collect_list(F.col("at").cast("long")).alias("starts"))
+        windows = settled(columns.mapInArrow(single, "key binary, doc_id long, tk long, at int"), "windows")
+        first = settled(windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "firsts")
+        later = windows.join(first, "key").filter("least < doc_id").groupBy("doc_id", "tk").agg(F.collect_list(F.col("at").cast("long")).alias("starts"))
         found = found.unionByName(settled(later, "later"))
         drop(windows, first)
     return found.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("starts")).alias("starts"))
