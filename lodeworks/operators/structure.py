@@ -413,22 +413,31 @@ def maintainability(files: DataFrame, functions: DataFrame) -> DataFrame:
     return files.join(means, "path", "left").select("path", index.alias("index"))
 
 
-def chunks(files: DataFrame, elements: DataFrame, least: int = 50) -> DataFrame:
-    """(id, path, kind, name, line_start, line_end, content): functions, classes and what lies outside of them.
+def chunks(files: DataFrame, elements: DataFrame, least: int = 50, around: int = 2, largest: int = 1000) -> DataFrame:
+    """(id, path, kind, name, line_start, line_end, content, context): functions, classes and what lies outside of them.
 
-    Module lines outside all ranges are runs; a run longer than `least` characters is a chunk.
+    context: a function with `around` lines before and after it. A class of more than `largest` characters has its summary as
+    content. Module lines outside all ranges are runs; a run longer than `least` characters is a chunk.
     """
     parts = elements.filter(F.col("kind").isin("function", "class"))
-    content = F.array_join(F.slice("ls", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    start, end = F.col("line_start"), F.col("line_end")
+    first = F.greatest(start - around, F.lit(1))
+    lines = F.array_join(F.slice("ls", start, end - start + 1), "\n")
+    beside = F.when(F.col("kind") == "function", F.array_join(F.slice("ls", first, end + around - first + 1), "\n"))
     named = files.select("path", split_lines(F.col("content")).alias("ls")).join(parts.select("path", "kind", "name", "line_start", "line_end"), "path")
-    named = named.select("path", "kind", "name", "line_start", "line_end", content.alias("content"))
+    named = named.select("path", "kind", "name", "line_start", "line_end", lines.alias("content"), beside.alias("context"))
+    short = class_summaries(files, parts.filter("kind = 'class'"), parts.filter("kind = 'function'"))
+    named = named.join(short.withColumn("kind", F.lit("class")), ["path", "kind", "name", "line_start"], "left")
+    content = F.when((F.col("kind") == "class") & (F.length("content") > largest), F.col("summary")).otherwise(F.col("content"))
+    named = named.select("path", "kind", "name", "line_start", "line_end", content.alias("content"), "context")
     covered = parts.select("path", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).distinct()
     lines = files.select("path", F.posexplode(split_lines(F.col("content"))).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
     free = lines.filter(F.col("line").rlike(r"\S")).join(covered, ["path", "line_no"], "left_anti")
     free = free.withColumn("run", F.col("line_no") - F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     runs = free.groupBy("path", "run").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), text.alias("content"))
-    module = runs.filter(F.length("content") > least).select("path", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("name"), "line_start", "line_end", "content")
+    none = F.lit(None).cast("string")
+    module = runs.filter(F.length("content") > least).select("path", F.lit("module").alias("kind"), none.alias("name"), "line_start", "line_end", "content", none.alias("context"))
     rows = named.unionByName(module)
     return rows.select(F.md5(F.concat_ws(":", "path", "kind", F.coalesce("name", F.lit("")), "line_start")).alias("id"), "*")
 

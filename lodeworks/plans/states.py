@@ -160,7 +160,7 @@ def conversation_summaries(spark, d):
 # Literals of the files of plans/structures.py: block, first line, last line, quote, text.
 _PY_LITERALS = [
     (3, 2, 2, '"""', "Decides by many cases what to do."), (4, 2, 2, '"""', "Goes down step by step, :param a: what to look at."), (5, 2, 2, '"""', "Keeps things that matter."), (5, 4, 4, '"""', "todo"),
-    (6, 3, 5, '"""', "Args:\n        url: where to look\n    "), (7, 2, 6, '"""', "Says what it does.\n\n    :param a: one\n    :param b: two\n    "), (10, 1, 1, '"""', "Module of derived code."),
+    (6, 3, 5, '"""', "Args:\n        url: where to look\n    "), (7, 2, 6, '"""', "Says what it does.\n\n    :param a: one\n    :param b: two\n    "), (10, 1, 1, '"""', "Module of derived code."), (14, 3, 3, "'", "one of many names"), (14, 3, 3, "'", "another one"),
 ]
 _JS_LITERALS = [(0, 1, 1, "'", "pkg-a"), (0, 2, 2, '"', "./b"), (0, 3, 3, "'", "fs"), (0, 4, 4, "'", "side")]
 _LITERAL = ["BIGINT", "INTEGER", "INTEGER", "VARCHAR", "VARCHAR"]

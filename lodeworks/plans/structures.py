@@ -13,6 +13,7 @@ from lodeworks.functions.text import is_test_path, split_lines
 from lodeworks.operators import graph as gr
 from lodeworks.operators import structure as st
 from lodeworks.plans.queries import query, table
+from lodeworks.sources.scratch import settled
 
 BRANCHY = "def branchy(x):\n    \"\"\"Decides by many cases what to do.\"\"\"\n" + "".join(f"    if x == {k}: return {k}\n" for k in range(12)) + "    return x\n"
 #: Text; functions (name, owner, first, last line, complexity, cognitive, nesting, parameters, docstring length, rules of its docs);
@@ -36,7 +37,18 @@ PYTHON = [
     ("def long():\n" + "    x = 1\n" * 51, [("long", None, 1, 52, 1, 1, 1, 0, 0, ["missing_function_docstring:high"])], [], []),
     ("def _hidden(a):\n    return a\n", [("_hidden", None, 1, 2, 1, 1, 1, 1, 0, [])], [], []),
     ("\"\"\"Module of derived code.\"\"\"\n", [], [], []),
+    ("class Huge:\n" + "".join(f"    def m{k}(self): return {k}\n" for k in range(31)),
+     [(f"m{k}", "Huge", k + 2, k + 2, 1, 1, 0, 1, 0, ["missing_function_docstring:high"]) for k in range(31)],
+     [("Huge", 1, 32, 31, 0, ["missing_class_docstring:high", "low_method_coverage:medium"])], []),
+    ("def tangled(x):\n" + "".join(f"    if x == {k}: return {k}\n" for k in range(21)) + "    return x\n",
+     [("tangled", None, 1, 23, 22, 42, 1, 1, 0, ["missing_function_docstring:high"])], [], []),
+    ("def typed(a: int) -> list[str]:\n    return []\n", [("typed", None, 1, 2, 1, 1, 1, 1, 0, ["missing_function_docstring:high"])], [], []),
+    ("limit = 10\n# not a setting\nnames = ['one of many names', 'another one']\n\n", [], [], []),
 ]
+#: Blocks that some users' files hold again and again: a class without much documentation, statements without any element.
+ONLY = {"user_id % 13 = 5": 3, "user_id % 17 = 6": 14}
+#: Deepest nesting of each block.
+DEPTHS = [0, 1, 2, 2, 5, 2, 1, 1, 1, 1, 0, 2, 2, 1, 0]
 #: Text; functions (name, first, last line, complexity, parameters, async, docstring: none, or one that needs a line above);
 #: classes (name, base, first, last line, methods); imports.
 SCRIPT = [
@@ -52,13 +64,16 @@ SCRIPT = [
 ]
 
 
+_BLOCK = "CASE " + " ".join(f"WHEN {test} THEN {k}" for test, k in ONLY.items()) + f" ELSE event_id % {len(PYTHON)} END"
+
+
 def _files(spark, d, kind: str) -> DataFrame:
-    """(path, project, content, line_count): a file per user. Every 13th user's Python file holds one block again and again."""
+    """(path, project, content, line_count): a file per user. Some users' Python files hold one block again and again."""
     blocks, script = (PYTHON, False) if kind == "python" else (SCRIPT, True)
     users = F.col("user_id") % 3 == 0 if script else F.col("user_id") % 3 != 0
     block = F.col("event_id") % len(blocks)
     if not script:
-        block = F.when(F.col("user_id") % 13 == 5, 3).otherwise(block)
+        block = F.expr(_BLOCK)
     text = F.element_at(F.array(*(F.lit(b[0]) for b in blocks)), (block + 1).cast("int"))
     rows = table(spark, d, "events").filter(users).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", text.alias("text")))).alias("own"))
     where = F.when(F.col("user_id") % 7 == 0, "tests/test_u").when(F.col("user_id") % 11 == 0, "src/api/u").otherwise("src/u")
@@ -91,7 +106,7 @@ def _placed(blocks: list[tuple], users: str, block: str, end: str) -> str:
 _PY_FUNCTIONS = [(k, *f[:9], ",".join(f[9])) for k, b in enumerate(PYTHON) for f in b[1]]
 _PY_CLASSES = [(k, *c[:5], ",".join(c[5])) for k, b in enumerate(PYTHON) for c in b[2]]
 PY = (
-    _placed(PYTHON, "user_id % 3 <> 0", f"CASE WHEN user_id % 13 = 5 THEN 3 ELSE event_id % {len(PYTHON)} END", ".py")
+    _placed(PYTHON, "user_id % 3 <> 0", _BLOCK, ".py")
     + f", pf AS ({_rows(_PY_FUNCTIONS, ['BIGINT', 'VARCHAR', 'VARCHAR', *['INTEGER'] * 7, 'VARCHAR'])} v(k, name, owner, a, z, complexity, cognitive, nesting, n_parameters, doc, rules)), "
     f"pc AS ({_rows(_PY_CLASSES, ['BIGINT', 'VARCHAR', *['INTEGER'] * 4, 'VARCHAR'])} v(k, name, a, z, n_methods, doc, rules)), "
     f"pi AS ({_rows([(k, *i) for k, b in enumerate(PYTHON) for i in b[3]], ['BIGINT', 'VARCHAR', 'VARCHAR', 'INTEGER'])} v(k, module, names, a)), "
@@ -112,13 +127,23 @@ JS = (
 )
 
 
+#: The lines of all files.
+_LINES = f"bl AS ({_rows([(k, j, x) for k, b in enumerate(PYTHON) for j, x in enumerate(b[0].splitlines(), 1)], ['BIGINT', 'INTEGER', 'VARCHAR'])} v(k, j, line)), src AS (SELECT path, above + j AS line_no, line FROM placed JOIN bl USING (k))"
+
+
 def _python(spark, d) -> DataFrame:
     return st.python_elements(_files(spark, d, "python"))
 
 
+def _parsed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, their elements and their metrics, for queries that read them more than once: built and parsed once."""
+    files = settled(_files(spark, d, "python"), "files")
+    elements = settled(st.python_elements(files), "elements")
+    return files, elements, st.file_metrics(files.select("path", "project", "line_count"), elements)
+
+
 def _metrics(spark, d) -> DataFrame:
-    files = _files(spark, d, "python")
-    return st.file_metrics(files.select("path", "project", "line_count"), st.python_elements(files))
+    return _parsed(spark, d)[2]
 
 
 _FIELDS = "path, name, owner, line_start, line_end, complexity, cognitive, nesting, n_parameters"
@@ -202,7 +227,7 @@ def documentation_findings(spark, d):
 
 @query(f"WITH {PY} {_RULES.format('c')}")
 def class_documentation(spark, d):
-    e = _python(spark, d)
+    _, e, _ = _parsed(spark, d)
     return st.class_documentation(e.filter("kind = 'class'"), e.filter("kind = 'function'"))
 
 
@@ -210,8 +235,8 @@ def class_documentation(spark, d):
 @query(f"WITH {PY}, b AS (SELECT path, min(nth) AS nth FROM placed WHERE k <> 0 GROUP BY 1), o AS (SELECT placed.path FROM placed JOIN b ON b.path = placed.path AND b.nth = placed.nth WHERE k = 10 AND above < 20) "
        "SELECT path FROM m WHERE (n_functions > 3 OR n_classes > 1 OR n_imports > 5) AND path NOT IN (SELECT path FROM o)")
 def module_documentation(spark, d):
-    files = _files(spark, d, "python")
-    return st.module_documentation(files, _metrics(spark, d))
+    files, _, metrics = _parsed(spark, d)
+    return st.module_documentation(files, metrics)
 
 
 @query(f"""WITH {PY}, p AS (SELECT path, 'function' AS kind, name, doc FROM f WHERE NOT starts_with(name, '_') UNION ALL SELECT path, 'class', name, doc FROM c),
@@ -252,13 +277,27 @@ def script_imports(spark, d):
     return found.select("path", "module", F.array_join("names", ",").alias("names"), "line_start", st.import_category(F.col("module")).alias("category"))
 
 
-# Chunks: functions and classes with their lines; the blocks hold no module text of 50 characters but imports.
-@query(f"""WITH {PY}, n AS (SELECT path, 'function' AS kind, name, line_start, line_end FROM f UNION ALL SELECT path, 'class', name, line_start, line_end FROM c)
-SELECT path, kind, name, line_start, line_end, line_end - line_start + 1 AS n_lines FROM n""")
+# Chunks with their texts: functions with two lines around them, classes or their summaries, runs of module lines.
+_TEXT = "string_agg(line, chr(10) ORDER BY line_no)"
+_SUMMARIES = (
+    "heads AS (SELECT c.path, c.name, c.line_start, string_agg(line, chr(10) ORDER BY line_no) AS head FROM c JOIN src ON src.path = c.path AND line_no BETWEEN line_start AND line_start + 9 GROUP BY 1, 2, 3), "
+    "methods AS (SELECT c.path, c.name, c.line_start, string_agg('# ' || trim(line), chr(10) ORDER BY line_no) AS signatures FROM c JOIN f ON f.path = c.path AND f.owner = c.name AND f.line_start > c.line_start "
+    "AND f.line_start <= c.line_end JOIN src ON src.path = c.path AND line_no = f.line_start GROUP BY 1, 2, 3), "
+    "summaries AS (SELECT path, name, line_start, head || chr(10) || chr(10) || '# Method signatures:' || coalesce(chr(10) || signatures, '') AS summary FROM heads LEFT JOIN methods USING (path, name, line_start))"
+)
+
+
+@query(f"""WITH {PY}, {_LINES}, {_SUMMARIES}, n AS (SELECT path, 'function' AS kind, name, line_start, line_end FROM f UNION ALL SELECT path, 'class', name, line_start, line_end FROM c),
+t AS (SELECT n.path, kind, name, line_start, line_end, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE line_no BETWEEN line_start AND line_end) AS content, {_TEXT} AS beside
+    FROM n JOIN src ON src.path = n.path AND line_no BETWEEN line_start - 2 AND line_end + 2 GROUP BY 1, 2, 3, 4, 5),
+free AS (SELECT path, line_no, line, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS run FROM src WHERE trim(line) <> '' AND NOT EXISTS (SELECT 1 FROM n WHERE n.path = src.path AND line_no BETWEEN line_start AND line_end)),
+md AS (SELECT path, min(line_no) AS a, max(line_no) AS z, {_TEXT} AS content FROM free GROUP BY path, run)
+SELECT t.path, kind, t.name, t.line_start, line_end, md5(CASE WHEN kind = 'class' AND length(content) > 1000 THEN summary ELSE content END) AS content, CASE WHEN kind = 'function' THEN md5(beside) END AS context
+FROM t LEFT JOIN summaries s ON kind = 'class' AND s.path = t.path AND s.name = t.name AND s.line_start = t.line_start
+UNION ALL SELECT path, 'module', NULL, a, z, md5(content), NULL FROM md WHERE length(content) > 50""")
 def code_chunks(spark, d):
-    files = _files(spark, d, "python")
-    rows = st.chunks(files, st.python_elements(files)).filter("kind <> 'module'")
-    return rows.select("path", "kind", "name", "line_start", "line_end", F.size(split_lines(F.col("content"))).alias("n_lines"))
+    files, elements, _ = _parsed(spark, d)
+    return st.chunks(files, elements).select("path", "kind", "name", "line_start", "line_end", F.md5("content").alias("content"), F.md5("context").alias("context"))
 
 
 @query(f"""WITH {PY}, n AS (SELECT path, lag(path) OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY path) AS before FROM files)
@@ -271,9 +310,11 @@ def import_edges(spark, d):
     return gr.import_edges(imports.select("path", F.col("imported").alias("module")), files)
 
 
-@query(f"WITH {PY} SELECT path, 'large_undocumented' AS rule, name, line_start FROM f WHERE doc = 0 AND line_end - line_start > 20")
+@query(f"""WITH {PY} SELECT path, 'large_undocumented' AS rule, name, line_start FROM f WHERE doc = 0 AND line_end - line_start > 20 UNION ALL SELECT path, 'very_complex', name, line_start FROM f WHERE complexity > 20
+UNION ALL SELECT path, 'no_elements', NULL, NULL FROM m WHERE line_count > 10 AND n_functions + n_classes + n_imports = 0""")
 def parse_validation(spark, d):
-    return st.parse_validation(_metrics(spark, d), _python(spark, d))
+    _, elements, metrics = _parsed(spark, d)
+    return st.parse_validation(metrics, elements)
 
 
 @query(f"WITH {PY} SELECT path, line_start, name || '(' || coalesce(array_to_string(list_transform(range(n_parameters), lambda k: 'param' || k), ','), '') || ')' AS signature FROM f")
@@ -281,17 +322,27 @@ def generic_signatures(spark, d):
     return _python(spark, d).filter("kind = 'function'").select("path", "line_start", st.generic_signature(F.col("name"), F.col("parameters")).alias("signature"))
 
 
-@query(f"WITH {PY} SELECT path, name, line_start, line_end - line_start AS n_lines FROM f WHERE line_end > line_start")
+@query(f"WITH {PY}, {_LINES} SELECT f.path, name, line_start, md5({_TEXT}) AS body FROM f JOIN src ON src.path = f.path AND line_no > line_start AND line_no <= line_end GROUP BY 1, 2, 3")
 def function_bodies(spark, d):
-    bodies = st.function_bodies(_files(spark, d, "python"), _python(spark, d).filter("kind = 'function'"))
-    return bodies.filter("body <> ''").select("path", "name", "line_start", F.size(F.split("body", "\n", -1)).alias("n_lines"))
+    files, elements, _ = _parsed(spark, d)
+    return st.function_bodies(files, elements.filter("kind = 'function'")).filter("body <> ''").select("path", "name", "line_start", F.md5("body").alias("body"))
 
 
-@query(f"WITH {PY} SELECT c.path, name, line_start, least(10, line_count - line_start + 1) + 2 + n_methods AS n_lines FROM c JOIN files ON files.path = c.path")
+@query(f"WITH {PY}, {_LINES}, {_SUMMARIES} SELECT path, name, line_start, md5(summary) AS summary FROM summaries")
 def class_summaries(spark, d):
-    e = _python(spark, d)
-    rows = st.class_summaries(_files(spark, d, "python"), e.filter("kind = 'class'"), e.filter("kind = 'function'"))
-    return rows.select("path", "name", "line_start", F.size(F.split("summary", "\n", -1)).alias("n_lines"))
+    files, e, _ = _parsed(spark, d)
+    return st.class_summaries(files, e.filter("kind = 'class'"), e.filter("kind = 'function'")).select("path", "name", "line_start", F.md5("summary").alias("summary"))
+
+
+@query(f"WITH {PY} SELECT path, name, line_start, owner IS NOT NULL AS is_method, CASE WHEN name = 'typed' THEN 'list[str]' END AS returns, name = 'fetch' AS is_async, CASE WHEN name = 'fetch' THEN 'cached' ELSE '' END AS decorators FROM f")
+def function_details(spark, d):
+    return _python(spark, d).filter("kind = 'function'").select("path", "name", "line_start", "is_method", "returns", "is_async", F.array_join("decorators", ",").alias("decorators"))
+
+
+@query(f"WITH {PY}, x AS ({_rows([(k, DEPTHS[k], sum(bool(x.strip()) and not x.strip().startswith('#') for x in b[0].splitlines())) for k, b in enumerate(PYTHON)], ['BIGINT', 'INTEGER', 'INTEGER'])} v(k, depth, n)) "
+       "SELECT path, max(depth) AS nesting, CAST(sum(n) AS INTEGER) AS n_code_lines FROM placed JOIN x USING (k) GROUP BY path")
+def file_shapes(spark, d):
+    return _python(spark, d).filter("kind = 'file'").select("path", "nesting", "n_code_lines")
 
 
 @query(f"""WITH {JS}, n AS (SELECT path, lead(path) OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY path) AS nxt FROM files)
