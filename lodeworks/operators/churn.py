@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.sources.scratch import settled
+
 DAY_MICROS = 86_400_000_000
 BUCKETS = 1000
 
@@ -55,6 +57,29 @@ def marked_hotspots(scores: DataFrame, share: float = 0.8) -> DataFrame:
     return scores.crossJoin(threshold).withColumn("is_hotspot", F.col("hotspot_score") >= F.col("threshold"))
 
 
+def share_threshold(rows: DataFrame, column: str, share: float = 0.8) -> DataFrame:
+    """One row (column): the value at place floor(n (1 - share)) of all known ones in descending order, null without any.
+
+    As marked_hotspots, over values of any size: they are scaled to the range that they have. Reads rows several times.
+    """
+    known = rows.filter(F.col(column).isNotNull())
+    ends = known.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    scaled = F.coalesce((F.col(column) - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)), F.lit(0.0))
+    scores = known.crossJoin(ends).select(F.col(column).alias("value"), scaled.alias("hotspot_score"))  # one row
+    return marked_hotspots(scores, share).filter("is_hotspot").agg(F.min("value").alias(column))
+
+
+def hotspot_kinds(scores: DataFrame, churn: DataFrame, complexity: DataFrame, share: float = 0.8) -> DataFrame:
+    """(file, is_hotspot, is_complex, is_busy): files in the top share by hotspot score, by complexity and by change frequency."""
+    rows = scores.select("file", "hotspot_score").join(complexity.select("file", "complexity"), "file", "left").join(churn.select("file", "change_frequency"), "file", "left")
+    rows = settled(rows, "hotspots")  # read for each threshold
+    names = {"hotspot_score": "is_hotspot", "complexity": "is_complex", "change_frequency": "is_busy"}
+    marked = rows
+    for column in names:
+        marked = marked.crossJoin(share_threshold(rows, column, share).withColumnRenamed(column, f"least_{column}"))  # one row
+    return marked.select("file", *(F.coalesce(F.col(c) >= F.col(f"least_{c}"), F.lit(False)).alias(name) for c, name in names.items()))
+
+
 def timeline(churn: DataFrame) -> DataFrame:
     return churn.select("file", "first_commit", "last_commit", "days", "total_commits").orderBy("first_commit", "file")
 

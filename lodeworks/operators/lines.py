@@ -184,6 +184,20 @@ def many_arguments(lines: DataFrame, more_than: int = 6) -> DataFrame:
     return lines.withColumn("n_commas", n).filter(F.col("n_commas") > more_than).select("file_id", "line_no", "n_commas")
 
 
+# Lines that may build SQL from input, by language; the first that fits counts.
+SQL_RISKS = {
+    "python": [r"""execute\s*\(\s*["'].*%.*["']""", r"execute\s*\(\s*.*\+.*\)", r"""cursor\.execute\s*\(\s*f["']""", r"""query\s*=\s*["'].*%.*["']""", r"sql\s*=\s*.*\+.*"],
+    "javascript": [r"""query\s*=\s*["`'].*\$\{.*\}.*["`']""", r"""execute\s*\(\s*["`'].*\+.*["`']""", r"sql\s*=\s*.*\+.*", r"""query\(\s*["`'].*\$\{.*\}.*["`']"""],
+}
+
+
+def sql_risks(lines: DataFrame) -> DataFrame:
+    """(file_id, line_no, context) of lines(file_id, line_no, stripped, line, language) that one of the language's patterns fits."""
+    of = {name: F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in own)) for name, own in SQL_RISKS.items()}
+    fits = F.when(F.col("language") == "python", of["python"]).otherwise(of["javascript"])
+    return lines.filter(fits).select("file_id", "line_no", F.col("stripped").alias("context"))
+
+
 def snippets(lines: DataFrame, at: DataFrame, around: int = 3) -> DataFrame:
     """(file_id, at_line, snippet): lines around each wanted one(file_id, at_line), that one marked."""
     wanted = at.select("file_id", "at_line", F.explode(F.sequence(F.col("at_line") - around, F.col("at_line") + around)).alias("line_no"))

@@ -99,7 +99,7 @@ TYPE_FACTOR = {"file_specific": 1.0, "function_specific": 1.1, "class_specific":
 
 def answer_confidence(mean_similarity: Column, kind: Column) -> Column:
     factor = F.element_at(F.create_map(*(F.lit(x) for pair in TYPE_FACTOR.items() for x in pair)), kind)
-    return F.coalesce(F.least(F.greatest(mean_similarity * factor, F.lit(0.1)), F.lit(1.0)), F.lit(0.3))
+    return F.when(mean_similarity.isNull(), 0.3).otherwise(F.least(F.greatest(mean_similarity * factor, F.lit(0.1)), F.lit(1.0)))
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:

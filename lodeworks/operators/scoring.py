@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import contains_any, suffix
@@ -121,28 +122,63 @@ def features(issues: DataFrame) -> DataFrame:
     return text_features(path_features(keyword_features(issues)))
 
 
-def base_score(rows: DataFrame) -> Column:
+@dataclass(frozen=True)
+class Model:
+    """Weights and factors that may be tuned; what isn't given is as built in."""
+
+    weights: dict[str, float] = field(default_factory=lambda: dict(FEATURE_WEIGHT))
+    bases: dict[str, float] = field(default_factory=lambda: dict(BASE_SCORE))
+    bands: dict[str, float] = field(default_factory=lambda: {name: bound for bound, name in SEVERITY_BANDS})
+    project_type: dict[str, float] = field(default_factory=lambda: dict(PROJECT_TYPE))
+    domain: dict[str, float] = field(default_factory=lambda: dict(DOMAIN))
+    file_role: dict[str, float] = field(default_factory=lambda: dict(FILE_ROLE))
+
+    def updated(self, **changes: dict[str, float]) -> Model:
+        """A model with some values of some tables changed, as updated(weights={"in_loop": 0.9})."""
+        unknown = changes.keys() - self.__dataclass_fields__.keys()
+        if unknown:
+            raise ValueError(f"Unknown factor type: {', '.join(sorted(unknown))}")
+        return replace(self, **{name: getattr(self, name) | own for name, own in changes.items()})
+
+    def rows(self) -> list[tuple[str, str, float]]:
+        return [(name, key, float(v)) for name in self.__dataclass_fields__ for key, v in getattr(self, name).items()]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame(self.rows(), "part string, key string, value double").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        """A saved model; parts that it doesn't name are as built in."""
+        parts: dict[str, dict[str, float]] = {}
+        for r in spark.read.schema("part string, key string, value double").json(path).collect():  # some dozens of values
+            parts.setdefault(r["part"], {})[r["key"]] = r["value"]
+        return cls(**parts)
+
+
+def base_score(rows: DataFrame, model: Model | None = None) -> Column:
     """Category base and weights of the features that hold, between 0 and 1; columns that rows lack count as absent."""
+    weights, bases = (model.weights, model.bases) if model else (FEATURE_WEIGHT, BASE_SCORE)
     total = F.lit(0.0)
     for name in ("involves_user_input", "involves_network", "involves_database", "involves_file_system", "in_loop", "recursive_call", "memory_allocation"):
         if name in rows.columns:
-            total = total + F.when(F.col(name), FEATURE_WEIGHT[name]).otherwise(0.0)
+            total = total + F.when(F.col(name), weights[name]).otherwise(0.0)
     scaled = {"function_complexity": (10, 20.0), "file_size_lines": (500, 1000.0), "bug_history": (0, 10.0)}
     for name, (above, full) in scaled.items():
         if name in rows.columns:
-            total = total + F.when(F.col(name) > above, FEATURE_WEIGHT[name] * F.least(F.col(name) / full, F.lit(1.0))).otherwise(0.0)
+            total = total + F.when(F.col(name) > above, weights[name] * F.least(F.col(name) / full, F.lit(1.0))).otherwise(0.0)
     for name in ("complex_logic", "is_main_module", "is_test_file"):
         if name in rows.columns:
-            total = total + F.when(F.col(name), FEATURE_WEIGHT[name]).otherwise(0.0)
-    return _unit(lookup(BASE_SCORE, F.lower("category"), 0.5) + total)
+            total = total + F.when(F.col(name), weights[name]).otherwise(0.0)
+    return _unit(lookup(bases, F.lower("category"), 0.5) + total)
 
 
 def _unit(score: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
 
-def level(score: Column) -> Column:
-    return banded(score, SEVERITY_BANDS, "info")
+def level(score: Column, model: Model | None = None) -> Column:
+    bands = sorted(((bound, name) for name, bound in model.bands.items()), reverse=True) if model else SEVERITY_BANDS
+    return banded(score, bands, "info")
 
 
 def confidence(rows: DataFrame) -> Column:
@@ -179,17 +215,18 @@ def _if(test: Column, factor: float) -> Column:
     return F.when(test, factor).otherwise(1.0)
 
 
-def project_factors(kind: Column, domain: Column, security: Column, performance: Column, public: Column, n_compliance: Column, maturity: Column) -> list[Column]:
+def project_factors(kind: Column, domain: Column, security: Column, performance: Column, public: Column, n_compliance: Column, maturity: Column, model: Model | None = None) -> list[Column]:
+    types, domains = (model.project_type, model.domain) if model else (PROJECT_TYPE, DOMAIN)
     return [
-        lookup(PROJECT_TYPE, kind, 1.0), lookup(DOMAIN, domain, 1.0), _if(security, 1.2), _if(performance, 1.15), _if(public, 1.1), 1.0 + n_compliance * 0.1,
+        lookup(types, kind, 1.0), lookup(domains, domain, 1.0), _if(security, 1.2), _if(performance, 1.15), _if(public, 1.1), 1.0 + n_compliance * 0.1,
         lookup(MATURITY, maturity, 1.0),
     ]
 
 
-def file_factors(role: Column, entry: Column, public_api: Column, coverage: Column, changes: Column, bugs: Column, dependents: Column) -> list[Column]:
+def file_factors(role: Column, entry: Column, public_api: Column, coverage: Column, changes: Column, bugs: Column, dependents: Column, model: Model | None = None) -> list[Column]:
     """changes: a month; bugs: per thousand lines."""
     return [
-        lookup(FILE_ROLE, role, 1.0), _if(entry, 1.2), _if(public_api, 1.15), F.when(coverage < 0.5, 1.2).when(coverage > 0.9, 0.9).otherwise(1.0), _if(changes > 10, 1.1), _if(bugs > 5, 1.15),
+        lookup(model.file_role if model else FILE_ROLE, role, 1.0), _if(entry, 1.2), _if(public_api, 1.15), F.when(coverage < 0.5, 1.2).when(coverage > 0.9, 0.9).otherwise(1.0), _if(changes > 10, 1.1), _if(bugs > 5, 1.15),
         _if(dependents > 10, 1.1),
     ]
 

@@ -271,6 +271,12 @@ def maintainability_index(mean_complexity: Column, lines: Column) -> Column:
     return F.when(lines <= 0, 100.0).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)))
 
 
+def parser_maintainability(complexity: Column, lines: Column, functions: Column) -> Column:
+    """A parser's own index from a file's whole complexity: 0 to 100, 100 without lines."""
+    mean = complexity / F.greatest(functions, F.lit(1))
+    return F.when(lines == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 171 - 0.23 * mean - 16.2 * F.log(lines))))
+
+
 def maintainability_grade(index: Column) -> Column:
     return banded(index, MAINTAINABILITY_BANDS, "F")
 

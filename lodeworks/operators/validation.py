@@ -97,6 +97,20 @@ def snapshot_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     return rows.select("signature", severity.alias("severity"), change.alias("change"))
 
 
+def changed_fields(base: DataFrame, current: DataFrame, fields: tuple[str, ...] = ("severity", "description")) -> DataFrame:
+    """(signature, field, before, after) of issues in both snapshots whose fields differ; of rows with one signature the last id counts."""
+    last = lambda df, p: df.groupBy("signature").agg(F.max_by(F.struct(*fields), "id").alias(p))
+    both = last(base, "b").join(last(current, "c"), "signature")
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"b.{f}").cast("string").alias("before"), F.col(f"c.{f}").cast("string").alias("after")) for f in fields))
+    return both.select("signature", F.explode(pairs).alias("x")).select("signature", "x.*").filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def issue_signature(category: Column, kind: Column, path: Column, line: Column) -> Column:
+    """What tells an issue from others in all snapshots."""
+    text = lambda c, rest: F.coalesce(c.cast("string"), F.lit(rest))
+    return F.concat_ws("|", text(category, ""), text(kind, ""), text(path, ""), text(line, "0"))
+
+
 def regression_flags(diff: DataFrame, base: DataFrame, current: DataFrame) -> DataFrame:
     """One row: whether a diff is a regression and whether it is an improvement; base, current: one row (n, score) each."""
     of = lambda change, severity: F.count_if((F.col("change") == change) & (F.col("severity") == severity))

@@ -71,8 +71,10 @@ def expired(rows: DataFrame, at: str, as_of, hours: float) -> DataFrame:
     return rows.filter(F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")) > int(hours * 3_600_000_000))
 
 
-def changed_files(now: DataFrame, cached: DataFrame, as_of=None, hours: float | None = None) -> DataFrame:
-    """Files of now(path, sha) that cached(path, sha, analyzed_at) lacks with this content, or has only expired."""
+def changed_files(now: DataFrame, cached: DataFrame, as_of=None, hours: float | None = None, force: bool = False) -> DataFrame:
+    """Files of now(path, sha) that cached(path, sha, analyzed_at) lacks with this content, or has only expired; all of them by force."""
+    if force:
+        return now
     if as_of is not None and hours is not None:
         cached = cached.join(expired(cached, "analyzed_at", as_of, hours).select("path", "sha"), ["path", "sha"], "left_anti")
     return now.join(cached.select("path", "sha"), ["path", "sha"], "left_anti")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodeworks.plans import analytics, governance, histories, scores, states, structures  # noqa: F401
+from lodeworks.plans import analytics, governance, histories, reports, scores, states, structures  # noqa: F401
 from lodeworks.plans import queries as own
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
