@@ -126,17 +126,17 @@ def broadened_search(spark, d):
     return rt.broadened(rt.top_k(chunks, v, 5, F.col("label") == -1), rt.top_k(chunks, v, 5))
 
 
-# Question endings, so that the turns ask something.
+# Beginnings of questions, which the turns' whole texts follow, so that they ask something.
 ASKED = [
     "what does this code do", "which file has the bug", "and this function", "show the complexity score", "is the class definition complex", "hello there",
     "this is wrong", "where is the quality code", "explain it", "nothing else", "what about this",
 ]
-QUESTIONS = "asked AS (SELECT conv_id, turn, CASE (conv_id + turn) % 11 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(ASKED)) + " END AS question FROM conversations)"
+QUESTIONS = "asked AS (SELECT conv_id, turn, CASE (conv_id + turn) % 11 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(ASKED)) + " END || ' ' || coalesce(text, '') AS question FROM conversations)"
 
 
 def _asked(spark, d):
     text = F.element_at(F.array(*(F.lit(q) for q in ASKED)), ((F.col("conv_id") + F.col("turn")) % 11 + 1).cast("int"))
-    return table(spark, d, "conversations").select("conv_id", "turn", text.alias("question"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", text, F.coalesce("text", F.lit(""))).alias("question"))
 
 
 _SCORE = ", ".join(

@@ -73,16 +73,32 @@ def vulnerability_statistics(spark, d):
     return iss.counted_by(iss.vulnerability_matches(_typed(spark, d)), ["vulnerability", "known_severity", "cwe"])
 
 
-@query("""SELECT * FROM (VALUES ('total', 'all', 7), ('total', 'enabled', 6), ('total', 'disabled', 1), ('category', 'security', 1), ('category', 'performance', 1), ('category', 'complexity', 1), ('category', 'duplication', 1),
-    ('category', 'testing', 1), ('category', 'documentation', 1), ('category', 'hotspot', 1), ('priority', 'CRITICAL', 1), ('priority', 'HIGH', 1), ('priority', 'MEDIUM', 3), ('priority', 'LOW', 2),
-    ('language', 'python', 7), ('language', 'javascript', 7), ('language', 'typescript', 7)) v(dimension, value, n)""")
+_VALUES = ", ".join(f"('{n}', '{c}', '{p}', {iss.PRIORITIES.index(p) + 1}, {langs!r}, {n != 'hotspot'})" for n, c, p, langs in iss.ANALYZERS)
+_OWNED = (
+    f"{dv.ISSUES_SQL}, registry AS (SELECT * FROM (VALUES {_VALUES}) v(name, category, priority, rank, languages, enabled)), "
+    "owned AS (SELECT registry.*, id FROM registry JOIN issues USING (category))"
+)
+
+
+def _owned(spark, d):
+    """Each issue with the analyzer of its category; one analyzer is off."""
+    return iss.analyzers(spark, {"hotspot": False}).join(own._issues(spark, d).select("category", "id"), "category")
+
+
+@query(f"""WITH {_OWNED} SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM owned UNION ALL SELECT 'total', CASE WHEN enabled THEN 'enabled' ELSE 'disabled' END, count(*) FROM owned GROUP BY enabled
+UNION ALL SELECT 'category', category, count(*) FROM owned GROUP BY category UNION ALL SELECT 'priority', priority, count(*) FROM owned GROUP BY priority
+UNION ALL SELECT 'language', language, count(*) FROM (SELECT unnest(languages) AS language FROM owned) GROUP BY language""")
 def registry_statistics(spark, d):
-    return iss.registry_statistics(iss.analyzers(spark, {"hotspot": False}))
+    """How many issues fall to analyzers of each kind."""
+    return iss.registry_statistics(_owned(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('security', 1), ('performance', 2), ('complexity', 3), ('duplication', 3), ('testing', 3), ('documentation', 4)) v(name, rank)")
+@query(f"WITH {_OWNED} SELECT r.name, CAST(r.rank AS INTEGER) AS rank, count(id) AS n FROM registry r LEFT JOIN owned o ON o.name = r.name WHERE r.enabled GROUP BY r.name, r.rank")
 def analyzer_order(spark, d):
-    return iss.analyzers(spark, {"hotspot": False}).filter("enabled").orderBy("rank").select("name", "rank")
+    """Analyzers in the order in which they run, with the issues that fall to them."""
+    found = _owned(spark, d).groupBy("name").agg(F.count("*").alias("n"))
+    rows = iss.analyzers(spark, {"hotspot": False}).filter("enabled").join(found, "name", "left")
+    return rows.orderBy("rank").select("name", "rank", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"""WITH {dv.COMMITS_SQL}, {own.CHURN}, {own.SCORES}, t AS (SELECT max(total_commits) AS top FROM churn), a AS (SELECT s.file, hotspot_score, complexity_score, CAST(total_commits AS DOUBLE) / days AS change_frequency, total_commits FROM scores s JOIN churn c ON c.file = s.file)
@@ -141,11 +157,14 @@ def enhanced_queries(spark, d):
     return words.select("conv_id", iss.enhanced_query(F.lit("where is it"), F.col("words"), name, F.lit("Store")).alias("query"))
 
 
-@query("""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://github.com/org' || page_id || '/repo.git' WHEN 1 THEN 'https://www.GitHub.com/a-b//c.d/tree?x=1' WHEN 2 THEN url ELSE 'https://github.com/only' END AS url FROM pages)
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'org' || page_id WHEN 1 THEN 'a-b' END AS owner, CASE page_id % 4 WHEN 0 THEN 'repo' WHEN 1 THEN 'c.d' END AS name FROM u""")
+@query(r"""WITH u AS (SELECT page_id, regexp_replace(url, '^(https?://)[^/]*', CASE WHEN page_id % 5 = 0 THEN '\1code.example.org' ELSE '\1www.GitHub.com' END) AS url FROM pages),
+p AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:www\.)?(?i:github\.com)/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM u),
+n AS (SELECT page_id, parts[1] AS owner, regexp_replace(parts[2], '\.git$', '') AS name FROM p)
+SELECT page_id, CASE WHEN ok THEN owner END AS owner, CASE WHEN ok THEN name END AS name FROM (SELECT *, regexp_matches(owner, '^[a-zA-Z0-9._-]+$') AND regexp_matches(name, '^[a-zA-Z0-9._-]+$') AS ok FROM n)""")
 def repositories(spark, d):
-    k = F.col("page_id")
-    url = F.when(k % 4 == 0, F.concat(F.lit("https://github.com/org"), k, F.lit("/repo.git"))).when(k % 4 == 1, "https://www.GitHub.com/a-b//c.d/tree?x=1").when(k % 4 == 2, F.col("url")).otherwise("https://github.com/only")
+    """Addresses of all pages, four fifths of them moved to one host."""
+    host = F.when(F.col("page_id") % 5 == 0, "code.example.org").otherwise("www.GitHub.com")
+    url = F.concat(F.regexp_extract("url", "^(https?://)", 1), host, F.regexp_extract("url", "^https?://[^/]*(.*)$", 1))
     owner, name = iss.repository_of(url)
     return table(spark, d, "pages").select("page_id", owner.alias("owner"), name.alias("name"))
 
@@ -198,10 +217,10 @@ def signed_hooks(spark, d):
     return table(spark, d, "events").select("event_id", mac.alias("mac"), ev.is_signed(F.col("props"), header, _KEY).alias("signed"))
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0")
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings")
 def vector_upsert(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "label")
-    return rt.upsert(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+    return rt.upsert(rows.filter("vec_id % 6 <> 3"), rows.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
 
 
 @query("SELECT count(*) AS n_chunks, count(embedding) AS n_vectors, min(len(embedding)) AS least_length, max(len(embedding)) AS most_length, count(DISTINCT label) AS n_kinds FROM embeddings")
