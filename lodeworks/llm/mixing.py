@@ -155,9 +155,13 @@ def mix(docs: DataFrame, weights: Callable[[int], float], share: float = 1.5, re
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["name"])).drop("name")
     buckets = max(1, sum(r["n"] for r in found) // ROWS_A_BUCKET)
     rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets)))
-    ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
-    bases = bases.select("sid", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("base"))
+    # Sums ahead in two levels: groups of buckets, then buckets inside their group, so no window sees all buckets of a source.
+    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("group", F.floor(F.col("bucket") / ROWS_A_BUCKET))
+    ahead = lambda *keys: Window.partitionBy(*keys).orderBy("group" if len(keys) == 1 else "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("sid", "group").agg(F.sum("in_bucket").alias("in_group"))
+    groups = groups.select("sid", "group", F.coalesce(F.sum("in_group").over(ahead("sid")), F.lit(0)).alias("before"))
+    bases = sums.withColumn("within", F.coalesce(F.sum("in_bucket").over(ahead("sid", "group")), F.lit(0))).join(groups, ["sid", "group"])
+    bases = bases.select("sid", "bucket", (F.col("before") + F.col("within")).alias("base"))
     inside = Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(bases, ["sid", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.withColumn("start", F.when(F.col("size") > 0, F.col("start")))

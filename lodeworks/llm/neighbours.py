@@ -3,13 +3,14 @@
 Vectors are scaled to length 1 and hashed by floor((a.x + b) / width) for `projections` Gaussian a in each of `tables`
 tables. A query visits `probes` buckets of each table in the order of their estimated success: perturbations of the
 projections nearest to a bucket's edge come first. Parallel vectors (of one direction, equal ones among them) are one class
-that keeps its k + 1 smallest ids (no more can be in any answer), so a very common vector is hashed once. Buckets of more than `bucket_rows` rows are split, and
-their probes go to all parts. What is left of a part is streamed in blocks: neither side of a bucket is held whole.
+that keeps its k + 1 smallest ids (no more can be in any answer), so a very common vector is hashed once. Buckets of more than
+`bucket_rows` rows are split, and so are their probes: each part of the rows meets each part of the queries in a cell of its own,
+which holds one part of the queries while it streams the rows. Neither side of a bucket is held whole.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id; a row that is
 repeated counts once. Vectors of different lengths aren't compared: those of each length are a search of their own. An id
 with several vectors is one candidate, at its nearest, and one query, for which the nearest of any of its vectors count.
-No vectors or no queries give no rows. Queries that find fewer classes than asked for are answered by a scan of all classes in blocks.
+No vectors or no queries give no rows. Queries that find fewer classes than asked for meet all classes, in cells as above.
 All scores are in double precision. Cosines that agree to 14 places are ties, as double sums can't tell them apart, and
 ties go to the smaller id. Other columns are ignored.
 """
@@ -152,7 +153,7 @@ def nearest(
     head = classes.select(F.size("v")).first()
     hashes = Hashes(head[0] if head else 1, projections, width, tables, probes)
 
-    def keyed(probe: bool):
+    def keyed(probe: bool, vectors_too: bool = True):
         @tidy
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -161,6 +162,9 @@ def nearest(
                     unit = _unit(_matrix(part.column(1)))
                     keys = hashes.probed(unit) if probe else hashes.buckets(unit)[:, :, None]
                     n, t, p = keys.shape
+                    if not vectors_too:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(np.arange(t), p), n), pa.int32()), pa.array(keys.ravel())], ["t", "bucket"])
+                        continue
                     packed = pa.array([x.tobytes() for x in unit], pa.binary())
                     own = np.repeat(np.arange(n), t * p)
                     table = pa.array(np.tile(np.repeat(np.arange(t), p), n), pa.int32())
@@ -170,11 +174,12 @@ def nearest(
 
     schema = "t int, bucket long, cid long, x binary"
     hashed = classes.select("cid", "v").mapInArrow(keyed(False), schema)
-    sizes = hashed.groupBy("t", "bucket").count().withColumn("parts", F.ceil(F.col("count") / bucket_rows).cast("int"))
-    sizes = settled(sizes.select("t", "bucket", "parts"), "buckets")
-    data = hashed.join(sizes, ["t", "bucket"]).select("t", "bucket", F.pmod("cid", "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "cid", "x")
-    asking = queries.mapInArrow(keyed(True), schema).join(sizes, ["t", "bucket"])
-    asking = asking.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "cid", "x")
+    parts_of = lambda n: F.ceil(F.col(n) / bucket_rows).cast("int")
+    sizes = hashed.groupBy("t", "bucket").agg(F.count("*").alias("n"))
+    visits = queries.mapInArrow(keyed(True, False), "t int, bucket long").groupBy("t", "bucket").agg(F.count("*").alias("asked"))
+    sizes = settled(sizes.join(visits, ["t", "bucket"]).select("t", "bucket", parts_of("n").alias("parts"), parts_of("asked").alias("sides")), "buckets")
+    data = _rows_in_cells(hashed.join(sizes, ["t", "bucket"]))
+    asking = _queries_in_cells(queries.mapInArrow(keyed(True), schema).join(sizes, ["t", "bucket"]))
     keep = k + 1 + SPARE
 
     @tidy
@@ -182,17 +187,17 @@ def nearest(
         best, here = _Best(keep), None
         q_ids, q_rows = [], []
         for batch in batches:
-            key = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(4)], axis=1)
-            ids = batch.column(4).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(5).to_pylist())).reshape(batch.num_rows, -1) if batch.num_rows else None
+            key = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(5)], axis=1)
+            ids = batch.column(5).to_numpy()
+            x = np.frombuffer(b"".join(batch.column(6).to_pylist())).reshape(batch.num_rows, -1) if batch.num_rows else None
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                group = tuple(key[a, :3].tolist())
+                group = tuple(key[a, :4].tolist())
                 if group != here:
                     here, q_ids, q_rows = group, [], []
-                if key[a, 3] == 0:
+                if key[a, 4] == 0:
                     q_ids.append(ids[a:b]), q_rows.append(x[a:b])
                 elif q_ids:
                     for mine, own in zip(q_ids, q_rows, strict=True):
@@ -202,46 +207,49 @@ def nearest(
                     yield from best.batches()
         yield from best.batches()
 
-    both = data.unionByName(asking).repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part", "kind")
-    pairs = both.mapInArrow(meet, "query long, cid long, near double").groupBy("query", "cid").agg(F.max("near").alias("near"))
-    found = _first(pairs, keep)
-    found = settled(found, "found")
+    def best_of(rows: DataFrame, asking: DataFrame) -> DataFrame:
+        cell = ["t", "bucket", "part", "side"]
+        both = rows.unionByName(asking).repartition(*cell).sortWithinPartitions(*cell, "kind")
+        pairs = both.mapInArrow(meet, "query long, cid long, near double").groupBy("query", "cid").agg(F.max("near").alias("near"))
+        return _first(pairs, keep)
+
+    found = settled(best_of(data, asking), "found")
     counted = found.groupBy("query").count()
     n_classes = classes.count()
     short = queries.join(counted.filter(F.col("count") >= min(k + 1, n_classes)).select(F.col("query").alias("cid")), "cid", "left_anti")
-    for block in _query_blocks(short):
-        found = found.unionByName(_first(_scan(classes, block, keep), keep))
+    short = settled(short, "short")
+    n_short = short.count()
+    if n_short:  # as if all classes were one bucket that all these queries visit
+        one = [F.lit(-1).alias("t"), F.lit(0).cast("long").alias("bucket"), F.lit(-(-n_classes // bucket_rows)).alias("parts"), F.lit(-(-n_short // bucket_rows)).alias("sides")]
+        rows, asking = (df.mapInArrow(_packed, "cid long, x binary").select("*", *one) for df in (classes.select("cid", "v"), short.select("cid", "v")))
+        found = found.unionByName(best_of(_rows_in_cells(rows), _queries_in_cells(asking)))
     return _ranked(found, classes, asked, k)
 
 
-def _first(pairs: DataFrame, keep: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy(F.desc("near"), "cid")
-    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("query", "cid", "near")
+def _rows_in_cells(rows: DataFrame) -> DataFrame:
+    """Each row belongs to one part and meets all sides of the queries."""
+    side = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side")
+    return rows.select("t", "bucket", F.pmod("cid", "parts").cast("int").alias("part"), side, F.lit(1).alias("kind"), "cid", "x")
 
 
-def _query_blocks(short: DataFrame) -> Iterator[list]:
-    block: list = []
-    for row in short.select("cid", "v").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+def _queries_in_cells(rows: DataFrame) -> DataFrame:
+    """Each query belongs to one side and meets all parts of the rows."""
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    return rows.select("t", "bucket", part, F.pmod(F.xxhash64("cid"), F.col("sides")).cast("int").alias("side"), F.lit(0).alias("kind"), "cid", "x")
 
 
-def _scan(classes: DataFrame, block: list, keep: int) -> DataFrame:
-    """All classes against one block of queries."""
-    mine, own = np.array([q for q, _ in block]), _unit(np.array([v for _, v in block], float))
+@tidy
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length 1 as bytes."""
+    for batch in batches:
+        if batch.num_rows:
+            unit = _unit(_matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in unit], pa.binary())], ["cid", "x"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(keep)
-        for batch in batches:
-            if batch.num_rows:
-                best.add(mine, batch.column(0).to_numpy(), own @ _unit(_matrix(batch.column(1))).T)
-        yield from best.batches()
 
-    return classes.select("cid", "v").mapInArrow(work, "query long, cid long, near double")
+def _first(pairs: DataFrame, keep: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("near"), "cid")
+    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("query", "cid", "near")
 
 
 def _ranked(found: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
