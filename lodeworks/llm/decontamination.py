@@ -36,6 +36,8 @@ BITS, BLOCKS = 256, 16
 RADIUS = 63  # 3 flipped bits in a block
 SIMILARITY = 0.8
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16 << 20  # of items' texts that are sent at once; a longer item is sent alone
+ROWS = 128  # fingerprints that are looked up at once
 SLOTS = 1 << 20  # counters of document frequencies
 
 _ODD = re.compile(r"[^\x00-\x7f\w]+")
@@ -118,10 +120,11 @@ class Items:
         self.prints = np.array([self._print(s) for s in self.shingles], np.uint8).reshape(-1, BITS // 8)
         masks = [m for m in range(1 << 16) if m.bit_count() <= radius // BLOCKS]
         self.near = np.array(masks, np.uint16)
-        self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        for k, own in enumerate(self.prints.view(np.uint16)):
-            for b, value in enumerate(own.tolist()):
-                self.blocks[b][value].append(k)
+        # Of each block: items in the order of their values, and where each value's items start.
+        self.blocks = []
+        for values in self.prints.view(np.uint16).T:
+            order = np.argsort(values, kind="stable")
+            self.blocks.append((order, np.searchsorted(values[order], np.arange((1 << 16) + 1))))
 
     @staticmethod
     def bits(hashes: np.ndarray) -> np.ndarray:
@@ -133,24 +136,24 @@ class Items:
         return np.packbits((self.weights.of(own)[:, None] * self.bits(own)).sum(axis=0) > 1e-9)
 
     def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(row, item) for all items whose fingerprints are within the radius of a row of prints."""
-        if len(self.ids) <= 4 * len(self.near):  # few items: flip by comparing with each block value that there is
-            hit = np.zeros((len(prints), len(self.ids)), bool)
-            mine, theirs = prints.view(np.uint16), self.prints.view(np.uint16)
-            for b in range(BLOCKS):
-                hit |= np.bitwise_count(mine[:, b, None] ^ theirs[None, :, b]) <= self.radius // BLOCKS
-            pairs = np.argwhere(hit)
-        else:
-            found = {
-                (row, k)
-                for row, own in enumerate(prints.view(np.uint16))
-                for b, value in enumerate(own)
-                for v in (self.near ^ value).tolist()
-                for k in self.blocks[b].get(v, ())
-            }
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        apart = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]).sum(axis=1)
-        yield from pairs[apart <= self.radius].tolist()
+        """(row, item) for all items whose fingerprints are within the radius of a row of prints.
+
+        Two such fingerprints agree in some block but for radius // BLOCKS bits: every block is looked up with all these flips.
+        """
+        for first in range(0, len(prints), ROWS):
+            own = np.ascontiguousarray(prints[first : first + ROWS])
+            found = []
+            for b, (order, start) in enumerate(self.blocks):
+                value = own.view(np.uint16)[:, b, None] ^ self.near[None, :]
+                n = np.diff(start)[value]
+                row, flip = np.nonzero(n)
+                times, at = n[row, flip], start[value[row, flip]]
+                places = np.repeat(at, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                found.append(np.repeat(row, times) << 32 | order[places])
+            pairs = np.unique(np.concatenate(found))
+            row, item = pairs >> 32, pairs & (1 << 32) - 1
+            near = np.bitwise_count(own[row] ^ self.prints[item]).sum(axis=1) <= self.radius
+            yield from zip((row[near] + first).tolist(), item[near].tolist(), strict=True)
 
     def hits(self, found: Hashed) -> dict[int, dict[int, list[int]]]:
         """Per text and size of items: the words at which a shingle of such an item starts. All texts are looked up at once."""
@@ -214,11 +217,14 @@ def _joined(low: list[int], high: list[int]) -> Iterator[tuple[int, int]]:
 
 def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
     block: list = []
+    held = 0
     for row in items.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == size:
+        length = len(row[1].encode("utf-8", "replace"))
+        if block and (len(block) == size or held + length > BLOCK_BYTES):
             yield block
-            block = []
+            block, held = [], 0
+        block.append((row[0], row[1]))
+        held += length
     if block:
         yield block
 
@@ -235,7 +241,7 @@ def _index(block: Broadcast) -> Items:
 
 
 def _sent(items: DataFrame, radius: int, similarity: float, size: int) -> Iterator[Broadcast]:
-    """Blocks of at most `size` items, with the weights."""
+    """Blocks of at most `size` items and BLOCK_BYTES, with the weights."""
     weights = weights_of(items)
     for block in _blocks(items, size):
         yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, weights, radius, similarity))
