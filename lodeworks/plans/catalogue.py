@@ -127,13 +127,12 @@ def chosen(category: str | None = None, language: str | None = None, ids: set[st
     ]
 
 
-def _first_match(rule: Rule, line: Column) -> Column:
+def _first_match(rule: Rule, line: Column, low: Column) -> Column:
     flag = "(?i)" if rule.ignore_case else ""
     found = None
     for k, p in enumerate(rule.patterns):
         test = line.rlike(flag + p)
         found = F.when(test, F.lit(k + 1)) if found is None else found.when(test, F.lit(k + 1))
-    low = F.lower(line)
     if rule.also:
         found = F.when(low.rlike(rule.also), found)
     if rule.unless:
@@ -146,19 +145,17 @@ def apply_rules(lines: DataFrame, rules: list[Rule], lang: Column) -> DataFrame:
 
     pattern_no is the first pattern of the rule that matches. No shuffle: a filter, one projection and one generator.
     """
-    hits, low = [], F.lower("line")
-    lines = lines.filter(contains_any(low, sorted({n for r in rules for n in NEEDLES[r.id]})))
+    low = F.col("_low")
+    kept = lines.withColumn("_low", F.lower("line")).filter(contains_any(low, sorted({n for r in rules for n in NEEDLES[r.id]})))
+    matches = []
     for r in rules:
-        match = F.when(contains_any(low, NEEDLES[r.id]), _first_match(r, F.col("line")))
-        if set(r.languages) != set(ALL):
-            match = F.when(lang.isin(*r.languages), match)
-        row = F.struct(
-            F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"),
-            F.lit(r.confidence).alias("confidence"), match.alias("pattern_no"),
-        )
-        hits.append(row)
-    found = lines.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h["pattern_no"].isNotNull())))
-    return found.select(*lines.columns, "hit.*")
+        match = F.when(contains_any(low, NEEDLES[r.id]), _first_match(r, F.col("line"), low))
+        matches.append(match if set(r.languages) == set(ALL) else F.when(lang.isin(*r.languages), match))
+    numbered = F.transform(F.array(*matches), lambda m, k: F.struct((k + 1).alias("k"), m.alias("pattern_no")))
+    found = kept.withColumn("hit", F.explode(F.filter(numbered, lambda h: h["pattern_no"].isNotNull())))
+    # What a rule says is looked up for its findings only.
+    of = lambda name: F.element_at(F.array(*(F.lit(getattr(r, name)) for r in rules)), F.col("hit.k")).alias("rule_id" if name == "id" else name)
+    return found.select(*lines.columns, *map(of, ("id", "category", "severity", "confidence")), "hit.pattern_no")
 
 
 def sql_text(value: str) -> str:
