@@ -10,18 +10,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CODE_COMMENT = (
-    r"#\s*(def|class|if|for|while|try|import|from)|//\s*(function|class|if|for|while|try|import|const|let|var)"
-    r"|#\s*[a-zA-Z_]\w*\s*[=\(]|//\s*[a-zA-Z_]\w*\s*[=\(]"
-)
+# Forms of commented code, loops, calls, concatenations and lines that hold no finding; the joined forms are searched in
+# one pass.
+CODE_COMMENTS = [
+    r"#\s*(def|class|if|for|while|try|import|from)", r"//\s*(function|class|if|for|while|try|import|const|let|var)", r"#\s*[a-zA-Z_]\w*\s*[=\(]",
+    r"//\s*[a-zA-Z_]\w*\s*[=\(]",
+]
 LOOP = r"\b(for|while)\b"
-DB_CALL = (
-    r"\.(query|execute|find|save|update|delete)\s*\(|SELECT\s+.*FROM|INSERT\s+INTO|UPDATE\s+.*SET|DELETE\s+FROM"
-    r"|\.(objects|filter|all|first|last)\s*\(|cursor\.(execute|fetchone|fetchall)|session\.(query|add|commit|rollback)"
-)
-IO_CALL = r"open\s*\(|\.read\s*\(|\.write\s*\(|\.close\s*\(|requests\.(get|post|put|delete)|fetch\s*\(|axios\.(get|post|put|delete)"
-CONCAT = r"\+=\s*[\"']|=\s*\w+\s*\+\s*[\"']"
-UNLIKELY = r"^#|^//|^import |^from |^\"\"\"|^'''|^def\s+\w+\(|^class\s+\w+"
+DB_CALLS = [
+    r"\.(query|execute|find|save|update|delete)\s*\(", r"SELECT\s+.*FROM", r"INSERT\s+INTO", r"UPDATE\s+.*SET", r"DELETE\s+FROM", r"\.(objects|filter|all|first|last)\s*\(",
+    r"cursor\.(execute|fetchone|fetchall)", r"session\.(query|add|commit|rollback)",
+]
+IO_CALLS = [
+    r"open\s*\(", r"\.read\s*\(", r"\.write\s*\(", r"\.close\s*\(", r"requests\.(get|post|put|delete)", r"fetch\s*\(", r"axios\.(get|post|put|delete)",
+]
+CONCATS = [r"\+=\s*[\"']", r"=\s*\w+\s*\+\s*[\"']"]
+UNLIKELY_FORMS = [r"^#", r"^//", r"^import ", r"^from ", r'^\"\"\"', r"^'''", r"^def\s+\w+\(", r"^class\s+\w+"]
+CODE_COMMENT, DB_CALL, IO_CALL, CONCAT, UNLIKELY = map("|".join, (CODE_COMMENTS, DB_CALLS, IO_CALLS, CONCATS, UNLIKELY_FORMS))
+# Words that nest or count, and logical operators.
 NESTING_WORDS = ["if", "while", "for", "try", "def", "class"]
 COUNTED_WORDS = ["if", "elif", "else", "while", "for", "try", "except", "finally"]
 LOGICAL = ["&&", "||", "and", "or"]
