@@ -15,10 +15,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.operators.scans import prefix_composed, rounds_for
+from lodeworks.operators.structure import in_batches, trees
 
 BLOCK = 512
 # States: outside, inside of one of these, inside a block comment.
@@ -136,19 +138,24 @@ def values_of(content: str, language: str) -> list[str]:
     """String constants of a Python source, by its parser; by patterns where that fails, and in scripts. Other languages have none."""
     if language == "python":
         try:
-            return [n.value for n in ast.walk(ast.parse(content)) if isinstance(n, ast.Constant) and isinstance(n.value, str)]
+            return [n.value for tree, _ in trees(content) for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str)]
         except (SyntaxError, ValueError):
             return pattern_strings(content, "python")
     return pattern_strings(content, "javascript") if language in ("javascript", "typescript") else []
 
 
+def _raised(error: Exception) -> dict:
+    raise error
+
+
 def string_values(files: DataFrame) -> DataFrame:
     """(path, value) for each string of files(path, language, content)."""
+    kind = files.schema["path"].dataType.simpleString()
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(p, v) for p, c, n in zip(frame["path"], frame["content"], frame["language"], strict=True) for v in values_of(c or "", n)]
-            yield pd.DataFrame(rows, columns=["path", "value"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("path", batch.schema.field("path").type), ("value", pa.string())])
+            texts = ((p.as_py(), c.as_py() or "", n.as_py()) for p, c, n in zip(*(batch.column(x) for x in ("path", "content", "language")), strict=True))
+            yield from in_batches(((({"path": p, "value": v} for v in values_of(c, n)), _raised) for p, c, n in texts), schema)
 
-    kind = files.schema["path"].dataType.simpleString()
-    return files.select("path", "content", "language").mapInPandas(work, f"path {kind}, value string")
+    return files.select("path", "content", "language").mapInArrow(work, f"path {kind}, value string")

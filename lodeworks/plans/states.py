@@ -19,7 +19,7 @@ from lodeworks.plans import queries as own
 from lodeworks.plans import structures as stq
 from lodeworks.plans.queries import query, table
 from lodeworks.sources import analyses as sa
-from lodeworks.sources.scratch import scratch_dir
+from lodeworks.sources.scratch import scratch_dir, settled
 from lodeworks.streaming import cache, sinks
 
 # A cache a user: purchases and errors store an analysis, other events look one up.
@@ -299,8 +299,8 @@ def registered_analyzers(spark, d):
     registry.add_analyzer(rg.Analyzer("pickles", "security", ("python",), _found("pickle", "security", "kind = 'import' AND module = 'pickle'", "medium", 0.7), 1))
     registry.add_analyzer(rg.Analyzer("guesses", "testing", both, _found("guess", "testing", "kind = 'function'", "low", 0.5)))
     registry.add_analyzer(rg.Analyzer("off", "testing", both, _found("off", "testing", "kind = 'function'", "low", 0.9), 2, {"enabled": False}))
-    files = _both(spark, d)
-    return registry.run(files, registry.parse(files)).select("analyzer", "category", "severity", "file_path", "line_start")
+    files = settled(_both(spark, d), "files")
+    return registry.run(files, settled(registry.parse(files), "elements")).select("analyzer", "category", "severity", "file_path", "line_start")
 
 
 @query(f"WITH {dv.ISSUES_SQL} SELECT '/src' AS path, 'Codebase: /src' || chr(10) || 'Files Analyzed: ' || count(DISTINCT file_path) || chr(10) || 'Code Quality Analysis: ' || count(*) || ' issues found' || chr(10) || "

@@ -74,11 +74,14 @@ def _files(spark, d, kind: str) -> DataFrame:
     block = F.col("event_id") % len(blocks)
     if not script:
         block = F.expr(_BLOCK)
-    text = F.element_at(F.array(*(F.lit(b[0]) for b in blocks)), (block + 1).cast("int"))
-    rows = table(spark, d, "events").filter(users).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", text.alias("text")))).alias("own"))
+    texts = F.array(*(F.lit(b[0]) for b in blocks))
+    # A numbered exchange stays as it is: AQE goes by bytes, and would parse all files in a few tasks, so small are their rows here.
+    rows = table(spark, d, "events").filter(users).select("user_id", "ts", "event_id", (block + 1).cast("int").alias("block"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    rows = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "block"))).alias("own"))
     where = F.when(F.col("user_id") % 7 == 0, "tests/test_u").when(F.col("user_id") % 11 == 0, "src/api/u").otherwise("src/u")
     path = F.concat(where, "user_id", F.lit(".js" if script else ".py"))
-    files = rows.select(path.alias("path"), (F.col("user_id") % 50).alias("project"), F.array_join(F.transform("own", lambda x: x["text"]), "").alias("content"))
+    files = rows.select(path.alias("path"), (F.col("user_id") % 50).alias("project"), F.array_join(F.transform("own", lambda x: F.element_at(texts, x["block"])), "").alias("content"))
     return files.withColumn("line_count", F.size(split_lines(F.col("content"))))
 
 
