@@ -166,6 +166,6 @@ def similar_functions(spark, d):
     are much alike, with how many functions are of each kind."""
     files, elements, _ = stq._parsed(spark, d)
     return du.similar_functions(st.function_bodies(files, elements.filter("kind = 'function'")).join(
-        elements.filter("kind = 'function'").select("path", "name", "line_start", F.size("parameters").alias("n_parameters")), ["path", "name", "line_start"]), 0.8)
+        elements.filter("kind = 'function'").select("path", "name", "line_start", F.size("parameters").alias("n_parameters")).hint("merge"), ["path", "name", "line_start"]), 0.8)
 
 
