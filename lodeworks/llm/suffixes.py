@@ -6,9 +6,10 @@ what stands before it, too. (All suffixes with `window` bytes each would be a hu
 
 1. Texts are packed in pieces of a few MB, written once. Anchor hashes of a piece travel by hash range; only anchors that occur
    twice go on.
-2. Strings of those are cut, each once a piece with its earliest place, and sorted by their leading bytes, those of the seed.
-   Sampled splitters deal the sorted runs out by range. A bucket sorts its suffixes by multikey quicksort, eight bytes a step,
-   and gives every window its earliest place.
+2. Strings of those are cut, each once a piece with its earliest place. Sampled splitters of their leading bytes, those of the
+   seed, deal them out by range, many pieces' strings at once: a piece alone would have a few strings for each of many ranges, and
+   the parts to send would grow with the square of the input. A bucket sorts its suffixes by multikey quicksort, eight bytes a
+   step, and gives every window its earliest place.
 3. An anchor of more than `hot` places would bring its whole neighbourhood to one bucket: its windows go alone. Their own hashes
    are exchanged as in 1, those that occur twice are dealt out by all their bytes. A string that more than one splitter names
    fills several buckets, and what these found first is compared across their boundaries.
@@ -40,10 +41,12 @@ from lodeworks.llm.textkit import mix, tidy
 
 WINDOW = 100
 SEED = 32
-PIECE_BYTES = 2 << 20
-SEGMENT = 4 << 20  # windows of a long text that are hashed at once
-BUCKET_KEYS = 1 << 18  # hashes an exchange bucket is planned for
-BUCKET_STRINGS = 20_000  # strings a range is planned for
+PIECE_BYTES = 4 << 20
+SEGMENT = 2 << 20  # windows of a long text that are hashed at once
+BUCKET_KEYS = 1 << 20  # hashes an exchange bucket is planned for
+BUCKET_STRINGS = 50_000  # strings a range is planned for
+SENT_BYTES = 48 << 20  # of strings that are dealt out to ranges at once
+HOT_WINDOWS = 1 << 20  # windows of hot anchors that are told apart at once
 SPLITTERS = 1 << 20  # of 32 or `window` bytes each, sent to every worker; with more strings ranges grow
 SAMPLES_EACH = 4  # samples taken for each splitter
 HOT = 1024
@@ -52,11 +55,36 @@ _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 
 def _pack(*parts) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, 5))
+    """Arrays go as their kind and bytes: pickled, each takes a hundred bytes more."""
+    flat = [(p.dtype.str, p.tobytes()) if isinstance(p, np.ndarray) else p for p in parts]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(flat, 5))
 
 
 def _unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))  # noqa: S301  our own blobs of this run
+    flat = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))  # noqa: S301  our own blobs of this run
+    return tuple(np.frombuffer(p[1], p[0]) if isinstance(p, tuple) else p for p in flat)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Integers that are not negative in as few bytes as they need."""
+    return values.astype(np.min_scalar_type(int(values.max()))) if len(values) and values.min() >= 0 else values
+
+
+def _pack_strings(strings: list[bytes], *numbers: np.ndarray) -> bytes:
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    return _pack(b"".join(strings), *map(_narrow, (sizes, *numbers)))
+
+
+def _unpack_strings(blob: bytes) -> tuple:
+    raw, *numbers = _unpack(blob)
+    sizes, *numbers = (n.astype(np.int64) for n in numbers)
+    ends = np.cumsum(sizes)
+    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], *numbers
+
+
+def _runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for `count` values of each."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def _extreme(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
@@ -193,35 +221,27 @@ def first_places(strings: list[bytes], lead: np.ndarray, doc: np.ndarray, start:
 
 
 class Units(NamedTuple):
-    """Distinct strings of a piece, sorted by key, and where they stand."""
+    """Distinct strings of a piece by their earliest places, and where they stand."""
 
     strings: list[bytes]
-    keys: list[bytes]
     lead: np.ndarray
     doc: np.ndarray
     start: np.ndarray
     seen: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # of each place: first byte, windows, string, whether it is the earliest
 
 
-def units_of(raw: bytes, at: np.ndarray, place: np.ndarray, count: np.ndarray, lead: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, width: int) -> Units:
-    """at: where the strings stand in raw; place: in the piece; width: bytes of a key."""
+def units_of(raw: bytes, at: np.ndarray, place: np.ndarray, count: np.ndarray, lead: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> Units:
+    """at: where the strings stand in raw; place: in the piece."""
     order = np.lexsort((start, doc))
-    strings = [raw[a:b] for a, b in zip(at[order].tolist(), (at + count + window - 1)[order].tolist(), strict=True)]
+    strings = (raw[a:b] for a, b in zip(at[order].tolist(), (at + count + window - 1)[order].tolist(), strict=True))
     numbers: dict[bytes, int] = {}
     number = np.array([numbers.setdefault(s, len(numbers)) for s in strings], np.int64)
     _, head = np.unique(number, return_index=True)
     head = order[head]  # the earliest place of each string, in the order of their numbers
-    names, leads = list(numbers), lead[head].tolist()
-    keys = [s[k : k + width] for s, k in zip(names, leads, strict=True)]
-    by = sorted(range(len(names)), key=keys.__getitem__)
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
     of = np.empty(len(at), np.int64)
-    of[order] = rank[number]
-    head = head[by]
+    of[order] = number
     own = (doc == doc[head][of]) & (start == start[head][of]) if len(at) else np.zeros(0, bool)
-    seen = (place.astype(np.int64), count.astype(np.int64), of, own)
-    return Units([names[k] for k in by], [keys[k] for k in by], lead[head], doc[head], start[head], seen)
+    return Units(list(numbers), lead[head], doc[head], start[head], (place, count, of, own))
 
 
 PIECES = "piece long, ids array<long>, sizes array<long>, n_bytes long, text binary"
@@ -232,7 +252,7 @@ def pieces_of(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
 
     @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 24
         ids, texts, size = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -284,6 +304,9 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 
 EXCHANGE = "bucket long, owner long, blob binary"
+#: An owner of strings is a piece and a number: 0, or from 1 on that of a part of its windows of hot anchors.
+PART_BITS = 16
+PARTS = (1 << PART_BITS) - 1
 
 
 def _hash_rows(owner: int, keys: np.ndarray, times: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -329,13 +352,14 @@ def _cut(kind: str, owner: int, blob: bytes, bucket: int = 0, sample: list[bytes
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["kind", "owner", "bucket", "blob", "sample"])
 
 
-def _run(owner: int, units: Units, rate: float) -> Iterator[pa.RecordBatch]:
-    """A piece's sorted run with samples of its keys, and the places of its strings."""
+def _run(owner: int, units: Units, rate: float, width: int) -> Iterator[pa.RecordBatch]:
+    """A piece's strings with samples of their keys, `width` bytes each, and the places of the strings."""
     if units.strings:
-        lot = mix(np.arange(len(units.keys), dtype=np.uint64) + np.uint64(owner * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        sample = [units.keys[k] for k in np.flatnonzero(lot < np.uint64(min(rate, 1.0) * (2**64 - 2**12))).tolist()]
-        yield _cut("run", owner, _pack(*units[:5]), sample=sample)
-        yield _cut("seen", owner, _pack(*units.seen))
+        lot = mix(np.arange(len(units.strings), dtype=np.uint64) + np.uint64(owner * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        chosen = np.flatnonzero(lot < np.uint64(min(rate, 1.0) * (2**64 - 2**12)))
+        sample = [units.strings[k][a : a + width] for k, a in zip(chosen.tolist(), units.lead[chosen].tolist(), strict=True)]
+        yield _cut("run", owner, _pack_strings(units.strings, units.lead, units.doc, units.start), sample=sample)
+        yield _cut("seen", owner, _pack(*map(_narrow, units.seen[:3]), units.seen[3]))
 
 
 def _place(piece: Piece, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,65 +369,112 @@ def _place(piece: Piece, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return piece.ids[row], at - (ends - piece.sizes)[row]
 
 
-def _spread(units: list[bytes], owner: int, splitters: list[bytes], hot: bool) -> np.ndarray:
-    """Ranges of sorted keys; a key that several splitters name is dealt out among the ranges that it fills."""
-    high = [bisect_right(splitters, k) for k in units]
-    if not hot:
+def _spread(keys: list[bytes], owner: int, splitters: list[bytes]) -> np.ndarray:
+    """Ranges of keys; a hot one that several splitters name is dealt out among the ranges that it fills."""
+    high = [bisect_right(splitters, k) for k in keys]
+    if not owner & PARTS:
         return np.array(high, np.int64)
-    low = [bisect_left(splitters, k) for k in units]
-    return np.array([h if h - a < 2 else a + 1 + (owner >> 1) % (h - a) for a, h in zip(low, high, strict=True)], np.int64)
-
-
-REPLY = "owner long, units binary, bits binary, claims array<struct<unit:long,key:binary,doc:long,start:long>>"
-
-
-def _sorted_buckets(runs: DataFrame, splitters: list[bytes], window: int, seed: int) -> DataFrame:
-    """Replies to the owners of runs(owner, blob): for their strings a bit a window, set where nothing stands earlier."""
+    low = [bisect_left(splitters, k) for k in keys]
+    return np.array([h if h - a < 2 else a + 1 + (owner >> PART_BITS) % (h - a) for a, h in zip(low, high, strict=True)], np.int64)
+
+
+REPLY = "sender long, blob binary, claims array<struct<owner:long,unit:long,key:binary,doc:long,start:long>>"
+
+
+def _dealt(runs: list[tuple[int, tuple]], splitters: list[bytes], window: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The strings of some owners by range; a part knows of each string whose it is, and its number there."""
+    owners = np.array([r[0] for r in runs], np.int64)
+    strings = [s for r in runs for s in r[1][0]]
+    lead, doc, start = (np.concatenate([r[1][k] for r in runs]) for k in (1, 2, 3))
+    of = np.repeat(np.arange(len(runs)), [len(r[1][0]) for r in runs])
+    unit = np.concatenate([np.arange(len(r[1][0])) for r in runs])
+    own = []
+    for owner, (names, leads, *_) in runs:
+        keys = [s[a : a + (window if owner & PARTS else seed)] for s, a in zip(names, leads.tolist(), strict=True)]
+        own.append(_spread(keys, owner, splitters))
+    own = np.concatenate(own)
+    order = np.argsort(own, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+        near, mine = np.unique(of[part], return_inverse=True)
+        packed = _pack_strings([strings[k] for k in part.tolist()], lead[part], doc[part], start[part], unit[part], mine, owners[near])
+        yield pa.RecordBatch.from_arrays([pa.array([int(own[part[0]])], pa.int64()), pa.array([int(owners[0])], pa.int64()), pa.array([packed], pa.binary())], ["bucket", "owner", "blob"])
+
+
+def _sorted_buckets(runs: DataFrame, splitters: list[bytes], window: int, seed: int, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """Replies to those who sent the strings of runs(owner, blob): for each string a bit a window, set where nothing stands earlier."""
     heavy = {a for a, b in zip(splitters[:-1], splitters[1:], strict=True) if a == b}
 
     @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for owner, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                strings, keys, lead, doc, start = _unpack(blob.as_py())
-                own = _spread(keys, owner, splitters, bool(owner & 1))
-                order = np.argsort(own, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
-                    packed = _pack(part, [strings[k] for k in part.tolist()], lead[part], doc[part], start[part])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(own[part[0]])], pa.int64()), pa.array([owner], pa.int64()), pa.array([packed], pa.binary())], ["bucket", "owner", "blob"])
+                held.append((owner, _unpack_strings(blob.as_py())))
+                size += sum(map(len, held[-1][1][0]))
+                if size >= sent_bytes:
+                    yield from _dealt(held, splitters, window, seed)
+                    held, size = [], 0
+        if held:
+            yield from _dealt(held, splitters, window, seed)
 
     def answer(table: pa.Table) -> pa.Table:
         numbers: dict[bytes, int] = {}
         slices, lead, doc, start = [], [], [], []
-        for owner, blob in zip(table.column("owner").to_pylist(), table.column("blob"), strict=True):
-            part, strings, leads, docs, starts = _unpack(blob.as_py())
-            slices.append((owner, part, np.array([numbers.setdefault(s, len(numbers)) for s in strings], np.int64)))
+        for sender, blob in zip(table.column("owner").to_pylist(), table.column("blob"), strict=True):
+            strings, leads, docs, starts, units, whose, owners = _unpack_strings(blob.as_py())
+            slices.append((sender, units, owners[whose], np.array([numbers.setdefault(s, len(numbers)) for s in strings], np.int64)))
             lead.append(leads), doc.append(docs), start.append(starts)
         names = list(numbers)
-        of = np.concatenate([s[2] for s in slices])
+        of = np.concatenate([s[3] for s in slices])
         lead, doc, start = (np.concatenate(x) for x in (lead, doc, start))
         order = np.lexsort((start, doc, of))
         head = order[np.concatenate([[True], np.diff(of[order]) > 0])]  # the earliest place of each string
         own = (doc == doc[head][of]) & (start == start[head][of])
         first = first_places(names, lead[head], doc[head], start[head], window, seed)
+        counts = np.fromiter(map(len, first), np.int64, len(first))
         rows, done = [], 0
-        for owner, part, mine in slices:
+        for sender, units, owners, mine in slices:
             wins = own[done : done + len(mine)]
             bits = [first[k] if w else np.zeros(len(first[k]), bool) for k, w in zip(mine.tolist(), wins.tolist(), strict=True)]
             claims = []
-            if heavy and owner & 1:
-                claims = [{"unit": int(part[k]), "key": names[mine[k]], "doc": int(doc[done + k]), "start": int(start[done + k])} for k in np.flatnonzero(wins).tolist() if names[mine[k]] in heavy]
-            rows.append((owner, _pack(part.astype(np.int32)), _pack(np.packbits(np.concatenate(bits)), sum(map(len, bits))), claims))
+            if heavy:
+                claims = [
+                    {"owner": int(owners[k]), "unit": int(units[k]), "key": names[mine[k]], "doc": int(doc[done + k]), "start": int(start[done + k])}
+                    for k in np.flatnonzero(wins & (owners & PARTS > 0)).tolist() if names[mine[k]] in heavy
+                ]
+            near, whose = np.unique(owners, return_inverse=True)
+            rows.append((sender, _pack(np.packbits(np.concatenate(bits)), *map(_narrow, (near, whose, units, counts[mine]))), claims))
             done += len(mine)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("unit", pa.int64()), ("key", pa.binary()), ("doc", pa.int64()), ("start", pa.int64())]))]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["owner", "units", "bits", "claims"])
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("owner", pa.int64()), ("unit", pa.int64()), ("key", pa.binary()), ("doc", pa.int64()), ("start", pa.int64())]))]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["sender", "blob", "claims"])
 
     return runs.mapInArrow(send, EXCHANGE).groupBy("bucket").applyInArrow(answer, REPLY)
 
 
+def _by_owner(replies: DataFrame) -> DataFrame:
+    """(owner, bits): of each owner's strings, by their numbers, the bits that all ranges gave its sender."""
+
+    def work(table: pa.Table) -> pa.Table:
+        bits, owner, unit, count = [], [], [], []
+        for blob in table.column("blob"):
+            packed, near, whose, units, counts = _unpack(blob.as_py())
+            owner.append(near.astype(np.int64)[whose]), unit.append(units.astype(np.int64)), count.append(counts.astype(np.int64))
+            bits.append(np.unpackbits(packed, count=int(count[-1].sum())).astype(bool))
+        bits, owner, unit, count = map(np.concatenate, (bits, owner, unit, count))
+        begin = np.cumsum(count) - count
+        rows = []
+        for o in np.unique(owner).tolist():
+            mine = np.flatnonzero(owner == o)
+            mine = mine[np.argsort(unit[mine])]
+            rows.append((o, _pack(np.packbits(bits[_runs(begin[mine], count[mine])]))))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["owner", "bits"])
+
+    return replies.select("sender", "blob").groupBy("sender").applyInArrow(work, "owner long, bits binary")
+
+
 def _boundaries(replies: DataFrame) -> DataFrame:
     """(owner, lost): strings that fill several buckets are first in one of them only; lost: those that another bucket has earlier."""
-    claims = replies.select("owner", F.explode("claims").alias("c")).select("owner", "c.*")
+    claims = replies.select(F.explode("claims").alias("c")).select("c.*")
     place = F.struct("doc", "start")
     first = claims.groupBy("key").agg(F.min(place).alias("first"))
     late = claims.join(first, "key").filter(place != F.col("first"))
@@ -419,8 +490,9 @@ def _splitters(cuts: list[DataFrame], ranges: int) -> list[bytes]:
 
 
 def without_repeats(
-    docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, piece_bytes: int = PIECE_BYTES, bucket_strings: int = BUCKET_STRINGS
-) -> DataFrame:
+    docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot: int = HOT, piece_bytes: int = PIECE_BYTES, bucket_strings: int = BUCKET_STRINGS,
+    sent_bytes: int = SENT_BYTES, hot_windows: int = HOT_WINDOWS,
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, removed, kept) for each row of docs(doc_id, text); kept: the bytes that are left."""
     if seed % 8 or not 8 <= seed <= window:
         raise ValueError("seed has to be a multiple of 8, at most window")
@@ -458,14 +530,17 @@ def without_repeats(
                 code = _codes(a.keys, buckets, batch.column(4)[k])[np.searchsorted(a.keys, a.hash)]
                 doc, start = _place(p, a.first)
                 mine, raw = np.flatnonzero(code == 1), p.data.tobytes()
-                yield from _run(2 * owner, units_of(raw, a.first[mine], a.first[mine], a.count[mine], a.lead[mine], doc[mine], start[mine], window, seed), share)
-                mine = np.flatnonzero(code == 2)
-                if len(mine):
+                units = units_of(raw, a.first[mine], a.first[mine], a.count[mine], a.lead[mine], doc[mine], start[mine], window)
+                yield from _run(owner << PART_BITS, units, share, seed)
+                every = np.flatnonzero(code == 2)
+                cuts = np.flatnonzero(np.diff((np.cumsum(a.count[every]) - 1) // hot_windows)) + 1
+                for part, mine in enumerate(np.split(every, cuts) if len(every) else [], 1):
+                    own = owner << PART_BITS | part
                     strings = [raw[x:y] for x, y in zip(a.first[mine].tolist(), (a.first + a.count + window - 1)[mine].tolist(), strict=True)]
                     keys, times = np.unique(np.concatenate(_hot_windows(strings, window, seed)), return_counts=True)
-                    for bucket, _, blob in _hash_rows(owner, keys, np.minimum(times, 255).astype(np.uint8), buckets):
-                        yield _cut("window", owner, blob, bucket)
-                    yield _cut("hot", owner, _pack(strings, a.first[mine], doc[mine], start[mine]))
+                    for bucket, _, blob in _hash_rows(own, keys, np.minimum(times, 255).astype(np.uint8), buckets):
+                        yield _cut("window", own, blob, bucket)
+                    yield _cut("hot", own, _pack_strings(strings, a.first[mine], doc[mine], start[mine]))
 
     replies = found.groupBy(F.col("owner").alias("piece")).agg(F.collect_list(F.struct("bucket", "codes")).alias("replies"))
     cuts = settled(texts.join(replies, "piece").select("piece", "ids", "sizes", "text", "replies").mapInArrow(cut, CUTS), "cuts")
@@ -480,11 +555,11 @@ def without_repeats(
     splitters = _splitters(tables, ranges(total))
     kinds = [t.select("kind", "owner", "blob") for t in tables]
     every = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
-    answered = settled(_sorted_buckets(every.filter("kind = 'run'").select("owner", "blob"), splitters, window, seed), "answers")
-    piece = F.shiftright("owner", 1).alias("piece")
+    answered = settled(_sorted_buckets(every.filter("kind = 'run'").select("owner", "blob"), splitters, window, seed, sent_bytes), "answers")
+    piece = F.shiftright("owner", PART_BITS).alias("piece")
     seen = every.filter("kind = 'seen'").groupBy(piece).agg(F.collect_list(F.struct("owner", "blob")).alias("seen"))
-    bits = answered.groupBy(piece).agg(F.collect_list(F.struct("owner", "units", "bits")).alias("bits"))
-    lost = _boundaries(answered).groupBy(piece).agg(F.flatten(F.collect_list("lost")).alias("lost"))
+    bits = _by_owner(answered).groupBy(piece).agg(F.collect_list(F.struct("owner", "bits")).alias("bits"))
+    lost = _boundaries(answered).groupBy(piece).agg(F.collect_list(F.struct("owner", "lost")).alias("lost"))
     marks = settled(seen.join(bits, "piece").join(lost, "piece", "left"), "marks")
     drop(*tables, answered)
     joined = texts.join(marks, "piece", "left").select("piece", "ids", "sizes", "text", "seen", "bits", "lost")
@@ -503,18 +578,18 @@ def _hot_runs(cuts: DataFrame, alone: DataFrame, buckets: int, rate: float, wind
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, owner in enumerate(batch.column(0).to_pylist()):
-                strings, first, doc, start = _unpack(batch.column(1)[k].as_py())
+                strings, first, doc, start = _unpack_strings(batch.column(1)[k].as_py())
                 hashes = _hot_windows(strings, window, seed)
                 n = np.array([len(h) for h in hashes], np.int64)
                 every = np.concatenate(hashes)
                 keys = np.unique(every)
                 twice = np.flatnonzero(_codes(keys, buckets, batch.column(2)[k])[np.searchsorted(keys, every)])
-                of, offset = np.repeat(np.arange(len(n)), n)[twice], (np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n))[twice]
+                of, offset = np.repeat(np.arange(len(n)), n)[twice], _runs(np.zeros(len(n), np.int64), n)[twice]
                 sizes = n + window - 1
                 at = (np.cumsum(sizes) - sizes)[of] + offset
                 ones, zeros = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-                units = units_of(b"".join(strings), at, first[of] + offset, ones, zeros, doc[of], start[of] + offset, window, window)
-                yield from _run(2 * owner + 1, units, rate)
+                units = units_of(b"".join(strings), at, first[of] + offset, ones, zeros, doc[of], start[of] + offset, window)
+                yield from _run(owner, units, rate, window)
 
     replies = alone.groupBy("owner").agg(F.collect_list(F.struct("bucket", "codes")).alias("replies"))
     return cuts.filter("kind = 'hot'").select("owner", "blob").join(replies, "owner").select("owner", "blob", "replies").mapInArrow(work, CUTS)
@@ -525,28 +600,23 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array
 
 def _covered(batch: pa.RecordBatch, k: int, size: int, window: int) -> np.ndarray:
     """Bytes of a piece that a covered window holds."""
-    change = np.zeros(size + 1, np.int64)
-    seen = {r["owner"]: _unpack(r["blob"]) for r in batch.column(4)[k].as_py() or []}
-    bits: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for r in batch.column(5)[k].as_py() or []:
-        packed, n = _unpack(r["bits"])
-        bits.setdefault(r["owner"], []).append((_unpack(r["units"])[0], np.unpackbits(packed, count=n).astype(bool)))
-    lost = batch.column(6)[k].as_py() or []
-    for owner, (first, count, unit, own) in seen.items():
+    hit = np.zeros(size, bool)
+    bits = {r["owner"]: _unpack(r["bits"])[0] for r in batch.column(5)[k].as_py() or []}
+    lost = {r["owner"]: r["lost"] for r in batch.column(6)[k].as_py() or []}
+    for r in batch.column(4)[k].as_py() or []:
+        *places, own = _unpack(r["blob"])
+        first, count, unit = (x.astype(np.int64) for x in places)
         windows = np.zeros(unit.max() + 1, np.int64)
         windows[unit] = count
         begin = np.cumsum(windows) - windows
-        earliest = np.zeros(windows.sum(), bool)
-        for units, mine in bits[owner]:
-            n = windows[units]
-            earliest[np.repeat(begin[units], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = mine
-        if owner & 1 and lost:
-            earliest[begin[lost]] = False
-        of, offset = np.repeat(np.arange(len(count)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = (first[of] + offset)[~(own[of] & earliest[begin[unit[of]] + offset])]
-        change += np.bincount(at, minlength=size + 1)[: size + 1]
-        change -= np.bincount(at + window, minlength=size + 1)[: size + 1]
-    return np.cumsum(change[:-1]) > 0
+        earliest = np.unpackbits(bits[r["owner"]], count=int(windows.sum())).astype(bool)
+        earliest[begin[lost.get(r["owner"], [])]] = False
+        for a in range(0, len(first), 1 << 14):
+            some = slice(a, a + (1 << 14))
+            at = _runs(first[some], count[some])
+            hit[at[~(np.repeat(own[some], count[some]) & earliest[_runs(begin[unit[some]], count[some])])]] = True
+    at = np.arange(size)
+    return at - np.maximum.accumulate(np.where(hit, at, -window)) < window
 
 
 def _applied(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

@@ -112,3 +112,20 @@ def test_segments_change_nothing(rows):
     assert windows(whole) == windows(cut) and set(whole.keys.tolist()) == set(cut.keys.tolist())
     often = dict(zip(cut.keys.tolist(), cut.times.tolist()))
     assert all(often[k] >= n for k, n in zip(whole.keys.tolist(), whole.times.tolist()))
+
+
+def test_parts_of_windows_and_senders(spark, rows):
+    """Hot windows of a piece in many parts, strings of few pieces sent at once."""
+    options = {"hot": 2, "piece_bytes": 3000, "bucket_strings": 10, "sent_bytes": 2000, "hot_windows": 60}
+    assert answer(spark, rows, **options) == plain(rows, 100)
+
+
+def test_parts_sent_do_not_grow_with_pieces_times_ranges(spark, monkeypatch):
+    """Many small pieces and many ranges: a range gets a part from each sender, not from each piece."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(40)]
+    rows = [(k, texts[k % 40] + str(k)) for k in range(400)]
+    counts, whole = {}, suffixes.settled
+    monkeypatch.setattr(suffixes, "settled", lambda df, name: (made := whole(df, name), counts.update({name: made.count()}))[0])
+    assert answer(spark, rows, piece_bytes=2000, bucket_strings=40) == plain(rows, 100)
+    assert counts["pieces"] > 100 and counts["answers"] * 2 < counts["pieces"] * 20
