@@ -291,16 +291,13 @@ class Piece(NamedTuple):
         return cls(np.frombuffer(raw, np.uint8), ids.fill_null(0).to_numpy(), sizes, known)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Range of a hash: sorted hashes have sorted ranges."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    own = _bucket(keys, buckets)
-    cuts = np.flatnonzero(np.diff(own, prepend=-1, append=buckets)).tolist()
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each bucket's hashes stand. They are mixed anew: anchors are the least hashes around, most of them in the lowest ranges."""
+    own = ((mix(keys.copy()) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    cuts = np.flatnonzero(np.diff(own[order], prepend=-1, append=buckets)).tolist()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(own[a]), slice(a, b)
+        yield int(own[order[a]]), order[a:b]
 
 
 EXCHANGE = "bucket long, owner long, blob binary"

@@ -129,3 +129,14 @@ def test_parts_sent_do_not_grow_with_pieces_times_ranges(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "settled", lambda df, name: (made := whole(df, name), counts.update({name: made.count()}))[0])
     assert answer(spark, rows, piece_bytes=2000, bucket_strings=40) == plain(rows, 100)
     assert counts["pieces"] > 100 and counts["answers"] * 2 < counts["pieces"] * 20
+
+
+def test_anchors_are_dealt_out_evenly():
+    """The least hash of each window is small: ranges of the hashes themselves would bring most anchors to the first bucket."""
+    data = np.random.default_rng(4).integers(97, 123, 400_000).astype(np.uint8)
+    keys = suffixes.anchors(data, np.array([len(data)]), np.ones(1, bool), 100, 32).keys
+    parts = dict(suffixes._by_bucket(keys, 20))
+    places = np.arange(len(keys))
+    sizes = [len(places[p]) for p in parts.values()]
+    assert len(parts) == 20 and sum(sizes) == len(keys) and max(sizes) < 1.3 * min(sizes)
+    assert np.array_equal(np.sort(np.concatenate([places[p] for p in parts.values()])), places)
