@@ -39,13 +39,13 @@ LEAST_CONFIDENCE = 0.7
 class Parser:
     """languages, the suffixes of their files, and elements(path, text): a dict of ELEMENT's columns for each element.
 
-    rows: the same one by one, where a file's elements needn't be in memory at once; it may raise at any of them.
+    rows: the same one by one, or in runs, where a file's elements needn't be in memory at once; it may raise at any of them.
     """
 
     languages: tuple[str, ...]
     suffixes: tuple[str, ...]
     elements: Callable[[str, str], list[dict]]
-    rows: Callable[[str, str], Iterable[dict]] | None = None
+    rows: Callable[[str, str], Iterable[dict | st.Run]] | None = None
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ class Registry:
         self.suffixes: dict[str, str] = {}
         if builtin:
             of = lambda *languages: tuple(s for s, n in LANGUAGE_OF_SUFFIX.items() if n in languages)
-            self.add_parser(Parser(("python",), of("python"), st.elements_of, st.element_rows))
+            self.add_parser(Parser(("python",), of("python"), st.elements_of, st.element_runs))
             self.add_parser(Parser(("javascript", "typescript"), of("javascript", "typescript"), st.script_elements_of, st.script_rows))
 
     def add_parser(self, parser: Parser) -> None:
@@ -136,7 +136,7 @@ class Registry:
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = ((p.as_py(), c.as_py() or "", n.as_py()) for b in batches for p, c, n in zip(*(b.column(x) for x in ("path", "content", "language")), strict=True))
-            return st.in_batches((((e | {"language": n} for e in _deferred(parsers[n], p, c)), _failed(p, n)) for p, c, n in texts), schema)
+            return st.in_batches(((_deferred(parsers[n], p, c, n), _failed(p, n)) for p, c, n in texts), schema)
 
         known = files.filter(F.col("language").isin(list(parsers)))
         return known.select("path", "content", "language").mapInArrow(of, f"{st.ELEMENTS}, language string")
@@ -180,8 +180,10 @@ class Registry:
         return out
 
 
-def _deferred(rows: Callable[[str, str], Iterable[dict]], path: str, content: str) -> Iterator[dict]:
-    yield from rows(path, content)
+def _deferred(rows: Callable[[str, str], Iterable[dict | st.Run]], path: str, content: str, language: str) -> Iterator[dict | st.Run]:
+    own = {"language": language}
+    for e in rows(path, content):
+        yield e._replace(values=e.values | own) if isinstance(e, st.Run) else e | own
 
 
 def _failed(path: str, language: str) -> Callable[[Exception], dict]:
