@@ -165,7 +165,5 @@ def similar_functions(spark, d):
     """Functions of all files by bodies and numbers of parameters: pairs of different kinds, one parameter apart at most, whose bodies
     are much alike, with how many functions are of each kind."""
     files, elements, _ = stq._parsed(spark, d)
-    return du.similar_functions(st.function_bodies(files, elements.filter("kind = 'function'")).join(
-        elements.filter("kind = 'function'").select("path", "name", "line_start", F.size("parameters").alias("n_parameters")).hint("merge"), ["path", "name", "line_start"]), 0.8)
-
-
+    functions = elements.filter("kind = 'function'").withColumn("n_parameters", F.size("parameters"))
+    return du.similar_functions(st.function_bodies(files, functions, ("n_parameters",)), 0.8)
